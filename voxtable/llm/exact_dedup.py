@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from voxtable.functions.text import ascii_lower
 from voxtable.plans.skew import skew_join
-from voxtable.plans.storage import small_side, staged
+from voxtable.plans.storage import packed, small_side, staged, unpacked
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -53,12 +53,12 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     report = staged(exact_groups(docs, id_col, text_col, keep), "exact-report")
     key = [F.col(id_col).alias("_k"), F.unhex("text_sha256").alias("_s")]
     sha = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    rows = packed(docs, _id=F.col(id_col), _sha=sha)
     gone = small_side(staged(report.filter(~F.col("kept")).select(*key).distinct(), "exact-gone"))
-    keyed = docs.withColumn("_sha", sha)
-    left = keyed.join(gone, keyed[id_col].eqNullSafe(gone["_k"]) & (keyed["_sha"] == gone["_s"]), "left_anti")
+    same = lambda side: rows["_id"].eqNullSafe(side["_k"]) & (rows["_sha"] == side["_s"])
+    left = rows.join(gone, same(gone), "left_anti")
     twice = staged(report.filter("kept").groupBy(*key).count().filter("count > 1").drop("count"), "exact-twice")
     if twice.isEmpty():
-        return left.drop("_sha")
-    same = left[id_col].eqNullSafe(twice["_k"]) & (left["_sha"] == twice["_s"])
-    once = left.join(twice, same, "left_semi").dropDuplicates([id_col, "_sha"])
-    return left.join(twice, same, "left_anti").unionByName(once).drop("_sha")
+        return unpacked(left)
+    once = left.join(twice, same(twice), "left_semi").dropDuplicates(["_id", "_sha"])
+    return unpacked(left.join(twice, same(twice), "left_anti").unionByName(once))

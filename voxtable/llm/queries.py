@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from voxtable.llm.bpe import encode_documents
 from voxtable.llm.exact_dedup import exact_groups
+from voxtable.llm.mixing import mix_report
 from voxtable.llm.url_filter import BLOCK_RATE, Z, filter_urls
 
 
@@ -14,6 +16,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(_table(spark, sf_dir, "documents")).drop("copies")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -75,6 +87,8 @@ from p left join fit on fit.host = p.host and fit.path = p.path join low on low.
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_byte_bpe": op3_byte_bpe,
+        "op4_mixing": op4_mixing,
         "op7_exact_dedup": op7_exact_dedup,
         "op10_url_filter": op10_url_filter,
     }
