@@ -55,3 +55,14 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     ``df`` should be staged: its rows are counted.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def packed(df: DataFrame, **more) -> DataFrame:
+    """All columns of ``df`` in one struct ``_row`` beside new ones, so that no names clash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]) if df.columns else F.struct(F.lit(None).alias("_"))
+    return df.select(row.alias("_row"), *[c.alias(k) for k, c in more.items()])
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    """The columns that ``packed`` put away."""
+    return df.select("_row.*")
