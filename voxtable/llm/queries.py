@@ -9,13 +9,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from voxtable.llm.bpe import encode_documents
 from voxtable.llm.exact_dedup import exact_groups
 from voxtable.llm.mixing import mix_report
+from voxtable.llm.sharding import shard_documents
 from voxtable.llm.url_filter import BLOCK_RATE, Z, filter_urls
+from voxtable.llm.warc import archive_pages, read_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_pages(spark, archive_pages(_table(spark, sf_dir, "pages"))).drop("url")
+
+
+OP1_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as x from pages),
+d as (select page_id, octet_length(x) as payload_bytes, sha1(x) as payload_digest from p),
+g as (select payload_digest, max(page_id) as keep from d where payload_bytes >= 1000 group by all)
+select page_id, payload_bytes, payload_digest, case when page_id < keep then 'revisit' else 'response' end as record_type,
+  case when page_id < keep then keep end as refers_to from d left join g using (payload_digest)
+"""
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -26,6 +41,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -87,12 +106,14 @@ from p left join fit on fit.host = p.host and fit.path = p.path join low on low.
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_mixing": op4_mixing,
+        "op6_sharding": op6_sharding,
         "op7_exact_dedup": op7_exact_dedup,
         "op10_url_filter": op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op10_url_filter": OP10_SQL}
