@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxtable.llm.bpe import encode_documents
 from voxtable.llm.exact_dedup import exact_groups
+from voxtable.llm.language_id import identify
 from voxtable.llm.mixing import mix_report
+from voxtable.llm.near_dedup import near_duplicates
 from voxtable.llm.sharding import shard_documents
-from voxtable.llm.url_filter import BLOCK_RATE, Z, filter_urls
+from voxtable.llm.url_filter import BLOCK_RATE, Z, filter_urls, url_parts
 from voxtable.llm.warc import archive_pages, read_pages
 
 
@@ -31,6 +33,18 @@ select page_id, payload_bytes, payload_digest, case when page_id < keep then 're
 """
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: ``lang`` is what is declared, ``source`` stands for the host."""
+    return identify(_table(spark, sf_dir, "documents"), "doc_id", F.col("text"), F.col("lang"), F.col("source"))
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over raw pages: text of the markup, its ``lang`` attribute, host and suffix of the url."""
+    html = F.coalesce(F.col("html"), F.lit(""))
+    text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>", " ")
+    return identify(_table(spark, sf_dir, "pages"), "page_id", text, F.nullif(F.regexp_extract(html, r"(?i)<html[^>]*\blang=[\"']?([a-z]+)", 1), F.lit("")), url_parts(F.col("url"))[0])
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,6 +69,30 @@ g as (select x, max(doc_id) as keep_id, count(*) as group_size from t group by x
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(x) as text_sha256 from t join g using (x)
 """
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=3, per_cent=85)
+
+
+OP9_SQL = r"""
+with recursive
+w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (
+  select distinct doc_id, case when len(w) < 3 then array_to_string(w, ' ') else w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] end as g
+  from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) as i from w where len(w) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+e as materialized (
+  select a.doc_id as u, b.doc_id as v from s a join s b on a.g = b.g and a.doc_id < b.doc_id
+  join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+b as materialized (select u, v from e union all select v, u from e),
+reach(doc_id, root) as (
+  select doc_id, doc_id from documents
+  union select b.v, r.root from reach r join b on b.u = r.doc_id where r.root < b.v),
+c as (select doc_id, min(root) as component_id from reach group by doc_id)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from c left join n using (doc_id)
+"""
+
 #: (verdict, host, path)
 URL_RULES = [
     ("allow", "org", "/"),
@@ -107,13 +145,16 @@ from p left join fit on fit.host = p.host and fit.path = p.path join low on low.
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_language_id": op2_language_id,
+        "pages_language_id": pages_language_id,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_mixing": op4_mixing,
         "op6_sharding": op6_sharding,
         "op7_exact_dedup": op7_exact_dedup,
+        "op9_near_dedup": op9_near_dedup,
         "op10_url_filter": op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op9_near_dedup": OP9_SQL, "op10_url_filter": OP10_SQL}
