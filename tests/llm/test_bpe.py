@@ -58,7 +58,7 @@ def test_appends_and_edits_are_exact_and_local(vocabulary):
 
 
 def test_documents_with_nulls_repeats_and_clashing_names(spark, reference):
-    rows = [(1, "the cat", 7), (1, "the cat", 7), (None, None, 8), (2, "", 9), *[(10 + i, t, 0) for i, t in enumerate(ODD)]]
+    rows = [(2**60 + 1, "the cat", 7), (2**60 + 1, "the cat", 7), (None, None, 8), (2, "", 9), *[(10 + i, t, 0) for i, t in enumerate(ODD)]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens long")
     out = encode_documents(docs, PATH, public_tokenizers.PATTERN, with_ids=True).collect()
     want = sorted((d or -1, len(e := reference.encode_ordinary(t or "")), e, hashlib.sha256((t or "").encode()).hexdigest()) for d, t, _ in rows)

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -188,19 +188,22 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
     with open(rank_path, "rb") as f:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shipped.value, pattern)
         for batch in batches:
-            rows = []
-            for text in batch["t"]:
-                ids = encoder.encode(text or "")
-                row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()]
-                rows.append([*row, np.frombuffer(ids, "<i4")] if with_ids else row)
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "i", batch["i"])
-            yield out
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                ids = [encoder.encode(text or "") for text in part["t"].to_pylist()]
+                columns = {
+                    "i": part["i"],
+                    "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in ids], pa.string()),
+                }
+                if with_ids:
+                    columns["ids"] = pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"i {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.selectExpr(f"`{id_col}` as i", f"`{text_col}` as t").mapInPandas(encoded, schema).withColumnRenamed("i", id_col)
+    return docs.selectExpr(f"`{id_col}` as i", f"`{text_col}` as t").mapInArrow(encoded, schema).withColumnRenamed("i", id_col)

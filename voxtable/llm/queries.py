@@ -12,6 +12,7 @@ from voxtable.llm.language_id import identify
 from voxtable.llm.mixing import mix_report
 from voxtable.llm.near_dedup import near_duplicates
 from voxtable.llm.sharding import shard_documents
+from voxtable.llm.substring_dedup import repeated_passages
 from voxtable.llm.url_filter import BLOCK_RATE, Z, filter_urls, url_parts
 from voxtable.llm.warc import archive_pages, read_pages
 
@@ -69,6 +70,11 @@ g as (select x, max(doc_id) as keep_id, count(*) as group_size from t group by x
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(x) as text_sha256 from t join g using (x)
 """
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages; documents without one have no row."""
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, per_cent=85)
 
@@ -151,6 +157,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op6_sharding": op6_sharding,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_near_dedup": op9_near_dedup,
         "op10_url_filter": op10_url_filter,
     }
