@@ -13,6 +13,7 @@ from voxtable.llm.mixing import mix_report
 from voxtable.llm.near_dedup import near_duplicates
 from voxtable.llm.sharding import shard_documents
 from voxtable.llm.substring_dedup import repeated_passages
+from voxtable.llm.topk import search
 from voxtable.llm.url_filter import BLOCK_RATE, Z, filter_urls, url_parts
 from voxtable.llm.warc import archive_pages, read_pages
 
@@ -56,6 +57,21 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op5_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+OP5_SQL = """
+with c as (
+  select vec_id, list_sum([case when embedding[i + 1] > 0 then cast(1 as hugeint) << i else 0 end for i in range(64)])::hugeint as code from embeddings),
+d as (
+  select q.vec_id as query_id, c.vec_id, cast(bit_count(xor(q.code, c.code)) as int) as distance from c q join c on true where q.vec_id % 50 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by distance, vec_id) as int) as rank from d)
+select query_id, rank, vec_id, distance from r where rank <= 10
+"""
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -155,6 +171,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pages_language_id": pages_language_id,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_mixing": op4_mixing,
+        "op5_hamming_topk": op5_hamming_topk,
         "op6_sharding": op6_sharding,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_substring_dedup": op8_substring_dedup,
@@ -164,4 +181,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op9_near_dedup": OP9_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op5_hamming_topk": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op9_near_dedup": OP9_SQL, "op10_url_filter": OP10_SQL}
