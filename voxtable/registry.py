@@ -1,17 +1,46 @@
-"""Every registered query of the library and its SQL."""
+"""Every registered query of the library and its SQL.
+
+Modules of ``voxtable.queries`` register with ``register(name, sql)``: the function takes
+(spark, sf_dir); the SQL runs on the same tables in another engine.
+"""
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(function: Query) -> Query:
+        if name in _queries:
+            raise ValueError(f"query {name} is registered twice")
+        _queries[name] = function
+        if sql:
+            _sql[name] = sql
+        return function
+
+    return keep
+
+
+def _load() -> None:
+    import voxtable.queries as package
+
+    for module in pkgutil.iter_modules(package.__path__):
+        importlib.import_module(f"{package.__name__}.{module.name}")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_sql)
