@@ -124,8 +124,8 @@ def m3(s, d):
     return view(s, d, "scans").select("scan_id", F.posexplode(F.array(*map(F.lit, tl.gaussian_weight(16)))).alias("k", "weight")).withColumn("weight", F.round("weight", 6))
 
 
-ASSIGN = f""", x as (select *, unnest({_starts('np', 6)}) as p0 from vox join scans using (scan_id)), y as (select *, unnest({_starts('ni', 16)}) as i0 from x where p between p0 and p0 + 5),
-z as (select *, unnest({_starts('nr', 4)}) as r0 from y where i between i0 and i0 + 15), asg as (select * from z where r between r0 and r0 + 3)
+ASSIGN = f""", tp as materialized (select scan_id, unnest({_starts('np', 6)}) as p0 from scans), ti as materialized (select scan_id, unnest({_starts('ni', 16)}) as i0 from scans), tr as materialized (select scan_id, unnest({_starts('nr', 4)}) as r0 from scans),
+asg as (select vox.*, p0, i0, r0 from vox join tp on tp.scan_id = vox.scan_id and p between p0 and p0 + 5 join ti on ti.scan_id = vox.scan_id and i between i0 and i0 + 15 join tr on tr.scan_id = vox.scan_id and r between r0 and r0 + 3)
 """
 
 
