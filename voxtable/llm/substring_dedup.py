@@ -24,9 +24,11 @@ WINDOW, BITS = 16, 5
 #: Chunks hold at most so many bytes; words of a run that count as a passage.
 LONGEST, LEAST_WORDS = 512, 20
 SEED = 11
-#: The bit table that spares chunks without a repetition the shuffle has 2**TABLE_BITS words of 64 bits (8 MB).
+#: The bit table that spares chunks without a repetition the shuffle has 2**TABLE_BITS words of 64 bits (2 MB).
 #: Where repeated digests outnumber its bits it spares less; results don't depend on it.
-TABLE_BITS = 20
+TABLE_BITS = 18
+#: Rows without an id are ordered behind all ids, by a hash of their text.
+NO_ID = 1 << 62
 GEAR = np.random.default_rng(SEED).integers(0, 1 << WINDOW, 256, dtype=np.uint16)
 BLOCK = 1 << 20
 
@@ -114,27 +116,31 @@ def bit_table(digests: DataFrame) -> bytes:
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """One row per repeated passage: ``id_col, start_byte, end_byte, n_words, n_chunks, first_id``.
 
-    ``first_id`` is the document in which most of the passage's chunks occur first.
-    Ids are integers; rows with a null or repeated id are told apart by their text, null
-    ids come last. Null and empty texts have no chunk. Whole texts are cut; documents
-    without a repeated passage have no row. An empty table gives an empty result.
+    ``first_id`` is the document in which most of the passage's chunks occur first. Ids
+    are integers under 2**62; rows of one id are one document, rows with a null id are
+    told apart by their text and come last. Null and empty texts have no chunk. Whole
+    texts are cut; documents without a repeated passage have no row. An empty table gives
+    an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
+    order = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col).bitwiseAND(F.lit(NO_ID - 1)) + NO_ID)
+    rows = docs.select(order.alias("_id"), F.col(text_col).alias("_t"))
     lists = chunks(rows).groupBy("_h").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_len"))
     met = staged(lists.filter("_len > 1"), "chunk-lists")
     cut = staged(chunks(rows, bit_table(met)), "chunks")
-    again = skew_join(cut, met, ["_h"], "_len")
-    # Within the first document only a chunk's first place is kept.
-    place = F.row_number().over(W.partitionBy("_h").orderBy("_k", "_x"))
-    own = again.filter(F.col("_id").eqNullSafe(F.col("_first"))).withColumn("_n", place).filter("_n > 1").drop("_n")
-    again = again.filter(~F.col("_id").eqNullSafe(F.col("_first"))).unionByName(own).drop("_h", "_len").distinct()
-    order = W.partitionBy("_id", "_x").orderBy("_k")
-    run = again.withColumn("_run", F.col("_k") - F.row_number().over(order))
+    # Everything below is by document: one shuffle serves all windows.
+    again = skew_join(cut, met, ["_h"], "_len").drop("_len").repartition("_id", "_x")
+    place = F.row_number().over(W.partitionBy("_id", "_x", "_h").orderBy("_k"))
+    again = again.withColumn("_n", place).filter((F.col("_id") != F.col("_first")) | (F.col("_n") > 1))
+    along = W.partitionBy("_id", "_x").orderBy("_k")
+    # Rows that repeat both id and text have equal places: they count once.
+    new = F.coalesce(F.lag("_k").over(along) != F.col("_k"), F.lit(True)).cast("int")
+    run = again.withColumns({"_run": F.col("_k") - F.dense_rank().over(along), "_new": new})
     spans = run.groupBy("_id", "_x", "_run").agg(
         F.min("_from").alias("start_byte"),
         F.max("_to").alias("end_byte"),
-        F.sum("_words").alias("n_words"),
-        F.count(F.lit(1)).alias("n_chunks"),
+        F.sum(F.col("_words") * F.col("_new")).alias("n_words"),
+        F.sum("_new").alias("n_chunks"),
         F.mode("_first", True).alias("first_id"),
     )
-    return spans.filter(F.col("n_words") >= least_words).select(F.col("_id").alias(id_col), "start_byte", "end_byte", "n_words", "n_chunks", "first_id")
+    known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return spans.filter(F.col("n_words") >= least_words).select(known("_id").alias(id_col), "start_byte", "end_byte", "n_words", "n_chunks", known("first_id").alias("first_id"))
