@@ -1,11 +1,12 @@
 """Exact top-k search in Hamming space by incremental multi-index hashing.
 
-Vectors become binary codes of their signs. Codes are cut into segments of about log2(n)
-bits and indexed by every segment. Round r probes all segment values that differ from the
-query's in exactly r bits. A code that no round up to r has met differs from the query in
-more than r bits of each of the m segments, so in at least m (r + 1) bits: a query is done
-as soon as its kth verified distance is smaller. All its nearest codes are found then, for
-certain, and ties go to the smaller id.
+Vectors become binary codes of their signs. Codes are cut into m segments, wide enough for
+lists of a few codes, and indexed by every segment. A step probes all values of one segment
+that differ from the query's in exactly r bits; segments take turns before r grows. A code
+not met by the steps up to radius r in segment j differs from the query in at least
+m r + j + 1 bits: a query is done as soon as its kth verified distance is smaller. All its
+nearest codes are found then, for certain, and ties go to the smaller id. Until then only
+codes that are at most as far as the kth so far are kept.
 
 Equal codes are one entry with their k smallest ids, on the side of the queries too, so a
 vector that occurs in a third of the rows costs no more than any other.
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from voxtable.plans.storage import drop_staged, staged
 
 BITS, SALTS = 64, 64
+#: Codes in a list of the index, on average, as a power of two; radii below this are probed in all segments together.
+LIST_BITS, TOGETHER = 2.5, 3
 
 
 def sign_code(vector: Column) -> Column:
@@ -47,32 +50,35 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     ids = staged(_first(few, ["_c"], ["_id"], k), "code-ids")
     codes = staged(ids.select("_c").distinct(), "code-set")
     asked = staged(coded(queries), "query-codes")
-    n = codes.count()
-    m = max(1, round(BITS / max(8, log2(n + 1))))
+    n, rows_in_all = codes.count(), rows.count()
+    enough = min(k, rows_in_all)
+    m = round(BITS / max(8, log2(n + 1) - LIST_BITS))
     edges = [BITS * j // m for j in range(m + 1)]
     widths = [b - a for a, b in zip(edges, edges[1:], strict=False)]
     part = lambda c: F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.shiftrightunsigned(c, edges[j]).bitwiseAND(F.lit((1 << widths[j]) - 1)).alias("s")) for j in range(m)]))
     index = staged(codes.select("_c", part("_c").alias("p")).select("p.j", "p.s", "_c"), "code-index")
-    open_ = staged(asked.select(F.col("_c").alias("_q")).distinct(), "open-queries")
+    open_ = staged(asked.select(F.col("_c").alias("_q")).distinct().withColumn("kth", F.lit(BITS)), "open-queries")
     found = staged(open_.select("_q", F.lit(0).cast("long").alias("_c"), F.lit(0).alias("distance"), F.lit(0).cast(dict(ids.dtypes)["_id"]).alias("_id")).limit(0), "found")
     finished = []
-    for r in range(max(widths) + 1):
+    steps = [(r, range(m)) for r in range(TOGETHER)] + [(r, [j]) for r in range(TOGETHER, max(widths) + 1) for j in range(m)]
+    for r, segments in steps:
         if open_.isEmpty():
             break
-        masks = [(j, sum(1 << b for b in bits)) for j in range(m) for bits in combinations(range(widths[j]), r)]
-        masks = F.broadcast(open_.sparkSession.createDataFrame(masks, "j int, mask long"))  # segments x C(width, r) rows, whatever the table
-        probes = open_.select("_q", part("_q").alias("p")).select("_q", "p.j", "p.s").join(masks, "j")
-        probes = probes.select("_q", "j", F.col("s").bitwiseXOR(F.col("mask")).alias("s"))
-        met = probes.join(index, ["j", "s"]).select("_q", "_c").distinct()
-        met = met.withColumn("distance", F.bit_count(F.col("_q").bitwiseXOR(F.col("_c")))).join(ids, "_c").select("_q", "_c", "distance", "_id")
+        last = (r, segments[-1]) == (max(widths), m - 1)
+        masks = [(j, sum(1 << b for b in bits)) for j in segments for bits in combinations(range(widths[j]), r)] or [(-1, 0)]
+        masks = F.broadcast(open_.sparkSession.createDataFrame(masks, "j int, mask long"))  # C(width, r) rows, whatever the table
+        probes = open_.select("_q", "kth", part("_q").alias("p")).select("_q", "kth", "p.j", "p.s").join(masks, "j")
+        probes = probes.select("_q", "kth", "j", F.col("s").bitwiseXOR(F.col("mask")).alias("s"))
+        away = F.bit_count(F.col("_q").bitwiseXOR(F.col("_c")))
+        met = probes.join(index, ["j", "s"]).filter(away <= F.col("kth")).select("_q", "_c", away.alias("distance")).distinct()
+        met = met.join(ids, "_c").select("_q", "_c", "distance", "_id")
         best = staged(_first(met.unionByName(found).distinct(), ["_q"], ["distance", "_id"], k), "found")
-        sure = best.groupBy("_q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth"))
-        done = sure.filter(((F.col("n") >= k) & (F.col("kth") < m * (r + 1))) | F.lit(r == max(widths))).select("_q")
-        done = staged(done, "done-queries")
-        finished.append(best.join(done, "_q", "left_semi"))
-        still = staged(open_.join(done, "_q", "left_anti"), "open-queries")
+        sure = best.groupBy("_q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).withColumn("far", F.when(F.col("n") >= enough, F.col("far")))
+        state = staged(open_.select("_q").join(sure, "_q", "left").select("_q", F.coalesce("far", F.lit(BITS)).alias("kth"), (F.lit(last) | F.coalesce((F.col("far") <= m * r + segments[-1]) | (F.col("far").isNotNull() & F.lit(enough == rows_in_all)), F.lit(False))).alias("done")), "open-queries")
+        finished.append(best.join(state.filter("done").select("_q"), "_q", "left_semi"))
         drop_staged(open_)
-        open_, found = still, best.join(done, "_q", "left_anti")
+        open_ = staged(state.filter("not done").select("_q", "kth"), "open-queries")
+        found = best.join(open_.select("_q"), "_q", "left_semi")
     out = finished[0] if finished else found
     for more in finished[1:]:
         out = out.unionByName(more)
