@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -57,6 +59,18 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs run inside exchange Arrow batches of at most ``rows`` rows with Python: whole texts are long rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def packed(df: DataFrame, **more) -> DataFrame:
     """All columns of ``df`` in one struct ``_row`` beside new ones, so that no names clash."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]) if df.columns else F.struct(F.lit(None).alias("_"))

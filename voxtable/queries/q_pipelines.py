@@ -113,11 +113,10 @@ def i24(s, d):
     return ins.reconcile(vox, vox.filter("inst > 0 and p > 1"), view(s, d, "scans"))[0]
 
 
-@register("a21_endplate_coverage", ctes("vox", ", n as (select scan_id, count(*) as n from vox where sem = 62 group by scan_id) select scan_id, 100.0::double as per_cent from n"))
+@register("a21_endplate_coverage", ctes("vox", ", n as (select a.scan_id, count(*) as n, count(b.p) as k from vox a left join vox b on b.scan_id = a.scan_id and b.p = a.p and b.r = a.r and b.i = a.i - 1 and b.inst > 0 where a.sem = 62 group by a.scan_id) select scan_id, round(100 * k / n, 6) as per_cent from n"))
 def a21(s, d):
-    """All endplates lie within reach of a vertebra here."""
+    """Coverage after the first round: an endplate's voxel is reached from the slice above it."""
     vox = view(s, d, "vox")
     plates = vox.filter("sem = 62").withColumn("inst", F.expr("cast(201 + i div 10 as int)"))
-    near = nb.split_endplates(vox.filter("inst > 0").select(*vx.KEY, "inst"), plates, view(s, d, "scans"))
-    return ins.endplate_coverage(near, plates)
-
+    split = nb.split_endplates(vox.filter("inst > 0").select(*vx.KEY, "inst"), plates, view(s, d, "scans"), rounds=1)
+    return ins.endplate_coverage(split, plates)
