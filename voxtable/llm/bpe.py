@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Longest piece whose ids are remembered, pieces and token pairs remembered at once in a worker.
-CACHED_LENGTH, CACHED_PIECES, CACHED_PAIRS = 48, 400_000, 1_000_000
+CACHED_LENGTH, CACHED_PIECES, CACHED_PAIRS = 48, 200_000, 200_000
 #: Texts over this length are cut into pieces bit by bit.
 LONG_TEXT, PIECES_AT_ONCE = 1_000_000, 100_000
 

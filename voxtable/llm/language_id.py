@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from voxtable.plans.storage import packed, small_side, staged, unpacked
+from voxtable.plans.storage import arrow_batches, packed, small_side, staged, unpacked
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: Buckets of trigrams; bytes of a text hashed at once.
@@ -61,7 +61,8 @@ def train(docs: DataFrame, text_col: str, declared: Column, languages: Sequence[
         yield pd.DataFrame({"l": where[0], "b": where[1], "n": total[where]})
 
     known = docs.select(F.col(text_col).alias("t"), declared.alias("l")).filter(F.col("l").isin(*languages))
-    sums = known.mapInPandas(counted, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).collect()
+    with arrow_batches(docs.sparkSession):
+        sums = known.mapInPandas(counted, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).collect()
     table = np.full((len(languages), BUCKETS), 0.5)
     for row in sums:  # at most languages x BUCKETS
         table[row["l"], row["b"]] += row["n"]
@@ -165,7 +166,8 @@ def identify(docs: DataFrame, id_col: str, text: Column, declared: Column, host:
     null or repeated ids are judged like all others; ties go to the first language. An
     empty table gives an empty result.
     """
-    scored = staged(_scored(docs, text, declared, host, languages, _id=F.col(id_col)), "language-scored")
+    with arrow_batches(docs.sparkSession):
+        scored = staged(_scored(docs, text, declared, host, languages, _id=F.col(id_col)), "language-scored")
     out = _judged(scored, host_priors(scored, len(languages)), languages, accept)
     return out.select(F.col("_id").alias(id_col), "lang_id", F.round("posterior", 6).alias("posterior"), F.col("_declared").alias("declared"), "kept")
 
@@ -175,6 +177,7 @@ def keep_identified(docs: DataFrame, text_col: str = "text", declared_col: str =
     text, declared, host = F.col(text_col), F.col(declared_col), F.col(host_col)
     base = packed(docs, _t=text, _declared=F.lower(F.substring(declared, 1, 2)), _host=F.coalesce(F.lower(host), F.lit("")))
     udf = _evidence(train(base, "_t", F.col("_declared"), languages))
-    votes = staged(base.select("_host", udf("_t").alias("_like")), "language-votes")
+    with arrow_batches(docs.sparkSession):
+        votes = staged(base.select("_host", udf("_t").alias("_like")), "language-votes")
     prior = host_priors(votes, len(languages))
     return unpacked(_judged(base.withColumn("_like", udf("_t")).drop("_t"), prior, languages, accept).filter("kept"))
