@@ -19,12 +19,46 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Longest piece whose ids are remembered, pieces and token pairs remembered at once in a worker.
-CACHED_LENGTH, CACHED_PIECES, CACHED_PAIRS = 48, 400_000, 1_000_000
+#: Longest piece whose ids are remembered; pieces and token pairs in a worker's younger generation.
+CACHED_LENGTH, CACHED_PIECES, CACHED_PAIRS = 48, 120_000, 150_000
 #: Texts over this length are cut into pieces bit by bit.
 LONG_TEXT, PIECES_AT_ONCE = 1_000_000, 100_000
 
 
+class _Remembered(dict):
+    """What ``compute`` gave for keys used of late: at most ``size`` of a younger and of an older generation.
+
+    A key of the older one that is used again becomes young, so frequent keys stay.
+    """
+
+    def __init__(self, size: int):
+        self.size, self.older = size, {}
+
+    def compute(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class _Pairs(_Remembered):
+    """Whether the text of two tokens is encoded as just these two; the key is first * tokens + second."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__(CACHED_PAIRS)
+        self.vocabulary = vocabulary
+
+    def compute(self, key: int) -> bool:
+        return self.vocabulary._unmerged(*divmod(key, len(self.vocabulary.tokens)))
+
+
 class Vocabulary:
     """Token ranks, as ids, of a byte-level BPE whose first 256 merges-free tokens are the bytes."""
 
@@ -36,7 +70,7 @@ class Vocabulary:
         self.tails = {token[i:] for token in self.ranks for i in range(len(token))}
         self.longest = max(map(len, self.ranks))
         self._halves: dict[int, tuple[int, int]] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs = _Pairs(self)
 
     def halves(self, rank: int) -> tuple[int, int]:
         """The two tokens whose merge makes this one; a single byte is both of its halves."""
@@ -53,12 +87,7 @@ class Vocabulary:
 
     def may_follow(self, first: int, second: int) -> bool:
         """Whether the text of the two tokens is encoded as just these two."""
-        found = self._pairs.get((first, second))
-        if found is None:
-            if len(self._pairs) >= CACHED_PAIRS:
-                self._pairs.clear()
-            found = self._pairs[first, second] = self._unmerged(first, second)
-        return found
+        return self._pairs[first * len(self.tokens) + second]
 
     def _unmerged(self, a: int, b: int) -> bool:
         # Undo the later merge of the two sides again and again. If at some moment the parts
@@ -85,31 +114,29 @@ class PrefixTable:
         self.vocabulary, self.piece, self.last = vocabulary, b"", [-1]
         self.append(piece)
 
-    def _token_at(self, piece: bytes, end: int, last: list[int]) -> int:
-        v, start = self.vocabulary, end - 1
-        found = -1
-        while start >= 0:
-            part = piece[start:end]
-            if part not in v.tails:
-                break
-            rank = v.ranks.get(part)
-            if rank is not None and (start == 0 or v.may_follow(last[start], rank)):
-                found = rank
-                break
-            start -= 1
-        return found
+    def _extend(self, piece: bytes, last: list[int], until: int) -> None:
+        """Fill in ``last`` up to the prefix of ``until`` bytes; just one token can end each prefix."""
+        tails, ranks, follows, n = self.vocabulary.tails, self.vocabulary.ranks, self.vocabulary._pairs, len(self.vocabulary.tokens)
+        for end in range(len(last), until + 1):
+            start, found = end - 1, -1
+            while start >= 0 and (part := piece[start:end]) in tails:
+                rank = ranks.get(part)
+                if rank is not None and (start == 0 or follows[last[start] * n + rank]):
+                    found = rank
+                    break
+                start -= 1
+            last.append(found)
 
     def append(self, more: bytes) -> None:
-        start, self.piece = len(self.piece), self.piece + more
-        for end in range(start + 1, len(self.piece) + 1):
-            self.last.append(self._token_at(self.piece, end, self.last))
+        self.piece += more
+        self._extend(self.piece, self.last, len(self.piece))
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Put ``new`` in place of piece[start:end]; return how many entries were recomputed."""
         piece = self.piece[:start] + new + self.piece[end:]
         shift, last, same, done = len(new) - (end - start), self.last[: start + 1], 0, 0
         for at in range(start + 1, len(piece) + 1):
-            last.append(self._token_at(piece, at, last))
+            self._extend(piece, last, at)
             done += 1
             old = at - shift
             same = same + 1 if at > start + len(new) and last[at] == self.last[old] else 0
@@ -127,22 +154,22 @@ class PrefixTable:
         return out[::-1]
 
 
-class _PieceIds(dict):
+class _PieceIds(_Remembered):
     """Ids of a piece as little-endian unsigned 32-bit integers, computed when first asked for."""
 
     def __init__(self, vocabulary: Vocabulary):
+        super().__init__(CACHED_PIECES)
         self.vocabulary = vocabulary
 
-    def __missing__(self, piece: str) -> bytes:
+    def compute(self, piece: str) -> bytes:
         data = piece.encode()
         rank = self.vocabulary.ranks.get(data)
-        ids = [rank] if rank is not None else PrefixTable(self.vocabulary, data).ids()
-        out = np.array(ids, dtype="<u4").tobytes()
-        if len(piece) <= CACHED_LENGTH:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[piece] = out
-        return out
+        if rank is not None:
+            return rank.to_bytes(4, "little")
+        return np.array(PrefixTable(self.vocabulary, data).ids(), dtype="<u4").tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        return super().__missing__(piece) if len(piece) <= CACHED_LENGTH else self.compute(piece)
 
 
 class Encoder:
