@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Most rows that ``small_side`` lets Spark broadcast.
 BROADCAST_ROWS = 200_000
+#: Paths staged inside of the open ``scratch`` blocks, innermost last.
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,16 +41,46 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path  # type: ignore[attr-defined]
+    if _open:
+        _open[-1].append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete what ``staged`` wrote for ``df``; nothing may read it afterwards."""
     path = getattr(df, "_staged_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables staged inside are deleted at the end, save those given to the function it yields.
+
+    What is read after the block must stem from kept tables or from tables of outside.
+    """
+    paths: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._staged_path)  # type: ignore[attr-defined]
+        return df
+
+    _open.append(paths)
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        for path in paths:
+            if path not in kept:
+                _delete(spark, path)
+            elif _open:
+                _open[-1].append(path)
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -60,15 +92,17 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Jobs run inside exchange Arrow batches of at most ``rows`` rows with Python: whole texts are long rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> Iterator[None]:
+    """Jobs run inside exchange Arrow batches of about ``size`` and at most ``rows`` rows with Python: whole texts are long rows."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key) for key in wanted}
     try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def packed(df: DataFrame, **more) -> DataFrame:
