@@ -14,7 +14,7 @@ from voxtable.llm.exact_dedup import drop_exact_duplicates
 from voxtable.llm.language_id import keep_identified
 from voxtable.llm.mixing import mix_documents
 from voxtable.llm.near_dedup import drop_near_duplicates
-from voxtable.plans.storage import staged
+from voxtable.plans.storage import arrow_batches, staged
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+    encoded = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+    with arrow_batches(spark):
+        return staged(encoded, "pipeline-tokens")
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("mix", mix), ("byte_bpe", tokens)]
