@@ -74,3 +74,24 @@ def test_shingles_of_short_and_long_texts():
     assert shingle_set("a b", 3)[0] != shingle_set("a b c", 3)[0]
     many = shingle_set(" ".join(map(str, range(100_000))), 5)
     assert len(many) == 99_996 and (np.diff(many) > 0).all() and many[0] >= 0
+
+
+def forms(count=700, slots=32, seed=5):
+    """Filled forms: links are rare, and made of values that hundreds of forms have."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(300)]
+    out = []
+    for _ in range(count):
+        copy = list(base)
+        for i in range(slots):
+            copy[4 + 9 * i] += rng.choice("ab")
+        out.append(" ".join(copy))
+    return list(enumerate(out))
+
+
+def test_members_of_long_lists_are_compared_with_each_other(spark):
+    rows = forms()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in near_duplicates(docs, words=3, per_cent=85).collect())
+    assert got == brute(rows, 3, 85)
+    assert 0 < sum(not r[3] for r in got) < len(got)

@@ -11,18 +11,18 @@ the lists of rare values, all of them short. What is left are groups of copies t
 common values alone: a class with over ``COMMON`` common values posts its whole sketch, and
 also keys of three common values in a row, which separate groups that share a passage.
 
-No list emits all its pairs unless it is short. First every member is compared with one
-member, the one with most common values, which joins a group of copies in linear time; a
-second round does so for the members left over. Then short lists compare their pairs of
-different components, and in long ones a member that just misses the first one's
-similarity is compared with that one's component. Other members of a long list could only
-be similar by rare values that both have.
+First every member of a list is compared with one member, the one with most common values,
+which joins a group of copies in linear time; a second round does so for the members left
+over. Then the pairs that are still of different components are compared, in short lists
+by a join, in long ones exactly by blocks: full sets of two blocks of about ``BLOCK``
+members meet in one task if some list has members of different components in both, so a
+pair meets once, however many lists it shares. A group without links costs all its pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +35,11 @@ from voxtable.plans.storage import arrow_batches, drop_staged, packed, scratch,
 
 SKETCH, POSTED, LIST, SHORT = 128, 32, 32, 64
 COMMON, RARE_KEYS, EVERY = 0.55, 16, 4
-#: How far below the wanted similarity an estimate may be, and what just misses it;
-#: values that two similar documents share of their 16 smallest.
-MARGIN, MISS, SHARED16 = 0.14, 0.06, 7
+#: How far below the wanted similarity an estimate may be; values that two similar
+#: documents share of their 16 smallest.
+MARGIN, SHARED16 = 0.14, 7
+#: Members and shingles of a block, about; values that are counted at a time.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 128, 1 << 20, 4096
 CACHED_WORDS = 100_000
 
 
@@ -96,26 +98,29 @@ class _Verifier:
         self.docs, self.classes, self.words, self.per_cent = docs, classes, words, per_cent
 
     def compared(self, pairs: DataFrame) -> DataFrame:
-        """Of ``pairs`` (a, b), distinct, those that are or just miss being similar: a, b, linked."""
+        """Of ``pairs`` (a, b), distinct, those that are similar."""
         side = lambda k: self.classes.select(F.col("_d").alias(k), F.col("_n").alias(f"n{k}"), F.col("_sk").alias(f"s{k}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").filter(_similar_sizes(F.col("na"), F.col("nb"), self.per_cent))
         likely = staged(both.filter(_estimate("sa", "sb") >= self.per_cent / 100 - MARGIN).select("a", "b"), "near-likely")
         if likely.isEmpty():
-            return likely.withColumn("linked", F.lit(False))
+            return likely
         wanted = likely.select(F.col("a").alias("_d")).unionByName(likely.select(F.col("b").alias("_d"))).distinct()
-        reps = small_side(staged(wanted.join(self.classes, "_d").select(F.col("_rep.i").alias("_ri")).distinct(), "near-reps"))
-        docs = self.docs.join(reps, self.docs["_id"].eqNullSafe(reps["_ri"]), "left_semi")
-        with arrow_batches(docs.sparkSession):
-            sets = staged(_shingled(docs, self.words, True).dropDuplicates(["_d"]).select("_d", "_n", "_sk"), "near-sets")
+        sets = self.sets(wanted)
         full = lambda k: sets.select(F.col("_d").alias(k), F.col("_n").alias(f"n{k}"), F.col("_sk").alias(f"s{k}"))
         exact = likely.join(full("a"), "a").join(full("b"), "b")
         inter = F.size(F.array_intersect("sa", "sb"))
         scored = exact.select("a", "b", (inter * 100).alias("i"), (F.col("na") + F.col("nb") - inter).alias("u"))
-        out = scored.filter(F.col("i") >= F.col("u") * (self.per_cent - 100 * MISS)).select("a", "b", (F.col("i") >= F.col("u") * self.per_cent).alias("linked"))
-        out = staged(out, "near-compared")
+        out = staged(scored.filter(F.col("i") >= F.col("u") * self.per_cent).select("a", "b"), "near-compared")
         drop_staged(sets)
         return out
 
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """Full sets (_d, _n, _sk) of the classes ``wanted`` (_d), and of rows that share their ids; staged."""
+        reps = small_side(staged(wanted.join(self.classes, "_d").select(F.col("_rep.i").alias("_ri")).distinct(), "near-reps"))
+        docs = self.docs.join(reps, self.docs["_id"].eqNullSafe(reps["_ri"]), "left_semi")
+        with arrow_batches(docs.sparkSession):
+            return staged(_shingled(docs, self.words, True).dropDuplicates(["_d"]).select("_d", "_n", "_sk"), "near-sets")
+
 
 def _estimate(a: str, b: str) -> Column:
     """Similarity estimated on the sketch of the union of two sketches."""
@@ -146,6 +151,84 @@ def _lists(classes: DataFrame) -> DataFrame:
     return staged(keyed, "near-keyed")
 
 
+def _block_links(per_cent: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Compares all members of one block with those of another: one similar pair for each two components it joins."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        first, second = key[0].as_py(), key[1].as_py()
+        names, sets = rows["_d"].to_pylist(), rows["_sk"].combine_chunks()
+        roots = {c: i for i, c in enumerate(dict.fromkeys(rows["_c"].to_pylist()))}
+        root = np.array([roots[c] for c in rows["_c"].to_pylist()])
+        block = rows["blk"].to_numpy()
+        left, right = np.nonzero(block == first)[0], np.nonzero(block == second)[0]
+        size = np.diff(sets.offsets.to_numpy())
+        _, code, times = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        doc = np.repeat(np.arange(len(size)), size)
+        doc, code = doc[times[code] > 1], (np.cumsum(times > 1) - 1)[code[times[code] > 1]]
+        order = np.argsort(code, kind="stable")
+        doc, code = doc[order], code[order]
+        both = np.zeros((len(left), len(right)))
+        for at in range(0, int((times > 1).sum()), COLUMNS):
+            a, b = np.searchsorted(code, (at, at + COLUMNS))
+            has = np.zeros((len(size), COLUMNS), np.float32)
+            has[doc[a:b], code[a:b] - at] = 1
+            both += has[left] @ has[right].T
+        union = size[left][:, None] + size[right][None, :] - both
+        i, j = np.nonzero((both * 100 >= union * per_cent) & (root[left][:, None] != root[right][None, :]))
+        i, j = left[i], right[j]
+        low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+        _, once = np.unique(low * len(roots) + high, return_index=True)
+        top, found = list(range(len(roots))), []
+        for at in once.tolist():
+            ends = []
+            for r in (int(low[at]), int(high[at])):
+                while top[r] != r:
+                    top[r] = r = top[top[r]]
+                ends.append(r)
+            if ends[0] != ends[1]:
+                top[ends[1]] = ends[0]
+                found.append(at)
+        return pa.table({k: pa.array([names[v[at]] for at in found], pa.binary()) for k, v in (("a", i), ("b", j))})
+
+    return run
+
+
+def _block_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks (_d, _c, blk) of the members ``rows`` (key, _d, _n, _c, len) of long lists, and the pairs (first, second) to compare.
+
+    Members of a component that fills blocks have blocks of their own, others share those of their longest list.
+    """
+    home = staged(rows.groupBy("_d").agg(F.any_value("_n").alias("_n"), F.any_value("_c").alias("_c"), F.max_by("key", F.struct("len", "key")).alias("g")), "near-home")
+    parts = staged(home.groupBy("g", "_c").agg(F.count(F.lit(1)).alias("k"), F.sum("_n").alias("s")).withColumn("own", F.col("k") >= BLOCK), "near-parts")
+    lists = staged(parts.groupBy("g").agg(F.count(F.lit(1)).alias("w"), *[F.sum(F.when(~F.col("own"), F.col(c))).alias(f"p{c}") for c in "ks"]), "near-parts")
+    of = lambda c: F.when(F.col("own"), F.col(c)).otherwise(F.col(f"p{c}"))
+    parts = skew_join(parts, lists, ["g"], "w").withColumn("m", F.ceil(F.greatest(of("k") / BLOCK, of("s") / BLOCK_SHINGLES)))
+    parts = staged(parts.select("g", "_c", "k", "own", "m"), "near-parts")
+    at = F.pmod(F.when(F.col("own"), F.xxhash64("_d")).otherwise(F.xxhash64("_c")), F.col("m"))
+    blk = F.xxhash64("g", F.when(F.col("own"), F.col("_c")), at).alias("blk")
+    home = staged(skew_join(home, parts, ["g", "_c"], "k").select("_d", "_c", blk), "near-blocks")
+    seats = rows.select("key", "_d").join(home, "_d").groupBy("key", "blk").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi"))
+    seats = staged(seats, "near-seats")
+    ordered = [F.least("blk", "blk2").alias("first"), F.greatest("blk", "blk2").alias("second")]
+    mixed = seats.filter("lo <> hi").select("key", "blk").join(seats.select("key", F.col("blk").alias("blk2")), "key")
+    solo = staged(seats.filter("lo = hi").groupBy("key", "lo").agg(F.collect_list("blk").alias("x")), "near-solo")
+    solo = solo.join(solo.toDF("key", "lo2", "x2"), "key").filter("lo < lo2").select(F.explode("x").alias("blk"), "x2").select("blk", F.explode("x2").alias("blk2"))
+    pairs = mixed.select(*ordered).unionByName(solo.select(*ordered)).distinct()
+    return home, staged(pairs, "near-block-pairs")
+
+
+def _long_lists(check: _Verifier, rows: DataFrame) -> DataFrame:
+    """Similar pairs (a, b) that join components, of all pairs of ``rows`` that share a list; exact."""
+    home, pairs = _block_pairs(rows)
+    sets = staged(check.sets(home.select("_d")).join(home, "_d").select("blk", "_d", "_c", "_sk"), "near-block-sets")
+    meet = pairs.select("first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("blk")).join(sets, "blk")
+    found = meet.select("first", "second", "blk", "_d", "_c", "_sk").groupBy("first", "second").applyInArrow(_block_links(check.per_cent), "a binary, b binary")
+    with arrow_batches(rows.sparkSession):
+        found = staged(found, "near-long-links")
+    drop_staged(sets)
+    return found
+
+
 def _links(docs: DataFrame, classes: DataFrame, words: int, per_cent: int) -> DataFrame:
     check = _Verifier(docs, classes, words, per_cent)
     members = _lists(classes)
@@ -159,7 +242,7 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, per_cent: int) -> Da
 
     def grown(seen: DataFrame) -> DataFrame:
         """Members outside of their pivot's component, with both components; and the components."""
-        known = staged(connected_components(seen.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-roots")
+        known = staged(connected_components(seen.select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-roots")
         of = lambda k, out: known.select(F.col("node").alias(k), F.col("root").alias(out))
         out = members.join(of("_d", "_c"), "_d", "left").withColumn("_c", F.coalesce("_c", "_d"))
         return out.join(of("pivot", "_pc"), "pivot", "left").withColumn("_pc", F.coalesce("_pc", "pivot"))
@@ -170,26 +253,22 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, per_cent: int) -> Da
     more = skew_join(left, second, ["key"], "len").filter("_d <> pivot").select(*ordered(F.col("_d"), F.col("pivot"))).distinct()
     more = staged(more.join(star, ["a", "b"], "left_anti"), "near-star")
     seen = staged(seen.unionByName(check.compared(more)), "near-seen")
-    now = staged(grown(seen), "near-grown")
+    mixed = lambda rows: rows.groupBy("key").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi")).filter("lo <> hi").select("key")
     # Short lists: pairs of different components. Most of the 16 smallest values of similar sets agree.
-    mixed = now.filter(F.col("len") <= SHORT).groupBy("key").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi")).filter("lo <> hi").select("key")
-    short = staged(now.join(mixed, "key", "left_semi").join(classes.select("_d", F.slice("_sk", 1, 16).alias("s")), "_d").select("key", "_d", "_n", "_c", "s"), "near-short")
+    now = staged(grown(seen).filter(F.col("len") <= SHORT), "near-grown")
+    short = staged(now.join(mixed(now), "key", "left_semi").join(classes.select("_d", F.slice("_sk", 1, 16).alias("s")), "_d").select("key", "_d", "_n", "_c", "s"), "near-short")
     other = short.toDF("key", "d2", "n2", "c2", "s2")
     alike = (F.least("_n", "n2") < 16) | (F.size(F.array_intersect("s", "s2")) >= SHARED16)
     pairs = short.join(other, "key").filter((F.col("_d") < F.col("d2")) & (F.col("_c") != F.col("c2")) & _similar_sizes(F.col("_n"), F.col("n2"), per_cent) & alike)
-    rest = pairs.select(*ordered(F.col("_d"), F.col("d2"))).distinct()
-    # Long lists: who just misses the pivot against the pivot's component.
-    missed = seen.filter("not linked").select("a", "b")
-    missed = missed.unionByName(missed.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = now.filter((F.col("_c") != F.col("_pc")) & (F.col("len") > SHORT)).join(missed.toDF("_d", "pivot"), ["_d", "pivot"])
-    near = staged(near.select("key", "_d", "_c", "_pc").dropDuplicates(["_d", "_pc"]), "near-missed")
-    if not near.isEmpty():
-        sketch = classes.select("_d", F.col("_sk").alias("s"))
-        bulk = now.filter("_c = _pc").join(near.select("key").distinct(), "key", "left_semi").join(sketch, "_d").select("key", F.col("_d").alias("d2"), F.col("s").alias("s2"))
-        close = near.join(sketch, "_d").join(bulk, "key").filter(_estimate("s", "s2") >= per_cent / 100 - MISS)
-        rest = rest.unionByName(close.select(*ordered(F.col("_d"), F.col("d2")))).distinct()
-    rest = staged(rest.join(star, ["a", "b"], "left_anti"), "near-rest")
-    return seen.unionByName(check.compared(rest)).filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    rest = staged(pairs.select(*ordered(F.col("_d"), F.col("d2"))).distinct().join(star, ["a", "b"], "left_anti"), "near-rest")
+    seen = staged(seen.unionByName(check.compared(rest)), "near-seen")
+    # Long lists: all pairs of different components.
+    if not members.filter(F.col("len") > SHORT).isEmpty():
+        now = staged(grown(seen).filter(F.col("len") > SHORT).select("key", "_d", "_n", "_c", "len"), "near-grown")
+        long_ = staged(now.join(mixed(now), "key", "left_semi"), "near-long")
+        if not long_.isEmpty():
+            seen = seen.unionByName(_long_lists(check, long_))
+    return seen.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, per_cent: int = 80) -> DataFrame:
