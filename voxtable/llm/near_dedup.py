@@ -37,7 +37,7 @@ SKETCH, POSTED, LIST, SHORT = 128, 32, 32, 64
 COMMON, RARE_KEYS, EVERY = 0.55, 16, 4
 #: How far below the wanted similarity an estimate may be; values that two similar
 #: documents share of their 16 smallest.
-MARGIN, SHARED16 = 0.14, 7
+MARGIN, SHARED16 = 0.14, 4
 #: Members and shingles of a block, about; values that are counted at a time.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 128, 1 << 20, 4096
 CACHED_WORDS = 100_000
