@@ -119,3 +119,11 @@ def test_entry_and_registry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_infection_has_no_bound_on_its_rounds(spark, monkeypatch):
+    monkeypatch.setattr(nb, "MAX_ROUNDS", 3, raising=False)
+    row = spark.range(8).selectExpr("1 as scan_id", "cast(id as int) as p", "0 as i", "0 as r", "7 as inst")
+    scans = spark.createDataFrame([(1, 8, 1, 1)], "scan_id int, np int, ni int, nr int")
+    grown = nb.infect(row.filter("p = 0"), "inst", row.filter("p > 0").drop("inst"), scans)
+    assert grown.count() == 8

@@ -16,8 +16,6 @@ from voxtable.operators.voxels import AXES, KEY
 from voxtable.plans.components import connected_components as graph_components
 from voxtable.plans.storage import drop_staged, staged
 
-MAX_ROUNDS = 200
-
 
 def offsets(connectivity: int, half: bool = False) -> list[tuple[int, int, int]]:
     """Steps to the 6, 18 or 26 neighbours; with ``half`` one of each opposite pair."""
@@ -78,7 +76,7 @@ def erode(vox: DataFrame, col: str, n: int = 1, connectivity: int = 1) -> DataFr
 def infect(labels: DataFrame, col: str, missing: DataFrame, scans: DataFrame, connectivity: int = 1) -> DataFrame:
     """Grow labels into the missing voxels until nothing changes; every round touches the front only."""
     done, front, open_ = [labels.select(*KEY, col)], labels.select(*KEY, col), missing.select(*KEY)
-    for _ in range(MAX_ROUNDS):
+    while True:
         step = shifted(front, connectivity).groupBy(*KEY).agg(F.min(col).alias(col)).join(open_, KEY, "left_semi")
         step = staged(step, "infect")
         if step.isEmpty():
@@ -185,7 +183,7 @@ def bounding_box_clean(vox: DataFrame, col: str, scans: DataFrame, margin: int,
     ends = {f"{a}{n}": F.col(f"{a}{n}") + (margin if n else -margin) for a in AXES for n in (0, 1)}
     boxes = staged(stats.withColumns(ends).select("scan_id", "comp", "voxels", *ends), "boxes")
     kept = boxes.withColumn("_rn", F.row_number().over(W.partitionBy("scan_id").orderBy(F.desc("voxels"), "comp"))).filter("_rn = 1").drop("_rn")
-    for _ in range(MAX_ROUNDS if grow else 0):
+    while grow:
         frame = kept.groupBy("scan_id").agg(*[f(f"{a}{n}").alias(f"k{a}{n}") for a in AXES for n, f in ((0, F.min), (1, F.max))])
         more = boxes.join(kept.select("scan_id", "comp"), ["scan_id", "comp"], "left_anti").join(frame, "scan_id")
         for a in AXES:
@@ -219,7 +217,7 @@ def assign_missing(sem: DataFrame, inst: DataFrame, scans: DataFrame) -> tuple[D
     state = staged(dilate(inst, "inst", scans, 2, 1, mask=sem), "assigned")
     missing = staged(sem.select(*KEY).join(state.select(*KEY), KEY, "left_anti").withColumn("_m", F.lit(1)), "missing")
     comps = components(missing, "_m", 2).drop("_m")
-    for _ in range(MAX_ROUNDS):
+    while True:
         ring = shifted(comps, 1).select(*KEY, "comp").distinct().join(state, KEY)
         votes = ring.groupBy("scan_id", "comp", "inst").agg(F.count(F.lit(1)).alias("k")).groupBy("scan_id", "comp").agg(F.min_by("inst", F.struct(-F.col("k"), "inst")).alias("inst"))
         votes = staged(votes, "votes")
