@@ -1,22 +1,24 @@
 """Near-duplicate detection by bottom-k sketches of word shingles.
 
-One hash function orders all shingles; the ``SKETCH`` smallest values of a document are
-its sketch. Inverted lists of the smallest ``POSTED`` of them generate overlaps, the
-Jaccard similarity estimated on the sketch of the union filters candidates, and the exact
-similarity of the full sets decides.
-
-Documents with equal sets are one class from the start. Values whose list has over
-``LIST`` classes are common, others rare. Similar documents that share a rare part meet in
-the lists of rare values, all of them short. What is left are groups of copies that share
-common values alone: a class with over ``COMMON`` common values posts its whole sketch, and
-also keys of three common values in a row, which separate groups that share a passage.
-
-First every member of a list is compared with one member, the one with most common values,
-which joins a group of copies in linear time; a second round does so for the members left
-over. Then the pairs that are still of different components are compared, in short lists
-by a join, in long ones exactly by blocks: full sets of two blocks of about ``BLOCK``
-members meet in one task if some list has members of different components in both, so a
-pair meets once, however many lists it shares. A group without links costs all its pairs.
+One hash function orders all shingles. Two sets of ``n`` shingles or more whose similarity
+reaches the threshold ``t`` share a value among the ``n - ceil(t * n) + 1`` smallest of
+each, in any order that all sets agree on. So a document posts its bottom-k values with
+this k, inverted lists of them generate overlaps, the similarity estimated on the sketch of
+the union filters candidates, and the exact similarity of the full sets decides.
+
+Documents with equal sets are one class from the start. A value posted by over ``LIST``
+classes at a time is common, and the agreed order is: all others first, by hash, then the
+common ones. A class with common values among its smallest reaches further until it has k
+values that aren't common, first inside its sketch, then over its full set. Lists of other
+values are therefore short; in lists of common ones stand only classes that are made of
+common values almost wholly, groups of copies as a rule.
+
+First every member of a list is compared with one member, which joins a group of copies in
+linear time; a second round does so for the members of long lists left over. Then the pairs
+that are still of different components are compared, in short lists by a join, in long ones
+exactly by blocks: full sets of two blocks of about ``BLOCK`` members meet in one task if
+some list has members of different components in both, so a pair meets once, however many
+lists it shares. A group made of common values whose members aren't linked costs all its pairs.
 """
 
 from __future__ import annotations
@@ -33,11 +35,11 @@ from voxtable.plans.components import connected_components
 from voxtable.plans.skew import skew_join
 from voxtable.plans.storage import arrow_batches, drop_staged, packed, scratch, small_side, staged, unpacked
 
-SKETCH, POSTED, LIST, SHORT = 128, 32, 32, 64
-COMMON, RARE_KEYS, EVERY = 0.55, 16, 4
+#: Values for estimates; a value posted by more classes at a time is common; members of a list that is compared by a join.
+SKETCH, LIST, SHORT = 128, 32, 64
 #: How far below the wanted similarity an estimate may be; values that two similar
 #: documents share of their 16 smallest.
-MARGIN, SHARED16 = 0.14, 4
+MARGIN, SHARED16 = 0.2, 3
 #: Members and shingles of a block, about; values that are counted at a time.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 128, 1 << 20, 4096
 CACHED_WORDS = 100_000
@@ -70,8 +72,22 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(out >> np.uint64(1)).view(np.int64)
 
 
-def _shingled(docs: DataFrame, words: int, full: bool) -> DataFrame:
-    """``docs`` (_id, _t) as (_id, _n, _d: digest of the set, _sk: sketch, or the full set)."""
+def posted(n: int, per_cent: int) -> int:
+    """Two similar sets share one of so many smallest values of each."""
+    return n - -(-n * per_cent // 100) + 1
+
+
+def _shingled(docs: DataFrame, words: int, per_cent: int | None = None) -> DataFrame:
+    """``docs`` (_id, _t) as (_id, _n, _d: digest of the set, _sk: sketch, with no ``per_cent`` the full set).
+
+    A sketch has the posted values and a quarter more, ``SKETCH`` at least.
+    """
+
+    def kept(s: np.ndarray) -> np.ndarray:
+        if per_cent is None:
+            return s
+        k = posted(len(s), per_cent)
+        return s[: max(SKETCH, k + k // 4 + 8)]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,8 +95,7 @@ def _shingled(docs: DataFrame, words: int, full: bool) -> DataFrame:
                 part = batch.slice(at, 500)
                 sets = [shingle_set(t, words) for t in part["_t"].to_pylist()]
                 digests = [hashlib.md5(s.tobytes()).digest() for s in sets]
-                kept = sets if full else [s[:SKETCH] for s in sets]
-                arrays = [part["_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(kept, pa.list_(pa.int64()))]
+                arrays = [part["_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([kept(s) for s in sets], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, ["_id", "_n", "_d", "_sk"])
 
     kind = docs.schema["_id"].dataType.simpleString()
@@ -99,14 +114,13 @@ class _Verifier:
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """Of ``pairs`` (a, b), distinct, those that are similar."""
-        side = lambda k: self.classes.select(F.col("_d").alias(k), F.col("_n").alias(f"n{k}"), F.col("_sk").alias(f"s{k}"))
+        side = lambda k: self.classes.select(F.col("c").alias(k), F.col("_n").alias(f"n{k}"), F.slice("_sk", 1, SKETCH).alias(f"s{k}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").filter(_similar_sizes(F.col("na"), F.col("nb"), self.per_cent))
         likely = staged(both.filter(_estimate("sa", "sb") >= self.per_cent / 100 - MARGIN).select("a", "b"), "near-likely")
         if likely.isEmpty():
             return likely
-        wanted = likely.select(F.col("a").alias("_d")).unionByName(likely.select(F.col("b").alias("_d"))).distinct()
-        sets = self.sets(wanted)
-        full = lambda k: sets.select(F.col("_d").alias(k), F.col("_n").alias(f"n{k}"), F.col("_sk").alias(f"s{k}"))
+        sets = self.sets(likely.select(F.col("a").alias("c")).unionByName(likely.select(F.col("b").alias("c"))).distinct())
+        full = lambda k: sets.select(F.col("c").alias(k), F.col("_n").alias(f"n{k}"), F.col("_sk").alias(f"s{k}"))
         exact = likely.join(full("a"), "a").join(full("b"), "b")
         inter = F.size(F.array_intersect("sa", "sb"))
         scored = exact.select("a", "b", (inter * 100).alias("i"), (F.col("na") + F.col("nb") - inter).alias("u"))
@@ -115,11 +129,13 @@ class _Verifier:
         return out
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """Full sets (_d, _n, _sk) of the classes ``wanted`` (_d), and of rows that share their ids; staged."""
-        reps = small_side(staged(wanted.join(self.classes, "_d").select(F.col("_rep.i").alias("_ri")).distinct(), "near-reps"))
-        docs = self.docs.join(reps, self.docs["_id"].eqNullSafe(reps["_ri"]), "left_semi")
+        """Full sets (c, _n, _sk) of the classes ``wanted`` (c); staged."""
+        reps = staged(wanted.join(self.classes, "c").select("c", "_d", F.col("_rep.i").alias("_ri")), "near-reps")
+        ids = small_side(staged(reps.select("_ri").distinct(), "near-reps"))
+        docs = self.docs.join(ids, self.docs["_id"].eqNullSafe(ids["_ri"]), "left_semi")
         with arrow_batches(docs.sparkSession):
-            return staged(_shingled(docs, self.words, True).dropDuplicates(["_d"]).select("_d", "_n", "_sk"), "near-sets")
+            full = _shingled(docs, self.words).join(small_side(reps.select("c", "_d")), "_d")
+            return staged(full.dropDuplicates(["c"]).select("c", "_n", "_sk"), "near-sets")
 
 
 def _estimate(a: str, b: str) -> Column:
@@ -128,27 +144,85 @@ def _estimate(a: str, b: str) -> Column:
     return F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.size(union)
 
 
-def _lists(classes: DataFrame) -> DataFrame:
-    """Members (key, _d, _n, h: common values) of the inverted lists with two members or more, staged."""
-    posts = classes.select("_d", "_n", F.posexplode(F.slice("_sk", 1, POSTED)).alias("pos", "v"))
-    lengths = staged(posts.groupBy("v").agg(F.count(F.lit(1)).alias("len")).filter("len > 1"), "near-lengths")
-    met = skew_join(posts, lengths, ["v"], "len").withColumn("hot", (F.col("len") > LIST).cast("int"))
-    own = W.partitionBy("_d")
-    before = own.orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    met = met.withColumns({"h": F.sum("hot").over(own), "hb": F.coalesce(F.sum("hot").over(before), F.lit(0))})
-    met = staged(met.select("v", "_d", "_n", "hot", "h", "pos", "hb"), "near-met")
-    rare = met.filter((F.col("hot") == 0) & (F.col("pos") - F.col("hb") < RARE_KEYS)).select(F.col("v").alias("key"), "_d", "_n", F.col("h").cast("long").alias("h"))
-    mostly = met.filter(F.col("h") > F.least(F.col("_n"), F.lit(POSTED)) * COMMON).select("_d").distinct()
-    again = staged(classes.join(mostly, "_d", "left_semi").select("_d", "_n", F.posexplode("_sk").alias("pos", "v")), "near-again")
-    lengths = staged(again.groupBy("v").agg(F.count(F.lit(1)).alias("len")).filter("len > 1"), "near-lengths")
-    met = skew_join(again, lengths, ["v"], "len").withColumn("h", F.count_if(F.col("len") > LIST).over(own))
-    met = staged(met, "near-met")
-    more = met.filter(F.col("len") <= LIST).select(F.col("v").alias("key"), "_d", "_n", "h")
-    row = own.orderBy("pos")
-    three = met.filter(F.col("len") > LIST).withColumn("key", F.xxhash64("v", F.lead("v", 1).over(row), F.lead("v", 2).over(row)))
-    three = three.filter((F.col("v") % EVERY == 0) | (F.col("h") <= 32)).select("key", "_d", "_n", "h")
-    keyed = rare.unionByName(more).unionByName(three).groupBy("key", "_d").agg(F.max("_n").alias("_n"), F.max("h").alias("h"))
-    return staged(keyed, "near-keyed")
+class _Reach:
+    """The values that every class posts in the order of its own hash, and which of all are common.
+
+    Level 0 are the first ``_k`` values, level 1 the whole sketch, level 2 the full set.
+    """
+
+    def __init__(self, check: _Verifier, classes: DataFrame):
+        self.check, self.classes = check, classes
+        self.tails: list[DataFrame] = []
+        self.state = self.common = None
+        fresh = classes.select(F.explode(F.slice("_sk", 1, F.col("_k"))).alias("v"))
+        while True:
+            lists = staged(fresh.groupBy("v").agg(F.count(F.lit(1)).alias("len")).filter(F.col("len") > LIST), "near-common")
+            if self.common is not None:
+                lists = staged(lists.unionByName(self.common).groupBy("v").agg(F.max("len").alias("len")), "near-common")
+            self.common = lists
+            hits = self.met(self.values()).groupBy("c", "_n", "_k", "reach", "level").agg(F.count(F.lit(1)).alias("hits"))
+            hits = staged(hits, "near-hits")
+            short = hits.filter((F.col("reach") - F.col("hits") < F.col("_k")) & (F.col("reach") < F.col("_n")))
+            more = staged(short.select("c", (F.col("level") + 1).alias("level"), F.lit(True).alias("up")), "near-more")
+            self.state = staged(hits.join(small_side(more.select("c", "up")), "c", "left").select("c", F.expr("level + if(up, 1, 0)").alias("level"), "hits"), "near-state")
+            if more.isEmpty():
+                return
+            fresh = classes.join(small_side(more.filter("level = 1")), "c").select(F.explode(F.expr("slice(_sk, _k + 1, size(_sk))")).alias("v"))
+            deep = more.filter("level = 2")
+            if not deep.isEmpty():
+                shown = classes.select("c", "_k", F.size("_sk").alias("_at"))
+                tail = staged(check.sets(deep.select("c")).join(shown, "c").select("c", "_n", "_k", "_at", F.expr("slice(_sk, _at + 1, size(_sk))").alias("tail")), "near-tails")
+                self.tails.append(tail)
+                fresh = fresh.unionByName(tail.select(F.explode("tail").alias("v")))
+
+    def values(self) -> DataFrame:
+        """All values within reach: (c, _n, _k, reach, level, hits, pos, v)."""
+        rows = self.classes
+        if self.state is None:
+            rows = rows.withColumns({"level": F.lit(0), "hits": F.lit(0).cast("long")})
+        else:
+            rows = rows.join(small_side(self.state), "c", "left").withColumns({"level": F.coalesce("level", F.lit(0)), "hits": F.coalesce("hits", F.lit(0).cast("long"))})
+        reach = F.expr("case level when 0 then least(_k, _n) when 1 then size(_sk) else _n end").cast("long")
+        head = F.slice("_sk", 1, F.expr("if(level = 0, _k, size(_sk))"))
+        out = rows.select("c", "_n", "_k", reach.alias("reach"), "level", "hits", F.posexplode(head).alias("pos", "v"))
+        for tail in self.tails:
+            more = tail.select("c", "_n", "_k", F.col("_n").alias("reach"), F.lit(2).alias("level"), "_at", F.posexplode("tail").alias("pos", "v"))
+            more = more.join(small_side(self.state.select("c", "hits")), "c", "left").withColumns({"hits": F.coalesce("hits", F.lit(0).cast("long")), "pos": F.col("pos") + F.col("_at")})
+            out = out.unionByName(more.drop("_at"))
+        return out
+
+    def met(self, values: DataFrame) -> DataFrame:
+        """Those of ``values`` that are common."""
+        few = small_side(self.common)
+        return values.join(few, "v") if few is not self.common else skew_join(values, self.common, ["v"], "len")
+
+
+def _lists(check: _Verifier, classes: DataFrame) -> DataFrame:
+    """Members (key, c, _n, rank, h, len, pivot, pn, pr) of the inverted lists with two members or more, staged.
+
+    ``rank``: at most so many of the class's values stand before the key in the agreed
+    order; ``h``: common values of the class, 0 in lists of other values.
+    """
+    reach = _Reach(check, classes)
+    values = reach.values()
+    rank = F.greatest(F.lit(0), F.col("pos") - F.col("hits"))
+    rare = values.join(small_side(reach.common.select("v")), "v", "left_anti").filter(rank < F.col("_k"))
+    # These lists have at most LIST members a turn: a window holds them.
+    whole = W.partitionBy("key")
+    rare = rare.select(F.col("v").alias("key"), "c", "_n", rank.cast("int").alias("rank"), F.lit(0).cast("long").alias("h"))
+    first = F.min(F.struct("c", "_n", "rank")).over(whole)
+    rare = rare.withColumns({"len": F.count(F.lit(1)).over(whole), "first": first}).filter("len > 1")
+    rare = rare.select("key", "c", "_n", "rank", "h", "len", F.col("first.c").alias("pivot"), F.col("first._n").alias("pn"), F.col("first.rank").alias("pr"))
+    # Classes that have fewer than _k other values post as many common ones as are missing.
+    order = F.row_number().over(W.partitionBy("c").orderBy("pos"))
+    poor = reach.met(values.filter(F.col("reach") - F.col("hits") < F.col("_k"))).withColumn("nth", order)
+    poor = poor.filter(F.col("nth") <= F.col("_k") - F.col("reach") + F.col("hits"))
+    poor = staged(poor.select(F.col("v").alias("key"), "c", "_n", F.lit(0).alias("rank"), F.col("hits").alias("h")), "near-poor")
+    pivot = F.min_by(F.struct("c", "_n"), F.struct(-F.col("h"), "c"))
+    heads = poor.groupBy("key").agg(F.count(F.lit(1)).alias("len"), pivot.alias("first")).filter("len > 1")
+    heads = staged(heads.select("key", "len", F.col("first.c").alias("pivot"), F.col("first._n").alias("pn"), F.lit(0).alias("pr")), "near-first")
+    poor = skew_join(poor, heads, ["key"], "len")
+    return staged(rare.unionByName(poor), "near-members")
 
 
 def _block_links(per_cent: int) -> Callable[[tuple, pa.Table], pa.Table]:
@@ -156,7 +230,7 @@ def _block_links(per_cent: int) -> Callable[[tuple, pa.Table], pa.Table]:
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         first, second = key[0].as_py(), key[1].as_py()
-        names, sets = rows["_d"].to_pylist(), rows["_sk"].combine_chunks()
+        names, sets = rows["c"].to_numpy(), rows["_sk"].combine_chunks()
         roots = {c: i for i, c in enumerate(dict.fromkeys(rows["_c"].to_pylist()))}
         root = np.array([roots[c] for c in rows["_c"].to_pylist()])
         block = rows["blk"].to_numpy()
@@ -188,26 +262,26 @@ def _block_links(per_cent: int) -> Callable[[tuple, pa.Table], pa.Table]:
             if ends[0] != ends[1]:
                 top[ends[1]] = ends[0]
                 found.append(at)
-        return pa.table({k: pa.array([names[v[at]] for at in found], pa.binary()) for k, v in (("a", i), ("b", j))})
+        return pa.table({k: pa.array([names[v[at]] for at in found], pa.int64()) for k, v in (("a", i), ("b", j))})
 
     return run
 
 
 def _block_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks (_d, _c, blk) of the members ``rows`` (key, _d, _n, _c, len) of long lists, and the pairs (first, second) to compare.
+    """Blocks (c, _c, blk) of the members ``rows`` (key, c, _n, _c, len) of long lists, and the pairs (first, second) to compare.
 
     Members of a component that fills blocks have blocks of their own, others share those of their longest list.
     """
-    home = staged(rows.groupBy("_d").agg(F.any_value("_n").alias("_n"), F.any_value("_c").alias("_c"), F.max_by("key", F.struct("len", "key")).alias("g")), "near-home")
+    home = staged(rows.groupBy("c").agg(F.any_value("_n").alias("_n"), F.any_value("_c").alias("_c"), F.max_by("key", F.struct("len", "key")).alias("g")), "near-home")
     parts = staged(home.groupBy("g", "_c").agg(F.count(F.lit(1)).alias("k"), F.sum("_n").alias("s")).withColumn("own", F.col("k") >= BLOCK), "near-parts")
     lists = staged(parts.groupBy("g").agg(F.count(F.lit(1)).alias("w"), *[F.sum(F.when(~F.col("own"), F.col(c))).alias(f"p{c}") for c in "ks"]), "near-parts")
     of = lambda c: F.when(F.col("own"), F.col(c)).otherwise(F.col(f"p{c}"))
     parts = skew_join(parts, lists, ["g"], "w").withColumn("m", F.ceil(F.greatest(of("k") / BLOCK, of("s") / BLOCK_SHINGLES)))
     parts = staged(parts.select("g", "_c", "k", "own", "m"), "near-parts")
-    at = F.pmod(F.when(F.col("own"), F.xxhash64("_d")).otherwise(F.xxhash64("_c")), F.col("m"))
+    at = F.pmod(F.when(F.col("own"), F.xxhash64("c")).otherwise(F.xxhash64("_c")), F.col("m"))
     blk = F.xxhash64("g", F.when(F.col("own"), F.col("_c")), at).alias("blk")
-    home = staged(skew_join(home, parts, ["g", "_c"], "k").select("_d", "_c", blk), "near-blocks")
-    seats = rows.select("key", "_d").join(home, "_d").groupBy("key", "blk").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi"))
+    home = staged(skew_join(home, parts, ["g", "_c"], "k").select("c", "_c", blk), "near-blocks")
+    seats = rows.select("key", "c").join(home, "c").groupBy("key", "blk").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi"))
     seats = staged(seats, "near-seats")
     ordered = [F.least("blk", "blk2").alias("first"), F.greatest("blk", "blk2").alias("second")]
     mixed = seats.filter("lo <> hi").select("key", "blk").join(seats.select("key", F.col("blk").alias("blk2")), "key")
@@ -220,9 +294,9 @@ def _block_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _long_lists(check: _Verifier, rows: DataFrame) -> DataFrame:
     """Similar pairs (a, b) that join components, of all pairs of ``rows`` that share a list; exact."""
     home, pairs = _block_pairs(rows)
-    sets = staged(check.sets(home.select("_d")).join(home, "_d").select("blk", "_d", "_c", "_sk"), "near-block-sets")
+    sets = staged(check.sets(home.select("c")).join(home, "c").select("blk", "c", "_c", "_sk"), "near-block-sets")
     meet = pairs.select("first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("blk")).join(sets, "blk")
-    found = meet.select("first", "second", "blk", "_d", "_c", "_sk").groupBy("first", "second").applyInArrow(_block_links(check.per_cent), "a binary, b binary")
+    found = meet.select("first", "second", "blk", "c", "_c", "_sk").groupBy("first", "second").applyInArrow(_block_links(check.per_cent), "a long, b long")
     with arrow_batches(rows.sparkSession):
         found = staged(found, "near-long-links")
     drop_staged(sets)
@@ -231,41 +305,50 @@ def _long_lists(check: _Verifier, rows: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, classes: DataFrame, words: int, per_cent: int) -> DataFrame:
     check = _Verifier(docs, classes, words, per_cent)
-    members = _lists(classes)
+    members = _lists(check, classes)
     ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    pivot = F.min_by("_d", F.struct(-F.col("h"), "_d")).alias("pivot")
-    size = F.count(F.lit(1)).alias("len")
-    first = staged(members.groupBy("key").agg(size, pivot).filter("len > 1"), "near-first")
-    members = staged(skew_join(members, first, ["key"], "len"), "near-members")
-    star = staged(members.filter("_d <> pivot").select(*ordered(F.col("_d"), F.col("pivot"))).distinct(), "near-star")
+
+    def possible(n: str, r: str, n2: str, r2: str) -> Column:
+        """Sizes agree, and enough of both sets is left from the key on, should it be the first that they share."""
+        least = F.least(F.col(n) - F.col(r), F.col(n2) - F.col(r2)) * (100 + per_cent)
+        return _similar_sizes(F.col(n), F.col(n2), per_cent) & (least >= (F.col(n) + F.col(n2)) * per_cent)
+
+    others = members.filter((F.col("c") != F.col("pivot")) & possible("_n", "rank", "pn", "pr"))
+    star = staged(others.select(*ordered(F.col("c"), F.col("pivot"))).distinct(), "near-star")
     seen = check.compared(star)
 
     def grown(seen: DataFrame) -> DataFrame:
-        """Members outside of their pivot's component, with both components; and the components."""
-        known = staged(connected_components(seen.select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-roots")
-        of = lambda k, out: known.select(F.col("node").alias(k), F.col("root").alias(out))
-        out = members.join(of("_d", "_c"), "_d", "left").withColumn("_c", F.coalesce("_c", "_d"))
-        return out.join(of("pivot", "_pc"), "pivot", "left").withColumn("_pc", F.coalesce("_pc", "pivot"))
+        """Members of lists of several components, with their own (_c)."""
+        known = connected_components(seen.select(F.col("a").alias("u"), F.col("b").alias("v"))).toDF("c", "_c")
+        out = members.join(known, "c", "left").withColumn("_c", F.coalesce("_c", "c"))
+        out = staged(out, "near-grown")
+        mixed = out.groupBy("key").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi"), F.count(F.lit(1)).alias("_w")).filter("lo <> hi")
+        return staged(skew_join(out, staged(mixed.select("key", "_w"), "near-mixed"), ["key"], "_w").drop("_w"), "near-grown")
 
     # The second round: the members of long lists that the first one left over.
-    left = staged(grown(seen).filter((F.col("_c") != F.col("_pc")) & (F.col("len") > SHORT)).select("key", "_d", "h"), "near-left")
-    second = staged(left.groupBy("key").agg(size, pivot).filter("len > 1"), "near-second")
-    more = skew_join(left, second, ["key"], "len").filter("_d <> pivot").select(*ordered(F.col("_d"), F.col("pivot"))).distinct()
-    more = staged(more.join(star, ["a", "b"], "left_anti"), "near-star")
-    seen = staged(seen.unionByName(check.compared(more)), "near-seen")
-    mixed = lambda rows: rows.groupBy("key").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi")).filter("lo <> hi").select("key")
+    now = grown(seen)
+    wide = now.filter((F.col("len") > SHORT) & (F.col("h") > 0)).select("key", "c", "h", "pivot", "_c", "len")
+    heads = staged(wide.filter("c = pivot").select("key", F.col("_c").alias("_pc"), F.col("len").alias("_w")), "near-heads")
+    left = staged(skew_join(staged(wide, "near-wide"), heads, ["key"], "_w").filter("_c <> _pc").select("key", "c", "h"), "near-left")
+    if not left.isEmpty():
+        pivot = F.min_by("c", F.struct(-F.col("h"), "c")).alias("pivot")
+        second = staged(left.groupBy("key").agg(F.count(F.lit(1)).alias("len"), pivot).filter("len > 1"), "near-second")
+        more = skew_join(left, second, ["key"], "len").filter("c <> pivot").select(*ordered(F.col("c"), F.col("pivot"))).distinct()
+        more = staged(more.join(star, ["a", "b"], "left_anti"), "near-star")
+        seen = staged(seen.unionByName(check.compared(more)), "near-seen")
+        now = grown(seen)
     # Short lists: pairs of different components. Most of the 16 smallest values of similar sets agree.
-    now = staged(grown(seen).filter(F.col("len") <= SHORT), "near-grown")
-    short = staged(now.join(mixed(now), "key", "left_semi").join(classes.select("_d", F.slice("_sk", 1, 16).alias("s")), "_d").select("key", "_d", "_n", "_c", "s"), "near-short")
-    other = short.toDF("key", "d2", "n2", "c2", "s2")
+    small = classes.select("c", F.slice("_sk", 1, 16).alias("s"))
+    short = now.filter((F.col("len") <= SHORT) | (F.col("h") == 0)).select("key", "c", "_n", "rank", "_c").join(small, "c")
+    short = staged(short.select("key", "c", "_n", "rank", "_c", "s"), "near-short")
+    other = short.toDF("key", "c2", "n2", "rank2", "_c2", "s2")
     alike = (F.least("_n", "n2") < 16) | (F.size(F.array_intersect("s", "s2")) >= SHARED16)
-    pairs = short.join(other, "key").filter((F.col("_d") < F.col("d2")) & (F.col("_c") != F.col("c2")) & _similar_sizes(F.col("_n"), F.col("n2"), per_cent) & alike)
-    rest = staged(pairs.select(*ordered(F.col("_d"), F.col("d2"))).distinct().join(star, ["a", "b"], "left_anti"), "near-rest")
+    pairs = short.join(other, "key").filter((F.col("c") < F.col("c2")) & (F.col("_c") != F.col("_c2")) & possible("_n", "rank", "n2", "rank2") & alike)
+    rest = staged(pairs.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "near-rest")
     seen = staged(seen.unionByName(check.compared(rest)), "near-seen")
     # Long lists: all pairs of different components.
-    if not members.filter(F.col("len") > SHORT).isEmpty():
-        now = staged(grown(seen).filter(F.col("len") > SHORT).select("key", "_d", "_n", "_c", "len"), "near-grown")
-        long_ = staged(now.join(mixed(now), "key", "left_semi"), "near-long")
+    if not now.filter((F.col("len") > SHORT) & (F.col("h") > 0)).isEmpty():
+        long_ = grown(seen).filter((F.col("len") > SHORT) & (F.col("h") > 0)).select("key", "c", "_n", "_c", "len")
         if not long_.isEmpty():
             seen = seen.unionByName(_long_lists(check, long_))
     return seen.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -293,14 +376,15 @@ def _components(texts: DataFrame, words: int, per_cent: int) -> tuple[DataFrame,
     spark = texts.sparkSession
     with scratch(spark) as keep:
         with arrow_batches(spark):
-            sketched = staged(_shingled(texts, words, False), "near-sketched")
+            sketched = staged(_shingled(texts, words, per_cent), "near-sketched")
         rep = F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"))).alias("_rep")
         grouped = sketched.filter("_n > 0").groupBy("_d").agg(F.any_value("_n").alias("_n"), F.any_value("_sk").alias("_sk"), rep, F.count(F.lit(1)).alias("_rows"))
-        classes = staged(grouped, "near-classes")
+        posts = F.expr(f"_n - (_n * {per_cent} + 99) div 100 + 1").cast("int").alias("_k")
+        classes = staged(grouped.select(F.monotonically_increasing_id().alias("c"), posts, *grouped.columns), "near-classes")
         rows = keep(staged(sketched.select("_id", "_n", "_d"), "near-rows"))
         drop_staged(sketched)
         roots = staged(connected_components(_links(texts, classes, words, per_cent)), "near-components")
-        tied = classes.select("_d", "_rows", F.col("_rep.i").alias("_id")).join(roots.withColumnRenamed("node", "_d"), "_d", "left").withColumn("root", F.coalesce("root", "_d"))
+        tied = classes.select("c", "_d", "_rows", F.col("_rep.i").alias("_id")).join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
         tops = tied.groupBy("root").agg(F.min("_id").alias("_top"))
         return rows, keep(staged(tied.join(tops, "root").select("_d", "_rows", "_top"), "near-result"))
 
