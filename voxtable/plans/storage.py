@@ -14,6 +14,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Bytes of a row group of intermediate tables: what a writer holds in memory.
+ROW_GROUP = 32 << 20
 #: Most rows that ``small_side`` lets Spark broadcast.
 BROADCAST_ROWS = 200_000
 #: Paths staged inside of the open ``scratch`` blocks, innermost last.
@@ -38,7 +40,7 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and return it reread: lineage ends there."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path  # type: ignore[attr-defined]
     if _open:
