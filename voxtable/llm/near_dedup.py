@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
 from voxtable.plans.components import connected_components
 from voxtable.plans.skew import skew_join
@@ -130,11 +130,10 @@ class _Verifier:
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """Full sets (c, _n, _sk) of the classes ``wanted`` (c); staged."""
-        reps = staged(wanted.join(self.classes, "c").select("c", "_d", F.col("_rep.i").alias("_ri")), "near-reps")
-        ids = small_side(staged(reps.select("_ri").distinct(), "near-reps"))
-        docs = self.docs.join(ids, self.docs["_id"].eqNullSafe(ids["_ri"]), "left_semi")
+        reps = small_side(staged(wanted.join(self.classes, "c").select("c", "_d", F.col("_rep.i").alias("_ri")), "near-reps"))
+        docs = self.docs.join(reps, self.docs["_id"].eqNullSafe(reps["_ri"]), "left_semi")
         with arrow_batches(docs.sparkSession):
-            full = _shingled(docs, self.words).join(small_side(reps.select("c", "_d")), "_d")
+            full = _shingled(docs, self.words).join(reps.select("c", "_d"), "_d")
             return staged(full.dropDuplicates(["c"]).select("c", "_n", "_sk"), "near-sets")
 
 
@@ -156,22 +155,22 @@ class _Reach:
         self.state = self.common = None
         fresh = classes.select(F.explode(F.slice("_sk", 1, F.col("_k"))).alias("v"))
         while True:
-            lists = staged(fresh.groupBy("v").agg(F.count(F.lit(1)).alias("len")).filter(F.col("len") > LIST), "near-common")
+            lists = fresh.groupBy("v").agg(F.count(F.lit(1)).alias("len")).filter(F.col("len") > LIST)
             if self.common is not None:
-                lists = staged(lists.unionByName(self.common).groupBy("v").agg(F.max("len").alias("len")), "near-common")
-            self.common = lists
+                lists = lists.unionByName(self.common).groupBy("v").agg(F.max("len").alias("len"))
+            self.common = staged(lists, "near-common")
             hits = self.met(self.values()).groupBy("c", "_n", "_k", "reach", "level").agg(F.count(F.lit(1)).alias("hits"))
-            hits = staged(hits, "near-hits")
-            short = hits.filter((F.col("reach") - F.col("hits") < F.col("_k")) & (F.col("reach") < F.col("_n")))
-            more = staged(short.select("c", (F.col("level") + 1).alias("level"), F.lit(True).alias("up")), "near-more")
-            self.state = staged(hits.join(small_side(more.select("c", "up")), "c", "left").select("c", F.expr("level + if(up, 1, 0)").alias("level"), "hits"), "near-state")
-            if more.isEmpty():
+            up = (F.col("reach") - F.col("hits") < F.col("_k")) & (F.col("reach") < F.col("_n"))
+            state = staged(hits.select("c", (F.col("level") + up.cast("int")).alias("level"), "hits", up.alias("up")), "near-state")
+            self.state = small_side(state)
+            turns = {r["level"] for r in state.filter("up").select("level").distinct().collect()}
+            if not turns:
                 return
-            fresh = classes.join(small_side(more.filter("level = 1")), "c").select(F.explode(F.expr("slice(_sk, _k + 1, size(_sk))")).alias("v"))
-            deep = more.filter("level = 2")
-            if not deep.isEmpty():
+            fresh = classes.join(self.state.filter("up and level = 1"), "c").select(F.explode(F.expr("slice(_sk, _k + 1, size(_sk))")).alias("v"))
+            if 2 in turns:
                 shown = classes.select("c", "_k", F.size("_sk").alias("_at"))
-                tail = staged(check.sets(deep.select("c")).join(shown, "c").select("c", "_n", "_k", "_at", F.expr("slice(_sk, _at + 1, size(_sk))").alias("tail")), "near-tails")
+                tail = check.sets(state.filter("up and level = 2").select("c")).join(shown, "c")
+                tail = staged(tail.select("c", "_n", "_k", "_at", F.expr("slice(_sk, _at + 1, size(_sk))").alias("tail")), "near-tails")
                 self.tails.append(tail)
                 fresh = fresh.unionByName(tail.select(F.explode("tail").alias("v")))
 
@@ -181,13 +180,13 @@ class _Reach:
         if self.state is None:
             rows = rows.withColumns({"level": F.lit(0), "hits": F.lit(0).cast("long")})
         else:
-            rows = rows.join(small_side(self.state), "c", "left").withColumns({"level": F.coalesce("level", F.lit(0)), "hits": F.coalesce("hits", F.lit(0).cast("long"))})
+            rows = rows.join(self.state.drop("up"), "c", "left").withColumns({"level": F.coalesce("level", F.lit(0)), "hits": F.coalesce("hits", F.lit(0).cast("long"))})
         reach = F.expr("case level when 0 then least(_k, _n) when 1 then size(_sk) else _n end").cast("long")
         head = F.slice("_sk", 1, F.expr("if(level = 0, _k, size(_sk))"))
         out = rows.select("c", "_n", "_k", reach.alias("reach"), "level", "hits", F.posexplode(head).alias("pos", "v"))
         for tail in self.tails:
             more = tail.select("c", "_n", "_k", F.col("_n").alias("reach"), F.lit(2).alias("level"), "_at", F.posexplode("tail").alias("pos", "v"))
-            more = more.join(small_side(self.state.select("c", "hits")), "c", "left").withColumns({"hits": F.coalesce("hits", F.lit(0).cast("long")), "pos": F.col("pos") + F.col("_at")})
+            more = more.join(self.state.select("c", "hits"), "c", "left").withColumns({"hits": F.coalesce("hits", F.lit(0).cast("long")), "pos": F.col("pos") + F.col("_at")})
             out = out.unionByName(more.drop("_at"))
         return out
 
@@ -197,17 +196,18 @@ class _Reach:
         return values.join(few, "v") if few is not self.common else skew_join(values, self.common, ["v"], "len")
 
 
-def _lists(check: _Verifier, classes: DataFrame) -> DataFrame:
-    """Members (key, c, _n, rank, h, len, pivot, pn, pr) of the inverted lists with two members or more, staged.
+def _lists(check: _Verifier, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the inverted lists with two members or more, staged: of other values and of common ones.
 
-    ``rank``: at most so many of the class's values stand before the key in the agreed
-    order; ``h``: common values of the class, 0 in lists of other values.
+    (key, c, _n, rank, h, len, pivot, pn, pr), the last three of the list. ``rank``: at most so
+    many of the class's values stand before the key in the agreed order; ``h``: common
+    values of the class, 0 in lists of other values. A window holds a list of the first
+    kind, as a value is posted by at most LIST classes a turn.
     """
     reach = _Reach(check, classes)
     values = reach.values()
     rank = F.greatest(F.lit(0), F.col("pos") - F.col("hits"))
     rare = values.join(small_side(reach.common.select("v")), "v", "left_anti").filter(rank < F.col("_k"))
-    # These lists have at most LIST members a turn: a window holds them.
     whole = W.partitionBy("key")
     rare = rare.select(F.col("v").alias("key"), "c", "_n", rank.cast("int").alias("rank"), F.lit(0).cast("long").alias("h"))
     first = F.min(F.struct("c", "_n", "rank")).over(whole)
@@ -222,7 +222,7 @@ def _lists(check: _Verifier, classes: DataFrame) -> DataFrame:
     heads = poor.groupBy("key").agg(F.count(F.lit(1)).alias("len"), pivot.alias("first")).filter("len > 1")
     heads = staged(heads.select("key", "len", F.col("first.c").alias("pivot"), F.col("first._n").alias("pn"), F.lit(0).alias("pr")), "near-first")
     poor = skew_join(poor, heads, ["key"], "len")
-    return staged(rare.unionByName(poor), "near-members")
+    return staged(rare, "near-members"), staged(poor, "near-common-members")
 
 
 def _block_links(per_cent: int) -> Callable[[tuple, pa.Table], pa.Table]:
@@ -303,9 +303,52 @@ def _long_lists(check: _Verifier, rows: DataFrame) -> DataFrame:
     return found
 
 
-def _links(docs: DataFrame, classes: DataFrame, words: int, per_cent: int) -> DataFrame:
+def _united(edges: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with the same components and fewer edges: stars of what meets in a task."""
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := top.setdefault(x, x)) != x:
+                top[x] = x = top[y]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), strict=True):
+                a, b = find(u), find(v)
+                top[max(a, b)] = min(a, b)
+        nodes = [x for x in top if find(x) != x]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["u", "v"])
+
+    return edges.select("u", "v").distinct().mapInArrow(unite, "u long, v long")
+
+
+class _Joined:
+    """Components (c, _c) of the links found so far; new links join components."""
+
+    def __init__(self, spark: SparkSession):
+        self.known = spark.createDataFrame([], "c long, _c long")
+
+    def root(self, rows: DataFrame, c: str, out: str) -> DataFrame:
+        return rows.join(self.known.toDF(c, out), c, "left").withColumn(out, F.coalesce(out, c))
+
+    def add(self, links: DataFrame) -> bool:
+        if links.isEmpty():
+            return False
+        ends = self.root(self.root(links, "a", "u"), "b", "v")
+        above = staged(connected_components(_united(ends)).toDF("_c", "_top"), "near-joined")
+        old = self.known.join(above, "_c", "left").select("c", F.coalesce("_top", "_c").alias("_c"))
+        new = above.join(self.known.select(F.col("c").alias("_c")), "_c", "left_anti").toDF("c", "_c")
+        self.known = staged(old.unionByName(new), "near-known")
+        return True
+
+
+def _components_of(docs: DataFrame, classes: DataFrame, words: int, per_cent: int) -> DataFrame:
+    """(c, _c) for all classes that are linked with another."""
     check = _Verifier(docs, classes, words, per_cent)
-    members = _lists(check, classes)
+    rare, common = _lists(check, classes)
+    hot = not common.isEmpty()
     ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
     def possible(n: str, r: str, n2: str, r2: str) -> Column:
@@ -313,45 +356,45 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, per_cent: int) -> Da
         least = F.least(F.col(n) - F.col(r), F.col(n2) - F.col(r2)) * (100 + per_cent)
         return _similar_sizes(F.col(n), F.col(n2), per_cent) & (least >= (F.col(n) + F.col(n2)) * per_cent)
 
-    others = members.filter((F.col("c") != F.col("pivot")) & possible("_n", "rank", "pn", "pr"))
+    others = rare.unionByName(common) if hot else rare
+    others = others.filter((F.col("c") != F.col("pivot")) & possible("_n", "rank", "pn", "pr"))
     star = staged(others.select(*ordered(F.col("c"), F.col("pivot"))).distinct(), "near-star")
-    seen = check.compared(star)
-
-    def grown(seen: DataFrame) -> DataFrame:
-        """Members of lists of several components, with their own (_c)."""
-        known = connected_components(seen.select(F.col("a").alias("u"), F.col("b").alias("v"))).toDF("c", "_c")
-        out = members.join(known, "c", "left").withColumn("_c", F.coalesce("_c", "c"))
-        out = staged(out, "near-grown")
-        mixed = out.groupBy("key").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi"), F.count(F.lit(1)).alias("_w")).filter("lo <> hi")
-        return staged(skew_join(out, staged(mixed.select("key", "_w"), "near-mixed"), ["key"], "_w").drop("_w"), "near-grown")
-
-    # The second round: the members of long lists that the first one left over.
-    now = grown(seen)
-    wide = now.filter((F.col("len") > SHORT) & (F.col("h") > 0)).select("key", "c", "h", "pivot", "_c", "len")
-    heads = staged(wide.filter("c = pivot").select("key", F.col("_c").alias("_pc"), F.col("len").alias("_w")), "near-heads")
-    left = staged(skew_join(staged(wide, "near-wide"), heads, ["key"], "_w").filter("_c <> _pc").select("key", "c", "h"), "near-left")
-    if not left.isEmpty():
+    joined = _Joined(docs.sparkSession)
+    joined.add(check.compared(star))
+
+    def mixed_common() -> DataFrame:
+        """Members of lists of common values with several components."""
+        rows = staged(joined.root(common, "c", "_c"), "near-grown")
+        mixed = rows.groupBy("key").agg(F.min("_c").alias("lo"), F.max("_c").alias("hi"), F.count(F.lit(1)).alias("_w")).filter("lo <> hi")
+        return staged(skew_join(rows, staged(mixed.select("key", "_w"), "near-mixed"), ["key"], "_w").drop("_w"), "near-grown")
+
+    # Short lists: pairs of different components. Most of the 16 smallest values of similar sets agree.
+    whole = W.partitionBy("key")
+    short = joined.root(rare, "c", "_c").withColumns({"lo": F.min("_c").over(whole), "hi": F.max("_c").over(whole)}).filter("lo <> hi")
+    short = short.select("key", "c", "_n", "rank", "_c")
+    if hot:
+        wide = mixed_common()
+        short = short.unionByName(wide.filter(F.col("len") <= SHORT).select("key", "c", "_n", "rank", "_c"))
+    small = classes.select("c", F.expr("transform(slice(_sk, 1, 16), x -> cast(x & 32767 as short))").alias("s"))
+    short = staged(short.join(small, "c"), "near-short")
+    other = short.select(*[F.col(c).alias(f"{c}2") if c != "key" else F.col(c) for c in short.columns])
+    alike = (F.least("_n", "_n2") < 16) | (F.size(F.array_intersect("s", "s2")) >= SHARED16)
+    pairs = short.join(other, "key").filter((F.col("c") < F.col("c2")) & (F.col("_c") != F.col("_c2")) & possible("_n", "rank", "_n2", "rank2") & alike)
+    pairs = pairs.select(F.col("c").alias("a"), F.col("c2").alias("b"))
+    if hot:  # A second pivot for the members of long lists that the first one left over.
+        wide = wide.filter(F.col("len") > SHORT)
+        heads = staged(wide.filter("c = pivot").select("key", F.col("_c").alias("_pc"), F.col("len").alias("_w")), "near-heads")
+        left = staged(skew_join(wide, heads, ["key"], "_w").filter("_c <> _pc").select("key", "c", "h"), "near-left")
         pivot = F.min_by("c", F.struct(-F.col("h"), "c")).alias("pivot")
         second = staged(left.groupBy("key").agg(F.count(F.lit(1)).alias("len"), pivot).filter("len > 1"), "near-second")
-        more = skew_join(left, second, ["key"], "len").filter("c <> pivot").select(*ordered(F.col("c"), F.col("pivot"))).distinct()
-        more = staged(more.join(star, ["a", "b"], "left_anti"), "near-star")
-        seen = staged(seen.unionByName(check.compared(more)), "near-seen")
-        now = grown(seen)
-    # Short lists: pairs of different components. Most of the 16 smallest values of similar sets agree.
-    small = classes.select("c", F.slice("_sk", 1, 16).alias("s"))
-    short = now.filter((F.col("len") <= SHORT) | (F.col("h") == 0)).select("key", "c", "_n", "rank", "_c").join(small, "c")
-    short = staged(short.select("key", "c", "_n", "rank", "_c", "s"), "near-short")
-    other = short.toDF("key", "c2", "n2", "rank2", "_c2", "s2")
-    alike = (F.least("_n", "n2") < 16) | (F.size(F.array_intersect("s", "s2")) >= SHARED16)
-    pairs = short.join(other, "key").filter((F.col("c") < F.col("c2")) & (F.col("_c") != F.col("_c2")) & possible("_n", "rank", "n2", "rank2") & alike)
-    rest = staged(pairs.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "near-rest")
-    seen = staged(seen.unionByName(check.compared(rest)), "near-seen")
-    # Long lists: all pairs of different components.
-    if not now.filter((F.col("len") > SHORT) & (F.col("h") > 0)).isEmpty():
-        long_ = grown(seen).filter((F.col("len") > SHORT) & (F.col("h") > 0)).select("key", "c", "_n", "_c", "len")
-        if not long_.isEmpty():
-            seen = seen.unionByName(_long_lists(check, long_))
-    return seen.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        pairs = pairs.unionByName(skew_join(left, second, ["key"], "len").filter("c <> pivot").select(*ordered(F.col("c"), F.col("pivot"))))
+    rest = staged(pairs.distinct().join(star, ["a", "b"], "left_anti"), "near-rest")
+    joined.add(check.compared(rest))
+    if hot:  # Long lists: all pairs of different components.
+        wide = mixed_common().filter(F.col("len") > SHORT).select("key", "c", "_n", "_c", "len")
+        if not wide.isEmpty():
+            joined.add(_long_lists(check, wide))
+    return joined.known
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, per_cent: int = 80) -> DataFrame:
@@ -383,8 +426,8 @@ def _components(texts: DataFrame, words: int, per_cent: int) -> tuple[DataFrame,
         classes = staged(grouped.select(F.monotonically_increasing_id().alias("c"), posts, *grouped.columns), "near-classes")
         rows = keep(staged(sketched.select("_id", "_n", "_d"), "near-rows"))
         drop_staged(sketched)
-        roots = staged(connected_components(_links(texts, classes, words, per_cent)), "near-components")
-        tied = classes.select("c", "_d", "_rows", F.col("_rep.i").alias("_id")).join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+        roots = _components_of(texts, classes, words, per_cent)
+        tied = classes.select("c", "_d", "_rows", F.col("_rep.i").alias("_id")).join(roots.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
         tops = tied.groupBy("root").agg(F.min("_id").alias("_top"))
         return rows, keep(staged(tied.join(tops, "root").select("_d", "_rows", "_top"), "near-result"))
 
