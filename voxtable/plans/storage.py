@@ -7,11 +7,14 @@ and, unlike a cached block, is never computed twice.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of a row group of intermediate tables: what a writer holds in memory.
@@ -107,6 +110,35 @@ def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> It
             spark.conf.set(key, value)
 
 
+#: What one operator keeps between the batches and tasks of a Python worker.
+_resident: dict = {}
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def resident(key, build: Callable[[], object]):
+    """The caches ``key`` of this Python worker; those of another operator go, as workers serve one after the other."""
+    if key not in _resident:
+        _resident.clear()
+        gc.collect()
+        _give_back()
+        _resident[key] = build()
+    return _resident[key]
+
+
+def trimmed(batches: Iterator) -> Iterator:
+    """``batches`` of a Python task; after each one the memory that its rows took returns to the system."""
+    for batch in batches:
+        yield batch
+        del batch
+        _give_back()
+
+
 def packed(df: DataFrame, **more) -> DataFrame:
     """All columns of ``df`` in one struct ``_row`` beside new ones, so that no names clash."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]) if df.columns else F.struct(F.lit(None).alias("_"))
