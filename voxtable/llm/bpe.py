@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from voxtable.plans.storage import resident, trimmed
+
 #: Longest piece whose ids are remembered; pieces and token pairs in a worker's younger generation.
 CACHED_LENGTH, CACHED_PIECES, CACHED_PAIRS = 48, 120_000, 150_000
 #: Texts over this length are cut into pieces bit by bit.
@@ -192,15 +194,9 @@ class Encoder:
         return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_encoders: dict[bytes, Encoder] = {}
-
-
 def _encoder(rank_file: bytes, pattern: str) -> Encoder:
     key = hashlib.md5(rank_file + pattern.encode()).digest()
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(rank_file, pattern)
-    return _encoders[key]
+    return resident(("bpe", key), lambda: Encoder(rank_file, pattern))
 
 
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -217,7 +213,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shipped.value, pattern)
-        for batch in batches:
+        for batch in trimmed(batches):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 ids = [encoder.encode(text or "") for text in part["t"].to_pylist()]

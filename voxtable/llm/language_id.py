@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from voxtable.plans.storage import arrow_batches, packed, small_side, staged, unpacked
+from voxtable.plans.storage import arrow_batches, packed, small_side, staged, unpacked, trimmed
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: Buckets of trigrams; bytes of a text hashed at once.
@@ -54,7 +54,7 @@ def train(docs: DataFrame, text_col: str, declared: Column, languages: Sequence[
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(languages), BUCKETS), dtype=np.int64)
-        for batch in batches:
+        for batch in trimmed(batches):
             for text, lang in zip(batch["t"], batch["l"], strict=True):
                 total[index[lang]] += trigram_counts(text)
         where = np.nonzero(total)
@@ -75,7 +75,7 @@ def _evidence(model: np.ndarray):
 
     @pandas_udf("array<double>")
     def evidence(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
+        for batch in trimmed(texts):
             out = []
             for text in batch:
                 counts = trigram_counts(text)

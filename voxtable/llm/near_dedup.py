@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 from voxtable.plans.components import connected_components
 from voxtable.plans.skew import skew_join
-from voxtable.plans.storage import arrow_batches, drop_staged, packed, scratch, small_side, staged, unpacked
+from voxtable.plans.storage import arrow_batches, drop_staged, packed, resident, scratch, small_side, staged, trimmed, unpacked
 
 #: Values for estimates; a value posted by more classes at a time is common; members of a list that is compared by a join.
 SKETCH, LIST, SHORT = 128, 32, 64
@@ -53,15 +53,12 @@ class _WordHash(dict):
         return value
 
 
-_words = _WordHash()
-
-
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 63-bit hashes of the shingles of the whole text."""
     tokens = (text or "").encode("utf-8", "replace").lower().split()
     if not tokens:
         return np.empty(0, np.int64)
-    h = np.fromiter(map(_words.__getitem__, tokens), np.uint64, len(tokens))
+    h = np.fromiter(map(resident("words", _WordHash).__getitem__, tokens), np.uint64, len(tokens))
     width = min(words, len(tokens))
     out = np.full(len(h) - width + 1, width, np.uint64)
     for i in range(width):
@@ -90,7 +87,7 @@ def _shingled(docs: DataFrame, words: int, per_cent: int | None = None) -> DataF
         return s[: max(SKETCH, k + k // 4 + 8)]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 sets = [shingle_set(t, words) for t in part["_t"].to_pylist()]

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from voxtable.plans.skew import skew_join
-from voxtable.plans.storage import staged
+from voxtable.plans.storage import staged, trimmed
 
 WINDOW, BITS = 16, 5
 #: Chunks hold at most so many bytes; words of a run that count as a passage.
@@ -63,7 +63,7 @@ def chunks(docs: DataFrame, table: bytes | None = None) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shipped.value, np.int64) if shipped else None
-        for batch in batches:
+        for batch in trimmed(batches):
             ids, parts, held = [], [], 0
             for i, text in zip(batch["_id"].to_pylist(), batch["_t"].to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "replace")
