@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Members of the twelve groups (classes 0..23), first class of each region,
-# accepted spellings of yes and no.
+# spellings of yes and no as text (true and false themselves, 1 and 0 among them).
 GROUPS = [[0, 1], [2, 3, 4], [5, 6], [7, 8], [9, 10], [11, 12, 13], [14, 15], [16, 17], [18], [19, 20], [21, 22], [23]]
 REGION_STARTS = (0, 7, 19)
-TRUE_WORDS = ("1", "true", "yes", "ja", "oui", "si", "-", "1?")
-FALSE_WORDS = ("0", "false", "no", "nein", "non", "0?")
+TRUE_WORDS = ("True", "true", "1", "wahr", "Wahr", "Ja", "ja", "-", "1?")
+FALSE_WORDS = ("False", "false", "0", "falsch", "Falsch", "Nein", "nein")
 CLASSES, T11, T12, L5 = 24, 17, 18, 23
 
 
@@ -40,7 +40,7 @@ def label_to_vertrel(label: Column, last_bwk: Column, last_lwk: Column) -> Colum
 
 def parse_binary(value: Column) -> Column:
     """[1, 0] for yes, [0, 1] for no, null for anything else."""
-    word = F.lower(F.trim(value))
+    word = value.cast("string")
     return F.when(word.isin(*TRUE_WORDS), F.array(F.lit(1), F.lit(0))).when(word.isin(*FALSE_WORDS), F.array(F.lit(0), F.lit(1)))
 
 

@@ -27,15 +27,16 @@ def clean_semantic(sem: DataFrame, scans: DataFrame, sizes: DataFrame, margin: i
     """Trim to the canal, delete small artifacts, clean by the largest component's box, fill holes."""
     out = nb.trim_to_canal(sem, "sem", scans, canal)
     out = staged(nb.clean_artifacts(out, "sem", sizes, scans), "clean")
-    out = staged(nb.bounding_box_clean(nb.trim_to_canal(out, "sem", scans, canal), "sem", scans, margin), "clean")
+    for _ in range(2):  # the first pass can remove what spoilt the box
+        out = staged(nb.bounding_box_clean(nb.trim_to_canal(out, "sem", scans, canal), "sem", scans, margin), "clean")
     return nb.fill_holes(out, "sem")
 
 
-def build_instances(preds: DataFrame, scans: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Couple and merge competing predictions, clean, fill and number the instances."""
+def build_instances(preds: DataFrame, scans: DataFrame, size: int) -> DataFrame:
+    """Couple and merge competing predictions, clean pieces under ``size`` voxels, fill and number the instances."""
     preds = staged(preds, "preds")
     merged = staged(ov.merge_couples(preds, staged(ov.couple_predictions(preds), "couples")), "merged")
-    labels = merged.select(F.col("inst").alias("label")).distinct().join(sizes.select("size").limit(1))
+    labels = merged.select(F.col("inst").alias("label")).distinct().withColumn("size", F.lit(size).cast("long"))
     cleaned = staged(nb.clean_artifacts(merged, "inst", labels, scans), "merged")
     return vx_relabel(nb.fill_holes(cleaned, "inst"))
 
@@ -62,19 +63,19 @@ def postprocess(sem: DataFrame, inst: DataFrame, scans: DataFrame, fill: bool =
     """Reconcile, repair and order the instances, then attach discs and endplates."""
     own = nb.reassign_dominant(sem, vx.apply_mask(inst, sem), (45, 46, 47, 48))
     own, sem2 = ins.reconcile(sem, own, scans, fill=fill)
-    own = nb.fix_posterior(own.join(sem2.select(*KEY, "sem"), KEY)).select(*KEY, "inst")
     own = staged(nb.merge_top_split(own, scans), "post")
+    own = staged(nb.fix_posterior(own.join(sem2.select(*KEY, "sem"), KEY)).select(*KEY, "inst"), "post")
     names = rg.ordered_by_height(rg.region_stats(own, "inst"), "new_label").select("scan_id", F.col("label").alias("inst"), "new_label")
     own = staged(own.join(names, ["scan_id", "inst"]).select(*KEY, F.col("new_label").alias("inst")), "post")
     return sem2, ins.attach_ivd_endplates(sem2, own)
 
 
-def process_scans(vox: DataFrame, scans: DataFrame, preds: DataFrame, sizes: DataFrame, hook: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+def process_scans(vox: DataFrame, scans: DataFrame, preds: DataFrame, sizes: DataFrame, hook: Callable[[DataFrame], DataFrame] | None = None, instance_size: int = 12) -> dict[str, DataFrame]:
     """Crop, clean, build instances, reconcile and measure, for all scans; and the run log."""
     cropped = staged(preprocess(vox, scans), "cropped")
     sem = clean_semantic(cropped.select(*KEY, "sem"), scans, sizes)
     sem = staged(sem.transform(hook) if hook else sem, "sem")
-    inst = staged(vx.apply_mask(build_instances(preds, scans, sizes), sem), "inst")
+    inst = staged(vx.apply_mask(build_instances(preds, scans, instance_size), sem), "inst")
     sem, full = postprocess(sem, inst, scans)
     full = staged(full, "full")
     points = rg.centroids(full.join(sem.select(*KEY, "sem"), KEY))

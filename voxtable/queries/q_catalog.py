@@ -26,19 +26,40 @@ def s2(s, d):
     return e.select("file_id", *[F.col("e")[k].alias(k) for k in ("sub", "acq", "run", "seg")], "format", "filetype")
 
 
-@register("s3_select_scans", ctes("catalog", "select file_id, subject, format, acq, part from catalog where seg is null and format in ('T2w', 'dixon') and (format <> 'dixon' or part = 'inphase') and label is null and (acq is null or acq in ('sag', 'iso'))"))
+#: Entities that the catalog view lacks, by file: extension, lesions, chunk and part of the T2w files.
+MORE = {
+    "filetype": "case when file_id % 11 = 0 then 'json' else 'nii.gz' end",
+    "lesions": "case when file_id % 13 = 0 then 'x' end",
+    "chunk": "case when file_id % 3 = 0 then 'LWS' when file_id % 3 = 1 then 'HWS' end",
+    "part2": "case file_id % 4 when 0 then 'inphase' when 1 then 'outphase' end",
+}
+MORE_SQL = ", more as (select *, " + ", ".join(f"{x} as {k}" for k, x in MORE.items()) + " from catalog) "
+
+
+def _more(s, d):
+    return view(s, d, "catalog").withColumns({k: F.expr(x) for k, x in MORE.items()})
+
+
+@register("s3_select_scans", ctes("catalog", MORE_SQL + "select file_id, subject, format, acq, part from more where filetype = 'nii.gz' and seg is null and format in ('T2w', 'dixon') and (format <> 'dixon' or part = 'inphase') and lesions is null and label is null and (acq is null or acq in ('sag', 'iso'))"))
 def s3(s, d):
-    return ct.select_scans(view(s, d, "catalog"), ("T2w", "dixon"), ("sag", "iso")).select("file_id", "subject", "format", "acq", "part")
+    return ct.select_scans(_more(s, d), ("T2w", "dixon"), ("sag", "iso")).select("file_id", "subject", "format", "acq", "part")
 
 
-@register("s4_family_pick", ctes("catalog", ", r as (select *, case when format = 'dixon' and part = 'inphase' then 1 when format = 'T2w' and part is null then 2 end as r from catalog) select subject, arg_min(file_id, struct_pack(a := r, b := file_id)) as file_id, cast(min(r) as int) as choice from r where r is not null group by subject"))
+@register("s4_family_pick", ctes("catalog", MORE_SQL + ", r as (select *, case when part2 = 'inphase' then 1 when part2 is null then 2 end as r from more where format = 'T2w' and chunk = 'LWS' and filetype = 'nii.gz') select subject, arg_min(file_id, struct_pack(a := r, b := file_id)) as file_id, cast(min(r) as int) as choice from r where r is not null group by subject"))
 def s4(s, d):
-    return ct.family_pick(view(s, d, "catalog"))
+    return ct.family_pick(_more(s, d).withColumn("part", F.col("part2")))
 
 
-@register("s11_derive_outputs", ctes("catalog", PATHS + f", o(name, suffix) as (values {', '.join(map(str, ct.OUTPUTS))}) select path, name, regexp_replace(path, '[^/]+$', '') || 'derivatives/' || regexp_replace(regexp_extract(path, '([^/.]+)[^/]*$', 1), '_[^_]*$', '') || '_' || suffix as output from pa, o where file_id % 4 = 0"))
+OUT_SQL = """, x as (select path, regexp_extract(path, '^(.*/)[^/]*$', 1) || 'derivatives' as base, format as f, regexp_replace(regexp_extract(path, '([^/]+)_[^_/]*$', 1), '_seg-[^_]*', '') || '_mod-' || format || '_seg-' as stem from pa join catalog using (file_id)),
+o(name, raw, file) as (values ('out_spine', '', 'spine_msk.nii.gz'), ('out_spine_raw', 'output_raw_', 'spine-raw_msk.nii.gz'), ('out_vert', '', 'vert_msk.nii.gz'), ('out_vert_raw', 'output_raw_', 'vert-raw_msk.nii.gz'),
+  ('out_unc', 'output_raw_', 'spine_uncertainty.nii.gz'), ('out_logits', 'output_raw_', 'spine_logit.npz'), ('out_snap', '', 'spine_snp.png'), ('out_snap2', '', 'spine_snp.png'), ('out_ctd', '', 'spine_ctd.json'),
+  ('out_vibeseg', '', 'VIBESeg-100_msk.nii.gz'), ('out_debug', 'debug_', null), ('out_raw', 'output_raw_', null))
+select path, name, base || case when raw <> '' then '/' || raw || f else '' end || coalesce('/' || stem || file, '') as output from x, o"""
+
+
+@register("s11_derive_outputs", ctes("catalog", PATHS + OUT_SQL))
 def s11(s, d):
-    return ct.derive_outputs(_paths(s, d).filter("file_id % 4 = 0"))
+    return ct.derive_outputs(_paths(s, d))
 
 
 @register("s12_disc_output_name", ctes("catalog", PATHS + "select file_id, replace(path, '.nii.gz', '_discs.nii.gz') as path from pa"))
@@ -60,11 +81,25 @@ def s13(s, d):
     return ct.resume_filter(scans, _manifest(s, d, ("out_spine", "out_vert", "out_snap", "out_ctd")), scans.filter("scan_id % 9 = 0"))
 
 
-@register("s14_stage_plan", ctes("catalog", """, h as (select file_id as scan_id, [(file_id + k) % 5 = 0 for k in range(5)] as m from catalog)
-select scan_id, m[1] as run_semantic, m[1] or m[2] as run_instance, m[1] or m[2] or m[3] as run_cleanup, m[1] or m[2] or m[3] or m[4] as run_centroid, m[1] or m[2] or m[3] or m[4] or m[5] as run_snapshot from h"""))
-def s14(s, d):
+def _plan_sql(instance):
+    return ctes("catalog", f""", h as (select file_id as scan_id, [(file_id + k) % 5 = 0 for k in range(5)] as m from catalog)
+select scan_id, m[1] as run_semantic, {instance} as run_instance, m[1] or m[2] or m[3] as run_cleanup, m[1] or m[2] or m[3] or m[4] as run_centroid, m[1] or m[2] or m[3] or m[4] or m[5] as run_snapshot from h""")
+
+
+def _plan(s, d, **options):
     scans = view(s, d, "catalog").select(F.col("file_id").alias("scan_id"))
-    return ct.stage_plan(scans, _manifest(s, d, ct.STAGES).withColumnRenamed("name", "stage"))
+    return ct.stage_plan(scans, _manifest(s, d, ct.STAGES).withColumnRenamed("name", "stage"), **options)
+
+
+@register("s14_stage_plan", _plan_sql("m[2]"))
+def s14(s, d):
+    return _plan(s, d)
+
+
+@register("s14_stage_plan_cascade", _plan_sql("m[1] or m[2]"))
+def s14b(s, d):
+    """A new semantic mask also redoes the instances."""
+    return _plan(s, d, cascade=True)
 
 
 @register("s15_run_summary", ctes("run_log", "select subject, count(*) as seen, count(*) filter (errcode = 'OK') as ok, count(*) filter (errcode = 'ALL_DONE') as all_done, count(*) filter (errcode not in ('OK', 'ALL_DONE')) as failed, coalesce(list_sort(list_distinct(list(errcode) filter (errcode not in ('OK', 'ALL_DONE')))), []) as codes from run_log group by subject"))
@@ -90,10 +125,13 @@ def s18(s, d):
     return out.select("scan_id", *[F.col("info")[k].alias(k) for k in ("model_semantic", "step", "version")])
 
 
-@register("p21_modality_keys", ctes("catalog", "select file_id, case format when 'T2w' then ['T2w', 'dixon', 'mr', 't2'] when 'T1w' then ['T1w', 'T1', 't1'] end as keys, case acq when 'sag' then ['sag', 'sagittal'] when 'ax' then ['ax', 'axial'] when 'cor' then ['cor', 'coronal'] when 'iso' then ['iso', 'sag', 'ax', 'cor'] end as planes from catalog where format in ('T1w', 'T2w')"))
+@register("p21_modality_keys", ctes("catalog", """, k(modality, keys) as (values ('CT', ['CT', 'ct']), ('SEG', ['msk', 'seg']), ('T1w', ['T1w', 't1', 'T1', 'T1c']), ('T2w', ['T2w', 'dixon', 'mr', 't2', 'T2', 'T2c']), ('Vibe', ['t1dixon', 'vibe', 'mevibe', 'GRE']), ('MPR', ['mpr', 'MPR', 'Mpr'])),
+a(plane, planes) as (values ('ax', ['axial', 'ax', 'axl']), ('cor', ['coronal', 'cor']), ('sag', ['sagittal', 'sag']), ('iso', ['iso', 'ISO']))
+select file_id, modality, plane, keys, planes from catalog join k on modality = (['CT', 'SEG', 'T1w', 'T2w', 'Vibe', 'MPR'])[file_id % 6 + 1] join a on plane = (['ax', 'cor', 'sag', 'iso'])[file_id // 6 % 4 + 1]"""))
 def p21(s, d):
-    c = view(s, d, "catalog").filter("format in ('T1w', 'T2w')")
-    return ct.modality_keys(c, "format").select("file_id", "keys", ct.acq_keys(F.col("acq")).alias("planes"))
+    pick = lambda words, at: F.element_at(F.array(*map(F.lit, words)), (at + 1).cast("int"))
+    c = view(s, d, "catalog").select("file_id", pick(("CT", "SEG", "T1w", "T2w", "Vibe", "MPR"), F.col("file_id") % 6).alias("modality"), pick(("ax", "cor", "sag", "iso"), F.expr("file_id div 6") % 4).alias("plane"))
+    return ct.modality_keys(c).withColumn("planes", ct.acq_keys(F.col("plane")))
 
 
 MODELS = [("m1", ["T2w", "dixon"], "sag"), ("m2", ["ct"], "ax"), ("m3", ["T1w", "T2w"], "sag"), ("m4", ["T2w"], "sag")]
@@ -107,9 +145,15 @@ def j1(s, d):
     return ct.model_pair_compat(own.unionByName(given), pairs).withColumn("semantic", F.col("semantic").cast("long"))
 
 
-@register("j2_scan_model_compat", ctes("catalog", f""", m(model_id, f, a) as (values {', '.join(map(str, MODELS))}),
-r as (select file_id, model_id, list_filter([case when not list_contains(f, format) then 'format' end, case when seg is not null then 'seg' end, case when acq is not null and acq <> 'iso' and acq <> a then 'acq' end, case when label is not null then 'label (ignored)' end], lambda x: x is not null) as reasons from catalog, m)
+@register("j2_scan_model_compat", ctes("catalog", PATHS + rf""", m(model_id, f, a) as (values {', '.join(map(str, MODELS))}),
+k(a, allowed) as (values ('ax', ['axial', 'ax', 'axl', 'iso']), ('cor', ['coronal', 'cor', 'iso']), ('sag', ['sagittal', 'sag', 'iso'])),
+c as (select catalog.*, case when file_id % 17 = 0 then regexp_replace(path, '/([^/]*)$', '/debug_T2w/\1') else path end as path, (['sag', 'ax', 'iso'])[file_id % 3 + 1] as plane from catalog join pa using (file_id)),
+r as (select file_id, model_id, list_filter([case when not list_contains(f, format) then 'format' end, case when seg is not null then 'seg' end, case when acq is not null and not list_contains(allowed, acq) then 'acq' end, case when label is not null then 'label (ignored)' end,
+  case when contains(string_split(path, '/')[-1], 'debug') or contains(string_split(path, '/')[-2], 'debug') then 'debug' end, case when not list_contains(allowed, plane) then 'plane' end], lambda x: x is not null) as reasons from c, m join k using (a))
 select file_id, model_id, len(list_filter(reasons, lambda x: not ends_with(x, '(ignored)'))) = 0 as compatible, reasons from r"""))
 def j2(s, d):
     models = s.createDataFrame(MODELS, "model_id string, formats array<string>, acquisition string")
-    return ct.scan_model_compat(view(s, d, "catalog"), models, ignore=("label",))
+    path = F.when(F.col("file_id") % 17 == 0, F.regexp_replace("path", r"/([^/]*)$", "/debug_T2w/$1")).otherwise(F.col("path"))
+    plane = F.element_at(F.array(*map(F.lit, ("sag", "ax", "iso"))), (F.col("file_id") % 3 + 1).cast("int"))
+    scans = view(s, d, "catalog").join(_paths(s, d).withColumn("path", path), "file_id").withColumn("plane", plane)
+    return ct.scan_model_compat(scans, models, ignore=("label",))

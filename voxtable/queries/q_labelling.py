@@ -32,9 +32,12 @@ def p29(s, d):
     return rows.join(tg.label_boundaries(rows), "subject").select("subject", "label", lb.label_to_vertrel(F.col("label"), F.col("last_bwk"), F.col("last_lwk")).alias("rel"))
 
 
-@register("p25_parse_binary", ctes("catalog", ", v as (select file_id, case file_id % 5 when 0 then 'Ja' when 1 then '-' when 2 then 'nein' when 3 then '1?' else 'maybe' end as v from catalog) select file_id, case when v in ('Ja', '-', '1?') then [1, 0] when v = 'nein' then [0, 1] end as flag from v"))
+BINARY = ("True", "true", "1", "wahr", "Wahr", "Ja", "ja", "-", "1?", "False", "false", "0", "falsch", "Falsch", "Nein", "nein", "yes", "no", "0?", "JA", "maybe")
+
+
+@register("p25_parse_binary", ctes("catalog", f", v as (select file_id, ({list(BINARY)})[file_id % {len(BINARY)} + 1] as v from catalog) select file_id, case when v in ('True', 'true', '1', 'wahr', 'Wahr', 'Ja', 'ja', '-', '1?') then [1, 0] when v in ('False', 'false', '0', 'falsch', 'Falsch', 'Nein', 'nein') then [0, 1] end as flag from v"))
 def p25(s, d):
-    v = F.element_at(F.array(*map(F.lit, ("Ja", "-", "nein", "1?", "maybe"))), (F.col("file_id") % 5 + 1).cast("int"))
+    v = F.element_at(F.array(*map(F.lit, BINARY)), (F.col("file_id") % len(BINARY) + 1).cast("int"))
     return view(s, d, "catalog").select("file_id", lb.parse_binary(v).alias("flag"))
 
 
@@ -60,9 +63,9 @@ def p30(s, d):
     return view(s, d, "vox").select("scan_id", label.alias("label")).distinct().filter("label is not null").withColumn("disc", lb.disc_map(F.col("label")))
 
 
-@register("p34_flatten", ctes("cost", "select scan_id, list(w order by rw, cls) as ws from cost where rw < 3 group by scan_id"))
+@register("p34_flatten", ctes("cost", "select scan_id, list(w order by rw, cls) as ws from cost group by scan_id"))
 def p34(s, d):
-    rows = view(s, d, "cost").filter("rw < 3").groupBy("scan_id", "rw").agg(F.transform(F.array_sort(F.collect_list(F.struct("cls", "w"))), lambda x: x["w"]).alias("ws"))
+    rows = view(s, d, "cost").groupBy("scan_id", "rw").agg(F.transform(F.array_sort(F.collect_list(F.struct("cls", "w"))), lambda x: x["w"]).alias("ws"))
     nested = rows.groupBy("scan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rw", "ws"))), lambda x: x["ws"]).alias("n"))
     return nested.select("scan_id", F.flatten("n").alias("ws"))
 
@@ -201,26 +204,27 @@ def i20(s, d):
     return la.head_fusion(heads).select("scan_id", "rw", F.transform("cost", lambda x: F.round(x, 6)).alias("cost"))
 
 
-#: All legal paths by rows, with the cheapest sum; ``stay`` tells whether the class was entered by staying.
-PATHS = """, c as (select scan_id, rw, cls, -w as w from cost where rw < {rows}),
-walk(scan_id, rw, cls, stay, total, path) as (
-  select scan_id, rw, cls, false, cast(w as bigint), [cls] from c where rw = 0
+#: The cheapest legal path to each class of each row; ``stay`` tells whether the class was entered by staying.
+PATHS = """, c as (select scan_id, rw, cls, -w as w from cost), n as (select scan_id, max(rw) + 1 as steps from cost group by scan_id),
+walk(scan_id, rw, cls, stay, total) as (
+  select scan_id, rw, cls, false, cast(w as bigint) from c where rw = 0
   union all
-  select k.scan_id, c.rw, c.cls, c.cls = k.cls, k.total + c.w, k.path || [c.cls] from walk k join c on c.scan_id = k.scan_id and c.rw = k.rw + 1
-    and (c.cls = k.cls + 1 or (c.cls = k.cls and k.cls in (18, 23) and not k.stay) or (c.cls = k.cls + 2 and k.cls = 17)))
+  select k.scan_id, c.rw, c.cls, c.cls = k.cls, cast(min(k.total + c.w) as bigint) from walk k join c on c.scan_id = k.scan_id and c.rw = k.rw + 1
+    and (c.cls = k.cls + 1 or (c.cls = k.cls and k.cls in (18, 23) and not k.stay) or (c.cls = k.cls + 2 and k.cls = 17))
+  group by k.scan_id, c.rw, c.cls, c.cls = k.cls)
 """
 
 
-@register("i21_decode_sequence", ctes("cost", PATHS.format(rows=12) + "select scan_id, cast(min(total) as double) as cost from walk where rw = 11 group by scan_id"))
+@register("i21_decode_sequence", ctes("cost", PATHS + "select scan_id, cast(min(total) as double) as cost from walk join n using (scan_id) where rw = steps - 1 group by scan_id"))
 def i21(s, d):
-    cost = view(s, d, "cost").filter("rw < 12").withColumn("w", -F.col("w"))
+    cost = view(s, d, "cost").withColumn("w", -F.col("w"))
     return la.decode_sequence(cost).select("scan_id", "cost")
 
 
-@register("i21_decoded_path_cost", ctes("cost", PATHS.format(rows=12) + "select scan_id, cast(min(total) as bigint) as total, 12 as steps from walk where rw = 11 group by scan_id"))
+@register("i21_decoded_path_cost", ctes("cost", PATHS + "select scan_id, cast(min(total) as bigint) as total, cast(any_value(steps) as int) as steps from walk join n using (scan_id) where rw = steps - 1 group by scan_id"))
 def i21b(s, d):
     """The decoded path's own costs add up to the minimum."""
-    cost = view(s, d, "cost").filter("rw < 12").withColumn("w", -F.col("w"))
+    cost = view(s, d, "cost").withColumn("w", -F.col("w"))
     path = la.exploded(la.decode_sequence(cost))
     return path.join(cost, ["scan_id", "rw", "cls"]).groupBy("scan_id").agg(F.sum("w").alias("total"), F.count(F.lit(1)).cast("int").alias("steps"))
 

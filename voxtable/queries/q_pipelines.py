@@ -29,7 +29,7 @@ def e4(s, d):
 
 @register("e5_build_instances", None)
 def e5(s, d):
-    return pl.build_instances(view(s, d, "preds"), view(s, d, "scans"), s.createDataFrame([(4,)], "size long"))
+    return pl.build_instances(view(s, d, "preds"), view(s, d, "scans"), 4)
 
 
 @register("e6_postprocess", None)
@@ -57,15 +57,18 @@ def _flat():
         import numpy as np
 
         out = np.full((len(batch), 40), 0.1)
-        out[np.arange(len(batch)), 3 + (batch["rw"].to_numpy() + 4) % 24] = 1.0
+        out[np.arange(len(batch)), 3 + batch["rw"].to_numpy() + batch["top"].to_numpy()] = 1.0
         return out
 
     return run
 
 
-@register("e7_label_cutouts", ctes("cost", "select scan_id, rw, cast(rw + 5 as int) as label from cost where cls = 0 and rw < 15"))
+@register("e7_label_cutouts", ctes("cost", "select scan_id, c.rw, cast(c.rw + t.top + 1 as int) as label from (select distinct scan_id, rw from cost) c join (select scan_id, max(w) % 4 as top from cost group by scan_id) t using (scan_id)"))
 def e7(s, d):
-    rows = view(s, d, "cost").filter("cls = 0 and rw < 15").select("scan_id", "rw", "w")
+    """The scorer sees a number of the scan's own patches, which is the class of its first row."""
+    cost = view(s, d, "cost")
+    top = cost.groupBy("scan_id").agg((F.max("w") % 4).cast("int").alias("top"))
+    rows = cost.select("scan_id", "rw").distinct().join(top, "scan_id")
     return pl.label_cutouts(rows, ["scan_id", "rw"], _flat)
 
 

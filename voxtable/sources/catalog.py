@@ -9,11 +9,28 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 #: What each modality and acquisition is called in file names. Fixed values.
-MODALITY_KEYS = {"CT": ["ct"], "SEG": ["msk", "seg"], "T1w": ["T1w", "T1", "t1"], "T2w": ["T2w", "dixon", "mr", "t2"], "Vibe": ["t1dixon", "vibe", "mevibe", "GRE"], "MPR": ["mpr", "MPR", "Mpr"]}
-ACQUISITION_KEYS = {"sag": ["sag", "sagittal"], "cor": ["cor", "coronal"], "ax": ["ax", "axial"], "iso": ["iso", "sag", "ax", "cor"]}
+MODALITY_KEYS = {
+    "CT": ["CT", "ct"],
+    "SEG": ["msk", "seg"],
+    "T1w": ["T1w", "t1", "T1", "T1c"],
+    "T2w": ["T2w", "dixon", "mr", "t2", "T2", "T2c"],
+    "Vibe": ["t1dixon", "vibe", "mevibe", "GRE"],
+    "MPR": ["mpr", "MPR", "Mpr"],
+}
+ACQUISITION_KEYS = {"ax": ["axial", "ax", "axl"], "cor": ["coronal", "cor"], "sag": ["sagittal", "sag"], "iso": ["iso", "ISO"]}
 UNSUPPORTED = ("PD", "FLAIR")
-#: Outputs of a scan: name, derivative folder and file suffix. Fixed values.
-OUTPUTS = [("out_spine", "seg-spine_msk.nii.gz"), ("out_vert", "seg-vert_msk.nii.gz"), ("out_spine_raw", "seg-spine-raw_msk.nii.gz"), ("out_vert_raw", "seg-vert-raw_msk.nii.gz"), ("out_unc", "seg-spine_uncertainty.nii.gz"), ("out_logits", "seg-spine_logit.npz"), ("out_snap", "snp.png"), ("out_snap2", "snp-copy.png"), ("out_ctd", "ctd.json"), ("out_debug", "debug"), ("out_raw", "raw"), ("out_center", "seg-center_msk.nii.gz")]
+#: Outputs of a scan: name, whether in the folder of raw outputs, segmentation, format and extension. Fixed values.
+OUTPUTS = [
+    ("out_spine", False, "spine", "msk", "nii.gz"),
+    ("out_spine_raw", True, "spine-raw", "msk", "nii.gz"),
+    ("out_vert", False, "vert", "msk", "nii.gz"),
+    ("out_vert_raw", True, "vert-raw", "msk", "nii.gz"),
+    ("out_unc", True, "spine", "uncertainty", "nii.gz"),
+    ("out_logits", True, "spine", "logit", "npz"),
+    ("out_snap", False, "spine", "snp", "png"),
+    ("out_ctd", False, "spine", "ctd", "json"),
+    ("out_vibeseg", False, "VIBESeg-100", "msk", "nii.gz"),
+]
 STAGES = ("semantic", "instance", "cleanup", "centroid", "snapshot")
 
 
@@ -33,24 +50,33 @@ def parse_entities(path: Column) -> tuple[Column, Column, Column]:
     return F.map_from_entries(first), F.element_at(tokens, -1), kind
 
 
+def _entity(catalog: DataFrame, name: str) -> Column:
+    """An entity's column; a table without it has files without it."""
+    return F.col(name) if name in catalog.columns else F.lit(None).cast("string")
+
+
 def select_scans(catalog: DataFrame, formats: Sequence[str], acqs: Sequence[str], ignore_filter: bool = False) -> DataFrame:
-    """Files to process: no segmentation, an allowed format, an allowed acquisition or none.
+    """Files to process: images that are no segmentation, of an allowed format, of an allowed acquisition or none.
 
-    Dixon files count only if in phase; files with a lesion or label entity do not. With
-    ``ignore_filter`` only the first rule and the subject's name hold.
+    Dixon files count only if in phase; files with a lesions or label entity do not, nor
+    does the subject "unsorted". With ``ignore_filter`` only file type and segmentation
+    are tested. ``filetype`` is tested where the table has it.
     """
-    out = catalog.filter(F.col("seg").isNull() & (F.col("subject").cast("string") != "unsorted"))
+    image = F.col("filetype") == "nii.gz" if "filetype" in catalog.columns else F.lit(True)
+    out = catalog.filter(image & F.col("seg").isNull())
     if ignore_filter:
         return out
     phase = (F.col("format") != "dixon") | F.coalesce(F.col("part") == "inphase", F.lit(False))
-    out = out.filter(F.col("format").isin(*formats) & phase & F.col("label").isNull())
+    out = out.filter((F.col("subject").cast("string") != "unsorted") & F.col("format").isin(*formats) & phase)
+    out = out.filter(F.col("label").isNull() & _entity(catalog, "lesions").isNull())
     return out.filter(F.col("acq").isNull() | F.col("acq").isin(*acqs))
 
 
-def family_pick(catalog: DataFrame, family: Sequence[str] = ("subject",)) -> DataFrame:
-    """One file a family: an in-phase one first, else a plain T2w; families without either have none."""
-    rank = F.when((F.col("format") == "dixon") & (F.col("part") == "inphase"), 1).when((F.col("format") == "T2w") & F.col("part").isNull(), 2)
-    ranked = catalog.withColumn("_r", rank).filter("_r is not null")
+def family_pick(catalog: DataFrame, family: Sequence[str] = ("subject",), chunk: str = "LWS") -> DataFrame:
+    """One T2w file of the chunk for each family: an in-phase one first, else one without a part; others have none."""
+    rank = F.when(F.col("part") == "inphase", 1).when(F.col("part").isNull(), 2)
+    image = F.col("filetype") == "nii.gz" if "filetype" in catalog.columns else F.lit(True)
+    ranked = catalog.filter(image & (F.col("format") == "T2w") & (F.col("chunk") == chunk)).withColumn("_r", rank).filter("_r is not null")
     return ranked.groupBy(*family).agg(F.min_by("file_id", F.struct("_r", "file_id")).alias("file_id"), F.min("_r").alias("choice"))
 
 
@@ -59,13 +85,23 @@ def find_paths(spark: SparkSession, root: str, glob: str) -> DataFrame:
     return scan_catalog(spark, root, glob).select("path")
 
 
-def derive_outputs(catalog: DataFrame, path: str = "path", folder: str = "derivatives") -> DataFrame:
-    """The output paths of each scan, long form: path, name, output."""
-    base = F.regexp_replace(F.col(path), r"[^/]+$", "")
-    stem = F.regexp_replace(F.regexp_extract(F.col(path), r"([^/.]+)[^/]*$", 1), r"_[^_]*$", "")
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("suffix")) for n, s in OUTPUTS]))
-    out = catalog.select(F.col(path).alias("path"), rows.alias("o"))
-    return out.select("path", "o.name", F.concat(base, F.lit(f"{folder}/"), stem, F.lit("_"), F.col("o.suffix")).alias("output"))
+def derive_outputs(catalog: DataFrame, path: str = "path", folder: str = "derivatives", snapshot_folder: str | None = None) -> DataFrame:
+    """The twelve output paths of each scan, long form: path, name, output.
+
+    The scan's own format becomes its ``mod`` entity; raw outputs stand in
+    ``output_raw_<format>``, ``out_debug`` and ``out_raw`` are folders. ``out_snap2`` is the
+    snapshot in ``snapshot_folder``, or the snapshot itself.
+    """
+    stem = F.regexp_extract(F.col(path), r"([^/.]+)[^/]*$", 1)
+    kind, name = F.regexp_extract(stem, r"([^_]*)$", 1), F.regexp_replace(F.regexp_replace(stem, r"_[^_]*$", ""), r"_(seg|mod)-[^_]*", "")
+    base = F.concat(F.regexp_replace(F.col(path), r"[^/]+$", ""), F.lit(folder))
+    raw = F.concat(base, F.lit("/output_raw_"), kind)
+    file = lambda seg, fmt, ext: F.concat(name, F.lit("_mod-"), kind, F.lit(f"_seg-{seg}_{fmt}.{ext}"))
+    rows = [(n, F.concat_ws("/", raw if deep else base, file(seg, fmt, ext))) for n, deep, seg, fmt, ext in OUTPUTS]
+    rows += [("out_snap2", F.concat_ws("/", F.lit(snapshot_folder) if snapshot_folder else base, file("spine", "snp", "png")))]
+    rows += [("out_debug", F.concat(base, F.lit("/debug_"), kind)), ("out_raw", raw)]
+    out = catalog.select(F.col(path).alias("path"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("output")) for n, c in rows])).alias("o"))
+    return out.select("path", "o.name", "o.output")
 
 
 def disc_output_name(path: Column, suffix: str) -> Column:
@@ -85,7 +121,7 @@ def resume_filter(scans: DataFrame, manifest: DataFrame, override: DataFrame | N
     return out
 
 
-def stage_plan(scans: DataFrame, manifest: DataFrame, override: Sequence[str] = (), cascade: bool = True) -> DataFrame:
+def stage_plan(scans: DataFrame, manifest: DataFrame, override: Sequence[str] = (), cascade: bool = False) -> DataFrame:
     """Which stages run: a missing or overridden output, or an earlier stage that runs.
 
     ``manifest`` (scan_id, stage). With ``cascade`` a new semantic mask also redoes the
@@ -172,17 +208,23 @@ def model_pair_compat(models: DataFrame, pairs: DataFrame) -> DataFrame:
 def scan_model_compat(scans: DataFrame, models: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
     """Every scan with every model: whether it may be used and the reasons against it.
 
-    ``models`` (model_id, formats array, acquisition) is a short list. Ignored reasons are
-    kept with a mark and don't count.
+    ``models`` (model_id, formats array, acquisition). A scan fits the model's acquisition by
+    any of its names, if it is isotropic or says nothing; the plane that its array shows
+    (``plane``, where the table has it) must agree as well, and debug files (by name or
+    folder of ``path``) never fit. Ignored reasons are kept with a mark and don't count.
+    The result is the product of both tables; Spark broadcasts the models if they are few.
     """
-    met = scans.crossJoin(F.broadcast(models.limit(1000)))
+    met = scans.crossJoin(models.select("model_id", "formats", F.concat(acq_keys(F.col("acquisition")), F.array(F.lit("iso"))).alias("_acqs")))
+    plane, path = _entity(scans, "plane"), _entity(scans, "path")
     tests = {
         "format": ~F.array_contains("formats", F.col("format")),
         "seg": F.col("seg").isNotNull(),
-        "acq": F.col("acq").isNotNull() & (F.col("acq") != "iso") & (F.col("acq") != F.col("acquisition")),
+        "acq": F.col("acq").isNotNull() & ~F.array_contains("_acqs", F.col("acq")),
         "label": F.col("label").isNotNull(),
+        "debug": path.rlike(r"debug[^/]*(/[^/]*)?$"),
+        "plane": plane.isNotNull() & ~F.array_contains("_acqs", plane),
     }
-    reasons = F.array_compact(F.array(*[F.when(t, F.lit(f"{k} (ignored)" if k in ignore else k)) for k, t in tests.items()]))
+    reasons = F.array_compact(F.array(*[F.when(t, F.lit(f"{k} (ignored)" if k in ignore and k not in ("debug", "plane") else k)) for k, t in tests.items()]))
     out = met.withColumn("reasons", reasons)
     return out.withColumn("compatible", ~F.exists("reasons", lambda r: ~r.endswith("(ignored)"))).select("file_id", "model_id", "compatible", "reasons")
 
