@@ -83,3 +83,23 @@ def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     assert got(op1_warc(spark, sf)) == expect(rows)
+
+
+def test_damaged_and_cut_records_are_errors():
+    import pytest
+
+    rng = random.Random(1)
+    members = []
+    for i in range(5):
+        payload = bytes(rng.randrange(97, 123) for _ in range(3000))
+        row = {"record_id": f"urn:x:{i}", "record_type": "response", "target_uri": None, "refers_to": None, "payload": payload, "payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest()}
+        zipper = zlib.compressobj(5, zlib.DEFLATED, 31)
+        members.append(zipper.compress(record(row, "1970-01-01T00:00:00Z")) + zipper.flush())
+    raw = b"".join(members)
+    read = lambda data: list(records_in(pa.PythonFile(io.BytesIO(data), mode="r"), 0, len(data), len(data)))
+    assert len(read(raw)) == 5
+    at = len(members[0]) + 900
+    with pytest.raises(ValueError, match="damaged"):
+        read(raw[:at] + bytes([raw[at] ^ 255, raw[at + 1] ^ 255, raw[at + 2] ^ 255]) + raw[at + 3 :])
+    with pytest.raises(ValueError, match="cut short"):
+        read(raw[:-200])

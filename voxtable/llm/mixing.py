@@ -120,19 +120,23 @@ class Mix:
         part = F.greatest(F.lit(0), F.least(F.col("_size"), F.floor((F.col("_limit") - sofar) / F.col("_k"))))
         self.parts = staged(same.select("_s", F.col("_h").alias("_h"), "_size", part.cast("long").alias("_part")), "mix-parts")
 
+    def place(self, shard: Column, copy: Column) -> Column:
+        """Where a copy stands among its shard's: shards are sorted by it."""
+        return F.xxhash64(F.lit(self.seed + 3), shard, F.col("_h"), copy)
+
     def taken(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (_src, _size, _h, ...) with ``copies``: pass, shard, words of every copy taken, and ``taken``."""
+        """``rows`` (_src, _size, _h, ...) with ``copies``: pass, shard, words and place of every copy taken, and ``taken``."""
         out = self._blocked(rows)
         out = out.join(small_side(self.blocks.drop("_limit")), ["_s", "_block"], "left")
         out = out.join(small_side(self.parts), ["_s", "_h", "_size"], "left")
         words = lambda u: F.when(u["cut"], F.coalesce(F.col("_part"), F.lit(0))).otherwise(F.col("_size"))
-        copies = F.transform(F.coalesce("_units", F.array().cast("array<struct<_pass:int,_shard:int,cut:boolean>>")), lambda u: F.struct(u["_pass"].alias("copy"), u["_shard"].alias("shard"), words(u).cast("long").alias("words")))
+        copies = F.transform(F.coalesce("_units", F.array().cast("array<struct<_pass:int,_shard:int,cut:boolean>>")), lambda u: F.struct(u["_pass"].alias("copy"), u["_shard"].alias("shard"), words(u).cast("long").alias("words"), self.place(u["_shard"], u["_pass"]).alias("place")))
         out = out.withColumn("copies", F.filter(copies, lambda c: c["words"] > 0))
         return out.withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"]))
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """One row per document: ``id_col, size, source_size, target, taken, copies``.
+    """One row per document: ``id_col, size, source_size, target, taken, copies``: with every copy's shard and place there.
 
     Sizes count words; a null text has none. Sources stand in code point order, null last,
     and share the total by the repeating weights. Order and draws depend on the seed, the
@@ -141,7 +145,7 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     """
     if docs.isEmpty():
         kind = docs.schema[id_col].dataType.simpleString()
-        return docs.sparkSession.createDataFrame([], f"{id_col} {kind}, size long, source_size long, target double, taken long, copies array<struct<copy:int,shard:int,words:long>>")
+        return docs.sparkSession.createDataFrame([], f"{id_col} {kind}, size long, source_size long, target double, taken long, copies array<struct<copy:int,shard:int,words:long,place:long>>")
     mix = Mix(docs, id_col, source_col, text_col, **options)
     return mix.taken(mix.rows).select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", "taken", "copies")
 
@@ -162,6 +166,6 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     dealt = rows.select(
         F.col("_row").withField(text_col, text).alias("_row"),
         F.col("_copy.shard").alias("_shard"),
-        F.xxhash64(F.lit(mix.seed + 3), "_copy.shard", "_h", "_copy.copy").alias("_place"),
+        F.col("_copy.place").alias("_place"),
     )
     return unpacked(dealt.repartitionById(mix.shards, F.col("_shard")).sortWithinPartitions("_place"))

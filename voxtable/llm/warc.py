@@ -110,21 +110,36 @@ def records_in(file: pa.NativeFile, start: int, end: int, size: int) -> Iterator
 
 
 def _member(file: pa.NativeFile, at: int, size: int) -> tuple[bytes, int] | None:
-    """The record in the member at ``at`` and the end of the member; None if no record starts there."""
-    unzip, out, block = zlib.decompressobj(31), [], PROBE
+    """The record in the member at ``at`` and the end of the member; None if no record starts there.
+
+    Once the first bytes have decoded to a WARC header, a damaged or cut member is an error:
+    no record is lost without notice.
+    """
+    unzip, start, probe = zlib.decompressobj(31), at, file.read_at(min(PROBE, size - at), at)
+    out = b""
     try:
-        while not unzip.eof:
-            data = file.read_at(min(block, size - at), at)
-            if not data:
-                return None
-            out.append(unzip.decompress(data))
-            at += len(data)
-            if block == PROBE and not b"".join(out).startswith(VERSION):
+        for k in range(0, len(probe), 16):  # bit by bit, so that damage behind the header doesn't hide it
+            out += unzip.decompress(probe[k : k + 16])
+            if not VERSION.startswith(out[: len(VERSION)]):
                 return None
-            block = BLOCK // 16
+            if len(out) >= len(VERSION):
+                break
     except zlib.error:
         return None
-    return b"".join(out), at - len(unzip.unused_data)
+    if not out.startswith(VERSION):
+        return None
+    parts, data, at = [out], probe[k + 16 :], at + len(probe)
+    try:
+        while True:
+            parts.append(unzip.decompress(data))
+            if unzip.eof:
+                return b"".join(parts), at - len(unzip.unused_data)
+            data = file.read_at(min(BLOCK // 16, size - at), at)
+            if not data:
+                raise ValueError(f"the WARC record at byte {start} is cut short")
+            at += len(data)
+    except zlib.error as error:
+        raise ValueError(f"the WARC record at byte {start} is damaged") from error
 
 
 class _Written(WriterCommitMessage):
