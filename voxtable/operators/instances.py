@@ -6,11 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from voxtable.functions.labels import CLASSES
+from voxtable.functions.labels import CLASSES, L5, T11, T12
 from voxtable.operators import labelling as la, neighbours as nb, regions as rg, voxels as vx
 from voxtable.operators.voxels import AXES, KEY
 from voxtable.plans.storage import staged
 
+#: Label of the dens in the semantic mask, where a model has one.
+DENS = 51
+
 
 def separating_components(vox: DataFrame, scans: DataFrame, most: int = 10) -> DataFrame:
     """Two seeds of each flagged region (KEY, inst): erode until it falls apart, at most ``most`` rounds.
@@ -110,19 +113,57 @@ def endplate_coverage(split: DataFrame, plates: DataFrame) -> DataFrame:
     return n.join(k, "scan_id", "left").select("scan_id", F.round(100 * F.coalesce("k", F.lit(0)) / F.col("n"), 6).alias("per_cent"))
 
 
-def label_instances(inst: DataFrame, heads: DataFrame, c1: bool = False) -> DataFrame:
+def forced_rows(own: DataFrame, sem: DataFrame, scans: DataFrame, ranked: DataFrame, dens: int, least_mm3: float = 250.0) -> DataFrame:
+    """Rows (scan_id, rw, cls) that must be C2, the instance with most dens volume if that is enough, and C1, the label before."""
+    marked = own.join(sem.filter(F.col("sem") == dens).select(*KEY), KEY, "left_semi")
+    sizes = marked.groupBy("scan_id", F.col("inst").alias("label")).count().join(scans.select("scan_id", (F.col("zp") * F.col("zi") * F.col("zr")).alias("_z")), "scan_id")
+    most = sizes.groupBy("scan_id").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("label"), F.max(F.col("count") * F.col("_z")).alias("_v"))
+    second = most.filter(F.col("_v") > least_mm3).select("scan_id", "label", F.lit(1).alias("cls"))
+    first = second.filter("label <> 1").select("scan_id", (F.col("label") - 1).alias("label"), F.lit(0).alias("cls"))
+    return second.unionByName(first).join(ranked, ["scan_id", "label"]).select("scan_id", "rw", "cls")
+
+
+def label_instances(
+    inst: DataFrame,
+    heads: DataFrame,
+    c1: bool = False,
+    sem: DataFrame | None = None,
+    scans: DataFrame | None = None,
+    corpus: Sequence[int] = (49, 50, DENS),
+    dens: int = DENS,
+    anomalies: bool = True,
+    boost: float = 1.0,
+) -> DataFrame:
     """Rename instances by their decoded labels: fuse heads, decode, fix transitional vertebrae, keep matched ones.
 
-    ``heads`` (scan_id, rw, region, vert, grp, visible); rows count instances from top to
-    bottom. With ``c1`` the topmost instance is C1 if the next is C2.
+    ``heads`` (scan_id, rw, region, vert, grp, visible; ``vertrel`` and ``vt13`` if there are);
+    rows count instances from top to bottom: those of 1..25 and 28 that have a voxel of
+    ``corpus`` where ``sem`` is given. With ``c1`` the row with most dens is forced to be C2
+    and the label before it C1 (this needs ``sem`` and ``scans``); if C2 is found, C1 is not
+    and the lowest label is unmatched, that one becomes C1. Without ``anomalies`` T11 is
+    never left out and T12 never repeated.
     """
-    ranked = rg.ordered_by_height(rg.region_stats(inst, "inst").filter(F.col("label").between(1, 25) | (F.col("label") == 28)), "_k").select("scan_id", "label", (F.col("_k") - 1).alias("rw"))
-    fused = la.head_fusion(heads)
-    cost = fused.select("scan_id", "rw", F.posexplode(F.transform("cost", lambda x: -x)).alias("cls", "w"))
-    labels = la.fix_transitional(la.exploded(la.decode_sequence(cost, classes=CLASSES, start=0 if c1 else 1)))
-    names = ranked.join(labels, ["scan_id", "rw"]).select("scan_id", ranked["label"], labels["label"].alias("new_label"))
-    table = names.select("scan_id", F.col("label").alias("inst"), "new_label")
-    return inst.join(table, ["scan_id", "inst"]).select(*KEY, F.col("new_label").alias("inst"))
+    own = inst if sem is None else inst.join(sem.filter(F.col("sem").isin(*corpus)).select(*KEY), KEY, "left_semi")
+    ranked = rg.ordered_by_height(rg.region_stats(own, "inst").filter(F.col("label").between(1, 25) | (F.col("label") == 28)), "_k").select("scan_id", "label", (F.col("_k") - 1).alias("rw"))
+    forced = forced_rows(own, sem, scans, ranked, dens) if c1 and sem is not None and scans is not None else None
+    cost = la.head_fusion(heads, boost, forced=forced).select("scan_id", "rw", F.posexplode(F.transform("cost", lambda x: -x)).alias("cls", "w"))
+    paths = la.decode_sequence(
+        cost,
+        classes=CLASSES,
+        start=0 if c1 else 1,
+        rel=la.relative_costs(heads) if "vertrel" in heads.columns else None,
+        t13=la.t13_costs(heads) if "vt13" in heads.columns else None,
+        repeat=(T12, L5) if anomalies else (L5,),
+        skip=(T11,) if anomalies else (),
+    )
+    labels = la.fix_transitional(la.exploded(paths))
+    names = ranked.join(labels, ["scan_id", "rw"]).select("scan_id", ranked["label"].alias("inst"), labels["label"].alias("new_label"))
+    if c1:
+        has = lambda x: F.max(F.col("new_label") == x)
+        ready = names.groupBy("scan_id").agg(has(1).alias("_1"), has(2).alias("_2")).filter("_2 and not _1")
+        lowest = inst.groupBy("scan_id").agg(F.min("inst").alias("inst")).join(ready.select("scan_id"), "scan_id")
+        names = names.unionByName(lowest.join(names, ["scan_id", "inst"], "left_anti").withColumn("new_label", F.lit(1)))
+    return inst.join(names, ["scan_id", "inst"]).select(*KEY, F.col("new_label").alias("inst"))
 
 
 def reconcile(sem: DataFrame, inst: DataFrame, scans: DataFrame, vertebra: Sequence[int] = (41, 42, 49), fill: bool = False) -> tuple[DataFrame, DataFrame]:

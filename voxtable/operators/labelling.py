@@ -6,7 +6,7 @@ bounded; all scans are decoded in one job with one shuffle by scan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from math import exp
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from voxtable.functions.labels import CLASSES, L5, REGION_STARTS, T11, T12, group_expand, region_broadcast, region_of
 
 TINY = 1e-8
+#: Score of a class that a row is forced to have; rows to each side that the relative head is smoothed over.
+FORCED, REL_RADIUS = 1e6, 1
 
 
 def kernel(sigma: float, radius: int) -> list[float]:
@@ -21,21 +23,27 @@ def kernel(sigma: float, radius: int) -> list[float]:
     return [x / sum(w) for x in w]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it stands in the result."""
+    return F.transform(F.array(value), use)[0]
+
+
 def gauss_array(values: Column, sigma: float, radius: int, blocks: Sequence[tuple[int, int]]) -> Column:
     """Smooth an array within each block [start, end); beyond a block its end values go on."""
     weights = kernel(sigma, radius)
 
-    def block(start: int, end: int) -> Column:
+    def block(v: Column, start: int, end: int) -> Column:
         at = F.sequence(F.lit(start), F.lit(end - 1))
-        term = lambda j, k: values[F.greatest(F.lit(start), F.least(F.lit(end - 1), j + (k - radius)))] * F.lit(weights[k])
+        term = lambda j, k: v[F.greatest(F.lit(start), F.least(F.lit(end - 1), j + (k - radius)))] * F.lit(weights[k])
         return F.transform(at, lambda j: sum((term(j, k) for k in range(1, len(weights))), term(j, 0)))
 
-    return F.concat(*[block(a, b) for a, b in blocks])
+    return bound(values, lambda v: F.concat(*[block(v, a, b) for a, b in blocks]))
 
 
 def normalised(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) + TINY
-    return F.transform(values, lambda x: x / total)
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) + TINY
+    summed = bound(values, lambda v: F.struct(v.alias("v"), total(v).alias("t")))
+    return bound(summed, lambda s: F.transform(s["v"], lambda x: x / s["t"]))
 
 
 def region_blocks(regionwise: bool = True) -> list[tuple[int, int]]:
@@ -93,21 +101,39 @@ def softmax_rows(df: DataFrame, temperature: float, value: str = "w") -> DataFra
     return df.withColumn(value, e / F.sum(e).over(W.partitionBy("scan_id", "cls")))
 
 
-def head_fusion(heads: DataFrame, boost: float = 3.0, weights: Sequence[float] = (1.1, 0.9, 0.8)) -> DataFrame:
+def head_fusion(heads: DataFrame, boost: float = 3.0, weights: Sequence[float] = (1.1, 0.9, 0.8), forced: DataFrame | None = None) -> DataFrame:
     """Cost vectors from heads (scan_id, rw, region, vert, grp, visible), arrays but ``visible``.
 
-    A weighted sum of the prepared heads is normalised, the class of the first row is
-    boosted if it is the second vertebra, and visibility scales the whole.
+    A weighted sum of the prepared heads is normalised; a vector whose best class is the
+    second vertebra is boosted, and visibility scales the whole. Rows of ``forced``
+    (scan_id, rw, cls) have FORCED for their class and 0 for the others.
     """
+    every = F.sequence(F.lit(0), F.lit(CLASSES - 1))
+    parts = F.struct(prepare_region(F.col("region")).alias("r"), prepare_vert(F.col("vert")).alias("v"), prepare_group(F.col("grp")).alias("g"))
+    mixed = bound(parts, lambda s: F.transform(every, lambda c: s["r"][c] * weights[0] + s["v"][c] * weights[1] + s["g"][c] * weights[2]))
+    best = bound(normalised(mixed), lambda m: F.struct(m.alias("m"), (F.array_position(m, F.array_max(m)) == 2).alias("second")))
     sized = visible_weight(heads, "visible", "_w")
-    parts = [prepare_region(F.col("region")), prepare_vert(F.col("vert")), prepare_group(F.col("grp"))]
-    for k, p in enumerate(parts):
-        sized = sized.withColumn(f"_p{k}", p)
-    mixed = F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda c: F.col("_p0")[c] * weights[0] + F.col("_p1")[c] * weights[1] + F.col("_p2")[c] * weights[2])
-    sized = sized.withColumn("_m", normalised(mixed))
-    top = F.array_position("_m", F.array_max("_m")) - 1
-    boosted = F.transform("_m", lambda x, c: F.when((top == 1) & (c == 1), x * boost).otherwise(x))
-    return sized.withColumn("cost", F.transform(boosted, lambda x: x * F.col("_w"))).select("scan_id", "rw", "cost")
+    cost = bound(best, lambda s: F.transform(s["m"], lambda x: x * F.when(s["second"], boost).otherwise(1.0) * F.col("_w")))
+    out = sized.withColumn("cost", cost).select("scan_id", "rw", "cost")
+    if forced is None:
+        return out
+    own = F.transform(every, lambda c: F.when(c == F.col("_c"), FORCED).otherwise(0.0))
+    out = out.join(forced.select("scan_id", "rw", F.col("cls").alias("_c")), ["scan_id", "rw"], "left")
+    return out.select("scan_id", "rw", F.when(F.col("_c").isNull(), F.col("cost")).otherwise(own).alias("cost"))
+
+
+def relative_costs(heads: DataFrame, col: str = "vertrel", weight: float = 0.6, sigma: float = 0.6, radius: int = REL_RADIUS) -> DataFrame:
+    """Costs (scan_id, rw, col, w) of the decoder from the relative head (scan_id, rw, array): smoothed down the rows, columns normalised."""
+    rows = heads.select("scan_id", "rw", F.posexplode(col).alias("col", "v"))
+    smooth = gauss_rows(rows, "v", "s", sigma, radius, ["scan_id", "col"], ["rw"])
+    rows = smooth.select("scan_id", "rw", "col", F.when(F.col("col") == 0, F.col("v")).otherwise(F.col("s")).alias("w"))
+    return normalize_columns_rel(rows).withColumn("w", F.col("w") * -weight)
+
+
+def t13_costs(heads: DataFrame, col: str = "vt13", weight: float = 0.4) -> DataFrame:
+    """Costs (scan_id, rw, w) of a second T12 from the T13 head (scan_id, rw, array of two)."""
+    rows = heads.select("scan_id", "rw", F.posexplode(col).alias("col", "w"))
+    return normalize_columns_t13(rows).filter("col = 1").select("scan_id", "rw", (F.col("w") * -weight).alias("w"))
 
 
 def decode_sequence(

@@ -197,7 +197,7 @@ x as (select scan_id, rw, a, [a[case when c < 7 then 1 when c < 19 then 2 else 3
 y as (select scan_id, rw, {_smooth('rg', 0.75, 1, '[0, 23]')} as rg, {_smooth('a', 0.85, 2, REGIONS)} as vt, {_smooth('gp', 0.85, 2, REGIONS)} as gp from x),
 z as (select scan_id, rw, [rg[c + 1] / (list_sum(rg) + 1e-8::double) * 1.1 + vt[c + 1] / (list_sum(vt) + 1e-8::double) * 0.9 + gp[c + 1] / (list_sum(gp) + 1e-8::double) * 0.8 for c in range(24)] as m from y),
 n as (select scan_id, rw, [q / (list_sum(m) + 1e-8::double) for q in m] as m from z)
-select scan_id, rw, [round(m[c + 1] * case when c = 1 and list_position(m, list_max(m)) = 2 then 3 else 1 end * vw, 6) for c in range(24)] as cost from n join vs using (scan_id, rw)"""))
+select scan_id, rw, [round(m[c + 1] * case when list_position(m, list_max(m)) = 2 then 3 else 1 end * vw, 6) for c in range(24)] as cost from n join vs using (scan_id, rw)"""))
 def i20(s, d):
     h = _heads(s, d)
     heads = h.select("scan_id", "rw", F.slice("a", 1, 3).alias("region"), F.col("a").alias("vert"), F.slice("a", 1, 12).alias("grp"), F.col("a")[3].alias("visible"))
