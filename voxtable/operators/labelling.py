@@ -272,3 +272,23 @@ def group_sequence_to_class(groups: DataFrame) -> DataFrame:
         .when(F.col("_after"), F.col("_head") + F.col("_size") - F.col("_n") + F.col("_k"))
     )
     return out.select("scan_id", "rw", "grp", value.cast("int").alias("cls"))
+
+
+def argmin_first(df: DataFrame, keys: Sequence[str], value: str = "w", index: str = "cls") -> DataFrame:
+    """Least value of each group and the first index that has it."""
+    return df.groupBy(*keys).agg(F.min(value).alias(value), F.min_by(index, F.struct(value, index)).cast("int").alias(index))
+
+
+def path_in_row_order(df: DataFrame, keys: Sequence[str] = ("scan_id",), row: str = "rw", value: str = "cls", out: str = "path") -> DataFrame:
+    """The values of each group as one array in the order of the rows."""
+    return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(row, value))), lambda x: x[value]).alias(out))
+
+
+def flattened(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Values nested by the columns of ``order``, outermost first, as one array, depth first."""
+    nested = df
+    for depth in range(len(order), 0, -1):
+        nested = path_in_row_order(nested, [*keys, *order[: depth - 1]], order[depth - 1], value if depth == len(order) else out, out)
+        if depth < len(order):
+            nested = nested.withColumn(out, F.flatten(out))
+    return nested

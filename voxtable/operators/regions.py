@@ -191,3 +191,40 @@ def asof_lower(points: DataFrame, bases: DataFrame) -> DataFrame:
     hit = both.withColumn("_hit", F.max("_b").over(below)).filter("label is not null")
     out = hit.join(first, "scan_id").withColumn("_use", F.coalesce("_hit", "_first"))
     return out.select("scan_id", "label", F.col("_use.base").alias("base"), F.col("_use.ci").alias("base_ci"), F.col("_hit").isNull().alias("above_all"))
+
+
+def relative_overlap(new: DataFrame, claimed: DataFrame, keys: Sequence[str], group: Sequence[str]) -> DataFrame:
+    """Share of each group's voxels in ``new`` that are in ``claimed`` as well."""
+    hit = claimed.select(*keys).distinct().withColumn("_hit", F.lit(1))
+    joined = new.select(*dict.fromkeys([*keys, *group])).distinct().join(hit, list(keys), "left")
+    return joined.groupBy(*group).agg((F.count("_hit") / F.count(F.lit(1))).alias("share"))
+
+
+def duplicate_assignments(verts: DataFrame, assigned: DataFrame, first: int = 1) -> DataFrame:
+    """Vertebrae (scan_id, label) with several discs or none; the topmost label may have none. ``assigned`` (scan_id, base)."""
+    own = assigned.select("scan_id", F.col("base").alias("label"), F.lit(1).alias("_one"))
+    n = verts.select("scan_id", "label").join(own, ["scan_id", "label"], "left").groupBy("scan_id", "label").agg(F.count("_one").alias("discs"))
+    return n.filter(((F.col("discs") == 0) & (F.col("label") != first)) | (F.col("discs") > 1))
+
+
+def box_overlap(a: DataFrame, b: DataFrame, margin: int = 0, block: int = 16) -> DataFrame:
+    """Pairs (scan_id, a, b) of labels whose boxes meet on all axes, borders included, with a margin of height.
+
+    Boxes meet in blocks of height, so only boxes of about the same height are compared.
+    """
+    cut = lambda c: F.floor(c / block).cast("int")
+    sides = [f"{x}{n}" for x in AXES for n in (0, 1)]
+    left = a.select("scan_id", F.col("label").alias("a"), *sides, F.explode(F.sequence(cut(F.col("i0") - margin), cut(F.col("i1") + margin))).alias("_k"))
+    right = b.select("scan_id", F.col("label").alias("b"), *[F.col(c).alias(f"o{c}") for c in sides], F.explode(F.sequence(cut(F.col("i0")), cut(F.col("i1")))).alias("_k"))
+    out = left.join(right, ["scan_id", "_k"])
+    for x in AXES:
+        m = margin if x == "i" else 0
+        out = out.filter((F.col(f"{x}0") - m <= F.col(f"o{x}1")) & (F.col(f"o{x}0") - m <= F.col(f"{x}1")))
+    return out.select("scan_id", "a", "b").distinct()
+
+
+def running_min_fill(vox: DataFrame, value: str, out: str = "filled", axis: str = "i") -> DataFrame:
+    """Each line along ``axis`` takes over the least value met so far."""
+    line = [a for a in AXES if a != axis]
+    w = W.partitionBy("scan_id", *line).orderBy(axis).rowsBetween(W.unboundedPreceding, 0)
+    return vox.withColumn(out, F.min(value).over(w))

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from voxtable.functions.units import argmax_class
 from voxtable.operators.voxels import AXES, KEY
 
 
@@ -123,3 +124,18 @@ def rotated_patches(patches: DataFrame, size: Sequence[int]) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in patches.schema}
     return patches.groupBy("scan_id", "com_idx").applyInPandas(turn, f"scan_id {kinds['scan_id']}, com_idx {kinds['com_idx']}, p int, i int, r int, value double")
+
+
+def scores_to_mask(scored: DataFrame, keys: Sequence[str], corners: DataFrame | None = None, axes: Sequence[str] = ("p", "i", "r")) -> DataFrame:
+    """Best class of each voxel, background left out, put back into the whole frame.
+
+    ``corners`` (scan_id, p, i, r): where each scan's crop box starts; ``axes``: the axes that the
+    score's p, i and r are, undone here. The first of equal scores wins.
+    """
+    out = scored.select(*keys, argmax_class(F.col("scores")).alias("cls")).filter("cls > 0")
+    others = [k for k in keys if k not in ("p", "i", "r")]
+    out = out.select(*others, *[F.col(a).alias(to) for a, to in zip(("p", "i", "r"), axes, strict=True)], "cls")
+    if corners is not None:
+        start = corners.select("scan_id", *[F.col(a).alias(f"_{a}") for a in ("p", "i", "r")])
+        out = out.join(start, "scan_id").select(*others, *[(F.col(a) + F.col(f"_{a}")).cast("int").alias(a) for a in ("p", "i", "r")], "cls")
+    return out.select(*keys, "cls")

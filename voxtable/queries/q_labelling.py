@@ -65,9 +65,7 @@ def p30(s, d):
 
 @register("p34_flatten", ctes("cost", "select scan_id, list(w order by rw, cls) as ws from cost group by scan_id"))
 def p34(s, d):
-    rows = view(s, d, "cost").groupBy("scan_id", "rw").agg(F.transform(F.array_sort(F.collect_list(F.struct("cls", "w"))), lambda x: x["w"]).alias("ws"))
-    nested = rows.groupBy("scan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rw", "ws"))), lambda x: x["ws"]).alias("n"))
-    return nested.select("scan_id", F.flatten("n").alias("ws"))
+    return la.flattened(view(s, d, "cost"), ["scan_id"], ["rw", "cls"], "w", "ws")
 
 
 @register("p35_angle_between", ctes("vox", ", m as (select scan_id, inst, avg(p) + 1 as x, avg(i) + 1 as y, avg(r) + 1 as z from vox where inst > 0 group by all) select scan_id, inst, round(degrees(acos(y / sqrt(x * x + y * y + z * z))) * case when (x - z) < 0 then -1 else 1 end, 5) as angle from m"))
@@ -231,13 +229,12 @@ def i21b(s, d):
 
 @register("t4_argmin_first", ctes("cost", "select scan_id, rw, min(w) as w, cast(arg_min(cls, struct_pack(a := w, c := cls)) as int) as cls from cost group by all"))
 def t4(s, d):
-    return view(s, d, "cost").groupBy("scan_id", "rw").agg(F.min("w").alias("w"), F.min_by("cls", F.struct("w", "cls")).cast("int").alias("cls"))
+    return la.argmin_first(view(s, d, "cost"), ["scan_id", "rw"])
 
 
 @register("t6_path_in_row_order", ctes("cost", "select scan_id, list(cls order by rw) as path from (select scan_id, rw, cast(arg_min(cls, struct_pack(a := w, c := cls)) as int) as cls from cost group by all) group by scan_id"))
 def t6(s, d):
-    best = t4(s, d)
-    return best.groupBy("scan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rw", "cls"))), lambda x: x["cls"]).alias("path"))
+    return la.path_in_row_order(t4(s, d))
 
 
 SEQ = ", sq as (select subject as scan_id, row_number() over (partition by subject order by label) - 1 as rw, label - 1 as c from subject_labels), s2 as (select scan_id, rw, cast(case when scan_id % 3 = 0 and c > 18 then c - 1 when scan_id % 3 = 1 and c = 24 then 23 else c end as int) as cls from sq where not (scan_id % 3 <> 1 and c = 24))"

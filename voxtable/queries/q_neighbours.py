@@ -206,9 +206,4 @@ def i19(s, d):
 @register("j7_box_overlap", ctes("vox", ", st as (select scan_id, inst as label, min(p) p0, max(p) p1, min(i) i0, max(i) i1, min(r) r0, max(r) r1 from vox where inst > 0 group by all) select a.scan_id, a.label as a, b.label as b from st a join st b on a.scan_id = b.scan_id and a.label < b.label and a.p0 <= b.p1 and b.p0 <= a.p1 and a.r0 <= b.r1 and b.r0 <= a.r1 and a.i0 - 3 <= b.i1 and b.i0 - 3 <= a.i1"))
 def j7(s, d):
     st = rg.region_stats(view(s, d, "vox"), "inst")
-    cols = [f"{a}{n}" for a in vx.AXES for n in (0, 1)]
-    a, b = st.select("scan_id", F.col("label").alias("a"), *cols), st.select("scan_id", F.col("label").alias("b"), *[F.col(c).alias(f"o{c}") for c in cols])
-    out = a.join(b, "scan_id").filter("a < b")
-    for x, m in (("p", 0), ("r", 0), ("i", 3)):
-        out = out.filter((F.col(f"{x}0") - m <= F.col(f"o{x}1")) & (F.col(f"o{x}0") - m <= F.col(f"{x}1")))
-    return out.select("scan_id", "a", "b")
+    return rg.box_overlap(st, st, margin=3).filter("a < b")

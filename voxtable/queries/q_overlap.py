@@ -153,10 +153,16 @@ def _threshold():
 
 @register("m5_m7_score_to_mask", ctes("vox", "select scan_id, p, i, r, cast(intensity > 750 as int) as cls from vox where intensity > 750"))
 def m5(s, d):
-    from voxtable.functions.units import argmax_class
+    scored = tl.score(view(s, d, "vox").select(*vx.KEY, "intensity"), vx.KEY, _threshold)
+    return tl.scores_to_mask(scored, vx.KEY)
+
 
+@register("m7_scores_to_mask", ctes("vox", "select scan_id, p + 2 as r, i + 3 as i, r + 1 as p, 1 as cls from vox where intensity > 750"))
+def m7(s, d):
+    """The score's axes are r, i, p; its crop starts at (1, 3, 2)."""
     scored = tl.score(view(s, d, "vox").select(*vx.KEY, "intensity"), vx.KEY, _threshold)
-    return scored.select(*vx.KEY, argmax_class(F.col("scores")).alias("cls")).filter("cls > 0")
+    corners = view(s, d, "scans").select("scan_id", F.lit(1).alias("p"), F.lit(3).alias("i"), F.lit(2).alias("r"))
+    return tl.scores_to_mask(scored, vx.KEY, corners, ("r", "i", "p"))
 
 
 @register("m6_rotated_patches", None)

@@ -65,8 +65,8 @@ o as (select a.scan_id, a.com_idx, count(*) as n, count(b.p) as claimed from v a
 select scan_id, com_idx, round(claimed / n, 6) as share from o"""))
 def a12(s, d):
     v = view(s, d, "preds").select(*vx.KEY, "com_idx").distinct()
-    before = v.select(*vx.KEY, (F.col("com_idx") + 1).alias("com_idx"), F.lit(1).alias("hit"))
-    return v.join(before, [*vx.KEY, "com_idx"], "left").groupBy("scan_id", "com_idx").agg(F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("share"))
+    before = v.select(*vx.KEY, (F.col("com_idx") + 1).alias("com_idx"))
+    return rg.relative_overlap(v, before, [*vx.KEY, "com_idx"], ["scan_id", "com_idx"]).withColumn("share", F.round("share", 6))
 
 
 @register("a16_centroids", ctes("vox", """select scan_id, inst as vert, case when inst = 26 then 50 else sem end as subreg, round(sum(p) / count(*), 6) as cp, round(sum(i) / count(*), 6) as ci, round(sum(r) / count(*), 6) as cr
@@ -92,9 +92,7 @@ def a20(s, d):
     vox = view(s, d, "vox")
     discs = vox.filter("sem = 100").groupBy("scan_id", F.col("i").alias("label")).agg((F.sum(F.col("i").cast("long")) / F.count(F.lit(1))).alias("ci"))
     verts = rg.region_stats(vox, "inst").select("scan_id", "label", "ci")
-    at = rg.asof_lower(discs, verts).select("scan_id", F.col("base").alias("label"), F.lit(1).alias("one"))
-    n = verts.join(at, ["scan_id", "label"], "left").groupBy("scan_id", "label").agg(F.count("one").alias("discs"))
-    return n.filter(((F.col("discs") == 0) & (F.col("label") != 1)) | (F.col("discs") > 1))
+    return rg.duplicate_assignments(verts, rg.asof_lower(discs, verts))
 
 
 @register("j6_asof_lower", ctes("vox", INST + """, dc as (select scan_id, i as label, sum(i) / count(*) as ci from vox where sem = 100 group by all)
@@ -329,8 +327,7 @@ def w5(s, d):
 
 @register("w14_running_min_fill", ctes("vox", ", m as (select scan_id, p, r, i, min(intensity) as x from vox group by all) select scan_id, p, r, i, min(x) over (partition by scan_id, p, r order by i rows unbounded preceding) as filled from m"))
 def w14(s, d):
-    w = W.partitionBy("scan_id", "p", "r").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    return view(s, d, "vox").select("scan_id", "p", "r", "i", F.min("intensity").over(w).alias("filled"))
+    return rg.running_min_fill(view(s, d, "vox"), "intensity").select("scan_id", "p", "r", "i", "filled")
 
 
 @register("a6_majority_label", ctes("vox", ", n as (select scan_id, inst, sem, count(*) as n from vox where sem <> 0 group by all) select scan_id, inst, arg_min(sem, struct_pack(a := -n, b := sem)) as sem, max(n) as votes from n group by all"))
