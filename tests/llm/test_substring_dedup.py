@@ -1,6 +1,6 @@
 import random
 
-from voxtable.llm.substring_dedup import LONGEST, boundaries, repeated_passages
+from voxtable.llm.substring_dedup import LEAST_WORDS, LONGEST, boundaries, common_extent, drop_passages, repeated_passages
 
 
 def words(rng, n):
@@ -70,3 +70,47 @@ def test_query_flags_copies_of_the_table(spark):
         for a, b in zip(starts, ends, strict=True):
             if r.start_byte <= a and b <= r.end_byte:
                 assert sum(t.count(data[a:b]) for t in texts.values()) > 1
+
+
+def whole_words(passage):
+    """Words that start in chunks which lie inside of the passage wherever it stands: those after its first window."""
+    data = passage.encode()
+    ends = [e for e in boundaries(b"?" * 40 + b" " + data + b" " + b"?" * 40).tolist() if 41 + 16 <= e <= 41 + len(data)]
+    return len(data[ends[0] - 41 : ends[-1] - 41].split()) if len(ends) > 1 else 0
+
+
+def test_passages_of_51_words_with_few_boundaries_are_found(spark):
+    rng = random.Random(6)
+    hard = []
+    while len(hard) < 25:
+        passage = words(rng, 51)
+        if 3 < whole_words(passage) < LEAST_WORDS - 3:
+            hard.append(passage)
+    rows = [(i, words(rng, 30) + " " + hard[i % 25] + " " + words(rng, 30)) for i in range(75)]
+    rows += [(i, words(rng, 120)) for i in range(75, 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = repeated_passages(docs).collect()
+    assert {r.doc_id for r in found} == set(range(25, 75))
+    texts = dict(rows)
+    for r in found:
+        part = texts[r.doc_id].encode()[r.start_byte : r.end_byte]
+        assert r.n_words >= LEAST_WORDS and part in texts[r.first_id].encode()
+    left = {r.doc_id: r.text for r in drop_passages(docs).collect()}
+    for i, text in rows:
+        assert left[i] == text if i not in range(25, 75) else len(left[i].split()) <= len(text.split()) - LEAST_WORDS + 2
+
+
+def test_common_extent():
+    assert common_extent(b"one two ", b"three four", b"xne two ", b"three five") == (7, 7, 3)
+    assert common_extent(b"", b"same", b"", b"same") == (0, 4, 1)
+    assert common_extent(b"", b"a", b"", b"b") == (0, 0, 0)
+
+
+def test_dropping_passages_keeps_columns_nulls_and_first_occurrences(spark):
+    rng = random.Random(7)
+    text = words(rng, 60)
+    rows = [(1, text, "a"), (2, text, "b"), (2, "other words", "c"), (None, text, "d"), (3, None, "e"), (4, "", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _x string")
+    out = sorted(((r.doc_id, r.text, r._x) for r in drop_passages(docs).collect()), key=lambda r: r[2])
+    assert out == [(1, text, "a"), (2, "", "b"), (2, "other words", "c"), (None, "", "d"), (3, None, "e"), (4, "", "f")]
+    assert drop_passages(docs.limit(0)).columns == docs.columns

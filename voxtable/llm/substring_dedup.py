@@ -5,7 +5,10 @@ byte, so that its high bits depend on the last ``WINDOW`` bytes alone. A chunk e
 ``BITS`` of them are zero: boundaries move with the content, an insertion changes only the
 chunks around it. Chunks are counted by digest over all documents. The first occurrence of
 a chunk, by document id and place, is kept. A run of later occurrences is a repeated
-passage if it covers at least ``LEAST_WORDS`` words; shorter runs are chance or idiom.
+passage if it covers at least ``LEAST_WORDS`` words. A passage also covers parts of the
+chunks around its run: a shorter run that may reach the limit with them is compared byte
+by byte with the first occurrence of its longest chunk, ``REACH`` bytes to either side.
+What is shorter then is chance or idiom.
 """
 
 from __future__ import annotations
@@ -13,16 +16,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql.types import StringType
 
 from voxtable.plans.skew import skew_join
-from voxtable.plans.storage import staged, trimmed
+from voxtable.plans.storage import arrow_batches, packed, staged, trimmed, unpacked
 
 WINDOW, BITS = 16, 5
 #: Chunks hold at most so many bytes; words of a run that count as a passage.
 LONGEST, LEAST_WORDS = 512, 20
+#: Bytes before and after the start of a chunk that are compared with its first occurrence, beside the chunk itself.
+REACH = 256
 SEED = 11
 #: The bit table that spares chunks without a repetition the shuffle has 2**TABLE_BITS words of 64 bits (2 MB).
 #: Where repeated digests outnumber its bits it spares less; results don't depend on it.
@@ -55,7 +62,8 @@ def boundaries(data: bytes) -> np.ndarray:
 
 
 def chunks(docs: DataFrame, table: bytes | None = None) -> DataFrame:
-    """``docs`` (_id, _t) as (_id, _x: hash of the text, _k: place of the chunk, _from, _to, _words, _h: digest).
+    """``docs`` (_id, _t) as (_id, _x: hash of the text, _k: place of the chunk, _from, _to, _words, _h: digest,
+    _before and _after: words of the chunks around).
 
     With ``table``, a bit table of digests, only chunks whose bit is set.
     """
@@ -81,7 +89,8 @@ def chunks(docs: DataFrame, table: bytes | None = None) -> DataFrame:
                     words = np.diff(heads[ends - 1], prepend=0) if len(ends) else ends
                     seen = bits[h >> np.uint64(64 - TABLE_BITS)].view(np.uint64) >> (h & np.uint64(63)) & np.uint64(1) == 1
                     x = np.full(len(ends), xxhash.xxh64_intdigest(data), np.uint64).view(np.int64)
-                    part = tuple(v[seen] for v in (h, x, np.arange(len(ends)), starts, ends, words))
+                    around = np.concatenate([[0], words, [0]])
+                    part = tuple(v[seen] for v in (h, x, np.arange(len(ends)), starts, ends, words, around[:-2], around[2:]))
                 ids.append(i)
                 parts.append(part)
                 held += len(part[0])
@@ -91,15 +100,15 @@ def chunks(docs: DataFrame, table: bytes | None = None) -> DataFrame:
             if ids:
                 yield _frame(ids, parts)
 
-    names = "_h long" if table is None else "_h long, _x long, _k int, _from long, _to long, _words int"
+    names = "_h long" if table is None else "_h long, _x long, _k int, _from long, _to long, _words int, _before int, _after int"
     return docs.mapInArrow(cut, f"_id long, {names}")
 
 
 def _frame(ids: list, parts: list) -> pa.RecordBatch:
-    columns = {n: np.concatenate(v) for n, v in zip(("_h", "_x", "_k", "_from", "_to", "_words"), zip(*parts, strict=True), strict=False)}
+    columns = {n: np.concatenate(v) for n, v in zip(("_h", "_x", "_k", "_from", "_to", "_words", "_before", "_after"), zip(*parts, strict=True), strict=False)}
     columns["_h"] = columns["_h"].view(np.int64)
     place = np.repeat(np.arange(len(ids)), [len(p[0]) for p in parts])
-    small = {"_k", "_words"}
+    small = {"_k", "_words", "_before", "_after"}
     arrays = [pa.array(v.astype(np.int32) if n in small else v) for n, v in columns.items()]
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(place)), *arrays], ["_id", *columns])
 
@@ -113,21 +122,87 @@ def bit_table(digests: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row per repeated passage: ``id_col, start_byte, end_byte, n_words, n_chunks, first_id``.
+def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Bytes around the chunks ``wanted`` (_id, _x, _from, _to): with _left, those before, and _right, from its start on; staged."""
 
-    ``first_id`` is the document in which most of the passage's chunks occur first. Ids
-    are integers under 2**62; rows of one id are one document, rows with a null id are
-    told apart by their text and come last. Null and empty texts have no chunk. Whole
-    texts are cut; documents without a repeated passage have no row. An empty table gives
-    an empty result.
-    """
-    order = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col).bitwiseAND(F.lit(NO_ID - 1)) + NO_ID)
-    rows = docs.select(order.alias("_id"), F.col(text_col).alias("_t"))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in trimmed(batches):
+            rows = []
+            for i, text, spans in zip(batch["_id"].to_pylist(), batch["_t"].to_pylist(), batch["_spans"].to_pylist(), strict=True):
+                data = (text or "").encode("utf-8", "replace")
+                x = _signed(data)
+                rows += [(i, x, a, data[max(0, a - REACH) : a], data[a : b + REACH]) for a, b in ((s["_from"], s["_to"]) for s in spans if s["_x"] == x)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["_id", "_x", "_from", "_left", "_right"])
+
+    # A document has no more of them than chunks.
+    spans = wanted.groupBy("_id").agg(F.collect_set(F.struct("_x", "_from", "_to")).alias("_spans"))
+    found = docs.join(spans, "_id").select("_id", "_t", "_spans").mapInArrow(read, "_id long, _x long, _from long, _left binary, _right binary")
+    with arrow_batches(docs.sparkSession):
+        return staged(found.dropDuplicates(["_id", "_x", "_from"]), "chunk-places")
+
+
+def _signed(data: bytes) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(data)).view(np.int64))
+
+
+def _shared(a: bytes, b: bytes) -> int:
+    """Length of the longest common prefix."""
+    n = min(len(a), len(b))
+    differ = np.nonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))[0]
+    return int(differ[0]) if len(differ) else n
+
+
+def common_extent(left: bytes, right: bytes, left2: bytes, right2: bytes) -> tuple[int, int, int]:
+    """Equal bytes before and from two places on, and the words that start in them (whole words at the start alone)."""
+    before, after = _shared(left[::-1], left2[::-1]), _shared(right, right2)
+    data = np.frombuffer((left + right)[: len(left) + after], np.uint8)
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    heads = ~blank & np.concatenate([[len(left) < REACH], blank[:-1]])
+    return before, after, int(heads[len(left) - before :].sum())
+
+
+def _extended(docs: DataFrame, cut: DataFrame, short: DataFrame, least_words: int) -> DataFrame:
+    """Of the ``short`` runs those that have the words with the bytes around them, in the columns of ``_passages``."""
+    need = staged(short.groupBy("_h", F.col("_origin").alias("_id")).agg(F.count(F.lit(1)).alias("_w")), "chunk-anchors")
+    first = F.min(F.struct("_id", "_x", "_from", "_to", "_w")).alias("f")
+    firsts = staged(cut.select("_h", "_id", "_x", "_from", "_to").join(need, ["_h", "_id"]).groupBy("_h").agg(first).select("_h", "f.*"), "chunk-origins")
+    place = ["_id", "_x", "_from"]
+    places = _places(docs, short.select(*place, "_to").unionByName(firsts.select(*place, "_to")))
+    origins = staged(firsts.join(places, place).select("_h", "_w", F.col("_left").alias("_left2"), F.col("_right").alias("_right2")), "chunk-origin-places")
+    pairs = staged(short.join(places, place), "chunk-short")
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in trimmed(batches):
+            rows = []
+            for r in batch.to_pylist():
+                before, after, words = common_extent(r["_left"], r["_right"], r["_left2"], r["_right2"])
+                if after >= r["_to"] - r["_from"] and words >= least_words:
+                    rows.append((r["_id"], r["_x"], r["_from"] - before, r["_from"] + after, words, r["n_chunks"], r["_origin"]))
+            columns = zip(*rows, strict=True) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["_id", "_x", *SPAN])
+
+    both = skew_join(pairs, origins, ["_h"], "_w")
+    with arrow_batches(docs.sparkSession):
+        found = both.mapInArrow(extend, "_id long, _x long, " + ", ".join(f"{c} long" for c in SPAN))
+        most = [F.max(c).alias(c) for c in ("n_words", "n_chunks")]
+        return staged(found.groupBy("_id", "_x", "start_byte", "end_byte").agg(*most, F.min("first_id").alias("first_id")), "chunk-extended")
+
+
+SPAN = ("start_byte", "end_byte", "n_words", "n_chunks", "first_id")
+
+
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col).bitwiseAND(F.lit(NO_ID - 1)) + NO_ID)
+
+
+def _passages(rows: DataFrame, least_words: int) -> DataFrame:
+    """Repeated passages of ``rows`` (_id, _t): (_id, _x, ``SPAN``)."""
     lists = chunks(rows).groupBy("_h").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_len"))
     met = staged(lists.filter("_len > 1"), "chunk-lists")
     cut = staged(chunks(rows, bit_table(met)), "chunks")
-    # Everything below is by document: one shuffle serves all windows.
+    # Runs are by document: one shuffle serves all windows.
     again = skew_join(cut, met, ["_h"], "_len").drop("_len").repartition("_id", "_x")
     place = F.row_number().over(W.partitionBy("_id", "_x", "_h").orderBy("_k"))
     again = again.withColumn("_n", place).filter((F.col("_id") != F.col("_first")) | (F.col("_n") > 1))
@@ -135,12 +210,62 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Rows that repeat both id and text have equal places: they count once.
     new = F.coalesce(F.lag("_k").over(along) != F.col("_k"), F.lit(True)).cast("int")
     run = again.withColumns({"_run": F.col("_k") - F.dense_rank().over(along), "_new": new})
+    longest = F.struct(F.col("_to") - F.col("_from"), -F.col("_k"))
     spans = run.groupBy("_id", "_x", "_run").agg(
         F.min("_from").alias("start_byte"),
         F.max("_to").alias("end_byte"),
         F.sum(F.col("_words") * F.col("_new")).alias("n_words"),
         F.sum("_new").alias("n_chunks"),
         F.mode("_first", True).alias("first_id"),
+        F.max_by(F.struct("_h", "_from", "_to", F.col("_first").alias("_origin")), longest).alias("_anchor"),
+        (F.min_by("_before", "_k") + F.max_by("_after", "_k")).alias("_around"),
     )
+    # The word that a run starts inside of begins in the chunk before.
+    runs = staged(spans.filter(F.col("n_words") + F.col("_around") >= least_words), "chunk-runs")
+    short = runs.filter(F.col("n_words") < least_words).select("_id", "_x", "n_chunks", "_anchor.*")
+    sure = runs.filter(F.col("n_words") >= least_words).select("_id", "_x", *SPAN)
+    return sure.unionByName(_extended(rows, cut, short, least_words))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """One row per repeated passage: ``id_col, start_byte, end_byte, n_words, n_chunks, first_id``.
+
+    Passages whose whole chunks have ``least_words`` words are measured by these chunks,
+    others by the bytes that agree with the first occurrence. ``first_id`` is the document
+    in which most of the passage's chunks, or its longest one, occur first. Ids are
+    integers under 2**62; rows of one id are one document, rows with a null id are told
+    apart by their text and come last. Null and empty texts have no chunk. Whole texts are
+    cut; documents without a repeated passage have no row. An empty table gives an empty
+    result.
+    """
+    rows = docs.select(_identified(docs, id_col, text_col).alias("_id"), F.col(text_col).alias("_t"))
     known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    return spans.filter(F.col("n_words") >= least_words).select(known("_id").alias(id_col), "start_byte", "end_byte", "n_words", "n_chunks", known("first_id").alias("first_id"))
+    return _passages(rows, least_words).select(known("_id").alias(id_col), *SPAN[:-1], known("first_id").alias("first_id"))
+
+
+@F.pandas_udf(StringType())
+def _without(texts: pd.Series, xs: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    out = []
+    for text, x, start, end in zip(texts, xs, starts, ends, strict=True):
+        data = (text or "").encode("utf-8", "replace")
+        keep = np.ones(len(data), bool)
+        own = _signed(data)
+        for i, a, b in zip(x, start, end, strict=True):
+            if i == own:
+                keep[a:b] = False
+        out.append(np.frombuffer(data, np.uint8)[keep].tobytes().decode("utf-8", "ignore"))
+    return pd.Series(out)
+
+
+def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` with their repeated passages cut out of the texts, first occurrences stay; all columns as they were.
+
+    A character of which a cut leaves only a part goes too. Texts without a repeated
+    passage, null ones included, are unchanged. Ids as for ``repeated_passages``.
+    """
+    rows = docs.select(_identified(docs, id_col, text_col).alias("_id"), F.col(text_col).alias("_t"))
+    spans = _passages(rows, least_words).groupBy("_id").agg(F.collect_list(F.struct("_x", "start_byte", "end_byte")).alias("_s"))
+    base = packed(docs, _id=_identified(docs, id_col, text_col)).join(staged(spans, "chunk-cuts"), "_id", "left")
+    text = F.col("_row").getField(text_col)
+    cut = _without(text, *[F.coalesce(F.col("_s").getField(c), F.array().cast("array<long>")) for c in ("_x", "start_byte", "end_byte")])
+    return unpacked(base.select(F.col("_row").withField(text_col, F.when(F.col("_s").isNotNull(), cut).otherwise(text)).alias("_row")))
