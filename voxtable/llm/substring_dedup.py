@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from pyspark.sql.types import StringType
 
 from voxtable.plans.skew import skew_join
-from voxtable.plans.storage import arrow_batches, packed, staged, trimmed, unpacked
+from voxtable.plans.storage import arrow_batches, drop_staged, packed, staged, trimmed, unpacked
 
 WINDOW, BITS = 16, 5
 #: Chunks hold at most so many bytes; words of a run that count as a passage.
 LONGEST, LEAST_WORDS = 512, 20
 #: Bytes before and after the start of a chunk that are compared with its first occurrence, beside the chunk itself.
-REACH = 256
+REACH = 160
 SEED = 11
 #: The bit table that spares chunks without a repetition the shuffle has 2**TABLE_BITS words of 64 bits (2 MB).
 #: Where repeated digests outnumber its bits it spares less; results don't depend on it.
@@ -62,8 +62,8 @@ def boundaries(data: bytes) -> np.ndarray:
 
 
 def chunks(docs: DataFrame, table: bytes | None = None) -> DataFrame:
-    """``docs`` (_id, _t) as (_id, _x: hash of the text, _k: place of the chunk, _from, _to, _words, _h: digest,
-    _before and _after: words of the chunks around).
+    """``docs`` (_id, _t) as (_id, _x: hash of the text, _k: place of the chunk, _from, _h: digest,
+    _p: its bytes, its words and those of the chunks before and after, ten bits each).
 
     With ``table``, a bit table of digests, only chunks whose bit is set.
     """
@@ -90,7 +90,8 @@ def chunks(docs: DataFrame, table: bytes | None = None) -> DataFrame:
                     seen = bits[h >> np.uint64(64 - TABLE_BITS)].view(np.uint64) >> (h & np.uint64(63)) & np.uint64(1) == 1
                     x = np.full(len(ends), xxhash.xxh64_intdigest(data), np.uint64).view(np.int64)
                     around = np.concatenate([[0], words, [0]])
-                    part = tuple(v[seen] for v in (h, x, np.arange(len(ends)), starts, ends, words, around[:-2], around[2:]))
+                    facts = (ends - starts) | words << 10 | around[:-2] << 20 | around[2:] << 30
+                    part = tuple(v[seen] for v in (h, x, np.arange(len(ends)), starts, facts))
                 ids.append(i)
                 parts.append(part)
                 held += len(part[0])
@@ -100,16 +101,15 @@ def chunks(docs: DataFrame, table: bytes | None = None) -> DataFrame:
             if ids:
                 yield _frame(ids, parts)
 
-    names = "_h long" if table is None else "_h long, _x long, _k int, _from long, _to long, _words int, _before int, _after int"
+    names = "_h long" if table is None else "_h long, _x long, _k int, _from long, _p long"
     return docs.mapInArrow(cut, f"_id long, {names}")
 
 
 def _frame(ids: list, parts: list) -> pa.RecordBatch:
-    columns = {n: np.concatenate(v) for n, v in zip(("_h", "_x", "_k", "_from", "_to", "_words", "_before", "_after"), zip(*parts, strict=True), strict=False)}
+    columns = {n: np.concatenate(v) for n, v in zip(("_h", "_x", "_k", "_from", "_p"), zip(*parts, strict=True), strict=False)}
     columns["_h"] = columns["_h"].view(np.int64)
     place = np.repeat(np.arange(len(ids)), [len(p[0]) for p in parts])
-    small = {"_k", "_words", "_before", "_after"}
-    arrays = [pa.array(v.astype(np.int32) if n in small else v) for n, v in columns.items()]
+    arrays = [pa.array(v.astype(np.int32) if n == "_k" else v) for n, v in columns.items()]
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(place)), *arrays], ["_id", *columns])
 
 
@@ -122,25 +122,42 @@ def bit_table(digests: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Bytes around the chunks ``wanted`` (_id, _x, _from, _to): with _left, those before, and _right, from its start on; staged."""
+def _places(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """``short`` (_id, _x, n_chunks, _h, _from, _to, _origin) with _left, the bytes before, and _right, those from _from on; staged.
+
+    Also the same of every _h's first place in _origin, with no ``_origin``.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
             rows = []
-            for i, text, spans in zip(batch["_id"].to_pylist(), batch["_t"].to_pylist(), batch["_spans"].to_pylist(), strict=True):
+            for i, text, runs in zip(batch["_id"].to_pylist(), batch["_t"].to_pylist(), batch["_runs"].to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "replace")
-                x = _signed(data)
-                rows += [(i, x, a, data[max(0, a - REACH) : a], data[a : b + REACH]) for a, b in ((s["_from"], s["_to"]) for s in spans if s["_x"] == x)]
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["_id", "_x", "_from", "_left", "_right"])
-
-    # A document has no more of them than chunks.
-    spans = wanted.groupBy("_id").agg(F.collect_set(F.struct("_x", "_from", "_to")).alias("_spans"))
-    found = docs.join(spans, "_id").select("_id", "_t", "_spans").mapInArrow(read, "_id long, _x long, _from long, _left binary, _right binary")
+                x, first = _signed(data), None
+                for r in runs:
+                    if r["_origin"] is None:
+                        if first is None:
+                            ends = boundaries(data).tolist()
+                            spans = list(zip([0, *ends[:-1]], ends, strict=True))
+                            first = {_signed(data[a:b]): (a, b) for a, b in reversed(spans)}
+                        if r["_h"] not in first:
+                            continue
+                        r["_from"], r["_to"] = first[r["_h"]]
+                    elif r["_x"] != x:
+                        continue
+                    a, b = r["_from"], r["_to"]
+                    rows.append((i, x, r["n_chunks"], r["_h"], a, b, r["_origin"], data[max(0, a - REACH) : a], data[a : b + REACH]))
+            columns = zip(*rows, strict=True) if rows else [[]] * 9
+            kinds = [pa.int64()] * 7 + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*RUN, "_left", "_right"])
+
+    none = F.lit(None).cast("long")
+    first = short.select(F.col("_origin").alias("_id"), "_h").distinct().select("_id", *[F.col(c) if c == "_h" else none.alias(c) for c in RUN[1:]])
+    # A document has no more runs and first places than chunks.
+    runs = short.select(*RUN).unionByName(first).groupBy("_id").agg(F.collect_list(F.struct(*RUN[1:])).alias("_runs"))
+    found = docs.join(runs, "_id").select("_id", "_t", "_runs").mapInArrow(read, ", ".join(f"{c} long" for c in RUN) + ", _left binary, _right binary")
     with arrow_batches(docs.sparkSession):
-        return staged(found.dropDuplicates(["_id", "_x", "_from"]), "chunk-places")
+        return staged(found, "chunk-places")
 
 
 def _signed(data: bytes) -> int:
@@ -163,15 +180,13 @@ def common_extent(left: bytes, right: bytes, left2: bytes, right2: bytes) -> tup
     return before, after, int(heads[len(left) - before :].sum())
 
 
-def _extended(docs: DataFrame, cut: DataFrame, short: DataFrame, least_words: int) -> DataFrame:
+def _extended(docs: DataFrame, short: DataFrame, least_words: int) -> DataFrame:
     """Of the ``short`` runs those that have the words with the bytes around them, in the columns of ``_passages``."""
-    need = staged(short.groupBy("_h", F.col("_origin").alias("_id")).agg(F.count(F.lit(1)).alias("_w")), "chunk-anchors")
-    first = F.min(F.struct("_id", "_x", "_from", "_to", "_w")).alias("f")
-    firsts = staged(cut.select("_h", "_id", "_x", "_from", "_to").join(need, ["_h", "_id"]).groupBy("_h").agg(first).select("_h", "f.*"), "chunk-origins")
-    place = ["_id", "_x", "_from"]
-    places = _places(docs, short.select(*place, "_to").unionByName(firsts.select(*place, "_to")))
-    origins = staged(firsts.join(places, place).select("_h", "_w", F.col("_left").alias("_left2"), F.col("_right").alias("_right2")), "chunk-origin-places")
-    pairs = staged(short.join(places, place), "chunk-short")
+    places = _places(docs, short)
+    pairs = places.filter("_origin is not null")
+    first = F.min(F.struct("_x", "_from", "_left", "_right")).alias("f")
+    origins = places.filter("_origin is null").groupBy("_h").agg(first).select("_h", F.col("f._left").alias("_left2"), F.col("f._right").alias("_right2"))
+    origins = staged(origins.join(pairs.groupBy("_h").agg(F.count(F.lit(1)).alias("_w")), "_h"), "chunk-origins")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
@@ -190,6 +205,7 @@ def _extended(docs: DataFrame, cut: DataFrame, short: DataFrame, least_words: in
         return staged(found.groupBy("_id", "_x", "start_byte", "end_byte").agg(*most, F.min("first_id").alias("first_id")), "chunk-extended")
 
 
+RUN = ("_id", "_x", "n_chunks", "_h", "_from", "_to", "_origin")
 SPAN = ("start_byte", "end_byte", "n_words", "n_chunks", "first_id")
 
 
@@ -204,6 +220,8 @@ def _passages(rows: DataFrame, least_words: int) -> DataFrame:
     cut = staged(chunks(rows, bit_table(met)), "chunks")
     # Runs are by document: one shuffle serves all windows.
     again = skew_join(cut, met, ["_h"], "_len").drop("_len").repartition("_id", "_x")
+    ten = lambda i: F.shiftright("_p", 10 * i).bitwiseAND(1023)
+    again = again.withColumns({"_to": F.col("_from") + ten(0), "_words": ten(1), "_before": ten(2), "_after": ten(3)})
     place = F.row_number().over(W.partitionBy("_id", "_x", "_h").orderBy("_k"))
     again = again.withColumn("_n", place).filter((F.col("_id") != F.col("_first")) | (F.col("_n") > 1))
     along = W.partitionBy("_id", "_x").orderBy("_k")
@@ -222,9 +240,11 @@ def _passages(rows: DataFrame, least_words: int) -> DataFrame:
     )
     # The word that a run starts inside of begins in the chunk before.
     runs = staged(spans.filter(F.col("n_words") + F.col("_around") >= least_words), "chunk-runs")
+    drop_staged(cut)
+    drop_staged(met)
     short = runs.filter(F.col("n_words") < least_words).select("_id", "_x", "n_chunks", "_anchor.*")
     sure = runs.filter(F.col("n_words") >= least_words).select("_id", "_x", *SPAN)
-    return sure.unionByName(_extended(rows, cut, short, least_words))
+    return sure.unionByName(_extended(rows, short, least_words))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
