@@ -20,7 +20,7 @@ from voxtable.plans.storage import packed, small_side, staged, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents in a block, at most 2**BLOCK_BITS blocks a source; words in a shard, at most so many shards.
-BLOCK_DOCS, BLOCK_BITS, SHARD_WORDS, MAX_SHARDS = 1000, 16, 4_000_000, 4096
+BLOCK_DOCS, BLOCK_BITS, SHARD_WORDS, MAX_SHARDS = 1000, 16, 1_000_000, 4096
 #: The recipe has one row per source; more sources than this are an error, not a mix.
 MAX_SOURCES = 100_000
 
