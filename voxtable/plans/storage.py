@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of a row group of intermediate tables: what a writer holds in memory.
 ROW_GROUP = 32 << 20
+#: Setting of how many rows Spark's Parquet reader holds.
+READ_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
 #: Most rows that ``small_side`` lets Spark broadcast.
 BROADCAST_ROWS = 200_000
 #: Paths staged inside of the open ``scratch`` blocks, innermost last.
@@ -97,9 +99,10 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> Iterator[None]:
-    """Jobs run inside exchange Arrow batches of about ``size`` and at most ``rows`` rows with Python: whole texts are long rows."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+def arrow_batches(spark: SparkSession, rows: int = 512, size: str = "1m") -> Iterator[None]:
+    """Jobs run inside exchange Arrow batches of about ``size`` and at most ``rows`` rows with Python, and read so many
+    rows at a time: whole texts are long rows, and buffers of over 4 MB aren't pooled by Arrow's allocator."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size, READ_ROWS: str(rows)}
     before = {key: spark.conf.get(key) for key in wanted}
     try:
         for key, value in wanted.items():
