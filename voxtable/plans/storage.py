@@ -101,7 +101,7 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int = 512, size: str = "1m") -> Iterator[None]:
     """Jobs run inside exchange Arrow batches of about ``size`` and at most ``rows`` rows with Python, and read so many
-    rows at a time: whole texts are long rows, and buffers of over 4 MB aren't pooled by Arrow's allocator."""
+    rows at a time: whole texts are long rows."""
     wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size, READ_ROWS: str(rows)}
     before = {key: spark.conf.get(key) for key in wanted}
     try:
