@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxtable.llm.bpe import encode_documents
+from voxtable.llm.decontamination import contamination
 from voxtable.llm.exact_dedup import exact_groups
 from voxtable.llm.language_id import identify
 from voxtable.llm.mixing import mix_report
@@ -165,6 +166,29 @@ from p left join fit on fit.host = p.host and fit.path = p.path join low on low.
 """
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+with w as (
+  select doc_id, row_number() over () as k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+iw as materialized (
+  select distinct item_id, least(len(w), 10) as n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as g
+  from (select item_id, w, unnest(range(1, greatest(2, len(w) - 8))) as i from b where len(w) > 0)),
+dw as (
+  select k, i, n, array_to_string(w[i:i + n - 1], ' ') as g
+  from (select k, w, n, unnest(range(1, len(w) - n + 2)) as i from w, (select distinct n from iw) where len(w) >= n)),
+hit as materialized (select k, i, dw.n, item_id from dw join iw on dw.g = iw.g and dw.n = iw.n),
+h as (select k, count(distinct p) as n_hit from (select k, unnest(range(i, i + n)) as p from hit) group by k),
+t as (select k, count(distinct coalesce(cast(item_id as varchar), '')) as n_items, array_to_string(list_sort(list(distinct coalesce(cast(item_id as varchar), ''))), ',') as ids from hit group by k)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from w left join h using (k) left join t using (k)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -178,8 +202,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_near_dedup": op9_near_dedup,
         "op10_url_filter": op10_url_filter,
+        "op11_decontamination": op11_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op5_hamming_topk": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op9_near_dedup": OP9_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op5_hamming_topk": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op9_near_dedup": OP9_SQL, "op10_url_filter": OP10_SQL, "op11_decontamination": OP11_SQL}
