@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from voxtable.llm.alignment import alignment_report
 from voxtable.llm.bpe import encode_documents
 from voxtable.llm.decontamination import contamination
 from voxtable.llm.exact_dedup import exact_groups
@@ -189,6 +190,12 @@ from w left join h using (k) left join t using (k)
 """
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment_report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -203,6 +210,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_dedup": op9_near_dedup,
         "op10_url_filter": op10_url_filter,
         "op11_decontamination": op11_decontamination,
+        "op12_alignment": op12_alignment,
     }
 
 
