@@ -13,6 +13,7 @@ from voxtable.llm.exact_dedup import exact_groups
 from voxtable.llm.language_id import identify
 from voxtable.llm.mixing import mix_report
 from voxtable.llm.near_dedup import near_duplicates
+from voxtable.llm.prefix_trie import conversation_trie
 from voxtable.llm.sharding import shard_documents
 from voxtable.llm.substring_dedup import repeated_passages
 from voxtable.llm.topk import search
@@ -196,6 +197,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -211,6 +216,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_url_filter": op10_url_filter,
         "op11_decontamination": op11_decontamination,
         "op12_alignment": op12_alignment,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
