@@ -1,26 +1,23 @@
 """Neighbourhoods, morphology and connected components of voxel tables.
 
-Neighbours are found by equi-joins on shifted keys that start with ``scan_id``, never by
-comparing pairs. Components are found on runs along r, which shrinks the graph before the
-fixed point; their id is the smallest packed key, so results don't depend on partitions.
+Neighbours are found in cubes of voxels with a halo (``blocks``) or by equi-joins on shifted
+keys that start with ``scan_id``, never by comparing pairs. Components are contracted inside
+of cubes before the fixed point on what crosses their borders; their id is the smallest
+packed key, so results don't depend on partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from voxtable.operators import blocks as bl
+from voxtable.operators.blocks import offsets
 from voxtable.operators.voxels import AXES, KEY
 from voxtable.plans.components import connected_components as graph_components
-from voxtable.plans.storage import drop_staged, staged
-
-
-def offsets(connectivity: int, half: bool = False) -> list[tuple[int, int, int]]:
-    """Steps to the 6, 18 or 26 neighbours; with ``half`` one of each opposite pair."""
-    out = [o for o in product((-1, 0, 1), repeat=3) if 0 < sum(map(abs, o)) <= connectivity]
-    return [o for o in out if o > (0, 0, 0)] if half else out
+from voxtable.plans.storage import drop_staged, small_side, staged
 
 
 def shifted(vox: DataFrame, connectivity: int, half: bool = False) -> DataFrame:
@@ -30,10 +27,35 @@ def shifted(vox: DataFrame, connectivity: int, half: bool = False) -> DataFrame:
     return out.withColumns({a: F.col(a) + F.col(f"_o.{a}") for a in AXES}).drop("_o")
 
 
+def _kind(df: DataFrame, col: str) -> str:
+    return df.schema[col].dataType.simpleString()
+
+
+def _places(at: np.ndarray) -> dict[str, np.ndarray]:
+    return {a: at[:, k].astype(np.int32) for k, a in enumerate(AXES)}
+
+
+def _of_kind(df: DataFrame, source: DataFrame, col: str) -> DataFrame:
+    return df.withColumn(col, F.col(col).cast(_kind(source, col)))
+
+
 def neighbours(vox: DataFrame, col: str, connectivity: int) -> DataFrame:
     """Rows (KEY, col, other): labelled voxels with the label of each labelled neighbour."""
-    other = shifted(vox.select(*KEY, F.col(col).alias("other")), connectivity)
-    return vox.select(*KEY, col).join(other, KEY)
+    steps = offsets(connectivity)
+
+    def run(layers, corner, _):
+        dense = bl.cube(layers[0], 1)
+        own, at, other = bl.inner(dense, 1), [], []
+        for s in steps:
+            near = dense[tuple(slice(1 + x, 1 + x + bl.BLOCK) for x in s)]
+            both = (own != bl.ABSENT) & (near != bl.ABSENT)
+            at.append(np.argwhere(both))
+            other.append(near[both])
+        at = np.concatenate(at)
+        return {**_places(at + corner + 1), col: own[tuple(at.T)], "other": np.concatenate(other)}
+
+    out = bl.by_block([(vox, col)], ["scan_id"], 1, run, f"p int, i int, r int, {col} long, other long")
+    return _of_kind(out, vox, col).withColumn("other", F.col("other").cast(_kind(vox, col)))
 
 
 def contact_area(vox: DataFrame, col: str, connectivity: int = 1) -> DataFrame:
@@ -50,35 +72,70 @@ def in_frame(vox: DataFrame, scans: DataFrame) -> DataFrame:
     return out.drop(*[f"n{a}" for a in AXES])
 
 
-def dilate(vox: DataFrame, col: str, scans: DataFrame, n: int = 1, connectivity: int = 1, mask: DataFrame | None = None) -> DataFrame:
-    """Grow labels by ``n`` rounds inside the scan, or inside the mask; the smallest label wins a contested voxel."""
-    state = vox.select(*KEY, col)
-    for k in range(n):
-        grown = shifted(state, connectivity).groupBy(*KEY).agg(F.min(col).alias(col)).join(state.select(*KEY), KEY, "left_anti")
-        grown = grown.join(mask.select(*KEY), KEY, "left_semi") if mask is not None else in_frame(grown, scans)
-        state = state.unionByName(grown.select(*KEY, col))
-        if n > 2 and k % 2:
+def _grown(vox: DataFrame, col: str, n: int, connectivity: int, keys: Sequence[str], scans: DataFrame | None, mask: DataFrame | None, new_only: bool = False) -> DataFrame:
+    """One pass of at most HALO rounds of growth; with ``new_only`` only what was added."""
+    steps = offsets(connectivity)
+
+    def run(layers, corner, shape):
+        dense = bl.cube(layers[0], n)
+        if len(layers) == 2:
+            allowed = bl.cube(layers[1], n) != bl.ABSENT
+        else:
+            allowed = bl.in_shape(corner, shape, len(dense))
+        out = bl.grow(dense, allowed, steps, n)
+        own = bl.inner(out, n)
+        keep = own != bl.ABSENT
+        if new_only:
+            keep &= bl.inner(dense, n) == bl.ABSENT
+        return {**_places(bl.listed(keep, corner, n)), col: own[keep]}
+
+    layers = [(vox, col)] if mask is None else [(vox, col), (mask, None)]
+    return _of_kind(bl.by_block(layers, keys, n, run, f"p int, i int, r int, {col} long", None if mask is not None else scans), vox, col)
+
+
+def dilate(vox: DataFrame, col: str, scans: DataFrame, n: int = 1, connectivity: int = 1, mask: DataFrame | None = None, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
+    """Grow labels by ``n`` rounds inside the scan, or inside the mask; the smallest label wins a contested voxel.
+
+    ``keys`` that hold more than the scan grow apart from one another.
+    """
+    state, left = vox.select(*keys, *AXES, col), n
+    while left > 0:
+        step = min(left, bl.HALO)
+        state = _grown(state, col, step, connectivity, keys, scans, mask)
+        left -= step
+        if left:
             state = staged(state, "dilate")
     return state
 
 
 def erode(vox: DataFrame, col: str, n: int = 1, connectivity: int = 1) -> DataFrame:
     """Keep voxels all of whose neighbours have their label; the border of the scan counts as outside."""
-    state, full = vox.select(*KEY, col), len(offsets(connectivity))
-    for k in range(n):
-        same = neighbours(state, col, connectivity).filter(F.col(col) == F.col("other")).groupBy(*KEY).count().filter(F.col("count") == full)
-        state = state.join(same.select(*KEY), KEY, "left_semi")
-        if n > 2 and k % 2:
+    state, left, steps = vox.select(*KEY, col), n, offsets(connectivity)
+    while left > 0:
+        k = min(left, bl.HALO)
+
+        def run(layers, corner, _, k=k):
+            own = bl.inner(bl.shrink(bl.cube(layers[0], k), steps, k), k)
+            keep = own != bl.ABSENT
+            return {**_places(bl.listed(keep, corner, k)), col: own[keep]}
+
+        state = _of_kind(bl.by_block([(state, col)], ["scan_id"], k, run, f"p int, i int, r int, {col} long"), vox, col)
+        left -= k
+        if left:
             state = staged(state, "erode")
     return state
 
 
 def infect(labels: DataFrame, col: str, missing: DataFrame, scans: DataFrame, connectivity: int = 1) -> DataFrame:
-    """Grow labels into the missing voxels until nothing changes; every round touches the front only."""
-    done, front, open_ = [labels.select(*KEY, col)], labels.select(*KEY, col), missing.select(*KEY)
+    """Grow labels into the missing voxels until nothing changes.
+
+    A pass makes HALO rounds; the next one starts at what the last one added, as older
+    voxels have given all they could.
+    """
+    own = labels.select(*KEY, col)
+    open_, front, done = missing.select(*KEY).join(labels.select(*KEY), KEY, "left_anti"), own, [own]
     while True:
-        step = shifted(front, connectivity).groupBy(*KEY).agg(F.min(col).alias(col)).join(open_, KEY, "left_semi")
-        step = staged(step, "infect")
+        step = staged(_grown(front, col, bl.HALO, connectivity, ["scan_id"], scans, open_, new_only=True), "infect")
         if step.isEmpty():
             break
         done.append(step)
@@ -89,31 +146,51 @@ def infect(labels: DataFrame, col: str, missing: DataFrame, scans: DataFrame, co
     return out
 
 
-def _pack(p, i, r):
-    """One orderable key per place; indices are under 2**20."""
-    return F.shiftleft(p.cast("long"), 40) + F.shiftleft(i.cast("long"), 20) + r.cast("long")
+def place_key(p, i, r):
+    """One orderable key per place; indices are under 2**20, the packing of cubes raises where they aren't."""
+    return F.shiftleft(p.cast("long"), 2 * bl.BITS) + F.shiftleft(i.cast("long"), bl.BITS) + r.cast("long")
 
 
 def components(vox: DataFrame, col: str, connectivity: int = 1, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
     """Rows (keys, p, i, r, col, comp): connected components within each label.
 
-    ``comp`` is the smallest packed place of the component. Voxels become runs along r;
-    runs of neighbouring rows are joined if they touch (widened by one where the
-    connectivity allows diagonal contact).
+    ``comp`` is the smallest packed place of the component. Voxels are united inside of
+    cubes first, halo included, so a voxel near a border has a part in several cubes. These
+    parts are the edges of a much smaller graph, for which rounds of joins are made.
+    A place may have several labels.
     """
-    ks = list(keys)
-    row = W.partitionBy(*ks, col, "p", "i").orderBy("r")
-    runs = vox.select(*ks, *AXES, col).withColumn("_g", F.col("r") - F.row_number().over(row)).groupBy(*ks, col, "p", "i", "_g").agg(F.min("r").alias("r0"), F.max("r").alias("r1"))
-    runs = staged(runs.drop("_g").withColumn("id", _pack(F.col("p"), F.col("i"), F.col("r0"))), "runs")
-    steps = [(p, i, int(abs(p) + abs(i) < connectivity)) for p, i in product((-1, 0, 1), repeat=2) if (p, i) > (0, 0) and abs(p) + abs(i) <= connectivity]
-    moves = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(i).alias("i"), F.lit(w).alias("w")) for p, i, w in steps])
-    other = runs.withColumn("_o", F.explode(moves)).select(*ks, col, (F.col("p") + F.col("_o.p")).alias("p"), (F.col("i") + F.col("_o.i")).alias("i"), F.col("r0").alias("s0"), F.col("r1").alias("s1"), F.col("id").alias("id2"), F.col("_o.w").alias("_w"))
-    touch = (F.col("r0") <= F.col("s1") + F.col("_w")) & (F.col("s0") <= F.col("r1") + F.col("_w"))
+    ks, steps = list(keys), offsets(connectivity, half=True)
+    edge = bl.BLOCK + 2
+    wide = edge + 1  # a spare place after each line, so that steps beyond a cube's side meet nothing
+
+    def run(layers, corner, _):
+        at, value = layers[0]
+        place = np.stack(np.unravel_index(at, (edge,) * 3), axis=1).astype(np.int64)
+        names, which = np.unique(value, return_inverse=True)
+        key = which * (wide + 1) ** 3 + (place[:, 0] * wide + place[:, 1]) * wide + place[:, 2]
+        key, first = np.unique(key, return_index=True)
+        place, value = place[first], value[first]
+        u, v = [], []
+        for s in steps:
+            want = key + (s[0] * wide + s[1]) * wide + s[2]
+            there = np.minimum(np.searchsorted(key, want), len(key) - 1)
+            met = np.flatnonzero(key[there] == want)
+            u.append(met)
+            v.append(there[met])
+        root = bl.roots(len(key), np.concatenate(u), np.concatenate(v))
+        own = ((place >= 1) & (place <= bl.BLOCK)).all(axis=1)
+        rim = ((place <= 1) | (place >= bl.BLOCK)).any(axis=1)
+        packed = bl.pack(place + corner)
+        return {**_places(place + corner), col: value, "part": packed[root], "own": own, "rim": rim}
+
+    parts = staged(_of_kind(bl.by_block([(vox, col)], ks, 1, run, f"p int, i int, r int, {col} long, part long, own boolean, rim boolean"), vox, col), "parts")
     node = lambda c: F.struct(*ks, col, F.col(c).alias("id"))
-    edges = runs.join(other, [*ks, col, "p", "i"]).filter(touch).select(node("id").alias("u"), node("id2").alias("v"))
-    roots = graph_components(edges).select(*[F.col(f"node.{k}").alias(k) for k in [*ks, col, "id"]], F.col("root.id").alias("comp"))
-    named = runs.join(roots, [*ks, col, "id"], "left").withColumn("comp", F.coalesce("comp", "id"))
-    return staged(named.withColumn("r", F.explode(F.sequence("r0", "r1"))).select(*ks, *AXES, col, "comp"), "components")
+    shared = parts.filter("rim").groupBy(*ks, *AXES, col).agg(F.min("part").alias("low"), F.collect_set("part").alias("all")).filter(F.size("all") > 1)
+    edges = shared.select(*ks, col, "low", F.explode("all").alias("part")).filter("low <> part").distinct()
+    roots = graph_components(edges.select(node("part").alias("u"), node("low").alias("v")))
+    roots = staged(roots.select(*[F.col(f"node.{k}").alias(k) for k in [*ks, col]], F.col("node.id").alias("part"), F.col("root.id").alias("comp")), "roots")
+    named = parts.filter("own").join(small_side(roots), [*ks, col, "part"], "left")
+    return staged(named.select(*ks, *AXES, col, F.coalesce("comp", "part").alias("comp")), "components")
 
 
 def component_stats(comps: DataFrame, col: str) -> DataFrame:
@@ -130,23 +207,74 @@ def largest_components(comps: DataFrame, col: str, k: int) -> DataFrame:
     return sizes.withColumn("rank", F.row_number().over(W.partitionBy("scan_id", col).orderBy(F.desc("voxels"), "comp"))).filter(F.col("rank") <= k)
 
 
+def runs_along_r(vox: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Runs of voxels along r: (keys, p, i, r0, r1)."""
+    row = W.partitionBy(*keys, "p", "i").orderBy("r")
+    return vox.select(*keys, *AXES).withColumn("_g", F.col("r") - F.row_number().over(row)).groupBy(*keys, "p", "i", "_g").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).drop("_g")
+
+
+def holes(vox: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Runs (keys, p, i, s, e) of background that doesn't reach the border of its label's box (6-connected).
+
+    Background is the complement of runs: only a gap between two runs of one line can be
+    part of a hole. A gap that meets a line without voxels, or reaches beyond the ends of
+    the next line, is outside, and so is what is connected with it. No box is made dense:
+    rows are in proportion to runs.
+    """
+    ks = list(keys)
+    runs = staged(runs_along_r(vox, ks), "hole-runs")
+    line = W.partitionBy(*ks, "p", "i").orderBy("r0")
+    gaps = runs.withColumn("_n", F.lead("r0").over(line)).filter("_n is not null").select(*ks, "p", "i", (F.col("r1") + 1).alias("s"), (F.col("_n") - 1).alias("e"))
+    lines = runs.groupBy(*ks, "p", "i").agg(F.min("r0").alias("f"), F.max("r1").alias("l"))
+    step = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(i).alias("i")) for p, i in ((-1, 0), (1, 0), (0, -1), (0, 1))])
+    key = lambda p, i, s: place_key(F.col(p), F.col(i), F.col(s))
+    gaps = staged(gaps.withColumn("id", key("p", "i", "s")), "hole-gaps")
+    moved = gaps.withColumn("_o", F.explode(step)).select(*ks, "id", "s", "e", (F.col("p") + F.col("_o.p")).alias("p"), (F.col("i") + F.col("_o.i")).alias("i"))
+    moved = staged(moved, "hole-steps")
+    near = moved.join(lines, [*ks, "p", "i"], "left")
+    out = staged(near.filter(F.col("f").isNull() | (F.col("s") < F.col("f")) | (F.col("e") > F.col("l"))).select(*ks, "id").distinct(), "hole-outside")
+    # Gaps that are outside by themselves need no components: what touches one is outside with all it is connected with.
+    other = gaps.select(*ks, "p", "i", F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("id").alias("id2"))
+    met = moved.join(out, [*ks, "id"], "left_anti").join(other, [*ks, "p", "i"]).filter("s <= e2 and s2 <= e").select(*ks, "id", "id2")
+    met = staged(met.join(out.select(*ks, F.col("id").alias("id2"), F.lit(True).alias("gone")), [*ks, "id2"], "left"), "hole-edges")
+    node = lambda c: F.struct(*ks, F.col(c).alias("id"))
+    roots = graph_components(met.filter("gone is null and id < id2").select(node("id").alias("u"), node("id2").alias("v")))
+    roots = staged(roots.select(*[F.col(f"node.{k}").alias(k) for k in ks], F.col("node.id").alias("id"), F.col("root.id").alias("root")), "hole-roots")
+    inner = gaps.join(out, [*ks, "id"], "left_anti").join(roots, [*ks, "id"], "left").withColumn("root", F.coalesce("root", "id"))
+    lost = met.filter("gone").select(*ks, "id").distinct().join(roots, [*ks, "id"], "left").select(*ks, F.coalesce("root", "id").alias("root")).distinct()
+    return inner.join(lost, [*ks, "root"], "left_anti").select(*ks, "p", "i", "s", "e")
+
+
 def fill_holes(vox: DataFrame, col: str) -> DataFrame:
     """Per label, background inside its box that doesn't reach the box's border takes the label.
 
     Where several labels could fill a voxel the smallest does; labelled voxels stay.
     """
-    b = vox.filter(F.col(col) > 0).groupBy("scan_id", col).agg(*[f(a).alias(f"{a}{n}") for a in AXES for n, f in ((0, F.min), (1, F.max))])
-    grid = b
-    for a in AXES:
-        grid = grid.withColumn(a, F.explode(F.sequence(f"{a}0", f"{a}1")))
-    edge = F.lit(False)
-    for a in AXES:
-        edge = edge | (F.col(a) == F.col(f"{a}0")) | (F.col(a) == F.col(f"{a}1"))
-    empty = staged(grid.withColumn("edge", edge).select(*KEY, col, "edge").join(vox.select(*KEY, col), [*KEY, col], "left_anti"), "holes")
-    comps = components(empty, col, 1).join(empty, [*KEY, col])
-    inner = comps.groupBy("scan_id", col, "comp").agg(F.max("edge").alias("edge")).filter("not edge")
-    fill = comps.drop("edge").join(inner, ["scan_id", col, "comp"], "left_semi").groupBy(*KEY).agg(F.min(col).alias(col))
-    return vox.select(*KEY, col).unionByName(fill.join(vox.select(*KEY), KEY, "left_anti"))
+    own = vox.select(*KEY, col)
+    fill = holes(own.filter(F.col(col) > 0), ["scan_id", col]).select("scan_id", "p", "i", F.explode(F.sequence("s", "e")).alias("r"), col).groupBy(*KEY).agg(F.min(col).alias(col))
+    return own.unionByName(fill.join(own.select(*KEY), KEY, "left_anti"))
+
+
+def nonzero_box(vox: DataFrame, channels: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The box of where any channel isn't zero, holes filled: (boxes, runs outside of it).
+
+    Boxes have scan_id, p0 .. r1. The second table (scan_id, p, i, s, e, mark -1) lists the
+    cells of the box that are neither non-zero nor inside a hole as runs along r; a line
+    without a voxel is one run.
+    """
+    some = F.lit(False)
+    for c in channels:
+        some = some | F.coalesce(F.col(c) != 0, F.lit(False))
+    mask = staged(vox.filter(some).select(*KEY).distinct(), "nonzero")
+    full = staged(fill_holes(mask.withColumn("_one", F.lit(1)), "_one").select(*KEY), "nonzero-full")
+    boxes = staged(full.groupBy("scan_id").agg(*[f(a).alias(f"{a}{n}") for a in AXES for n, f in ((0, F.min), (1, F.max))]), "nonzero-boxes")
+    lines = boxes.withColumn("p", F.explode(F.sequence("p0", "p1"))).withColumn("i", F.explode(F.sequence("i0", "i1"))).select("scan_id", "p", "i", F.col("r0").alias("lo"), F.col("r1").alias("hi"))
+    runs = runs_along_r(full, ["scan_id"]).groupBy("scan_id", "p", "i").agg(F.array_sort(F.collect_list(F.struct("r0", "r1"))).alias("w"))
+    found = lines.join(runs, ["scan_id", "p", "i"], "left").withColumn("w", F.coalesce("w", F.array().cast("array<struct<r0:int,r1:int>>")))
+    starts = F.concat(F.array("lo"), F.transform("w", lambda x: x["r1"] + 1))
+    ends = F.concat(F.transform("w", lambda x: x["r0"] - 1), F.array("hi"))
+    gaps = found.withColumn("g", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e")))).select("scan_id", "p", "i", F.col("g.s").alias("s"), F.col("g.e").alias("e"), F.lit(-1).alias("mark"))
+    return boxes, gaps.filter("s <= e")
 
 
 def clean_artifacts(vox: DataFrame, col: str, sizes: DataFrame, scans: DataFrame, only_delete: bool = False, factor: float = 0.1) -> DataFrame:

@@ -113,6 +113,22 @@ def i4(s, d):
     return nb.fill_holes(view(s, d, "vox").filter("inst > 0"), "inst")
 
 
+A19 = """, m as (select distinct scan_id, p, i, r, 1 as one from vox where intensity > 1000 or inst = 2),
+b as (select scan_id, min(p) p0, max(p) p1, min(i) i0, max(i) i1, min(r) r0, max(r) r1 from m group by all),
+g1 as (select *, unnest(range(p0, p1 + 1))::int as p from b), g2 as (select *, unnest(range(i0, i1 + 1))::int as i from g1), g3 as (select *, unnest(range(r0, r1 + 1))::int as r from g2),
+hole as materialized (select scan_id, 1 as one, p, i, r, p in (p0, p1) or i in (i0, i1) or r in (r0, r1) as edge from g3 anti join m using (scan_id, p, i, r))
+""" + runs("hole", "one") + """, outer_ as (select cv.scan_id, comp from cv join hole using (scan_id, p, i, r) group by all having bool_or(edge)),
+cells as (select scan_id, p, i, r, r - row_number() over (partition by scan_id, p, i order by r) as k from cv semi join outer_ using (scan_id, comp))
+select scan_id, p, i, cast(min(r) as int) as s, cast(max(r) as int) as e, -1 as mark from cells group by scan_id, p, i, k"""
+
+
+@register("a19_outside_in_box", ctes("vox", A19))
+def a19_outside(s, d):
+    """Two channels: bright voxels, and those of the second instance."""
+    vox = view(s, d, "vox").select(*vx.KEY, (F.col("intensity") > 1000).cast("int").alias("bright"), (F.col("inst") == 2).cast("int").alias("second"))
+    return nb.nonzero_box(vox, ["bright", "second"])[1]
+
+
 @register("i5_infect", None)
 def i5(s, d):
     vox = view(s, d, "vox")
