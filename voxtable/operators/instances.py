@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from voxtable.functions.labels import CLASSES, L5, T11, T12
+from voxtable.functions import units as un
 from voxtable.operators import labelling as la, neighbours as nb, regions as rg, voxels as vx
+from voxtable.operators.splitting import split_merged
 from voxtable.operators.voxels import AXES, KEY
 from voxtable.plans.storage import staged
 
@@ -15,72 +17,52 @@ from voxtable.plans.storage import staged
 DENS = 51
 
 
-def separating_components(vox: DataFrame, scans: DataFrame, most: int = 10) -> DataFrame:
-    """Two seeds of each flagged region (KEY, inst): erode until it falls apart, at most ``most`` rounds.
-
-    Returns KEY, inst, side (1 the larger, 2 the second) of the two largest parts at the
-    first round with two or more. Regions that never fall apart have no row.
-    """
-    state, open_, found = vox.select(*KEY, "inst"), vox.select("scan_id", "inst").distinct(), []
-    for _ in range(most):
-        state = staged(nb.erode(state, "inst", 1, 1), "separate")
-        comps = nb.components(state, "inst", 3)
-        top = staged(nb.largest_components(comps, "inst", 2), "separate-top")
-        apart = staged(top.groupBy("scan_id", "inst").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("scan_id", "inst"), "separate-done")
-        if not apart.isEmpty():
-            found.append(comps.join(top.join(apart, ["scan_id", "inst"]).select("scan_id", "inst", "comp", F.col("rank").alias("side")), ["scan_id", "inst", "comp"]).select(*KEY, "inst", "side"))
-        open_ = staged(open_.join(apart, ["scan_id", "inst"], "left_anti"), "separate-open")
-        state = state.join(open_, ["scan_id", "inst"], "left_semi")
-        if state.isEmpty():
-            break
-    out = found[0] if found else vox.select(*KEY, "inst", F.lit(0).alias("side")).limit(0)
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def plane_split(vox: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``vox`` (KEY, inst) with ``side`` 1 or 2: which side of the plane half way between both seeds a voxel lies on."""
-    sides = seeds.groupBy("scan_id", "inst", "side").agg(*[(F.sum(F.col(a).cast("long")) / F.count(F.lit(1))).alias(f"c{a}") for a in AXES])
-    both = sides.groupBy("scan_id", "inst").agg(*[F.max(F.when(F.col("side") == k, F.col(f"c{a}"))).alias(f"{a}_{k}") for a in AXES for k in (1, 2)])
-    joined = vox.join(both, ["scan_id", "inst"])
-    dot = sum(((F.col(a) - (F.col(f"{a}_1") + F.col(f"{a}_2")) / 2) * (F.col(f"{a}_2") - F.col(f"{a}_1")) for a in AXES), F.lit(0.0))
-    return joined.select(*KEY, "inst", F.when(dot > 0, 2).otherwise(1).alias("side"))
-
-
-def split_merged(bodies: DataFrame, flagged: DataFrame, scans: DataFrame) -> DataFrame:
-    """Give the second half of every flagged body a label of its own, above the scan's largest."""
-    part = bodies.join(flagged.select("scan_id", F.col("target").alias("inst")).distinct(), ["scan_id", "inst"], "left_semi")
-    halves = plane_split(part, separating_components(part, scans)).filter("side = 2")
-    top = bodies.groupBy("scan_id").agg(F.max("inst").alias("_top"))
-    new = halves.select("scan_id", "inst").distinct().join(top, "scan_id")
-    new = new.withColumn("_to", F.col("_top") + F.row_number().over(W.partitionBy("scan_id").orderBy("inst")))
-    moved = halves.join(new.select("scan_id", "inst", "_to"), ["scan_id", "inst"]).select(*KEY, "_to")
-    return bodies.join(moved, KEY, "left").withColumn("inst", F.coalesce("_to", "inst").cast("int")).drop("_to")
-
-
-def corpus_centers(sem: DataFrame, scans: DataFrame, body: int = 49, disc: int = 100, ratio: float = 1.5, dens: int | None = None) -> DataFrame:
+def corpus_centers(
+    sem: DataFrame,
+    scans: DataFrame,
+    body: int = 49,
+    disc: int = 100,
+    ratio: float = 1.5,
+    dens: int | None = DENS,
+    dense: int = 50,
+    plate: int = 62,
+    cleaning_mm3: float = 0.0,
+) -> DataFrame:
     """Centres of vertebral bodies, bottom to top: scan_id, rank, cp, ci, cr.
 
-    Components of the body label are bodies; where discs and bodies don't alternate, the
-    largest neighbour that stands out by volume is split. Dens components come last in
-    height order, so first after the reversal.
+    Where a scan has the ``dense`` label, its components are the bodies and components of
+    ``dens`` come last in height order, so first after the reversal. Elsewhere the border
+    label ``body`` is eroded twice (18-connected) and, with ``cleaning_mm3``, components
+    under that volume (40 reference voxels at least) are deleted. Where discs, endplates
+    among them, and bodies don't alternate, the largest of the bodies around that stands
+    out by volume is split. Scans without a body have no row.
     """
-    bodies = nb.components(sem.filter(F.col("sem") == body).select(*KEY, "sem"), "sem", 3)
+    own = sem.filter(F.col("sem").isin(body, dense)).select(*KEY, "sem")
+    has = staged(own.filter(F.col("sem") == dense).select("scan_id").distinct(), "dense-scans")
+    border = nb.erode(own.join(has, "scan_id", "left_anti"), "sem", 2, 2)
+    if cleaning_mm3 > 0:
+        volume = F.col("zp") * F.col("zi") * F.col("zr")
+        size = F.greatest(F.floor(cleaning_mm3 / volume), un.mm3_to_voxels(F.lit(un.reference_voxels(40)), F.array("zp", "zi", "zr")))
+        border = nb.clean_artifacts(staged(border, "border"), "sem", scans.select("scan_id", F.lit(body).alias("label"), size.alias("size")), scans, only_delete=True)
+    bodies = staged(own.filter(F.col("sem") == dense).unionByName(border.select(*KEY, "sem")).withColumn("sem", F.lit(body)), "bodies")
+    bodies = nb.components(bodies, "sem", 3)
     names = bodies.select("scan_id", "comp").distinct().withColumn("inst", F.row_number().over(W.partitionBy("scan_id").orderBy("comp")))
     bodies = staged(bodies.join(names, ["scan_id", "comp"]).select(*KEY, "inst"), "bodies")
-    stats = rg.region_stats(bodies, "inst")
-    discs = nb.components(sem.filter(F.col("sem") == disc).select(*KEY, "sem"), "sem", 3).groupBy("scan_id", F.col("comp").alias("label")).agg((F.sum(F.col("i").cast("long")) / F.count(F.lit(1))).alias("ci"))
-    entries = stats.select("scan_id", F.lit("body").alias("kind"), F.col("label").cast("long").alias("label"), "ci").unionByName(discs.select("scan_id", F.lit("disc").alias("kind"), "label", "ci"))
-    odd = rg.alternation_check(entries.join(scans.select("scan_id", "zi"), "scan_id"), 7.5 / F.col("zi")).filter("anomaly and not dropped and kind = 'body'")
-    flagged = rg.neighbour_volume_outlier(stats, ratio=ratio).join(odd.select("scan_id", F.col("label").cast("int").alias("label")), ["scan_id", "label"], "left_semi")
-    flagged = staged(flagged, "flagged")
+    stats = rg.region_stats(bodies, "inst").select("scan_id", F.lit("body").alias("kind"), F.col("label").cast("long").alias("label"), "ci", "voxels")
+    discs = nb.components(sem.filter(F.col("sem").isin(disc, plate)).select(*KEY, F.lit(disc).alias("sem")), "sem", 3).groupBy("scan_id", F.col("comp").alias("label")).agg((F.sum(F.col("i").cast("long")) / F.count(F.lit(1))).alias("ci"), F.count(F.lit(1)).alias("voxels"))
+    entries = stats.unionByName(discs.select("scan_id", F.lit("disc").alias("kind"), "label", "ci", "voxels"))
+    checked = staged(rg.alternation_check(entries.join(scans.select("scan_id", "zi"), "scan_id"), 7.5 / F.col("zi")), "alternation").filter("not dropped")
+    # Labels of discs are moved apart from those of bodies, so that the order is total.
+    order = checked.select("scan_id", F.when(F.col("kind") == "disc", -1 - F.col("label")).otherwise(F.col("label")).alias("label"), "ci", "voxels", "anomaly", (F.col("kind") == "body").alias("is_body"))
+    odd = order.filter("anomaly").select("scan_id", "label")
+    flagged = rg.neighbour_volume_outlier(order, ratio=ratio, of="is_body").join(odd, ["scan_id", "label"], "left_semi")
+    flagged = staged(flagged.select("scan_id", F.col("target").cast("int").alias("target")).distinct(), "flagged")
     fixed = bodies if flagged.isEmpty() else staged(split_merged(bodies, flagged, scans), "bodies")
-    centres = rg.region_stats(fixed, "inst").select("scan_id", "label", *[f"c{a}" for a in AXES], F.lit(0).alias("_d"))
+    centres = rg.region_stats(fixed, "inst").select("scan_id", F.col("label").cast("long").alias("label"), *[f"c{a}" for a in AXES], F.lit(0).alias("_d"))
     if dens is not None:
-        extra = nb.components(sem.filter(F.col("sem") == dens).select(*KEY, "sem"), "sem", 3)
+        extra = nb.components(sem.filter(F.col("sem") == dens).select(*KEY, "sem").join(has, "scan_id", "left_semi"), "sem", 3)
         extra = extra.groupBy("scan_id", F.col("comp").alias("label")).agg(*[(F.sum(F.col(a).cast("long")) / F.count(F.lit(1))).alias(f"c{a}") for a in AXES], F.lit(1).alias("_d"))
-        centres = centres.withColumn("label", F.col("label").cast("long")).unionByName(extra)
+        centres = centres.unionByName(extra)
     return bottom_to_top(centres)
 
 
@@ -90,9 +72,16 @@ def bottom_to_top(centres: DataFrame) -> DataFrame:
     return centres.withColumn("rank", F.row_number().over(order)).select("scan_id", "rank", *[f"c{a}" for a in AXES])
 
 
-def attach_ivd_endplates(vox: DataFrame, inst: DataFrame, disc: int = 100, plate: int = 62) -> DataFrame:
-    """Discs as 100 + X and endplates as 200 + X, X the vertebra above; a disc above all gets the lowest label less 1."""
+def attach_ivd_endplates(vox: DataFrame, inst: DataFrame, disc: int = 100, plate: int = 62, corpus: int | None = None) -> DataFrame:
+    """Discs as 100 + X and endplates as 200 + X, X the vertebra above; a disc above all gets the lowest label less 1.
+
+    With ``corpus`` a vertebra's height is that of its voxels of that label, 0 if it has none.
+    """
     verts = rg.region_stats(inst, "inst").select("scan_id", "label", "ci")
+    if corpus is not None:
+        own = inst.join(vox.filter(F.col("sem") == corpus).select(*KEY), KEY, "left_semi")
+        heights = rg.region_stats(own, "inst").select("scan_id", "label", F.col("ci").alias("_ci"))
+        verts = verts.join(heights, ["scan_id", "label"], "left").select("scan_id", "label", F.coalesce("_ci", F.lit(0.0)).alias("ci"))
     out = inst.select(*KEY, "inst")
     for sem, base in ((disc, 100), (plate, 200)):
         comps = nb.components(vox.filter(F.col("sem") == sem).select(*KEY, "sem"), "sem", 3)

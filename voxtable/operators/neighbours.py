@@ -280,13 +280,13 @@ def nonzero_box(vox: DataFrame, channels: Sequence[str]) -> tuple[DataFrame, Dat
 def clean_artifacts(vox: DataFrame, col: str, sizes: DataFrame, scans: DataFrame, only_delete: bool = False, factor: float = 0.1) -> DataFrame:
     """Components (6-connected) smaller than their label's ``size`` are deleted or take the majority label around.
 
-    ``sizes`` (label, size). The ring around a component counts every place, labelled or
+    ``sizes`` (label, size), with scan_id if they differ by scan. The ring around a component counts every place, labelled or
     not; with at most int(ring * factor) labelled neighbours it is deleted. Neighbours are
     read from the mask as it was. Scans without a background voxel are unchanged.
     """
     comps = components(vox, col, 1)
     n = comps.groupBy("scan_id", col, "comp").agg(F.count(F.lit(1)).alias("voxels"))
-    small = n.join(sizes.withColumnRenamed("label", col), col).filter(F.col("voxels") < F.col("size")).select("scan_id", col, "comp")
+    small = n.join(sizes.withColumnRenamed("label", col), [c for c in ("scan_id", col) if c == col or c in sizes.columns]).filter(F.col("voxels") < F.col("size")).select("scan_id", col, "comp")
     filled = vox.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n")).join(scans, "scan_id").filter(F.col("n") < F.col("np").cast("long") * F.col("ni") * F.col("nr")).select("scan_id")
     small = staged(small.join(filled, "scan_id", "left_semi"), "small")
     part = comps.join(small, ["scan_id", col, "comp"])

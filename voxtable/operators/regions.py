@@ -136,16 +136,18 @@ def centroids(vox: DataFrame) -> DataFrame:
     return own.groupBy("scan_id", F.col("inst").alias("vert"), F.when(F.col("inst") == 26, 50).otherwise(F.col("sem")).alias("subreg")).agg(*sums)
 
 
-def neighbour_volume_outlier(stats: DataFrame, span: int = 5, least: int = 2, ratio: float = 1.5) -> DataFrame:
+def neighbour_volume_outlier(stats: DataFrame, span: int = 5, least: int = 2, ratio: float = 1.5, of: str | None = None) -> DataFrame:
     """For each region, the largest of up to ``span`` neighbours above and below, if it stands out.
 
     ``stats`` (scan_id, label, ci, voxels). Returns the target and the ratio of its volume
     to the others' mean, where more than ``least`` others exist and the ratio is exceeded.
+    With ``of``, a boolean column, only the marked entries count as neighbours, but all
+    take part in the order.
     """
     order = W.partitionBy("scan_id").orderBy("ci", "label")
     item = F.struct(F.col("voxels").alias("v"), (-F.row_number().over(order)).alias("at"), F.col("label").alias("label"))
     before, after = order.rowsBetween(-span, -1), order.rowsBetween(1, span)
-    with_items = stats.withColumn("_x", item)
+    with_items = stats.withColumn("_all", item).withColumn("_x", F.col("_all") if of is None else F.when(F.col(of), F.col("_all")))
     near = with_items.withColumn("_n", F.concat(F.collect_list("_x").over(before), F.collect_list("_x").over(after)))
     near = near.withColumn("_top", F.array_max("_n")).withColumn("_sum", F.aggregate("_n", F.lit(0).cast("long"), lambda a, x: a + x["v"]))
     others = F.size("_n") - 1
@@ -223,8 +225,9 @@ def box_overlap(a: DataFrame, b: DataFrame, margin: int = 0, block: int = 16) ->
     return out.select("scan_id", "a", "b").distinct()
 
 
-def running_min_fill(vox: DataFrame, value: str, out: str = "filled", axis: str = "i") -> DataFrame:
-    """Each line along ``axis`` takes over the least value met so far."""
+def running_min_fill(vox: DataFrame, value: str, out: str = "filled", axis: str = "i", keys: Sequence[str] = ("scan_id",), upwards: bool = False) -> DataFrame:
+    """Each line along ``axis`` takes over the least value met so far, from its end on if ``upwards``."""
     line = [a for a in AXES if a != axis]
-    w = W.partitionBy("scan_id", *line).orderBy(axis).rowsBetween(W.unboundedPreceding, 0)
+    order = [F.desc(axis) if upwards else F.asc(axis), F.asc(value)]
+    w = W.partitionBy(*keys, *line).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return vox.withColumn(out, F.min(value).over(w))

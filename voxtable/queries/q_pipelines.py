@@ -5,12 +5,29 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxtable.operators import instances as ins, neighbours as nb, pipelines as pl, regions as rg, voxels as vx
+from voxtable.operators.splitting import split_merged
+from voxtable.plans.storage import staged
 from voxtable.registry import register
 from voxtable.sources.views import ctes, view
 
 
-def _sizes(s):
-    return s.createDataFrame([(41, 12), (62, 20)], "label int, size long")
+def _three():
+    """A scorer of three vertebrae by their height in the window, which is 24 voxels tall."""
+    def run(batch):
+        import numpy as np
+
+        near = batch["i"].to_numpy() - 12
+        return np.stack([np.full(len(batch), 0.5), near < -5, abs(near) <= 5, near > 5], axis=1).astype(float)
+
+    return run
+
+
+def _scan_voxels(s, d):
+    """Scans with whole bodies: each line along r of a body or a bridge is closed between its ends."""
+    vox = view(s, d, "vox").select(*vx.KEY, "intensity", "sem")
+    lines = vox.filter("sem = 49").groupBy("scan_id", "p", "i").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.max("intensity").alias("intensity"))
+    closed = lines.withColumn("r", F.explode(F.sequence("lo", "hi"))).select(*vx.KEY, "intensity", F.lit(49).alias("sem"))
+    return vox.unionByName(closed.join(vox.select(*vx.KEY), vx.KEY, "left_anti"))
 
 
 @register("e3_preprocess", ctes("vox scans", """, lo as (select scan_id, min(intensity) as lo from vox group by scan_id),
@@ -23,33 +40,47 @@ def e3(s, d):
 
 @register("e4_clean_semantic", None)
 def e4(s, d):
-    vox = view(s, d, "vox").filter("(p * 7 + i * 3 + r * 5) % 4 <> 0").select(*vx.KEY, "sem")
-    return pl.clean_semantic(vox, view(s, d, "scans"), _sizes(s))
+    return pl.clean_semantic(view(s, d, "vox").select(*vx.KEY, "sem"), view(s, d, "scans"))
 
 
 @register("e5_build_instances", None)
 def e5(s, d):
-    return pl.build_instances(view(s, d, "preds"), view(s, d, "scans"), 4)
+    """From the masks of ``vox`` to instances on its grid; every third scan has another zoom."""
+    return pl.build_instances(_scan_voxels(s, d), view(s, d, "scans"), _three)[0]
+
+
+@register("i16_i17_merge_predictions", None)
+def merge_predictions(s, d):
+    return pl.merge_predictions(view(s, d, "preds"), view(s, d, "scans"), 4)
 
 
 @register("e6_postprocess", None)
 def e6(s, d):
     vox = view(s, d, "vox")
-    return pl.postprocess(vox.select(*vx.KEY, "sem"), vox.filter("inst > 0").select(*vx.KEY, "inst"), view(s, d, "scans"))[1]
+    return pl.postprocess(vox, vox.filter("inst > 0"), view(s, d, "scans"))[1]
+
+
+@register("e6_endplate_parts", None)
+def e6_parts(s, d):
+    vox = view(s, d, "vox")
+    return pl.postprocess(vox, vox.filter("inst > 0"), view(s, d, "scans"))[0].groupBy("scan_id", "sem").agg(F.count(F.lit(1)).alias("voxels"))
 
 
 @register("e2_process_scans_centroids", None)
 def e2(s, d):
-    out = pl.process_scans(view(s, d, "vox"), view(s, d, "scans"), view(s, d, "preds"), _sizes(s))
-    return out["centroids"]
+    return pl.process_scans(_scan_voxels(s, d), view(s, d, "scans"), _three)["centroids"]
 
 
 @register("e1_process_dataset_summary", None)
 def e1(s, d):
+    """A fifth of the scans is finished, and a seventh has no plane that the models know."""
     scans = view(s, d, "scans")
     manifest = scans.filter("scan_id % 5 = 4").select("scan_id", F.explode(F.array(*map(F.lit, ("out_spine", "out_vert", "out_snap", "out_ctd")))).alias("name"))
-    catalog = scans.select(F.col("scan_id").alias("file_id"), F.col("scan_id").alias("subject"), F.lit("T2w").alias("format"), F.lit("sag").alias("acq"), F.lit(None).cast("string").alias("seg"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("part"))
-    return pl.process_dataset(catalog, manifest, view(s, d, "vox"), scans, view(s, d, "preds"), _sizes(s), ["T2w"], ["sag"])["summary"]
+    none = F.lit(None).cast("string")
+    catalog = scans.select(F.col("scan_id").alias("file_id"), F.col("scan_id").alias("subject"), F.lit("T2w").alias("format"), F.when(F.col("scan_id") % 7 == 6, "ax").otherwise("sag").alias("acq"), none.alias("seg"), none.alias("label"), none.alias("part"))
+    models = s.createDataFrame([("sem", ["T2w"], "sag", ["T2w"]), ("inst", ["T2w"], "sag", ["T2w", "SEG"])], "model_id string, formats array<string>, acquisition string, modality array<string>")
+    pairs = s.createDataFrame([("sem", "inst")], "semantic string, instance string")
+    return pl.process_dataset(catalog, manifest, _scan_voxels(s, d), scans, _three, ["T2w"], ["sag", "ax"], models=models, pairs=pairs)["summary"]
 
 
 def _flat():
@@ -72,18 +103,26 @@ def e7(s, d):
     return pl.label_cutouts(rows, ["scan_id", "rw"], _flat)
 
 
+def merged_bodies(s, d):
+    """The two upper bodies of each scan with a bridge of the disc's voxels between them, lines along r closed."""
+    vox = view(s, d, "vox").filter("p < 6 and i < 20 and (i % 10 < 8 or p in (2, 3))")
+    lines = vox.groupBy("scan_id", "p", "i").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
+    bridge = F.col("i") % 10 >= 8
+    lines = lines.select("scan_id", "p", "i", F.when(bridge, F.greatest("lo", F.lit(3))).otherwise(F.col("lo")).alias("lo"), F.when(bridge, F.least("hi", F.lit(4))).otherwise(F.col("hi")).alias("hi")).filter("lo <= hi")
+    return lines.withColumn("r", F.explode(F.sequence("lo", "hi"))).select(*vx.KEY, F.lit(1).alias("inst"))
+
+
 @register("i13_i14_split_merged", None)
 def i13(s, d):
-    vox = view(s, d, "vox").filter("sem = 49 and i between 10 and 27").withColumn("inst", F.lit(1))
-    flagged = vox.select("scan_id", F.lit(1).alias("target")).distinct()
-    full = vox.select("scan_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("p"), "i").distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    neck = full.filter("i not in (18, 19) or (p = 2 and r = 3)").withColumn("inst", F.lit(1))
-    return ins.split_merged(neck, flagged, view(s, d, "scans"))
+    bodies = staged(merged_bodies(s, d), "merged-bodies")
+    return split_merged(bodies, bodies.select("scan_id", F.col("inst").alias("target")).distinct(), view(s, d, "scans"))
 
 
 @register("i15_corpus_centers", None)
 def i15(s, d):
-    return ins.corpus_centers(view(s, d, "vox"), view(s, d, "scans")).withColumns({f"c{a}": F.round(f"c{a}", 6) for a in vx.AXES})
+    """Every second scan has the dense label, the others only the border label."""
+    sem = _scan_voxels(s, d).withColumn("sem", F.when((F.col("sem") == 49) & (F.col("scan_id") % 2 == 0), 50).otherwise(F.col("sem")))
+    return ins.corpus_centers(staged(sem, "sem"), view(s, d, "scans")).withColumns({f"c{a}": F.round(f"c{a}", 6) for a in vx.AXES})
 
 
 @register("t5_bottom_to_top", ctes("vox", ", st as (select scan_id, inst as label, sum(p) / count(*) as cp, sum(i) / count(*) as ci, sum(r) / count(*) as cr, cast(inst = 1 as int) as d from vox where inst > 0 group by all) select scan_id, cast(row_number() over (partition by scan_id order by d desc, ci desc, label desc) as int) as rank, round(cp, 6) as cp, round(ci, 6) as ci, round(cr, 6) as cr from st"))
