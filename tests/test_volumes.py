@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from voxtable.functions import units as un
@@ -10,6 +11,7 @@ from voxtable.operators import instances as ins, neighbours as nb, overlap as ov
 from voxtable.operators.voxels import KEY
 from voxtable.sources import catalog as ct
 from voxtable.sources.views import view
+from voxtable.sources.volumes import VolumeDataSource
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,13 +80,26 @@ def test_thresholds_in_mm(spark):
 
 
 def test_volume_source(spark, tmp_path):
-    data = np.zeros((3, 4, 5), dtype=np.int16)
-    data[1, 2, 3] = 7
-    np.savez(tmp_path / "a.npz", data=data, zoom=np.array([0.75, 0.75, 1.65]))
-    np.save(tmp_path / "b.npy", data * 2)
-    spark.dataSource.register(ct.VolumeDataSource)
-    rows = spark.read.format("volumes").load(f"{tmp_path}/a.npz,{tmp_path}/b.npy").collect()
-    assert sorted((r.p, r.i, r.r, r.value, r.zoom[2]) for r in rows) == [(1, 2, 3, 7.0, 1.65), (1, 2, 3, 14.0, 1.0)]
+    rng = np.random.default_rng(1)
+    data = np.zeros((30, 4, 5), dtype=np.int16)
+    data[rng.random(data.shape) < 0.3] = 7
+    affine = np.arange(16.0).reshape(4, 4)
+    np.savez(tmp_path / "a.npz", data=data, zoom=np.array([0.75, 0.75, 1.65]), affine=affine)
+    np.savez_compressed(tmp_path / "c.npz", data=data)
+    np.save(tmp_path / "b.npy", np.asfortranarray(data.astype(">f4") * 2))
+    np.save(tmp_path / "empty.npy", np.zeros((0, 4, 5)))
+    spark.dataSource.register(VolumeDataSource)
+    want = {tuple(map(int, x)) for x in np.argwhere(data)}
+    for size in (100, 1 << 20):
+        df = spark.read.format("volumes").option("slabBytes", size).load(f"{tmp_path}/a.npz,file://{tmp_path}/b.npy,{tmp_path}/c.npz,{tmp_path}/empty.npy")
+        rows = df.collect()
+        assert len(rows) == 3 * len(want)
+        for name, value, zoom in (("a.npz", 7.0, 1.65), ("b.npy", 14.0, 1.0), ("c.npz", 7.0, 1.0)):
+            mine = [r for r in rows if r.path.endswith(name)]
+            assert {(r.p, r.i, r.r) for r in mine} == want and {(r.value, r.zoom[2], tuple(r.shape)) for r in mine} == {(value, zoom, (30, 4, 5))}
+        assert next(r for r in rows if r.path.endswith("a.npz")).affine == list(range(16))
+        tasks = df.filter("path like '%b.npy'").groupBy(F.spark_partition_id()).count().count()
+        assert tasks == (5 if size == 100 else 1)  # planes of the slowest axis
 
 
 def test_sinks_and_catalogs(spark, tmp_path):
@@ -102,6 +117,17 @@ def test_sinks_and_catalogs(spark, tmp_path):
     got = {r.model_id: r.model_class for r in ct.read_model_configs(spark, f"{tmp_path}/models").select("model_id", "model_class").collect()}
     assert got == {"alpha": "semantic", "beta": "instance", "gamma": "labeling"}
     assert ct.find_paths(spark, f"{tmp_path}/models", "*.json").count() == 4
+    with pytest.warns(UserWarning):
+        ct.find_paths(spark, f"{tmp_path}/models", "*.txt")
+    (tmp_path / "models" / "deep" / "Delta").mkdir(parents=True)
+    (tmp_path / "models" / "deep" / "Delta" / "inference_config.json").write_text("{}")
+    ends = {name: ct.find_model(spark, f"{tmp_path}/models", name).split("/models")[-1] for name in ("Alpha", "Delta", "None")}
+    assert ends == {"Alpha": "/Alpha", "Delta": "/deep/Delta", "None": "/None"}
+    tap = ct.DebugTap(f"{tmp_path}/tap")
+    assert tap("points")(points).count() == 1 == spark.read.parquet(f"{tmp_path}/tap/points").count() and set(tap.frames) == {"points"}
+    scores = points.select("scan_id", F.array("x", "y").alias("scores"))
+    ct.write_scores(scores, f"{tmp_path}/scores")
+    assert spark.read.parquet(f"{tmp_path}/scores").head().scores == [1.0, 2.0]
 
 
 def test_new_files_are_processed_once(spark, tmp_path):

@@ -205,7 +205,8 @@ def process_scans(
     (scan_id, compatible) excludes or doesn't know, SHAPE where the declared shape isn't
     positive or voxels lie outside of it, EMPTY where nothing is left after cropping or
     cleaning or there is no body, UNKNOWN where no instance is found, else OK. ``sinks``: a
-    folder for masks and centroids; ``tap`` keeps named intermediates (``DebugTap``);
+    folder for masks and centroids; ``coverage`` warns of scans whose vertebra voxels have
+    no instance (``coverage_gap``); ``tap`` keeps named intermediates (``DebugTap``);
     ``post`` goes to ``postprocess``.
     """
     from voxtable.sources import catalog as ct
@@ -231,12 +232,15 @@ def process_scans(
     inst = keep("inst_raw")(staged(routes.of(inst), "inst"))
     one_body = routes.of(sem).withColumn("sem", F.when(F.col("sem") == 50, 49).otherwise(F.col("sem")))
     sem, full = postprocess(one_body, inst, scans, **post)
+    own = sem.filter(F.col("sem").isin(*VERTEBRA))
+    n_vert = inst.groupBy("scan_id").agg(F.count_distinct("inst").alias("n"))
+    gap = staged(rg.coverage_gap(own, vx.apply_mask(full.filter("inst < 40"), own), n_vert), "coverage")
     points = staged(rg.centroids(full.join(sem.select(*KEY, "sem"), KEY)), "centroids")
     if sinks:
         ct.write_masks(sem, f"{sinks}/semantic")
         ct.write_masks(full, f"{sinks}/instances")
         points.write.mode("overwrite").json(f"{sinks}/centroids")
-    return {"semantic": sem, "instances": full, "centroids": points, "run_log": routes.log()}
+    return {"semantic": sem, "instances": full, "centroids": points, "coverage": gap, "run_log": routes.log()}
 
 
 def process_dataset(

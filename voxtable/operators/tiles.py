@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import product
 from math import exp
 
 import numpy as np
@@ -101,10 +102,60 @@ def slide_to_foreground(centers: DataFrame, foreground: DataFrame, scans: DataFr
     return centers.join(hit, ["scan_id", "com_idx"], "left").withColumn("i", (F.col("i") + F.coalesce("_k", F.lit(0)) * step).cast("int")).drop("_k")
 
 
-def rotated_patches(patches: DataFrame, size: Sequence[int]) -> DataFrame:
+#: Pole of the cubic B-spline's prefilter.
+POLE = 3**0.5 - 2
+
+
+def spline_coefficients(cube: np.ndarray) -> np.ndarray:
+    """Coefficients of the cubic B-spline through the values, mirrored at the borders, axis by axis."""
+    out = cube.astype(float)
+    for axis in range(out.ndim):
+        a = np.moveaxis(out, axis, 0)
+        n = len(a)
+        if n == 1:
+            continue
+        c = 6 * a
+        turn = np.concatenate([np.arange(n), np.arange(n - 2, 0, -1)])  # one period of the mirrored line
+        weights = POLE ** np.arange(len(turn)) / (1 - POLE ** len(turn))
+        c0 = np.tensordot(weights, c[turn], axes=1)
+        up = np.empty_like(c)
+        up[0] = c0
+        for k in range(1, n):
+            up[k] = c[k] + POLE * up[k - 1]
+        down = np.empty_like(c)
+        down[-1] = POLE / (POLE**2 - 1) * (up[-1] + POLE * up[-2])
+        for k in range(n - 2, -1, -1):
+            down[k] = POLE * (down[k + 1] - up[k])
+        out = np.moveaxis(down, 0, axis)
+    return out
+
+
+def _taps(x: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The four places and weights of a cubic B-spline at ``x`` on a line of ``n`` values."""
+    low = np.floor(x).astype(int)
+    t = x - low
+    weights = ((1 - t) ** 3 / 6, (4 - 6 * t**2 + 3 * t**3) / 6, (1 + 3 * t + 3 * t**2 - 3 * t**3) / 6, t**3 / 6)
+    period = max(1, 2 * (n - 1))
+    places = [np.abs((low + k - 1 + n - 1) % period - (n - 1)) if n > 1 else np.zeros_like(low) for k in range(4)]
+    return list(zip(places, weights, strict=True))
+
+
+def spline_values(coefficients: np.ndarray, at: Sequence[np.ndarray]) -> np.ndarray:
+    """Values of the spline at places (one array an axis); 0 outside of the cube."""
+    taps = [_taps(x, n) for x, n in zip(at, coefficients.shape, strict=True)]
+    inside = np.logical_and.reduce([(x >= 0) & (x <= n - 1) for x, n in zip(at, coefficients.shape, strict=True)])
+    out = np.zeros(at[0].shape)
+    for (p, wp), (i, wi), (r, wr) in product(*taps):
+        out += wp * wi * wr * coefficients[p, i, r]
+    return np.where(inside, out, 0.0)
+
+
+def rotated_patches(patches: DataFrame, size: Sequence[int], cubic: bool = False) -> DataFrame:
     """Rotate each patch (scan_id, com_idx, p, i, r, value, angle) about its middle in the p-i plane and crop it.
 
-    Nearest voxel, one task per patch of bounded size.
+    Masks take the nearest voxel; with ``cubic`` images are interpolated by a cubic
+    B-spline, prefiltered and mirrored at the borders, and are 0 outside of the patch. One
+    task per patch, whose size is bounded.
     """
     def turn(pdf: pd.DataFrame) -> pd.DataFrame:
         a = np.deg2rad(pdf["angle"].iloc[0])
@@ -114,10 +165,14 @@ def rotated_patches(patches: DataFrame, size: Sequence[int]) -> DataFrame:
         p, i, r = np.indices(size)
         cp, ci, cr = [(m - 1) / 2 for m in n]
         dp, di = p - (size[0] - 1) / 2, i - (size[1] - 1) / 2
-        at = [np.rint(x).astype(int) for x in (np.cos(a) * dp - np.sin(a) * di + cp, np.sin(a) * dp + np.cos(a) * di + ci, r - (size[2] - 1) / 2 + cr)]
-        inside = np.logical_and.reduce([(x >= 0) & (x < m) for x, m in zip(at, n, strict=True)])
-        value = np.zeros(size)
-        value[inside] = cube[tuple(x[inside] for x in at)]
+        at = [np.cos(a) * dp - np.sin(a) * di + cp, np.sin(a) * dp + np.cos(a) * di + ci, r - (size[2] - 1) / 2 + cr]
+        if cubic:
+            value = spline_values(spline_coefficients(cube), at)
+        else:
+            near = [np.rint(x).astype(int) for x in at]
+            inside = np.logical_and.reduce([(x >= 0) & (x < m) for x, m in zip(near, n, strict=True)])
+            value = np.zeros(size)
+            value[inside] = cube[tuple(x[inside] for x in near)]
         where = np.nonzero(value)
         out = pd.DataFrame({x: w.astype("int32") for x, w in zip(AXES, where, strict=True)} | {"value": value[where]})
         return out.assign(scan_id=pdf["scan_id"].iloc[0], com_idx=pdf["com_idx"].iloc[0])[["scan_id", "com_idx", *AXES, "value"]]

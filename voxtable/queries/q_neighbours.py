@@ -129,7 +129,17 @@ def a19_outside(s, d):
     return nb.nonzero_box(vox, ["bright", "second"])[1]
 
 
-@register("i5_infect", None)
+def _infected(rounds: int) -> str:
+    """Growth into the voxels without an instance, round by round; a round that finds nothing changes nothing."""
+    out = f", o(dp, di, dr) as (values {_offsets(1)}), x0 as materialized (select scan_id, p, i, r, inst from vox where inst > 0)"
+    for k in range(rounds):
+        out += f""", x{k + 1} as materialized (select * from x{k} union all select g.* from (
+  select scan_id, p + dp as p, i + di as i, r + dr as r, min(inst) as inst from x{k}, o group by all) g
+  semi join (select * from vox where inst = 0) v using (scan_id, p, i, r) anti join x{k} using (scan_id, p, i, r))"""
+    return f"{out} select scan_id, p, i, r, inst from x{rounds}"
+
+
+@register("i5_infect", ctes("vox", _infected(14)))
 def i5(s, d):
     vox = view(s, d, "vox")
     return nb.infect(vox.filter("inst > 0"), "inst", vox.filter("inst = 0"), view(s, d, "scans"))

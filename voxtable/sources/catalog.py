@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import warnings
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 #: What each modality and acquisition is called in file names. Fixed values.
 MODALITY_KEYS = {
@@ -80,9 +79,24 @@ def family_pick(catalog: DataFrame, family: Sequence[str] = ("subject",), chunk:
     return ranked.groupBy(*family).agg(F.min_by("file_id", F.struct("_r", "file_id")).alias("file_id"), F.min("_r").alias("choice"))
 
 
-def find_paths(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """Sorted matches of a pattern below a root; an empty result is the caller's warning."""
-    return scan_catalog(spark, root, glob).select("path")
+def find_paths(spark: SparkSession, root: str, glob: str, suppress: bool = False) -> DataFrame:
+    """Sorted matches of a pattern below a root; a warning if there is none, unless ``suppress``."""
+    out = scan_catalog(spark, root, glob).select("path")
+    if not suppress and out.isEmpty():
+        warnings.warn(f"no path matches {glob} below {root}", UserWarning, stacklevel=2)
+    return out
+
+
+def find_model(spark: SparkSession, root: str, folder: str) -> str:
+    """The folder of that name below a root: right below it, else its only match at any depth, else the path below the root.
+
+    Folders are known by the files that they hold.
+    """
+    root = root.rstrip("/")
+    inside = scan_catalog(spark, root).select(F.regexp_extract("path", rf"^(.*/\Q{folder}\E)/", 1).alias("folder")).filter("folder <> ''").distinct()
+    found = [r.folder for r in inside.orderBy("folder").limit(1000).collect()]
+    direct = [f for f in found if f.endswith(f"{root.split('://')[-1].removeprefix('file:')}/{folder}")]
+    return direct[0] if direct else found[0] if len(found) == 1 else f"{root}/{folder}"
 
 
 def derive_outputs(catalog: DataFrame, path: str = "path", folder: str = "derivatives", snapshot_folder: str | None = None) -> DataFrame:
@@ -229,44 +243,6 @@ def scan_model_compat(scans: DataFrame, models: DataFrame, ignore: Sequence[str]
     return out.withColumn("compatible", ~F.exists("reasons", lambda r: ~r.endswith("(ignored)"))).select("file_id", "model_id", "compatible", "reasons")
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class _VolumeReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.paths = options["path"].split(",")
-
-    def partitions(self) -> list[_File]:
-        return [_File(p) for p in self.paths]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        """Sparse rows of one array file (.npy: the array; .npz: entries data and zoom)."""
-        import numpy as np
-
-        loaded = np.load(partition.path)
-        data, zoom = (loaded["data"], loaded["zoom"].tolist()) if hasattr(loaded, "files") else (loaded, [1.0, 1.0, 1.0])
-        where = np.nonzero(data)
-        shape = list(map(int, data.shape))
-        for p, i, r, v in zip(*(w.tolist() for w in where), data[where].tolist(), strict=True):
-            yield partition.path, shape, zoom, p, i, r, float(v)
-
-
-class VolumeDataSource(DataSource):
-    """``spark.read.format("volumes").load("a.npz,b.npz")``: one partition a file, one row a voxel that isn't 0."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "volumes"
-
-    def schema(self) -> str:
-        return "path string, shape array<int>, zoom array<double>, p int, i int, r int, value double"
-
-    def reader(self, schema: StructType) -> _VolumeReader:
-        return _VolumeReader(self.options)
-
-
 def write_masks(vox: DataFrame, path: str) -> None:
     """Masks as Parquet, a folder per scan, heights together so that box filters prune."""
     vox.repartition("scan_id").sortWithinPartitions("scan_id", "i").write.mode("overwrite").partitionBy("scan_id").parquet(path)
