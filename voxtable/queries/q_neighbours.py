@@ -203,7 +203,16 @@ def i10(s, d):
     return nb.reassign_dominant(vox.filter("sem in (41, 42) and (p + i + r) % 5 <> 0"), inst, (41, 42))
 
 
-@register("i11_fix_posterior", None)
+I11 = """, v as (select * from (select scan_id, p, i, r, sem, case when p >= 10 and i % 10 = 0 and i > 0 then cast(i // 10 as int) else inst end as inst from vox) where inst > 0)""" + runs("v", "inst") + """,
+k as (select *, row_number() over (partition by scan_id, lab order by n desc, comp) as rn from (select scan_id, lab, comp, count(*) as n from cv group by all)),
+pt as (select cv.scan_id, cv.p, cv.i, cv.r, lab, comp, sem from cv join k using (scan_id, lab, comp) join v using (scan_id, p, i, r) where rn in (2, 3)),
+bx as (select scan_id, lab, comp, min(p) - 1 as p0, max(p) + 1 as p1, min(i) - 1 as i0, max(i) + 1 as i1, min(r) - 1 as r0, max(r) + 1 as r1 from pt group by all having bool_and(sem in (41, 42))),
+one as (select bx.scan_id, lab, comp, min(inst) as to_ from bx join v on v.scan_id = bx.scan_id and inst <> lab and p between p0 and p1 and i between i0 and i1 and r between r0 and r1 group by all having min(inst) = max(inst)),
+mv as (select scan_id, p, i, r, to_ from pt join one using (scan_id, lab, comp))
+select scan_id, p, i, r, coalesce(to_, inst) as inst from v left join mv using (scan_id, p, i, r)"""
+
+
+@register("i11_fix_posterior", ctes("vox", I11))
 def i11(s, d):
     vox = view(s, d, "vox").withColumn("inst", F.expr("case when p >= 10 and i % 10 = 0 and i > 0 then cast(i div 10 as int) else inst end"))
     return nb.fix_posterior(vox.filter("inst > 0")).select(*vx.KEY, "inst")
@@ -222,7 +231,20 @@ def i12(s, d):
     return nb.merge_top_split(v.select(*vx.KEY, "inst"), view(s, d, "scans"))
 
 
-@register("i19_split_endplates", None)
+def _endplate_rounds(rounds: int) -> str:
+    out = f""", o(dp, di, dr) as (values {_offsets(1)}),
+ab as (select scan_id, inst, lag(inst) over (partition by scan_id order by inst) as prev from (select distinct scan_id, inst from vox where inst > 0)),
+f0 as (select scan_id, p, i, r, inst from vox where inst > 0), l0 as (select scan_id, p, i, r, cast(1 + i // 10 as int) as owner from vox where sem = 62)"""
+    for k in range(rounds):
+        out += f""",
+h{k} as materialized (select l.scan_id, l.p, l.i, l.r, owner, max(case when owner = ab.inst then 1 else 0 end) as own, min(ab.inst) as inst
+  from l{k} l join (select distinct scan_id, p + dp as p, i + di as i, r + dr as r, inst from f{k}, o) q on q.scan_id = l.scan_id and q.p = l.p and q.i = l.i and q.r = l.r
+  join ab on ab.scan_id = l.scan_id and ab.inst = q.inst where owner = ab.inst or owner = prev group by all),
+f{k + 1} as (select scan_id, p, i, r, inst from h{k}), l{k + 1} as materialized (select * from l{k} anti join h{k} using (scan_id, p, i, r))"""
+    return out + " union all ".join(f" select scan_id, p, i, r, owner + 200 as inst, case own when 1 then 'inferior' else 'superior' end as part from h{k}" for k in range(rounds))
+
+
+@register("i19_split_endplates", ctes("vox", _endplate_rounds(14)))
 def i19(s, d):
     vox = view(s, d, "vox")
     plates = vox.filter("sem = 62").withColumn("inst", F.expr("cast(201 + i div 10 as int)"))

@@ -143,10 +143,12 @@ def i18(s, d):
 
 @register("i22_label_instances", None)
 def i22(s, d):
-    vox = view(s, d, "vox").filter("inst > 0")
-    rows = view(s, d, "cost").filter("rw < 4").groupBy("scan_id", "rw").agg(F.transform(F.array_sort(F.collect_list(F.struct("cls", "w"))), lambda x: x["w"] / 1000.0).alias("a"))
-    heads = rows.select("scan_id", "rw", F.slice("a", 1, 3).alias("region"), F.col("a").alias("vert"), F.slice("a", 1, 12).alias("grp"), F.lit(1.0).alias("visible"))
-    return ins.label_instances(vox, heads)
+    """Each of the four instances of a scan has the mean of a quarter of the scan's score rows; the arch stands for the dens."""
+    vox = view(s, d, "vox")
+    rows = view(s, d, "cost").groupBy("scan_id", (F.col("rw") % 4).alias("rw"), "cls").agg((F.sum("w") / F.count(F.lit(1)) / 1000.0).alias("w"))
+    rows = rows.groupBy("scan_id", "rw").agg(F.transform(F.array_sort(F.collect_list(F.struct("cls", "w"))), lambda x: x["w"]).alias("a"))
+    heads = rows.select("scan_id", "rw", F.slice("a", 1, 3).alias("region"), F.col("a").alias("vert"), F.slice("a", 1, 12).alias("grp"), F.lit(1.0).alias("visible"), F.slice("a", 13, 6).alias("vertrel"), F.slice("a", 19, 2).alias("vt13"))
+    return ins.label_instances(vox.filter("inst > 0"), heads, c1=True, sem=vox, scans=view(s, d, "scans"), corpus=(49,), dens=41)
 
 
 @register("i24_reconcile", None)
