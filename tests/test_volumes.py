@@ -153,3 +153,17 @@ def test_infection_has_no_bound_on_its_rounds(spark, monkeypatch):
     scans = spark.createDataFrame([(1, 8, 1, 1)], "scan_id int, np int, ni int, nr int")
     grown = nb.infect(row.filter("p = 0"), "inst", row.filter("p > 0").drop("inst"), scans)
     assert grown.count() == 8
+
+
+def test_samples_have_their_sizes_and_can_be_drawn_again(spark):
+    from voxtable.operators import regions as rg
+
+    vox = view(spark, SF, "vox").select(*KEY, "sem")
+    draw = lambda seed, df: sorted(map(tuple, rg.sample_per_class(df, "sem", 40, 0.25, seed).collect()))
+    once = draw(1, vox)
+    sizes = {tuple(r)[:2]: r["count"] for r in vox.groupBy("scan_id", "sem").count().collect()}
+    got = {}
+    for r in once:
+        got[(r[0], r[4])] = got.get((r[0], r[4]), 0) + 1
+    assert got == {k: max(min(40, n), -(-n // 4)) for k, n in sizes.items()}
+    assert once == draw(1, vox.repartition(5)) != draw(2, vox) and len(set(once)) == len(once)

@@ -184,7 +184,25 @@ def i8(s, d):
     return nb.trim_to_canal(vox, "sem", view(s, d, "scans"), canal=(61,), margin_mm=6.0, keep=100)
 
 
-@register("i9_assign_missing", None)
+def assigned(mask: str, start: str, rounds: int = 6) -> str:
+    """Two rounds of growth in the mask, then components in rounds; a round without votes changes nothing."""
+    out = f""", o(dp, di, dr) as (values {_offsets(1)}), sm as (select scan_id, p, i, r, inst from vox where {mask}), y0 as materialized (select * from sm where {start})"""
+    for k in (0, 1):
+        out += f""", y{k + 1} as materialized (select * from y{k} union all select g.* from (select scan_id, p + dp as p, i + di as i, r + dr as r, min(inst) as inst from y{k}, o group by all) g
+  semi join sm using (scan_id, p, i, r) anti join y{k} using (scan_id, p, i, r))"""
+    out += ", ms as materialized (select scan_id, p, i, r, 1 as one from sm anti join y2 using (scan_id, p, i, r))" + runs("ms", "one", 2)
+    out += ", s0 as (select * from y2), c0 as (select scan_id, p, i, r, comp from cv)"
+    for k in range(rounds):
+        out += f""",
+v{k} as materialized (select scan_id, comp, arg_min(inst, struct_pack(a := -n, b := inst)) as inst from (
+  select q.scan_id, comp, inst, count(*) as n from (select distinct scan_id, p + dp as p, i + di as i, r + dr as r, comp from c{k}, o) q
+  join s{k} s on s.scan_id = q.scan_id and s.p = q.p and s.i = q.i and s.r = q.r group by all) group by scan_id, comp),
+s{k + 1} as materialized (select * from s{k} union all select c.scan_id, p, i, r, inst from c{k} c join v{k} using (scan_id, comp)),
+c{k + 1} as materialized (select * from c{k} anti join v{k} using (scan_id, comp))"""
+    return f"{out}, given as (select * from s{rounds}), deleted as (select scan_id, p, i, r, 0 as inst from c{rounds})"
+
+
+@register("i9_assign_missing", ctes("vox", assigned("sem <> 100", "inst > 0 and p > 1") + " select * from given union all select * from deleted"))
 def i9(s, d):
     vox = view(s, d, "vox").filter("sem <> 100")
     inst, deleted = nb.assign_missing(vox, vox.filter("inst > 0 and p > 1"), view(s, d, "scans"))

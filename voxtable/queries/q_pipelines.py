@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxtable.operators import instances as ins, neighbours as nb, pipelines as pl, regions as rg, voxels as vx
 from voxtable.operators.splitting import split_merged
 from voxtable.plans.storage import staged
+from voxtable.queries.q_neighbours import assigned
 from voxtable.registry import register
 from voxtable.sources.views import ctes, view
 
@@ -151,7 +152,7 @@ def i22(s, d):
     return ins.label_instances(vox.filter("inst > 0"), heads, c1=True, sem=vox, scans=view(s, d, "scans"), corpus=(49,), dens=41)
 
 
-@register("i24_reconcile", None)
+@register("i24_reconcile", ctes("vox", assigned("sem in (41, 42, 49)", "inst > 0 and p > 1") + " select * from given"))
 def i24(s, d):
     vox = view(s, d, "vox")
     return ins.reconcile(vox, vox.filter("inst > 0 and p > 1"), view(s, d, "scans"))[0]
