@@ -1,6 +1,8 @@
 import random
 
-from voxtable.llm.substring_dedup import LEAST_WORDS, LONGEST, boundaries, common_extent, drop_passages, repeated_passages
+import numpy as np
+
+from voxtable.llm.substring_dedup import LEAST_WORDS, LONGEST, boundaries, covering, drop_passages, repeated_passages
 
 
 def words(rng, n):
@@ -100,10 +102,38 @@ def test_passages_of_51_words_with_few_boundaries_are_found(spark):
         assert left[i] == text if i not in range(25, 75) else len(left[i].split()) <= len(text.split()) - LEAST_WORDS + 2
 
 
-def test_common_extent():
-    assert common_extent(b"one two ", b"three four", b"xne two ", b"three five") == (7, 7, 3)
-    assert common_extent(b"", b"same", b"", b"same") == (0, 4, 1)
-    assert common_extent(b"", b"a", b"", b"b") == (0, 0, 0)
+def test_passages_whose_middle_stands_earlier_elsewhere_are_found(spark):
+    rng = random.Random(8)
+    rows, sure, clean = [], set(), set()
+    for case, (n, middle) in enumerate(((24, 16), (30, 18), (28, 12), (24, 18), (51, 30))):
+        for i in range(1000 * case, 1000 * case + 40):
+            parts = [words(rng, (n - middle) // 2), words(rng, middle), words(rng, n - middle - (n - middle) // 2)]
+            passage = " ".join(parts)
+            rows.append((i, words(rng, 40) + " " + parts[1] + " " + words(rng, 40)))
+            rows += [(k + i, words(rng, 40) + " " + passage + " " + words(rng, 40)) for k in (100, 200)]
+            clean |= {i, i + 100} if middle < LEAST_WORDS else {i}
+            data, passage = rows[-1][1].encode(), passage.encode()
+            at = data.index(passage)
+            # The method needs a whole chunk inside of the passage.
+            if sum(at + 16 <= e <= at + len(passage) for e in boundaries(data).tolist()) > 1:
+                sure.add(i + 200)
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = {i: text.encode() for i, text in rows}
+    assert sure <= {r.doc_id for r in found} and len(sure) > 180
+    assert not clean & {r.doc_id for r in found}
+    for r in found:
+        if r.doc_id % 1000 >= 200:
+            assert texts[r.doc_id][r.start_byte : r.end_byte] in texts[r.doc_id - 100]
+
+
+def test_windows_cover_their_chunks():
+    data = b"aa bb cc  dd ee"
+    windows = lambda a, b, size: list(zip(*[v.tolist() for v in covering(data, np.array([a]), np.array([b]), size)], strict=True))
+    assert windows(3, 6, 2) == [(0, 0, 5, 1), (1, 3, 8, 1)]
+    assert windows(4, 7, 2) == [(1, 3, 8, 1)]
+    assert windows(8, 10, 2) == [(2, 6, 12, 1)]
+    assert windows(0, 15, 4) == [] and windows(0, 15, 5) == [(0, 0, 15, 1)]
+    assert windows(0, 2, 9) == []
 
 
 def test_dropping_passages_keeps_columns_nulls_and_first_occurrences(spark):

@@ -5,10 +5,15 @@ byte, so that its high bits depend on the last ``WINDOW`` bytes alone. A chunk e
 ``BITS`` of them are zero: boundaries move with the content, an insertion changes only the
 chunks around it. Chunks are counted by digest over all documents. The first occurrence of
 a chunk, by document id and place, is kept. A run of later occurrences is a repeated
-passage if it covers at least ``LEAST_WORDS`` words. A passage also covers parts of the
-chunks around its run: a shorter run that may reach the limit with them is compared byte
-by byte with the first occurrence of its longest chunk, ``REACH`` bytes to either side.
-What is shorter then is chance or idiom.
+passage if it covers at least ``LEAST_WORDS`` words.
+
+A passage also covers parts of the chunks around its run, so a shorter run may belong to
+one. All chunks of such runs are anchors: wherever one occurs, in any document, each window
+of ``LEAST_WORDS`` words that covers it gets a 128-bit digest of its bytes. Equal windows
+are found by grouping these digests, so it doesn't matter where else a chunk stands; the
+first window by document id and place is kept, later ones are passages, joined where they
+overlap. No occurrence is compared with another one, so hot chunks cost no pairs. A passage
+is lost only if no whole chunk lies inside of it.
 """
 
 from __future__ import annotations
@@ -28,8 +33,6 @@ from voxtable.plans.storage import arrow_batches, drop_staged, packed, staged, t
 WINDOW, BITS = 16, 5
 #: Chunks hold at most so many bytes; words of a run that count as a passage.
 LONGEST, LEAST_WORDS = 512, 20
-#: Bytes before and after the start of a chunk that are compared with its first occurrence, beside the chunk itself.
-REACH = 160
 SEED = 11
 #: The bit table that spares chunks without a repetition the shuffle has 2**TABLE_BITS words of 64 bits (2 MB).
 #: Where repeated digests outnumber its bits it spares less; results don't depend on it.
@@ -38,6 +41,8 @@ TABLE_BITS = 18
 NO_ID = 1 << 62
 GEAR = np.random.default_rng(SEED).integers(0, 1 << WINDOW, 256, dtype=np.uint16)
 BLOCK = 1 << 20
+#: Rows that a task holds before it sends them on.
+HELD = 100_000
 
 
 def boundaries(data: bytes) -> np.ndarray:
@@ -61,6 +66,17 @@ def boundaries(data: bytes) -> np.ndarray:
     return ends
 
 
+def _digests(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and digests of the chunks of ``data``."""
+    ends = boundaries(data)
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    return starts, ends, np.array([xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+
+
+def _marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return bits[h >> np.uint64(64 - TABLE_BITS)].view(np.uint64) >> (h & np.uint64(63)) & np.uint64(1) == 1
+
+
 def chunks(docs: DataFrame, table: bytes | None = None) -> DataFrame:
     """``docs`` (_id, _t) as (_id, _x: hash of the text, _k: place of the chunk, _from, _h: digest,
     _p: its bytes, its words and those of the chunks before and after, ten bits each).
@@ -75,10 +91,7 @@ def chunks(docs: DataFrame, table: bytes | None = None) -> DataFrame:
             ids, parts, held = [], [], 0
             for i, text in zip(batch["_id"].to_pylist(), batch["_t"].to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "replace")
-                ends = boundaries(data)
-                starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                digests = [xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                h = np.array(digests, np.uint64)
+                starts, ends, h = _digests(data)
                 if bits is None:
                     part = (h,)
                 else:
@@ -87,7 +100,7 @@ def chunks(docs: DataFrame, table: bytes | None = None) -> DataFrame:
                     blank = (blank == 32) | ((blank >= 9) & (blank <= 13))
                     heads = np.cumsum(~blank & np.concatenate([[True], blank[:-1]])) if len(data) else np.empty(0, np.int64)
                     words = np.diff(heads[ends - 1], prepend=0) if len(ends) else ends
-                    seen = bits[h >> np.uint64(64 - TABLE_BITS)].view(np.uint64) >> (h & np.uint64(63)) & np.uint64(1) == 1
+                    seen = _marked(bits, h)
                     x = np.full(len(ends), xxhash.xxh64_intdigest(data), np.uint64).view(np.int64)
                     around = np.concatenate([[0], words, [0]])
                     facts = (ends - starts) | words << 10 | around[:-2] << 20 | around[2:] << 30
@@ -95,7 +108,7 @@ def chunks(docs: DataFrame, table: bytes | None = None) -> DataFrame:
                 ids.append(i)
                 parts.append(part)
                 held += len(part[0])
-                if held > 100_000:
+                if held > HELD:
                     yield _frame(ids, parts)
                     ids, parts, held = [], [], 0
             if ids:
@@ -122,90 +135,100 @@ def bit_table(digests: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _places(docs: DataFrame, short: DataFrame) -> DataFrame:
-    """``short`` (_id, _x, n_chunks, _h, _from, _to, _origin) with _left, the bytes before, and _right, those from _from on; staged.
+def _signed(data: bytes) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(data)).view(np.int64))
 
-    Also the same of every _h's first place in _origin, with no ``_origin``.
-    """
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in trimmed(batches):
-            rows = []
-            for i, text, runs in zip(batch["_id"].to_pylist(), batch["_t"].to_pylist(), batch["_runs"].to_pylist(), strict=True):
-                data = (text or "").encode("utf-8", "replace")
-                x, first = _signed(data), None
-                for r in runs:
-                    if r["_origin"] is None:
-                        if first is None:
-                            ends = boundaries(data).tolist()
-                            spans = list(zip([0, *ends[:-1]], ends, strict=True))
-                            first = {_signed(data[a:b]): (a, b) for a, b in reversed(spans)}
-                        if r["_h"] not in first:
-                            continue
-                        r["_from"], r["_to"] = first[r["_h"]]
-                    elif r["_x"] != x:
-                        continue
-                    a, b = r["_from"], r["_to"]
-                    rows.append((i, x, r["n_chunks"], r["_h"], a, b, r["_origin"], data[max(0, a - REACH) : a], data[a : b + REACH]))
-            columns = zip(*rows, strict=True) if rows else [[]] * 9
-            kinds = [pa.int64()] * 7 + [pa.binary()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*RUN, "_left", "_right"])
-
-    none = F.lit(None).cast("long")
-    first = short.select(F.col("_origin").alias("_id"), "_h").distinct().select("_id", *[F.col(c) if c == "_h" else none.alias(c) for c in RUN[1:]])
-    # A document has no more runs and first places than chunks.
-    runs = short.select(*RUN).unionByName(first).groupBy("_id").agg(F.collect_list(F.struct(*RUN[1:])).alias("_runs"))
-    found = docs.join(runs, "_id").select("_id", "_t", "_runs").mapInArrow(read, ", ".join(f"{c} long" for c in RUN) + ", _left binary, _right binary")
-    with arrow_batches(docs.sparkSession):
-        return staged(found, "chunk-places")
+def covering(data: bytes, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Windows of ``size`` words that cover one of the chunks: number of the first word, first byte, end, chunks covered."""
+    blank = np.frombuffer(data, np.uint8)
+    blank = (blank == 32) | ((blank >= 9) & (blank <= 13))
+    heads = np.nonzero(~blank & np.concatenate([[True], blank[:-1]]))[0]
+    tails = np.nonzero(~blank & np.concatenate([blank[1:], [True]]))[0] + 1
+    one, other = np.searchsorted(tails, starts, "right"), np.searchsorted(heads, ends) - 1
+    low = np.maximum(np.maximum(one, other) - size + 1, 0)
+    high = np.minimum(np.minimum(one, other), len(heads) - size)
+    low, high = low[low <= high], high[low <= high]
+    change = np.zeros(len(heads) + 1, np.int64)
+    np.add.at(change, low, 1)
+    np.add.at(change, high + 1, -1)
+    count = np.cumsum(change)
+    at = np.nonzero(count)[0]
+    return at, heads[at], tails[at + size - 1], count[at]
 
 
-def _signed(data: bytes) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(data)).view(np.int64))
+WINDOWS = ("_w1", "_w2", "_x", "_n", "_from", "_to", "_c")
 
 
-def _shared(a: bytes, b: bytes) -> int:
-    """Length of the longest common prefix."""
-    n = min(len(a), len(b))
-    differ = np.nonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))[0]
-    return int(differ[0]) if len(differ) else n
+def windows(docs: DataFrame, table: bytes, size: int) -> DataFrame:
+    """Windows of ``size`` words of ``docs`` (_id, _t) that cover a chunk whose bit is set in ``table``.
 
+    (_id, _w1, _w2: digest, _x: hash of the text, _n: number of the first word, _from, _to, _c: such chunks).
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(table)
 
-def common_extent(left: bytes, right: bytes, left2: bytes, right2: bytes) -> tuple[int, int, int]:
-    """Equal bytes before and from two places on, and the words that start in them (whole words at the start alone)."""
-    before, after = _shared(left[::-1], left2[::-1]), _shared(right, right2)
-    data = np.frombuffer((left + right)[: len(left) + after], np.uint8)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    heads = ~blank & np.concatenate([[len(left) < REACH], blank[:-1]])
-    return before, after, int(heads[len(left) - before :].sum())
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shipped.value, np.int64)
+        for batch in trimmed(batches):
+            ids, parts, held = [], [], 0
+            for i, text in zip(batch["_id"].to_pylist(), batch["_t"].to_pylist(), strict=True):
+                data = (text or "").encode("utf-8", "replace")
+                starts, ends, h = _digests(data)
+                seen = _marked(bits, h)
+                if not seen.any():
+                    continue
+                found, x = covering(data, starts[seen], ends[seen], size), _signed(data)
+                for at in range(0, len(found[0]), HELD):
+                    n, start, end, c = (v[at : at + HELD] for v in found)
+                    digests = b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+                    w = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                    ids.append(i)
+                    parts.append((w[:, 0], w[:, 1], np.full(len(n), x), n, start, end, c))
+                    held += len(n)
+                    if held >= HELD:
+                        yield _long_frame(ids, parts)
+                        ids, parts, held = [], [], 0
+            if ids:
+                yield _long_frame(ids, parts)
 
+    return docs.mapInArrow(read, "_id long, " + ", ".join(f"{c} long" for c in WINDOWS))
 
-def _extended(docs: DataFrame, short: DataFrame, least_words: int) -> DataFrame:
-    """Of the ``short`` runs those that have the words with the bytes around them, in the columns of ``_passages``."""
-    places = _places(docs, short)
-    pairs = places.filter("_origin is not null")
-    first = F.min(F.struct("_x", "_from", "_left", "_right")).alias("f")
-    origins = places.filter("_origin is null").groupBy("_h").agg(first).select("_h", F.col("f._left").alias("_left2"), F.col("f._right").alias("_right2"))
-    origins = staged(origins.join(pairs.groupBy("_h").agg(F.count(F.lit(1)).alias("_w")), "_h"), "chunk-origins")
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in trimmed(batches):
-            rows = []
-            for r in batch.to_pylist():
-                before, after, words = common_extent(r["_left"], r["_right"], r["_left2"], r["_right2"])
-                if after >= r["_to"] - r["_from"] and words >= least_words:
-                    rows.append((r["_id"], r["_x"], r["_from"] - before, r["_from"] + after, words, r["n_chunks"], r["_origin"]))
-            columns = zip(*rows, strict=True) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["_id", "_x", *SPAN])
-
-    both = skew_join(pairs, origins, ["_h"], "_w")
+def _long_frame(ids: list, parts: list) -> pa.RecordBatch:
+    own = np.repeat(np.arange(len(ids)), [len(p[0]) for p in parts])
+    columns = [np.concatenate(v).astype(np.int64) for v in zip(*parts, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(own)), *map(pa.array, columns)], ["_id", *WINDOWS])
+
+
+def _extended(docs: DataFrame, anchors: DataFrame, sure: DataFrame, least_words: int) -> DataFrame:
+    """Repeated windows around the ``anchors`` (_h), joined where they overlap, without those inside of a ``sure`` passage."""
     with arrow_batches(docs.sparkSession):
-        found = both.mapInArrow(extend, "_id long, _x long, " + ", ".join(f"{c} long" for c in SPAN))
-        most = [F.max(c).alias(c) for c in ("n_words", "n_chunks")]
-        return staged(found.groupBy("_id", "_x", "start_byte", "end_byte").agg(*most, F.min("first_id").alias("first_id")), "chunk-extended")
+        all_ = staged(windows(docs, bit_table(anchors), least_words), "chunk-windows")
+    place = F.struct("_id", "_x", "_from")
+    lists = all_.groupBy("_w1", "_w2").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.count(F.lit(1)).alias("_len"))
+    met = staged(lists.filter("_first != _last").drop("_last"), "chunk-window-lists")
+    again = skew_join(all_, met, ["_w1", "_w2"], "_len").filter(place != F.col("_first"))
+    along = W.partitionBy("_id", "_x").orderBy("_from")
+    end = F.max("_to").over(along.rowsBetween(W.unboundedPreceding, -1))
+    # Rows that repeat both id and text have equal places.
+    island = F.sum(F.when(F.col("_from") <= F.col("_end"), 0).otherwise(1)).over(along.rowsBetween(W.unboundedPreceding, 0))
+    spans = again.withColumn("_end", end).withColumn("_island", island).groupBy("_id", "_x", "_island").agg(
+        F.min("_from").alias("start_byte"),
+        F.max("_to").alias("end_byte"),
+        (F.max("_n") - F.min("_n") + least_words).alias("n_words"),
+        F.max("_c").alias("n_chunks"),
+        F.mode("_first._id", True).alias("first_id"),
+    )
+    both = spans.select("_id", "_x", *SPAN, F.lit(1).alias("_w")).unionByName(sure.withColumn("_w", F.lit(0)))
+    before = W.partitionBy("_id", "_x").orderBy("start_byte", "_w").rowsBetween(W.unboundedPreceding, -1)
+    reach = F.max(F.when(F.col("_w") == 0, F.col("end_byte"))).over(before)
+    found = both.withColumn("_reach", reach).filter("_w = 1 and coalesce(_reach < end_byte, true)")
+    out = staged(found.select("_id", "_x", *SPAN), "chunk-extended")
+    drop_staged(all_)
+    drop_staged(met)
+    return out
 
 
-RUN = ("_id", "_x", "n_chunks", "_h", "_from", "_to", "_origin")
 SPAN = ("start_byte", "end_byte", "n_words", "n_chunks", "first_id")
 
 
@@ -228,31 +251,31 @@ def _passages(rows: DataFrame, least_words: int) -> DataFrame:
     # Rows that repeat both id and text have equal places: they count once.
     new = F.coalesce(F.lag("_k").over(along) != F.col("_k"), F.lit(True)).cast("int")
     run = again.withColumns({"_run": F.col("_k") - F.dense_rank().over(along), "_new": new})
-    longest = F.struct(F.col("_to") - F.col("_from"), -F.col("_k"))
     spans = run.groupBy("_id", "_x", "_run").agg(
         F.min("_from").alias("start_byte"),
         F.max("_to").alias("end_byte"),
         F.sum(F.col("_words") * F.col("_new")).alias("n_words"),
         F.sum("_new").alias("n_chunks"),
         F.mode("_first", True).alias("first_id"),
-        F.max_by(F.struct("_h", "_from", "_to", F.col("_first").alias("_origin")), longest).alias("_anchor"),
+        F.collect_set("_h").alias("_anchors"),  # a document has no more of them than chunks
         (F.min_by("_before", "_k") + F.max_by("_after", "_k")).alias("_around"),
     )
     # The word that a run starts inside of begins in the chunk before.
     runs = staged(spans.filter(F.col("n_words") + F.col("_around") >= least_words), "chunk-runs")
     drop_staged(cut)
     drop_staged(met)
-    short = runs.filter(F.col("n_words") < least_words).select("_id", "_x", "n_chunks", "_anchor.*")
+    anchors = staged(runs.filter(F.col("n_words") < least_words).select(F.explode("_anchors").alias("_h")).distinct(), "chunk-anchors")
     sure = runs.filter(F.col("n_words") >= least_words).select("_id", "_x", *SPAN)
-    return sure.unionByName(_extended(rows, short, least_words))
+    return sure.unionByName(_extended(rows, anchors, sure, least_words))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """One row per repeated passage: ``id_col, start_byte, end_byte, n_words, n_chunks, first_id``.
 
     Passages whose whole chunks have ``least_words`` words are measured by these chunks,
-    others by the bytes that agree with the first occurrence. ``first_id`` is the document
-    in which most of the passage's chunks, or its longest one, occur first. Ids are
+    others by their windows of so many words; one of these may reach over the end of one of
+    those. ``first_id`` is the document in which most of the passage's chunks or windows
+    occur first, ``n_chunks`` the chunks of the run or the most in one window. Ids are
     integers under 2**62; rows of one id are one document, rows with a null id are told
     apart by their text and come last. Null and empty texts have no chunk. Whole texts are
     cut; documents without a repeated passage have no row. An empty table gives an empty
