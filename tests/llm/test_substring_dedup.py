@@ -128,7 +128,11 @@ def test_passages_whose_middle_stands_earlier_elsewhere_are_found(spark):
 
 def test_windows_cover_their_chunks():
     data = b"aa bb cc  dd ee"
-    windows = lambda a, b, size: list(zip(*[v.tolist() for v in covering(data, np.array([a]), np.array([b]), size)], strict=True))
+
+    def windows(a, b, size):
+        one = [np.array([x]) for x in (a, b, True, True)]
+        return list(zip(*[v.tolist() for v in covering(data, *one, size)], strict=True))
+
     assert windows(3, 6, 2) == [(0, 0, 5, 1), (1, 3, 8, 1)]
     assert windows(4, 7, 2) == [(1, 3, 8, 1)]
     assert windows(8, 10, 2) == [(2, 6, 12, 1)]
@@ -136,6 +140,18 @@ def test_windows_cover_their_chunks():
     assert windows(0, 2, 9) == []
 
 
+def test_windows_hold_no_chunk_that_occurs_once():
+    data = words(random.Random(9), 60).encode()
+    ends = boundaries(data)
+    starts = np.concatenate([[0], ends[:-1]])
+    anchor = np.arange(len(ends)) == 4
+    every = covering(data, starts, ends, anchor, np.ones(len(ends), bool), 20)
+    near = covering(data, starts, ends, anchor, np.isin(np.arange(len(ends)), (3, 4)), 20)
+    spans = [set(zip(w[1].tolist(), w[2].tolist(), strict=True)) for w in (every, near)]
+    inside = lambda a, b: {k for k in range(len(ends) - 1) if a + 16 <= starts[k] and ends[k] <= b}
+    assert spans[1] == {w for w in spans[0] if inside(*w) <= {3, 4}} != spans[0]
+
+
 def test_dropping_passages_keeps_columns_nulls_and_first_occurrences(spark):
     rng = random.Random(7)
     text = words(rng, 60)

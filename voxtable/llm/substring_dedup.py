@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from pyspark.sql.types import StringType
 
 from voxtable.plans.skew import skew_join
-from voxtable.plans.storage import arrow_batches, drop_staged, packed, staged, trimmed, unpacked
+from voxtable.plans.storage import arrow_batches, drop_staged, packed, small_side, staged, trimmed, unpacked
 
 WINDOW, BITS = 16, 5
 #: Chunks hold at most so many bytes; words of a run that count as a passage.
@@ -139,13 +139,18 @@ def _signed(data: bytes) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(data)).view(np.int64))
 
 
-def covering(data: bytes, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Windows of ``size`` words that cover one of the chunks: number of the first word, first byte, end, chunks covered."""
+def covering(data: bytes, starts: np.ndarray, ends: np.ndarray, anchor: np.ndarray, again: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Windows of ``size`` words that cover an ``anchor`` chunk and hold no chunk that can't be repeated with them.
+
+    Number of the first word, first byte, end, anchors covered. A window that occurs
+    elsewhere has the same boundaries there, but for those in its first ``WINDOW`` bytes,
+    so all chunks between them occur there too: they must be among those marked ``again``.
+    """
     blank = np.frombuffer(data, np.uint8)
     blank = (blank == 32) | ((blank >= 9) & (blank <= 13))
     heads = np.nonzero(~blank & np.concatenate([[True], blank[:-1]]))[0]
     tails = np.nonzero(~blank & np.concatenate([blank[1:], [True]]))[0] + 1
-    one, other = np.searchsorted(tails, starts, "right"), np.searchsorted(heads, ends) - 1
+    one, other = np.searchsorted(tails, starts[anchor], "right"), np.searchsorted(heads, ends[anchor]) - 1
     low = np.maximum(np.maximum(one, other) - size + 1, 0)
     high = np.minimum(np.minimum(one, other), len(heads) - size)
     low, high = low[low <= high], high[low <= high]
@@ -154,37 +159,43 @@ def covering(data: bytes, starts: np.ndarray, ends: np.ndarray, size: int) -> tu
     np.add.at(change, high + 1, -1)
     count = np.cumsum(change)
     at = np.nonzero(count)[0]
+    # Places of cuts without a boundary, and the end of the text, depend on bytes outside.
+    bound = ~again & (np.diff(starts, prepend=0) < LONGEST) & (ends < len(data))
+    single = np.concatenate([[0], np.cumsum(bound)])
+    before, behind = np.searchsorted(starts, heads[at] + WINDOW), np.searchsorted(ends, tails[at + size - 1], "right")
+    at = at[single[np.maximum(before, behind)] == single[before]]
     return at, heads[at], tails[at + size - 1], count[at]
 
 
-WINDOWS = ("_w1", "_w2", "_x", "_n", "_from", "_to", "_c")
+WINDOWS = ("_w1", "_w2", "_x", "_n", "_from", "_to", "_c", "_r")
 
 
-def windows(docs: DataFrame, table: bytes, size: int) -> DataFrame:
-    """Windows of ``size`` words of ``docs`` (_id, _t) that cover a chunk whose bit is set in ``table``.
+def windows(docs: DataFrame, anchors: bytes, repeated: bytes, size: int) -> DataFrame:
+    """Windows of ``size`` words of ``docs`` (_id, _t) around chunks whose bit is set in ``anchors``, all of it ``repeated``.
 
-    (_id, _w1, _w2: digest, _x: hash of the text, _n: number of the first word, _from, _to, _c: such chunks).
+    (_id, _w1, _w2: digest, _x: hash of the text, _n: number of the first word, _from, _to, _c: such chunks,
+    _r: 1 if the text has an equal window before).
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(table)
+    shipped = docs.sparkSession.sparkContext.broadcast((anchors, repeated))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shipped.value, np.int64)
+        anchor_bits, bits = (np.frombuffer(b, np.int64) for b in shipped.value)
         for batch in trimmed(batches):
             ids, parts, held = [], [], 0
             for i, text in zip(batch["_id"].to_pylist(), batch["_t"].to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "replace")
                 starts, ends, h = _digests(data)
-                seen = _marked(bits, h)
-                if not seen.any():
+                anchor = _marked(anchor_bits, h)
+                if not anchor.any():
                     continue
-                found, x = covering(data, starts[seen], ends[seen], size), _signed(data)
-                for at in range(0, len(found[0]), HELD):
-                    n, start, end, c = (v[at : at + HELD] for v in found)
-                    digests = b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
-                    w = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                found, x = covering(data, starts, ends, anchor, _marked(bits, h), size), _signed(data)
+                digests = b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(found[1].tolist(), found[2].tolist(), strict=True)])
+                w = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                columns = (w[:, 0], w[:, 1], np.full(len(w), x), *found, _met_before(w))
+                for at in range(0, len(w), HELD):
                     ids.append(i)
-                    parts.append((w[:, 0], w[:, 1], np.full(len(n), x), n, start, end, c))
-                    held += len(n)
+                    parts.append(tuple(v[at : at + HELD] for v in columns))
+                    held += len(parts[-1][0])
                     if held >= HELD:
                         yield _long_frame(ids, parts)
                         ids, parts, held = [], [], 0
@@ -194,20 +205,49 @@ def windows(docs: DataFrame, table: bytes, size: int) -> DataFrame:
     return docs.mapInArrow(read, "_id long, " + ", ".join(f"{c} long" for c in WINDOWS))
 
 
+def _met_before(w: np.ndarray) -> np.ndarray:
+    """1 for rows of ``w`` that equal an earlier one."""
+    order = np.lexsort((w[:, 1], w[:, 0]))
+    out = np.zeros(len(w), np.int64)
+    out[order[1:][(w[order[1:]] == w[order[:-1]]).all(axis=1)]] = 1
+    return out
+
+
+def _likely(rows: DataFrame, table: bytes) -> DataFrame:
+    """``rows`` whose _w1 has its bit in ``table``: spares the others the shuffle."""
+    shipped = rows.sparkSession.sparkContext.broadcast(table)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shipped.value, np.int64)
+        for batch in batches:
+            yield batch.filter(pa.array(_marked(bits, batch["_w1"].to_numpy().view(np.uint64))))
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
 def _long_frame(ids: list, parts: list) -> pa.RecordBatch:
     own = np.repeat(np.arange(len(ids)), [len(p[0]) for p in parts])
     columns = [np.concatenate(v).astype(np.int64) for v in zip(*parts, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(own)), *map(pa.array, columns)], ["_id", *WINDOWS])
 
 
-def _extended(docs: DataFrame, anchors: DataFrame, sure: DataFrame, least_words: int) -> DataFrame:
+def _first_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` (_id, _t) without the later copies of equal texts: their whole text is one run, and all their windows are in the first copy."""
+    facts = {"_y": F.xxhash64("_t"), "_z": F.hash("_t"), "_l": F.octet_length("_t")}
+    keys = staged(docs.filter("_t is not null").select("_id", *[c.alias(n) for n, c in facts.items()]), "chunk-texts")
+    groups = staged(keys.groupBy(*facts).agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_len")).filter("_len > 1"), "chunk-text-groups")
+    later = staged(skew_join(keys, groups, list(facts), "_len").filter("_id > _keep").select("_id", *facts).distinct(), "chunk-text-copies")
+    return docs.withColumns(facts).join(small_side(later), ["_id", *facts], "left_anti").select("_id", "_t")
+
+
+def _extended(docs: DataFrame, anchors: DataFrame, repeated: bytes, sure: DataFrame, least_words: int) -> DataFrame:
     """Repeated windows around the ``anchors`` (_h), joined where they overlap, without those inside of a ``sure`` passage."""
     with arrow_batches(docs.sparkSession):
-        all_ = staged(windows(docs, bit_table(anchors), least_words), "chunk-windows")
-    place = F.struct("_id", "_x", "_from")
-    lists = all_.groupBy("_w1", "_w2").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.count(F.lit(1)).alias("_len"))
-    met = staged(lists.filter("_first != _last").drop("_last"), "chunk-window-lists")
-    again = skew_join(all_, met, ["_w1", "_w2"], "_len").filter(place != F.col("_first"))
+        all_ = staged(windows(_first_copies(docs), bit_table(anchors), repeated, least_words), "chunk-windows")
+    lists = all_.groupBy("_w1", "_w2").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_len"))
+    met = staged(lists.filter("_len > 1"), "chunk-window-lists")
+    again = skew_join(_likely(all_, bit_table(met.withColumnRenamed("_w1", "_h"))), met, ["_w1", "_w2"], "_len").filter("_id != _first or _r = 1")
+    again = again.drop("_w1", "_w2", "_len", "_r")
     along = W.partitionBy("_id", "_x").orderBy("_from")
     end = F.max("_to").over(along.rowsBetween(W.unboundedPreceding, -1))
     # Rows that repeat both id and text have equal places.
@@ -217,7 +257,7 @@ def _extended(docs: DataFrame, anchors: DataFrame, sure: DataFrame, least_words:
         F.max("_to").alias("end_byte"),
         (F.max("_n") - F.min("_n") + least_words).alias("n_words"),
         F.max("_c").alias("n_chunks"),
-        F.mode("_first._id", True).alias("first_id"),
+        F.mode("_first", True).alias("first_id"),
     )
     both = spans.select("_id", "_x", *SPAN, F.lit(1).alias("_w")).unionByName(sure.withColumn("_w", F.lit(0)))
     before = W.partitionBy("_id", "_x").orderBy("start_byte", "_w").rowsBetween(W.unboundedPreceding, -1)
@@ -240,7 +280,8 @@ def _passages(rows: DataFrame, least_words: int) -> DataFrame:
     """Repeated passages of ``rows`` (_id, _t): (_id, _x, ``SPAN``)."""
     lists = chunks(rows).groupBy("_h").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_len"))
     met = staged(lists.filter("_len > 1"), "chunk-lists")
-    cut = staged(chunks(rows, bit_table(met)), "chunks")
+    repeated = bit_table(met)
+    cut = staged(chunks(rows, repeated), "chunks")
     # Runs are by document: one shuffle serves all windows.
     again = skew_join(cut, met, ["_h"], "_len").drop("_len").repartition("_id", "_x")
     ten = lambda i: F.shiftright("_p", 10 * i).bitwiseAND(1023)
@@ -266,7 +307,7 @@ def _passages(rows: DataFrame, least_words: int) -> DataFrame:
     drop_staged(met)
     anchors = staged(runs.filter(F.col("n_words") < least_words).select(F.explode("_anchors").alias("_h")).distinct(), "chunk-anchors")
     sure = runs.filter(F.col("n_words") >= least_words).select("_id", "_x", *SPAN)
-    return sure.unionByName(_extended(rows, anchors, sure, least_words))
+    return sure.unionByName(_extended(rows, anchors, repeated, sure, least_words))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
