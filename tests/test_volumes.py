@@ -167,3 +167,31 @@ def test_samples_have_their_sizes_and_can_be_drawn_again(spark):
         got[(r[0], r[4])] = got.get((r[0], r[4]), 0) + 1
     assert got == {k: max(min(40, n), -(-n // 4)) for k, n in sizes.items()}
     assert once == draw(1, vox.repartition(5)) != draw(2, vox) and len(set(once)) == len(once)
+
+
+def test_volumes_are_written_whole_or_not_at_all(spark, tmp_path):
+    from voxtable.sources import volumes as vl
+
+    rows = spark.createDataFrame([(1, 0, 0, 0, 5), (1, 1, 2, 0, 7), (2, 1, 2, 0, None), (3, 0, 0, 0, 1)], "scan_id int, p int, i int, r int, v int")
+    scans = spark.createDataFrame([(1, 2, 3, 1, 0.5, 0.5, 2.0), (2, 2, 3, 1, 1.0, 1.0, 1.0)], "scan_id int, np int, ni int, nr int, zp double, zi double, zr double")
+    for _ in range(2):  # files of an earlier attempt are replaced
+        assert sorted(r.scan_id for r in vl.write_volumes(rows, scans, f"{tmp_path}/v", "v").collect()) == [1, 2]
+    one, two = np.load(tmp_path / "v" / "1.npz"), np.load(tmp_path / "v" / "2.npz")
+    assert one["data"].tolist() == [[[5], [0], [0]], [[0], [0], [7]]] and one["zoom"].tolist() == [0.5, 0.5, 2.0] and not two["data"].any()
+    assert sorted(p.name for p in (tmp_path / "v").iterdir()) == ["1.npz", "2.npz"]
+    assert vl.write_volumes(rows.limit(0), scans, f"{tmp_path}/e", "v").count() == 0
+    for place in (-1, 9):
+        with pytest.raises(Exception, match="negative|out of bounds"):
+            vl.write_volumes(rows.withColumn("p", F.lit(place)), scans, f"{tmp_path}/w", "v").collect()
+    assert vl.write_files(spark.createDataFrame([("a/b.json", "{}"), ("c.txt", "")], "path string, body string"), f"{tmp_path}/f") == 2
+    assert (tmp_path / "f" / "a" / "b.json").read_text() == "{}" and vl.write_files(spark.createDataFrame([], "path string, body string"), f"{tmp_path}/g") == 0
+
+
+def test_hooks_keep_the_columns(spark):
+    from voxtable.operators.pipelines import apply_hook
+
+    sem = spark.createDataFrame([(1, 0, 0, 0, 49), (1, 0, 0, 1, 61), (1, 0, 0, 2, None)], "scan_id int, p int, i int, r int, sem int")
+    out = apply_hook(sem, lambda df: df.withColumns({"sem": F.when(F.col("sem") == 61, 0).otherwise(F.col("sem")), "more": F.lit(1)}))
+    assert out.columns == sem.columns and [r.sem for r in out.collect()] == [49]
+    with pytest.raises(ValueError, match="sem"):
+        apply_hook(sem, lambda df: df.drop("sem"))

@@ -161,6 +161,19 @@ def postprocess(sem: DataFrame, inst: DataFrame, scans: DataFrame, fill: bool =
     return staged(sem3, "post-sem"), full
 
 
+def apply_hook(sem: DataFrame, hook: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A user's function on the semantic masks: it may change labels, add and drop voxels, but keeps the columns.
+
+    Other columns that it returns are left out; a missing one is an error. Voxels that it
+    labels 0 or null are background and leave.
+    """
+    out = sem.transform(hook)
+    missing = [c for c in (*KEY, "sem") if c not in out.columns]
+    if missing:
+        raise ValueError(f"the hook has to return the columns {missing}")
+    return out.select(*KEY, F.col("sem").cast("int").alias("sem")).filter("sem <> 0")
+
+
 class Routes:
     """Which scans are still on their way, and the code of each one that has failed."""
 
@@ -224,7 +237,7 @@ def process_scans(
     cropped = staged(preprocess(routes.of(vox), scans).select(*KEY, "sem"), "cropped").filter("sem > 0")
     routes.keep(cropped, "EMPTY")
     sem = staged(clean_semantic(routes.of(cropped), scans), "sem")
-    sem = keep("sem_raw")(staged(sem.transform(hook), "sem") if hook else sem)
+    sem = keep("sem_raw")(staged(apply_hook(sem, hook), "sem") if hook else sem)
     routes.keep(sem, "EMPTY")
     sem = staged(routes.of(sem), "sem")
     inst, codes = build_instances(sem, routes.of(scans), make_predict, model)

@@ -1,16 +1,19 @@
-"""Array files as tables of voxels, read in slabs by byte range."""
+"""Array files as tables of voxels, read in slabs by byte range; and files written by tasks."""
 
 from __future__ import annotations
 
 import ast
 import io
 import struct
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -23,6 +26,54 @@ def _located(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+def put(path: str, body: bytes) -> None:
+    """Write a file as a whole: attempts of a task write under names of their own and rename, so none leaves a part."""
+    fs, at = _located(path)
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    own = f"{at}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(own) as out:
+        out.write(body)
+    if fs.get_file_info(at).type != pafs.FileType.NotFound:  # of an earlier attempt
+        fs.delete_file(at)
+    fs.move(own, at)
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write rows (path below the root, body as text) as files, by the tasks that hold them; how many there are."""
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, body in zip(batch["path"], batch["body"], strict=True):
+                put(f"{root}/{path}", body.encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return files.select("path", "body").mapInPandas(written, "n long").agg(F.sum("n")).head()[0] or 0
+
+
+def write_volumes(vox: DataFrame, scans: DataFrame, root: str, value_col: str) -> DataFrame:
+    """Each scan of ``vox`` as a dense array file ``<scan_id>.npz`` with its zoom: (scan_id, path).
+
+    ``scans`` (scan_id, np, ni, nr, zp, zi, zr). A group is one scan, so a task holds one
+    array of the declared shape. Missing voxels and null values are 0; of repeated ones any
+    is written. Voxels outside of the shape are an error.
+    """
+    facts = ["np", "ni", "nr", "zp", "zi", "zr"]
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        first = {c: rows[c].iloc[0] for c in ("scan_id", *facts)}
+        if (rows[["p", "i", "r"]] < 0).any(axis=None):
+            raise IndexError(f"scan {first['scan_id']} has voxels at negative places")
+        data = np.zeros([first[c] for c in facts[:3]])
+        data[rows["p"], rows["i"], rows["r"]] = rows["_v"].fillna(0)
+        file = io.BytesIO()
+        np.savez(file, data=data, zoom=np.array([first[c] for c in facts[3:]], dtype=float))
+        path = f"{root}/{first['scan_id']}.npz"
+        put(path, file.getvalue())
+        return pd.DataFrame({"scan_id": [first["scan_id"]], "path": [path]})
+
+    own = vox.select("scan_id", "p", "i", "r", F.col(value_col).cast("double").alias("_v")).join(scans.select("scan_id", *facts), "scan_id")
+    return own.groupBy("scan_id").applyInPandas(one, f"scan_id {dict(vox.dtypes)['scan_id']}, path string")
+
+
 def _header(file) -> tuple[np.dtype, bool, tuple[int, ...], int]:
     """Type, whether in Fortran order, shape, and where the cells start, of a .npy stream."""
     start = file.tell()
