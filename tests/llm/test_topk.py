@@ -7,7 +7,7 @@ SCHEMA = "vec_id long, embedding array<float>, rank int"
 
 def brute(rows, queries, k):
     code = lambda v: sum(1 << i for i, x in enumerate(v) if x is not None and x > 0)
-    known = {(i, code(v)) for i, v, *_ in rows if i is not None and v is not None and len(v) <= 64}
+    known = {(i, code(v)) for i, v, *_ in rows if i is not None and v is not None}
     out = []
     for q, v, *_ in queries:
         if q is not None and v is not None:
@@ -32,3 +32,22 @@ def test_few_and_no_vectors(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     assert sorted(map(tuple, search(docs, docs).collect())) == brute(rows, rows, 10)
     assert search(docs.limit(0), docs).count() == 0 and search(docs, docs.limit(0)).count() == 0
+
+
+def test_codes_of_any_length(spark):
+    rng = random.Random(2)
+    for length in (5, 65, 128, 200):
+        center = [[rng.uniform(-1, 1) for _ in range(length)] for _ in range(3)]
+        rows = [(i, [c + rng.uniform(-0.8, 0.8) for c in rng.choice(center)], 1) for i in range(150)]
+        rows += [(200 + i, [rng.uniform(-1, 1) for _ in range(rng.choice((3, 64, length)))], 1) for i in range(30)] + [(300, [], 1), (301, None, 1)]
+        docs, queries = spark.createDataFrame(rows, SCHEMA), rows[::30] + rows[150:152] + rows[-2:]
+        assert sorted(map(tuple, search(docs, spark.createDataFrame(queries, SCHEMA), 7).collect())) == brute(rows, queries, 7)
+
+
+def test_every_value_at_a_radius_is_probed_once(spark):
+    from voxtable.llm.topk import _flipped
+
+    for width in (1, 5, 9):
+        for r in range(width + 2):
+            got = [x.s for x in _flipped(spark.range(1).selectExpr("21L as s", f"{width} as width"), r).collect()]
+            assert sorted(got) == sorted(v ^ 21 for v in range(1 << width) if v.bit_count() == r)

@@ -1,12 +1,15 @@
 """Exact top-k search in Hamming space by incremental multi-index hashing.
 
-Vectors become binary codes of their signs. Codes are cut into m segments, wide enough for
-lists of a few codes, and indexed by every segment. A step probes all values of one segment
-that differ from the query's in exactly r bits; segments take turns before r grows. A code
-not met by the steps up to radius r in segment j differs from the query in at least
-m r + j + 1 bits: a query is done as soon as its kth verified distance is smaller. All its
-nearest codes are found then, for certain, and ties go to the smaller id. Until then only
-codes that are at most as far as the kth so far are kept.
+Vectors become binary codes of their signs, of any length: arrays of 64-bit words. Codes are
+cut into m segments, wide enough for lists of a few codes, and indexed by every segment. A step
+probes all values of one segment that differ from the query's in exactly r bits; segments take
+turns before r grows. A code not met by the steps up to radius r in segment j (from 0) differs from the
+query in at least m r + j + 1 bits: a query is done as soon as its kth verified distance is
+smaller. All its nearest codes are found then, for certain, and ties go to the smaller id. Until
+then only codes that are at most as far as the kth so far are kept.
+
+The values to probe are made where the queries are, one flipped bit after the other in
+ascending order, so nothing that grows with the width of a segment is on the driver or broadcast.
 
 Equal codes are one entry with their k smallest ids, on the side of the queries too, so a
 vector that occurs in a third of the rows costs no more than any other.
@@ -14,22 +17,47 @@ vector that occurs in a third of the rows costs no more than any other.
 
 from __future__ import annotations
 
-from itertools import combinations
 from math import log2
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from voxtable.plans.storage import drop_staged, staged
 
-BITS, SALTS = 64, 64
+WORD, SALTS = 64, 64
 #: Codes in a list of the index, on average, as a power of two; radii below this are probed in all segments together.
 LIST_BITS, TOGETHER = 2.5, 3
+#: Steps of a radius from there on, each with an equal part of the segments.
+TURNS = 8
+
+
+def sign_code(vector: Column, words: int) -> Column:
+    """``words`` 64-bit numbers: bit i of word j is set if element 64 j + i is positive; null and missing elements count as 0."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def word(j: int) -> Column:
+        bits = F.transform(F.slice(vector, WORD * j + 1, WORD), lambda x, i: F.when(x > 0, F.call_function("shiftleft", one, i)).otherwise(zero))
+        return F.aggregate(bits, zero, lambda a, b: a.bitwiseOR(b))
+
+    return F.when(vector.isNotNull(), F.array(*[word(j) for j in range(words)]))
+
+
+def _bits(code: Column, start: int, end: int) -> Column:
+    """Bits ``start`` to ``end`` of a code, fewer than 64, as a number."""
+    j, low = divmod(start, WORD)
+    value = F.shiftrightunsigned(code[j], low)
+    if end > WORD * (j + 1):  # the rest stands in the next word
+        value = value.bitwiseOR(F.shiftleft(code[j + 1], WORD - low))
+    return value.bitwiseAND(F.lit((1 << (end - start)) - 1))
 
 
-def sign_code(vector: Column) -> Column:
-    """Bit i is set if element i is positive; vectors have at most 64 elements, null elements count as 0."""
-    bits = F.transform(vector, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.when(F.size(vector) <= BITS, F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+def _flipped(probes: DataFrame, r: int) -> DataFrame:
+    """Each row of ``probes`` (s, width, ...) with all values ``s`` that differ in exactly r bits."""
+    out = probes.withColumn("_top", F.lit(-1))
+    for left in range(r - 1, -1, -1):  # every set of bits once, in ascending order
+        first, last = F.col("_top") + 1, F.col("width") - 1 - left
+        out = out.withColumn("_top", F.explode(F.when(first <= last, F.sequence(first, last))))
+        out = out.withColumn("s", F.col("s").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_top"))))
+    return out.drop("_top", "width")
 
 
 def _first(rows: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
@@ -39,12 +67,15 @@ def _first(rows: DataFrame, keys: list[str], order: list[str], k: int) -> DataFr
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, id_col, distance``: the k nearest of ``vectors`` for each row of ``queries``.
 
-    Order is by distance, then id. Rows with a null id or vector, or one of more than 64
-    elements, are neither found nor asked for; repeated rows are found once. A query finds
-    itself if it is among the vectors. With fewer than k vectors all are returned; empty
+    Order is by distance, then id. Vectors may have any length; of two different ones the
+    shorter has no set bits at the end. Rows with a null id or vector are neither found nor
+    asked for; repeated rows are found once. A query finds itself if it is among the vectors. With fewer than k vectors all are returned; empty
     tables give an empty result.
     """
-    coded = lambda df: df.select(F.col(id_col).alias("_id"), sign_code(F.col(vector_col)).alias("_c")).filter("_id is not null and _c is not null")
+    longest = lambda df: df.agg(F.max(F.size(vector_col))).head()[0] or 0
+    total = max(1, longest(vectors), longest(queries))
+    words = -(-total // WORD)
+    coded = lambda df: df.select(F.col(id_col).alias("_id"), sign_code(F.col(vector_col), words).alias("_c")).filter("_id is not null and _c is not null")
     rows = staged(coded(vectors).distinct(), "codes")
     few = _first(rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS))), ["_c", "_salt"], ["_id"], k).drop("_salt")
     ids = staged(_first(few, ["_c"], ["_id"], k), "code-ids")
@@ -52,29 +83,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     asked = staged(coded(queries), "query-codes")
     n, rows_in_all = codes.count(), rows.count()
     enough = min(k, rows_in_all)
-    m = round(BITS / max(8, log2(n + 1) - LIST_BITS))
-    edges = [BITS * j // m for j in range(m + 1)]
+    m = max(1, round(total / max(8, log2(n + 1) - LIST_BITS)))
+    edges = [total * j // m for j in range(m + 1)]
     widths = [b - a for a, b in zip(edges, edges[1:], strict=False)]
-    part = lambda c: F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.shiftrightunsigned(c, edges[j]).bitwiseAND(F.lit((1 << widths[j]) - 1)).alias("s")) for j in range(m)]))
-    index = staged(codes.select("_c", part("_c").alias("p")).select("p.j", "p.s", "_c"), "code-index")
-    open_ = staged(asked.select(F.col("_c").alias("_q")).distinct().withColumn("kth", F.lit(BITS)), "open-queries")
-    found = staged(open_.select("_q", F.lit(0).cast("long").alias("_c"), F.lit(0).alias("distance"), F.lit(0).cast(dict(ids.dtypes)["_id"]).alias("_id")).limit(0), "found")
+    part = lambda c, which: F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(widths[j]).alias("width"), _bits(c, edges[j], edges[j + 1]).alias("s")) for j in which]))
+    index = staged(codes.select("_c", part(F.col("_c"), range(m)).alias("p")).select("p.j", "p.s", "_c"), "code-index")
+    open_ = staged(asked.select(F.col("_c").alias("_q")).distinct().withColumn("kth", F.lit(total)), "open-queries")
+    found = staged(open_.select("_q", F.col("_q").alias("_c"), F.lit(0).alias("distance"), F.lit(0).cast(dict(ids.dtypes)["_id"]).alias("_id")).limit(0), "found")
     finished = []
-    steps = [(r, range(m)) for r in range(TOGETHER)] + [(r, [j]) for r in range(TOGETHER, max(widths) + 1) for j in range(m)]
+    turn = -(-m // TURNS)
+    steps = [(r, range(m)) for r in range(TOGETHER)] + [(r, range(j, min(m, j + turn))) for r in range(TOGETHER, max(widths) + 1) for j in range(0, m, turn)]
     for r, segments in steps:
         if open_.isEmpty():
             break
         last = (r, segments[-1]) == (max(widths), m - 1)
-        masks = [(j, sum(1 << b for b in bits)) for j in segments for bits in combinations(range(widths[j]), r)] or [(-1, 0)]
-        masks = F.broadcast(open_.sparkSession.createDataFrame(masks, "j int, mask long"))  # C(width, r) rows, whatever the table
-        probes = open_.select("_q", "kth", part("_q").alias("p")).select("_q", "kth", "p.j", "p.s").join(masks, "j")
-        probes = probes.select("_q", "kth", "j", F.col("s").bitwiseXOR(F.col("mask")).alias("s"))
-        away = F.bit_count(F.col("_q").bitwiseXOR(F.col("_c")))
+        probes = open_.select("_q", "kth", part(F.col("_q"), segments).alias("p")).select("_q", "kth", "p.*")
+        probes = _flipped(probes, r)
+        away = sum((F.bit_count(F.col("_q")[w].bitwiseXOR(F.col("_c")[w])) for w in range(words)), F.lit(0))
         met = probes.join(index, ["j", "s"]).filter(away <= F.col("kth")).select("_q", "_c", away.alias("distance")).distinct()
         met = met.join(ids, "_c").select("_q", "_c", "distance", "_id")
         best = staged(_first(met.unionByName(found).distinct(), ["_q"], ["distance", "_id"], k), "found")
         sure = best.groupBy("_q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).withColumn("far", F.when(F.col("n") >= enough, F.col("far")))
-        state = staged(open_.select("_q").join(sure, "_q", "left").select("_q", F.coalesce("far", F.lit(BITS)).alias("kth"), (F.lit(last) | F.coalesce((F.col("far") <= m * r + segments[-1]) | (F.col("far").isNotNull() & F.lit(enough == rows_in_all)), F.lit(False))).alias("done")), "open-queries")
+        state = staged(open_.select("_q").join(sure, "_q", "left").select("_q", F.coalesce("far", F.lit(total)).alias("kth"), (F.lit(last) | F.coalesce((F.col("far") <= m * r + segments[-1]) | (F.col("far").isNotNull() & F.lit(enough == rows_in_all)), F.lit(False))).alias("done")), "open-queries")
         finished.append(best.join(state.filter("done").select("_q"), "_q", "left_semi"))
         drop_staged(open_)
         open_ = staged(state.filter("not done").select("_q", "kth"), "open-queries")
