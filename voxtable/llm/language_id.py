@@ -11,7 +11,12 @@ A document's posterior over languages multiplies four kinds of evidence:
   Counts come from the text evidence alone, by grouped aggregation.
 
 The models count all documents that declare one of the languages; a declaration may be
-wrong now and then, the counts outvote it.
+wrong now and then, the counts outvote it. A document counts with the square root of its
+length, so that a very long or repetitive one doesn't make a model alone.
+
+Besides the languages there is a background class for foreign text and junk. Its trigrams
+are the mean of all languages' and of equal ones, so text of no language is likelier under
+it, and text of a language under its own model.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ LANGUAGES = ("de", "en", "es", "fr")
 #: Buckets of trigrams; bytes of a text hashed at once.
 BUCKETS, BLOCK = 1 << 14, 1 << 20
 EFFECTIVE, DECLARED, SUFFIX, SMOOTHING, ACCEPT = 60.0, 0.9, 0.7, 20.0, 0.5
+#: What a bucket that no document has counts as; parts of a count in which documents are summed.
+UNSEEN, PARTS = 0.1, 1000
 #: Suffixes of countries with one of the languages. Fixed values.
 SUFFIX_LANGUAGE = {"de": "de", "at": "de", "uk": "en", "us": "en", "au": "en", "ie": "en", "es": "es", "mx": "es", "ar": "es", "fr": "fr"}
 
@@ -56,22 +63,33 @@ def train(docs: DataFrame, text_col: str, declared: Column, languages: Sequence[
         total = np.zeros((len(languages), BUCKETS), dtype=np.int64)
         for batch in trimmed(batches):
             for text, lang in zip(batch["t"], batch["l"], strict=True):
-                total[index[lang]] += trigram_counts(text)
+                counts = trigram_counts(text)
+                total[index[lang]] += np.floor(counts * (PARTS / np.sqrt(max(1, counts.sum())))).astype(np.int64)
         where = np.nonzero(total)
         yield pd.DataFrame({"l": where[0], "b": where[1], "n": total[where]})
 
     known = docs.select(F.col(text_col).alias("t"), declared.alias("l")).filter(F.col("l").isin(*languages))
     with arrow_batches(docs.sparkSession):
         sums = known.mapInPandas(counted, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).collect()
-    table = np.full((len(languages), BUCKETS), 0.5)
+    table = np.full((len(languages), BUCKETS), UNSEEN)
     for row in sums:  # at most languages x BUCKETS
-        table[row["l"], row["b"]] += row["n"]
+        table[row["l"], row["b"]] += row["n"] / PARTS
     return np.log(table / table.sum(axis=1, keepdims=True))
 
 
+def with_background(model: np.ndarray) -> np.ndarray:
+    """The model with the background class as its last row.
+
+    Languages without documents have equal trigrams and take no part in it.
+    """
+    known = np.exp(model[np.ptp(model, axis=1) > 0])
+    mean = np.vstack([known, np.full((1, BUCKETS), 1 / BUCKETS)]).mean(axis=0)
+    return np.vstack([model, np.log(mean)])
+
+
 def _evidence(model: np.ndarray):
-    """UDF: tempered log likelihoods of a text by language; null where the text has no trigram."""
-    weights = np.ascontiguousarray(model.T)
+    """UDF: tempered log likelihoods of a text by language, the background last; null where the text has no trigram."""
+    weights = np.ascontiguousarray(with_background(model).T)
 
     @pandas_udf("array<double>")
     def evidence(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -99,7 +117,7 @@ def _softmax(log: Column) -> Column:
 
 
 def host_priors(scored: DataFrame, k: int) -> DataFrame:
-    """``host`` and ``prior`` (array over languages), from ``scored`` (_host, _like).
+    """``host`` and ``prior`` (array over ``k`` classes), from ``scored`` (_host, _like).
 
     Every document adds its text posterior in whole thousandths, so sums don't depend on
     their order. A level's counts are smoothed by SMOOTHING documents of its parent.
@@ -137,10 +155,11 @@ def _judged(rows: DataFrame, prior: DataFrame, languages: Sequence[str], accept:
         ratio = float(np.log(right * (k - 1) / (1 - right)))
         return F.when(value == languages[i], F.lit(ratio)).otherwise(F.lit(0.0))
 
-    log = [F.col("_like")[i] + F.log(F.col("_prior")[i]) + says(F.col("_declared"), DECLARED, i) + says(suffix, SUFFIX, i) for i in range(k)]
+    text = [F.col("_like")[i] + F.log(F.col("_prior")[i]) for i in range(k + 1)]
+    log = [text[i] + says(F.col("_declared"), DECLARED, i) + says(suffix, SUFFIX, i) for i in range(k)] + [text[k]]
     posterior = _softmax(F.array(*log))
     out = joined.withColumn("_post", F.when(F.col("_like").isNotNull() & F.col("_prior").isNotNull(), posterior))
-    best = F.array_max(F.transform("_post", lambda p, i: F.struct(p.alias("p"), (-i).alias("i"))))
+    best = F.array_max(F.transform(F.slice("_post", 1, k), lambda p, i: F.struct(p.alias("p"), (-i).alias("i"))))
     out = out.withColumn("_best", best)
     return out.withColumns(
         {
@@ -160,7 +179,8 @@ def _scored(docs: DataFrame, text: Column, declared: Column, host: Column, langu
 def identify(docs: DataFrame, id_col: str, text: Column, declared: Column, host: Column, languages: Sequence[str] = LANGUAGES, accept: float = ACCEPT) -> DataFrame:
     """One row per row: ``id_col, lang_id, posterior, declared, kept``.
 
-    ``kept`` is whether the best language's posterior is at least ``accept``. A text
+    ``posterior`` is that of the best language, among all languages and the background;
+    ``kept`` is whether it is at least ``accept``. A text
     without three bytes has no language: ``lang_id`` and ``posterior`` are null, ``kept``
     is false. Null declarations add no evidence and null hosts share one prior. Rows with
     null or repeated ids are judged like all others; ties go to the first language. An
@@ -168,7 +188,7 @@ def identify(docs: DataFrame, id_col: str, text: Column, declared: Column, host:
     """
     with arrow_batches(docs.sparkSession):
         scored = staged(_scored(docs, text, declared, host, languages, _id=F.col(id_col)), "language-scored")
-    out = _judged(scored, host_priors(scored, len(languages)), languages, accept)
+    out = _judged(scored, host_priors(scored, len(languages) + 1), languages, accept)
     return out.select(F.col("_id").alias(id_col), "lang_id", F.round("posterior", 6).alias("posterior"), F.col("_declared").alias("declared"), "kept")
 
 
@@ -179,5 +199,5 @@ def keep_identified(docs: DataFrame, text_col: str = "text", declared_col: str =
     udf = _evidence(train(base, "_t", F.col("_declared"), languages))
     with arrow_batches(docs.sparkSession):
         votes = staged(base.select("_host", udf("_t").alias("_like")), "language-votes")
-    prior = host_priors(votes, len(languages))
+    prior = host_priors(votes, len(languages) + 1)
     return unpacked(_judged(base.withColumn("_like", udf("_t")).drop("_t"), prior, languages, accept).filter("kept"))
