@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from voxtable.functions.units import recommended_zoom
 from voxtable.operators import voxels as vx
 from voxtable.operators.voxels import AXES, KEY
-from voxtable.plans.storage import staged
+from voxtable.plans.storage import staged_rows as staged
 
 #: Letters of the working orientation with their opposites. Fixed values.
 LETTERS = (("P", "A"), ("I", "S"), ("R", "L"))

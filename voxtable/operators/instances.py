@@ -11,7 +11,7 @@ from voxtable.functions import units as un
 from voxtable.operators import labelling as la, neighbours as nb, regions as rg, voxels as vx
 from voxtable.operators.splitting import split_merged
 from voxtable.operators.voxels import AXES, KEY
-from voxtable.plans.storage import staged
+from voxtable.plans.storage import staged_rows as staged
 
 #: Label of the dens in the semantic mask, where a model has one.
 DENS = 51

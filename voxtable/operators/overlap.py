@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from voxtable.operators.voxels import KEY
-from voxtable.plans.storage import staged
+from voxtable.plans.storage import staged_rows as staged
 
 PRED = ["scan_id", "com_idx", "lab"]
 

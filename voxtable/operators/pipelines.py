@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from voxtable.functions import units as un
 from voxtable.operators import grids as gr, instances as ins, neighbours as nb, overlap as ov, regions as rg, tiles as tl, voxels as vx
 from voxtable.operators.voxels import AXES, KEY
-from voxtable.plans.storage import staged
+from voxtable.plans.storage import staged_rows as staged
 
 #: Labels whose small components are deleted, and those whose holes are filled. Fixed values.
 SMALL_LABELS = (41, 42, 43, 44, 45, 46, 47, 48, 49, 61, 100)

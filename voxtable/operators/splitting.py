@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from voxtable.operators import neighbours as nb, regions as rg
 from voxtable.operators.voxels import AXES, KEY
-from voxtable.plans.storage import staged
+from voxtable.plans.storage import staged_rows as staged
 
 REGION = ["scan_id", "inst"]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from voxtable.plans.storage import drop_staged, staged
+from voxtable.plans.storage import drop_staged, sorted_side, staged
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -24,11 +24,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("_m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(sorted_side(low, seen[0]), "u").select(F.col("v").alias("u"), F.col("_m").alias("v")).filter("u <> v").distinct()
         large = staged(large, "large-star")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("_m"))
-        joined = down.join(low, "u")
+        joined = down.join(sorted_side(low, seen[0]), "u")
         small = joined.select(F.col("v").alias("u"), F.col("_m").alias("v")).filter("u <> v").unionByName(low.withColumnRenamed("_m", "v")).distinct()
         new = staged(small, "small-star")
         drop_staged(large)

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 #: Bytes of a row group of intermediate tables: what a writer holds in memory.
 ROW_GROUP = 32 << 20
@@ -23,6 +23,9 @@ ROW_GROUP = 32 << 20
 READ_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
 #: Most rows that ``small_side`` lets Spark broadcast.
 BROADCAST_ROWS = 200_000
+#: Setting by which Spark multiplies the size of files to estimate that of their rows, and what it is here at least: rows
+#: of voxels take one or two bytes in Parquet and about eighty in a hash table.
+FILE_FACTOR, LEAST_FACTOR = "spark.sql.sources.fileCompressionFactor", 40.0
 #: Paths staged inside of the open ``scratch`` blocks, innermost last.
 _open: list[list[str]] = []
 
@@ -53,6 +56,37 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     return out
 
 
+def honest_sizes(spark: SparkSession) -> None:
+    """From now on the session doesn't take compressed voxels for small tables; a higher factor of the user's stays.
+
+    What is small in truth AQE still broadcasts, by the bytes that were shuffled.
+    """
+    if float(spark.conf.get(FILE_FACTOR)) < LEAST_FACTOR:
+        spark.conf.set(FILE_FACTOR, str(LEAST_FACTOR))
+
+
+def staged_rows(df: DataFrame, label: str = "stage") -> DataFrame:
+    """``staged``, but above BROADCAST_ROWS rows the table is joined by sorting, however small its files are.
+
+    Spark estimates by the files, so that it would send tables of millions of voxels through
+    the driver. Unions and semi-joins forget such a mark; ``honest_sizes`` is for them.
+    """
+    honest_sizes(df.sparkSession)
+    rows = Observation()
+    out = staged(df.observe(rows, F.count(F.lit(1)).alias("n")), label)
+    return sorted_side(out, rows.get.get("n", 0))
+
+
+def sorted_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has so many rows, marked for sorted joins if they are too many to broadcast."""
+    if rows <= BROADCAST_ROWS:
+        return df
+    out = df.hint("merge")
+    if hasattr(df, "_staged_path"):
+        out._staged_path = df._staged_path  # type: ignore[attr-defined]
+    return out
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from voxtable.operators import instances as ins, neighbours as nb, pipelines as pl, regions as rg, voxels as vx
 from voxtable.operators.splitting import split_merged
-from voxtable.plans.storage import staged
+from voxtable.plans.storage import staged_rows as staged
 from voxtable.queries.q_neighbours import assigned
 from voxtable.registry import register
-from voxtable.sources.views import ctes, view
+from voxtable.sources.views import ctes, staged_views, view
 
 
 def _three():
@@ -23,9 +23,9 @@ def _three():
     return run
 
 
-def _scan_voxels(s, d):
+def _scan_voxels(vox):
     """Scans with whole bodies: each line along r of a body or a bridge is closed between its ends."""
-    vox = view(s, d, "vox").select(*vx.KEY, "intensity", "sem")
+    vox = vox.select(*vx.KEY, "intensity", "sem")
     lines = vox.filter("sem = 49").groupBy("scan_id", "p", "i").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.max("intensity").alias("intensity"))
     closed = lines.withColumn("r", F.explode(F.sequence("lo", "hi"))).select(*vx.KEY, "intensity", F.lit(49).alias("sem"))
     return vox.unionByName(closed.join(vox.select(*vx.KEY), vx.KEY, "left_anti"))
@@ -41,47 +41,50 @@ def e3(s, d):
 
 @register("e4_clean_semantic", None)
 def e4(s, d):
-    return pl.clean_semantic(view(s, d, "vox").select(*vx.KEY, "sem"), view(s, d, "scans"))
+    vox, scans = staged_views(s, d)
+    return pl.clean_semantic(vox.select(*vx.KEY, "sem"), scans)
 
 
 @register("e5_build_instances", None)
 def e5(s, d):
     """From the masks of ``vox`` to instances on its grid; every third scan has another zoom."""
-    return pl.build_instances(_scan_voxels(s, d), view(s, d, "scans"), _three)[0]
+    vox, scans = staged_views(s, d)
+    return pl.build_instances(staged(_scan_voxels(vox), "scan-voxels"), scans, _three)[0]
 
 
 @register("i16_i17_merge_predictions", None)
 def merge_predictions(s, d):
-    return pl.merge_predictions(view(s, d, "preds"), view(s, d, "scans"), 4)
+    return pl.merge_predictions(view(s, d, "preds"), staged_views(s, d)[1], 4)
 
 
 @register("e6_postprocess", None)
 def e6(s, d):
-    vox = view(s, d, "vox")
-    return pl.postprocess(vox, vox.filter("inst > 0"), view(s, d, "scans"))[1]
+    vox, scans = staged_views(s, d)
+    return pl.postprocess(vox, vox.filter("inst > 0"), scans)[1]
 
 
 @register("e6_endplate_parts", None)
 def e6_parts(s, d):
-    vox = view(s, d, "vox")
-    return pl.postprocess(vox, vox.filter("inst > 0"), view(s, d, "scans"))[0].groupBy("scan_id", "sem").agg(F.count(F.lit(1)).alias("voxels"))
+    vox, scans = staged_views(s, d)
+    return pl.postprocess(vox, vox.filter("inst > 0"), scans)[0].groupBy("scan_id", "sem").agg(F.count(F.lit(1)).alias("voxels"))
 
 
 @register("e2_process_scans_centroids", None)
 def e2(s, d):
-    return pl.process_scans(_scan_voxels(s, d), view(s, d, "scans"), _three)["centroids"]
+    vox, scans = staged_views(s, d)
+    return pl.process_scans(staged(_scan_voxels(vox), "scan-voxels"), scans, _three)["centroids"]
 
 
 @register("e1_process_dataset_summary", None)
 def e1(s, d):
     """A fifth of the scans is finished, and a seventh has no plane that the models know."""
-    scans = view(s, d, "scans")
+    vox, scans = staged_views(s, d)
     manifest = scans.filter("scan_id % 5 = 4").select("scan_id", F.explode(F.array(*map(F.lit, ("out_spine", "out_vert", "out_snap", "out_ctd")))).alias("name"))
     none = F.lit(None).cast("string")
     catalog = scans.select(F.col("scan_id").alias("file_id"), F.col("scan_id").alias("subject"), F.lit("T2w").alias("format"), F.when(F.col("scan_id") % 7 == 6, "ax").otherwise("sag").alias("acq"), none.alias("seg"), none.alias("label"), none.alias("part"))
     models = s.createDataFrame([("sem", ["T2w"], "sag", ["T2w"]), ("inst", ["T2w"], "sag", ["T2w", "SEG"])], "model_id string, formats array<string>, acquisition string, modality array<string>")
     pairs = s.createDataFrame([("sem", "inst")], "semantic string, instance string")
-    return pl.process_dataset(catalog, manifest, _scan_voxels(s, d), scans, _three, ["T2w"], ["sag", "ax"], models=models, pairs=pairs)["summary"]
+    return pl.process_dataset(catalog, manifest, staged(_scan_voxels(vox), "scan-voxels"), scans, _three, ["T2w"], ["sag", "ax"], models=models, pairs=pairs)["summary"]
 
 
 def _flat():
@@ -116,14 +119,15 @@ def merged_bodies(s, d):
 @register("i13_i14_split_merged", None)
 def i13(s, d):
     bodies = staged(merged_bodies(s, d), "merged-bodies")
-    return split_merged(bodies, bodies.select("scan_id", F.col("inst").alias("target")).distinct(), view(s, d, "scans"))
+    return split_merged(bodies, bodies.select("scan_id", F.col("inst").alias("target")).distinct(), staged_views(s, d)[1])
 
 
 @register("i15_corpus_centers", None)
 def i15(s, d):
     """Every second scan has the dense label, the others only the border label."""
-    sem = _scan_voxels(s, d).withColumn("sem", F.when((F.col("sem") == 49) & (F.col("scan_id") % 2 == 0), 50).otherwise(F.col("sem")))
-    return ins.corpus_centers(staged(sem, "sem"), view(s, d, "scans")).withColumns({f"c{a}": F.round(f"c{a}", 6) for a in vx.AXES})
+    vox, scans = staged_views(s, d)
+    sem = _scan_voxels(vox).withColumn("sem", F.when((F.col("sem") == 49) & (F.col("scan_id") % 2 == 0), 50).otherwise(F.col("sem")))
+    return ins.corpus_centers(staged(sem, "sem"), scans).withColumns({f"c{a}": F.round(f"c{a}", 6) for a in vx.AXES})
 
 
 @register("t5_bottom_to_top", ctes("vox", ", st as (select scan_id, inst as label, sum(p) / count(*) as cp, sum(i) / count(*) as ci, sum(r) / count(*) as cr, cast(inst = 1 as int) as d from vox where inst > 0 group by all) select scan_id, cast(row_number() over (partition by scan_id order by d desc, ci desc, label desc) as int) as rank, round(cp, 6) as cp, round(ci, 6) as ci, round(cr, 6) as cr from st"))
@@ -154,8 +158,8 @@ def i22(s, d):
 
 @register("i24_reconcile", ctes("vox", assigned("sem in (41, 42, 49)", "inst > 0 and p > 1") + " select * from given"))
 def i24(s, d):
-    vox = view(s, d, "vox")
-    return ins.reconcile(vox, vox.filter("inst > 0 and p > 1"), view(s, d, "scans"))[0]
+    vox, scans = staged_views(s, d)
+    return ins.reconcile(vox, vox.filter("inst > 0 and p > 1"), scans)[0]
 
 
 @register("a21_endplate_coverage", ctes("vox", ", n as (select a.scan_id, count(*) as n, count(b.p) as k from vox a left join vox b on b.scan_id = a.scan_id and b.p = a.p and b.r = a.r and b.i = a.i - 1 and b.inst > 0 where a.sem = 62 group by a.scan_id) select scan_id, round(100 * k / n, 6) as per_cent from n"))

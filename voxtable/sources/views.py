@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voxtable.plans.storage import honest_sizes, small_side, staged_rows
+
 VIEWS = {
     # Four stacked vertebrae with holes in a 12 x 40 x 8 grid: body 49, canal 61, posterior 41 and 42, endplate 62, disc 100.
     "vox": """
@@ -82,7 +84,14 @@ def ctes(names: str, body: str) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view as a DataFrame."""
+    honest_sizes(spark)
     todo = _closure(name)
     tables = lambda text: re.sub(r"[{](\w+)[}]", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", text).replace("<element_at>", "element_at")
     parts = [f"{n} as ({tables(VIEWS[n])})" for n in todo]
     return spark.sql("with " + ",\n".join(parts) + f"\nselect * from {name}")
+
+
+def staged_views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``vox`` and its ``scans``, made once: queries that read them in many steps don't derive them again in each."""
+    vox = staged_rows(view(spark, sf_dir, "vox"), "vox")
+    return vox, small_side(staged_rows(spark.sql(VIEWS["scans"].replace("from vox", "from {vox}"), vox=vox), "scans"))
