@@ -17,7 +17,7 @@ from voxtable.operators import blocks as bl
 from voxtable.operators.blocks import offsets
 from voxtable.operators.voxels import AXES, KEY
 from voxtable.plans.components import connected_components as graph_components
-from voxtable.plans.storage import drop_staged, small_side, staged
+from voxtable.plans.storage import drop_staged, small_side, staged_rows as staged
 
 
 def shifted(vox: DataFrame, connectivity: int, half: bool = False) -> DataFrame:
@@ -77,17 +77,21 @@ def _grown(vox: DataFrame, col: str, n: int, connectivity: int, keys: Sequence[s
     steps = offsets(connectivity)
 
     def run(layers, corner, shape):
-        dense = bl.cube(layers[0], n)
+        if not len(layers[0][0]):
+            return {**_places(np.empty((0, 3))), col: np.empty(0, np.int64)}
+        window = bl.window_of(layers[0][0], n)
+        dense = bl.cube(layers[0], n, window)
         if len(layers) == 2:
-            allowed = bl.cube(layers[1], n) != bl.ABSENT
+            allowed = bl.cube(layers[1], n, window) != bl.ABSENT
         else:
-            allowed = bl.in_shape(corner, shape, len(dense))
+            allowed = bl.in_shape(corner, shape, window)
         out = bl.grow(dense, allowed, steps, n)
-        own = bl.inner(out, n)
-        keep = own != bl.ABSENT
+        keep = out != bl.ABSENT
         if new_only:
-            keep &= bl.inner(dense, n) == bl.ABSENT
-        return {**_places(bl.listed(keep, corner, n)), col: own[keep]}
+            keep &= dense == bl.ABSENT
+        at = np.argwhere(keep) + [w.start for w in window]
+        own = ((at >= n) & (at < n + bl.BLOCK)).all(axis=1)
+        return {**_places(at[own] + corner), col: out[keep][own]}
 
     layers = [(vox, col)] if mask is None else [(vox, col), (mask, None)]
     return _of_kind(bl.by_block(layers, keys, n, run, f"p int, i int, r int, {col} long", None if mask is not None else scans), vox, col)
@@ -115,9 +119,12 @@ def erode(vox: DataFrame, col: str, n: int = 1, connectivity: int = 1) -> DataFr
         k = min(left, bl.HALO)
 
         def run(layers, corner, _, k=k):
-            own = bl.inner(bl.shrink(bl.cube(layers[0], k), steps, k), k)
-            keep = own != bl.ABSENT
-            return {**_places(bl.listed(keep, corner, k)), col: own[keep]}
+            window = bl.window_of(layers[0][0], k)  # what is beyond holds nothing, as the places that shrink away at its ends
+            out = bl.shrink(bl.cube(layers[0], k, window), steps, k)
+            keep = out != bl.ABSENT
+            at = np.argwhere(keep) + [w.start for w in window]
+            own = ((at >= k) & (at < k + bl.BLOCK)).all(axis=1)
+            return {**_places(at[own] + corner), col: out[keep][own]}
 
         state = _of_kind(bl.by_block([(state, col)], ["scan_id"], k, run, f"p int, i int, r int, {col} long"), vox, col)
         left -= k
@@ -422,12 +429,15 @@ def split_endplates(inst: DataFrame, endplates: DataFrame, scans: DataFrame, rou
     """
     order = W.partitionBy("scan_id").orderBy("inst")
     above = inst.select("scan_id", "inst").distinct().withColumn("prev", F.lag("inst").over(order))
-    plates = endplates.select(*KEY, (F.col("inst") - 200).alias("owner"))
+    above = staged(above, "endplates-above")
+    # Plates are few of the voxels: they look around for the front, so that the front isn't copied to all sides.
+    plates = in_frame(endplates.select(*KEY, (F.col("inst") - 200).alias("owner")), scans)
+    own = [F.col(a).alias(f"_{a}") for a in AXES]
     front = inst.select(*KEY, "inst")
-    left, done = plates, []
+    left, done = staged(plates, "endplates-left"), []
     for _ in range(rounds):
-        reached = in_frame(shifted(front, 1), scans).select(*KEY, "inst").distinct().join(above, ["scan_id", "inst"])
-        hit = left.join(reached, KEY).filter((F.col("owner") == F.col("inst")) | (F.col("owner") == F.col("prev")))
+        around = shifted(left.select(*KEY, "owner", *own), 1).join(front, KEY).join(small_side(above), ["scan_id", "inst"])
+        hit = around.select("scan_id", *[F.col(f"_{a}").alias(a) for a in AXES], "owner", "inst", "prev").filter((F.col("owner") == F.col("inst")) | (F.col("owner") == F.col("prev")))
         hit = hit.groupBy(*KEY, "owner").agg(F.max((F.col("owner") == F.col("inst")).cast("int")).alias("_own"), F.min("inst").alias("inst"))
         hit = staged(hit, "endplates")
         if hit.isEmpty():

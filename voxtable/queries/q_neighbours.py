@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxtable.operators import neighbours as nb, regions as rg, voxels as vx
 from voxtable.registry import register
-from voxtable.sources.views import ctes, view
+from voxtable.sources.views import ctes, staged_views, view
 
 
 def _offsets(k: int, half: bool = False) -> str:
@@ -110,7 +110,7 @@ hole as materialized (select scan_id, inst, p, i, r, p in (p0, p1) or i in (i0,
 f as (select scan_id, p, i, r, min(lab) as inst from cv semi join inner_ using (scan_id, lab, comp) group by all)
 select scan_id, p, i, r, inst from vox where inst > 0 union all select * from f anti join (select * from vox where inst > 0) v using (scan_id, p, i, r)"""))
 def i4(s, d):
-    return nb.fill_holes(view(s, d, "vox").filter("inst > 0"), "inst")
+    return nb.fill_holes(staged_views(s, d)[0].filter("inst > 0"), "inst")
 
 
 A19 = """, m as (select distinct scan_id, p, i, r, 1 as one from vox where intensity > 1000 or inst = 2),
@@ -141,8 +141,8 @@ def _infected(rounds: int) -> str:
 
 @register("i5_infect", ctes("vox", _infected(14)))
 def i5(s, d):
-    vox = view(s, d, "vox")
-    return nb.infect(vox.filter("inst > 0"), "inst", vox.filter("inst = 0"), view(s, d, "scans"))
+    vox, scans = staged_views(s, d)
+    return nb.infect(vox.filter("inst > 0"), "inst", vox.filter("inst = 0"), scans)
 
 
 CLEAN = """, small as materialized (select scan_id, lab, comp from cv group by all having count(*) < case lab when 41 then 12 when 62 then 20 else 0 end),
@@ -204,8 +204,9 @@ c{k + 1} as materialized (select * from c{k} anti join v{k} using (scan_id, comp
 
 @register("i9_assign_missing", ctes("vox", assigned("sem <> 100", "inst > 0 and p > 1") + " select * from given union all select * from deleted"))
 def i9(s, d):
-    vox = view(s, d, "vox").filter("sem <> 100")
-    inst, deleted = nb.assign_missing(vox, vox.filter("inst > 0 and p > 1"), view(s, d, "scans"))
+    vox, scans = staged_views(s, d)
+    vox = vox.filter("sem <> 100")
+    inst, deleted = nb.assign_missing(vox, vox.filter("inst > 0 and p > 1"), scans)
     return inst.unionByName(deleted.withColumn("inst", F.lit(0)))
 
 
@@ -264,9 +265,9 @@ f{k + 1} as (select scan_id, p, i, r, inst from h{k}), l{k + 1} as materialized
 
 @register("i19_split_endplates", ctes("vox", _endplate_rounds(14)))
 def i19(s, d):
-    vox = view(s, d, "vox")
+    vox, scans = staged_views(s, d)
     plates = vox.filter("sem = 62").withColumn("inst", F.expr("cast(201 + i div 10 as int)"))
-    return nb.split_endplates(vox.filter("inst > 0").select(*vx.KEY, "inst"), plates, view(s, d, "scans"))
+    return nb.split_endplates(vox.filter("inst > 0").select(*vx.KEY, "inst"), plates, scans)
 
 
 @register("j7_box_overlap", ctes("vox", ", st as (select scan_id, inst as label, min(p) p0, max(p) p1, min(i) i0, max(i) i1, min(r) r0, max(r) r1 from vox where inst > 0 group by all) select a.scan_id, a.label as a, b.label as b from st a join st b on a.scan_id = b.scan_id and a.label < b.label and a.p0 <= b.p1 and b.p0 <= a.p1 and a.r0 <= b.r1 and b.r0 <= a.r1 and a.i0 - 3 <= b.i1 and b.i0 - 3 <= a.i1"))
