@@ -195,3 +195,22 @@ def test_hooks_keep_the_columns(spark):
     assert out.columns == sem.columns and [r.sem for r in out.collect()] == [49]
     with pytest.raises(ValueError, match="sem"):
         apply_hook(sem, lambda df: df.drop("sem"))
+
+
+def test_small_slabs_share_tasks_and_tasks_carry_no_list_of_files(tmp_path):
+    from voxtable.sources.volumes import VolumeReader
+
+    for k in range(40):
+        np.save(f"{tmp_path}/{k}.npy", np.arange(60.0).reshape(3, 4, 5))
+    reader = VolumeReader({"path": ",".join(f"{tmp_path}/{k}.npy" for k in range(40)), "slabBytes": "100"})
+    parts = reader.partitions()
+    slabs = [(s.path, s.k) for p in parts for s in p.slabs]
+    assert len(parts) <= 40 and len(slabs) == len(set(slabs)) == 40 * 7
+    assert not reader.paths
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 40 * 59
+
+
+def test_output_paths_are_parsed_once_a_file(spark):
+    out = ct.derive_outputs(spark.createDataFrame([("a/sub-1_T2w.nii.gz",)], "path string"))
+    generate = next(line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line)
+    assert "regexp" not in generate and out.count() == 12

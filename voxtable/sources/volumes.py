@@ -19,6 +19,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of a slab, and cells that are turned into rows at once.
 SLAB, CELLS = 64 << 20, 4 << 20
+#: Bytes that one task reads at most in small slabs, what opening a file counts for, and how many tasks small inputs get.
+TASK, OPEN, LEAST_TASKS = 64 << 20, 256 << 10, 32
 
 
 def _located(path: str) -> tuple[pafs.FileSystem, str]:
@@ -86,28 +88,60 @@ def _header(file) -> tuple[np.dtype, bool, tuple[int, ...], int]:
     return np.dtype(facts["descr"]), facts["fortran_order"], tuple(facts["shape"]), start + 8 + (4 if wide else 2) + length
 
 
-class Slab(InputPartition):
+class Slab:
     """Part ``k`` of ``n`` of a file."""
 
     def __init__(self, path: str, k: int, n: int):
         self.path, self.k, self.n = path, k, n
 
 
+class Slabs(InputPartition):
+    """Slabs that one task reads, one after the other."""
+
+    def __init__(self, slabs: list[Slab]):
+        self.slabs = slabs
+
+
+def _sizes(paths: list[str]) -> list[int]:
+    """Sizes of files, asked of each file system at once."""
+    located, out, systems = [_located(p) for p in paths], [0] * len(paths), []
+    for k, (fs, _) in enumerate(located):
+        mine = next((ks for known, ks in systems if known.equals(fs)), None)
+        systems.append((fs, [k])) if mine is None else mine.append(k)
+    for fs, ks in systems:
+        for k, info in zip(ks, fs.get_file_info([located[k][1] for k in ks]), strict=True):
+            out[k] = info.size
+    return out
+
+
 class VolumeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = options["path"].split(",")
         self.slab = int(options.get("slabBytes", SLAB))
 
-    def partitions(self) -> list[Slab]:
-        """A partition for every ``slabBytes`` of each file: only sizes are looked up here."""
-        out = []
-        for path in self.paths:
-            fs, at = _located(path)
-            n = max(1, -(-fs.get_file_info(at).size // self.slab))
-            out += [Slab(path, k, n) for k in range(n)]
+    def partitions(self) -> list[Slabs]:
+        """A slab for every ``slabBytes`` of each file, small slabs together in one partition: only sizes are looked up here."""
+        slabs, cost = [], []
+        for path, size in zip(self.paths, _sizes(self.paths), strict=True):
+            n = max(1, -(-size // self.slab))
+            slabs += [Slab(path, k, n) for k in range(n)]
+            cost += [max(OPEN, size / n)] * n
+        share = min(TASK, sum(cost) / min(len(slabs), LEAST_TASKS))
+        out, held = [], share
+        for slab, c in zip(slabs, cost, strict=True):
+            if held + c > share * (1 + 1e-9):
+                out.append(Slabs([]))
+                held = 0
+            out[-1].slabs.append(slab)
+            held += c
+        self.paths = []  # the reader goes to every task, which knows its own paths
         return out
 
-    def read(self, partition: Slab) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Slabs) -> Iterator[pa.RecordBatch]:
+        for slab in partition.slabs:
+            yield from self._read(slab)
+
+    def _read(self, partition: Slab) -> Iterator[pa.RecordBatch]:
         """Voxels that aren't 0 of the planes whose turn it is; planes lie along the slowest axis of the file."""
         fs, at = _located(partition.path)
         with fs.open_input_file(at) as file:
