@@ -107,14 +107,20 @@ def derive_outputs(catalog: DataFrame, path: str = "path", folder: str = "deriva
     snapshot in ``snapshot_folder``, or the snapshot itself.
     """
     stem = F.regexp_extract(F.col(path), r"([^/.]+)[^/]*$", 1)
-    kind, name = F.regexp_extract(stem, r"([^_]*)$", 1), F.regexp_replace(F.regexp_replace(stem, r"_[^_]*$", ""), r"_(seg|mod)-[^_]*", "")
-    base = F.concat(F.regexp_replace(F.col(path), r"[^/]+$", ""), F.lit(folder))
+    # The parts are columns before the rows are made, so that expressions over them aren't evaluated again for each row.
+    parts = catalog.select(
+        F.col(path).alias("path"),
+        F.regexp_extract(stem, r"([^_]*)$", 1).alias("_kind"),
+        F.regexp_replace(F.regexp_replace(stem, r"_[^_]*$", ""), r"_(seg|mod)-[^_]*", "").alias("_name"),
+        F.concat(F.regexp_replace(F.col(path), r"[^/]+$", ""), F.lit(folder)).alias("_base"),
+    )
+    kind, name, base = F.col("_kind"), F.col("_name"), F.col("_base")
     raw = F.concat(base, F.lit("/output_raw_"), kind)
     file = lambda seg, fmt, ext: F.concat(name, F.lit("_mod-"), kind, F.lit(f"_seg-{seg}_{fmt}.{ext}"))
     rows = [(n, F.concat_ws("/", raw if deep else base, file(seg, fmt, ext))) for n, deep, seg, fmt, ext in OUTPUTS]
     rows += [("out_snap2", F.concat_ws("/", F.lit(snapshot_folder) if snapshot_folder else base, file("spine", "snp", "png")))]
     rows += [("out_debug", F.concat(base, F.lit("/debug_"), kind)), ("out_raw", raw)]
-    out = catalog.select(F.col(path).alias("path"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("output")) for n, c in rows])).alias("o"))
+    out = parts.select("path", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("output")) for n, c in rows])).alias("o"))
     return out.select("path", "o.name", "o.output")
 
 
