@@ -80,6 +80,12 @@ def _grown(vox: DataFrame, col: str, n: int, connectivity: int, keys: Sequence[s
         if not len(layers[0][0]):
             return {**_places(np.empty((0, 3))), col: np.empty(0, np.int64)}
         window = bl.window_of(layers[0][0], n)
+        if len(layers) == 2:
+            box = np.stack(np.unravel_index(layers[1][0], (bl.BLOCK + 2 * n,) * 3))
+            box = np.stack([box.min(axis=1), box.max(axis=1)]) if box.size else np.array([[0] * 3, [-1] * 3])
+        else:
+            box = np.stack([-corner, np.array(shape) - 1 - corner])
+        window = bl.clipped(window, layers[0][0], box, n)
         dense = bl.cube(layers[0], n, window)
         if len(layers) == 2:
             allowed = bl.cube(layers[1], n, window) != bl.ABSENT
