@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from voxtable.plans.storage import arrow_batches, packed, small_side, staged, unpacked, trimmed
+from voxtable.plans.storage import arrow_batches, packed, resident, small_side, staged, unpacked, trimmed
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: Buckets of trigrams; bytes of a text hashed at once.
@@ -60,6 +60,7 @@ def train(docs: DataFrame, text_col: str, declared: Column, languages: Sequence[
     index = {x: i for i, x in enumerate(languages)}
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        resident("language", dict)  # what another operator keeps in this worker goes
         total = np.zeros((len(languages), BUCKETS), dtype=np.int64)
         for batch in trimmed(batches):
             for text, lang in zip(batch["t"], batch["l"], strict=True):
@@ -93,6 +94,7 @@ def _evidence(model: np.ndarray):
 
     @pandas_udf("array<double>")
     def evidence(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        resident("language", dict)
         for batch in trimmed(texts):
             out = []
             for text in batch:
