@@ -40,27 +40,42 @@ TABLE_BITS = 18
 #: Rows without an id are ordered behind all ids, by a hash of their text.
 NO_ID = 1 << 62
 GEAR = np.random.default_rng(SEED).integers(0, 1 << WINDOW, 256, dtype=np.uint16)
+#: Tables by byte: the two halves of GEAR, and 1 for white space. ``translate`` is faster than indexing by bytes.
+LOW, HIGH, BLANK = bytes(GEAR.astype(np.uint8)), bytes((GEAR >> 8).astype(np.uint8)), bytes(c == 32 or 9 <= c <= 13 for c in range(256))
 BLOCK = 1 << 20
 #: Rows that a task holds before it sends them on.
 HELD = 100_000
 
 
+def _steps(a: np.ndarray) -> np.ndarray:
+    """Differences of the items, the first one from 0."""
+    out = a.copy()
+    out[1:] -= a[:-1]
+    return out
+
+
 def boundaries(data: bytes) -> np.ndarray:
     """Ends of the chunks of ``data``, the last one its length."""
+    if not data:
+        return np.empty(0, np.int64)
     cuts = []
     for at in range(0, len(data), BLOCK):
         start = max(0, at - WINDOW + 1)
-        h = GEAR[np.frombuffer(data, np.uint8, min(at + BLOCK, len(data)) - start, start)]
+        part = data[start : at + BLOCK]
+        h = np.frombuffer(part.translate(HIGH), np.uint8).astype(np.uint16)
+        h <<= np.uint16(8)
+        h |= np.frombuffer(part.translate(LOW), np.uint8)
         step = 1
         while step < WINDOW:  # after each turn h covers twice as many bytes
-            h[step:] = h[step:] + (h[:-step] << np.uint16(step))
+            h[step:] += h[:-step] << np.uint16(step)
             step *= 2
-        ends = np.nonzero(h >> np.uint16(WINDOW - BITS) == 0)[0] + start + 1
-        cuts.append(ends[ends > at])
-    ends = np.concatenate([*cuts, [len(data)]]) if data else np.empty(0, np.int64)
-    ends = np.unique(ends).astype(np.int64)
-    wide = np.diff(ends, prepend=0)
-    if (wide > LONGEST).any():  # texts without boundaries are cut at fixed places
+        ends = np.flatnonzero(h < 1 << WINDOW - BITS) + start + 1
+        cuts.append(ends[ends > at] if at else ends)
+    if not len(cuts[-1]) or cuts[-1][-1] < len(data):
+        cuts.append(np.array([len(data)]))
+    ends = np.concatenate(cuts) if len(cuts) > 1 else cuts[0]
+    wide = _steps(ends)
+    if wide.max() > LONGEST:  # texts without boundaries are cut at fixed places
         more = [np.arange(e - w + LONGEST, e, LONGEST) for e, w in zip(ends[wide > LONGEST], wide[wide > LONGEST], strict=True)]
         ends = np.unique(np.concatenate([ends, *more]))
     return ends
@@ -69,8 +84,19 @@ def boundaries(data: bytes) -> np.ndarray:
 def _digests(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and digests of the chunks of ``data``."""
     ends = boundaries(data)
-    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    return starts, ends, np.array([xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+    starts = ends - _steps(ends)
+    digests = b"".join([xxhash.xxh64_digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return starts, ends, np.frombuffer(digests, ">u8").astype(np.uint64)
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of the words of ``data``, and their ends."""
+    blank = np.frombuffer(data.translate(BLANK), np.bool_)
+    head = ~blank
+    tail = head.copy()
+    head[1:] &= blank[:-1]
+    tail[:-1] &= blank[1:]
+    return np.flatnonzero(head), np.flatnonzero(tail) + 1
 
 
 def _marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -79,7 +105,7 @@ def _marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def chunks(docs: DataFrame, table: bytes | None = None) -> DataFrame:
     """``docs`` (_id, _t) as (_id, _x: hash of the text, _k: place of the chunk, _from, _h: digest,
-    _p: its bytes, its words and those of the chunks before and after, ten bits each).
+    _p: its bytes, its words and those of the chunks before and after, ten bits each, and 1 if the text has an equal chunk before).
 
     With ``table``, a bit table of digests, only chunks whose bit is set.
     """
@@ -96,14 +122,11 @@ def chunks(docs: DataFrame, table: bytes | None = None) -> DataFrame:
                     part = (h,)
                 else:
                     # Words that start in a chunk.
-                    blank = np.frombuffer(data, np.uint8)
-                    blank = (blank == 32) | ((blank >= 9) & (blank <= 13))
-                    heads = np.cumsum(~blank & np.concatenate([[True], blank[:-1]])) if len(data) else np.empty(0, np.int64)
-                    words = np.diff(heads[ends - 1], prepend=0) if len(ends) else ends
+                    words = _steps(np.searchsorted(_words(data)[0], ends))
                     seen = _marked(bits, h)
                     x = np.full(len(ends), xxhash.xxh64_intdigest(data), np.uint64).view(np.int64)
                     around = np.concatenate([[0], words, [0]])
-                    facts = (ends - starts) | words << 10 | around[:-2] << 20 | around[2:] << 30
+                    facts = (ends - starts) | words << 10 | around[:-2] << 20 | around[2:] << 30 | _met_before(h) << 40
                     part = tuple(v[seen] for v in (h, x, np.arange(len(ends)), starts, facts))
                 ids.append(i)
                 parts.append(part)
@@ -146,10 +169,7 @@ def covering(data: bytes, starts: np.ndarray, ends: np.ndarray, anchor: np.ndarr
     elsewhere has the same boundaries there, but for those in its first ``WINDOW`` bytes,
     so all chunks between them occur there too: they must be among those marked ``again``.
     """
-    blank = np.frombuffer(data, np.uint8)
-    blank = (blank == 32) | ((blank >= 9) & (blank <= 13))
-    heads = np.nonzero(~blank & np.concatenate([[True], blank[:-1]]))[0]
-    tails = np.nonzero(~blank & np.concatenate([blank[1:], [True]]))[0] + 1
+    heads, tails = _words(data)
     one, other = np.searchsorted(tails, starts[anchor], "right"), np.searchsorted(heads, ends[anchor]) - 1
     low = np.maximum(np.maximum(one, other) - size + 1, 0)
     high = np.minimum(np.minimum(one, other), len(heads) - size)
@@ -160,7 +180,7 @@ def covering(data: bytes, starts: np.ndarray, ends: np.ndarray, anchor: np.ndarr
     count = np.cumsum(change)
     at = np.nonzero(count)[0]
     # Places of cuts without a boundary, and the end of the text, depend on bytes outside.
-    bound = ~again & (np.diff(starts, prepend=0) < LONGEST) & (ends < len(data))
+    bound = ~again & (_steps(starts) < LONGEST) & (ends < len(data))
     single = np.concatenate([[0], np.cumsum(bound)])
     before, behind = np.searchsorted(starts, heads[at] + WINDOW), np.searchsorted(ends, tails[at + size - 1], "right")
     at = at[single[np.maximum(before, behind)] == single[before]]
@@ -206,10 +226,11 @@ def windows(docs: DataFrame, anchors: bytes, repeated: bytes, size: int) -> Data
 
 
 def _met_before(w: np.ndarray) -> np.ndarray:
-    """1 for rows of ``w`` that equal an earlier one."""
-    order = np.lexsort((w[:, 1], w[:, 0]))
+    """1 for rows of ``w`` (one column or two) that equal an earlier one."""
+    order = np.argsort(w, kind="stable") if w.ndim == 1 else np.lexsort((w[:, 1], w[:, 0]))
+    same = w[order[1:]] == w[order[:-1]]
     out = np.zeros(len(w), np.int64)
-    out[order[1:][(w[order[1:]] == w[order[:-1]]).all(axis=1)]] = 1
+    out[order[1:][same if w.ndim == 1 else same.all(axis=1)]] = 1
     return out
 
 
@@ -282,12 +303,15 @@ def _passages(rows: DataFrame, least_words: int) -> DataFrame:
     met = staged(lists.filter("_len > 1"), "chunk-lists")
     repeated = bit_table(met)
     cut = staged(chunks(rows, repeated), "chunks")
-    # Runs are by document: one shuffle serves all windows.
-    again = skew_join(cut, met, ["_h"], "_len").drop("_len").repartition("_id", "_x")
     ten = lambda i: F.shiftright("_p", 10 * i).bitwiseAND(1023)
+    again = skew_join(cut, met, ["_h"], "_len").drop("_len")
+    # Runs are by document: one shuffle serves all windows.
+    if rows.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        again = again.filter((F.col("_id") != F.col("_first")) | (ten(4) == 1)).repartition("_id", "_x")
+    else:  # rows can repeat both id and text: the chunks of the second one occur again
+        place = F.row_number().over(W.partitionBy("_id", "_x", "_h").orderBy("_k"))
+        again = again.repartition("_id", "_x").withColumn("_n", place).filter((F.col("_id") != F.col("_first")) | (F.col("_n") > 1))
     again = again.withColumns({"_to": F.col("_from") + ten(0), "_words": ten(1), "_before": ten(2), "_after": ten(3)})
-    place = F.row_number().over(W.partitionBy("_id", "_x", "_h").orderBy("_k"))
-    again = again.withColumn("_n", place).filter((F.col("_id") != F.col("_first")) | (F.col("_n") > 1))
     along = W.partitionBy("_id", "_x").orderBy("_k")
     # Rows that repeat both id and text have equal places: they count once.
     new = F.coalesce(F.lag("_k").over(along) != F.col("_k"), F.lit(True)).cast("int")
