@@ -74,21 +74,21 @@ def in_frame(vox: DataFrame, scans: DataFrame) -> DataFrame:
 
 def _grown(vox: DataFrame, col: str, n: int, connectivity: int, keys: Sequence[str], scans: DataFrame | None, mask: DataFrame | None, new_only: bool = False) -> DataFrame:
     """One pass of at most HALO rounds of growth; with ``new_only`` only what was added."""
-    steps = offsets(connectivity)
+    steps, block = offsets(connectivity), bl.WIDE
 
     def run(layers, corner, shape):
         if not len(layers[0][0]):
             return {**_places(np.empty((0, 3))), col: np.empty(0, np.int64)}
-        window = bl.window_of(layers[0][0], n)
+        window = bl.window_of(layers[0][0], n, block)
         if len(layers) == 2:
-            box = np.stack(np.unravel_index(layers[1][0], (bl.BLOCK + 2 * n,) * 3))
+            box = np.stack(np.unravel_index(layers[1][0], (block + 2 * n,) * 3))
             box = np.stack([box.min(axis=1), box.max(axis=1)]) if box.size else np.array([[0] * 3, [-1] * 3])
         else:
             box = np.stack([-corner, np.array(shape) - 1 - corner])
-        window = bl.clipped(window, layers[0][0], box, n)
-        dense = bl.cube(layers[0], n, window)
+        window = bl.clipped(window, layers[0][0], box, n, block)
+        dense = bl.cube(layers[0], n, window, block)
         if len(layers) == 2:
-            allowed = bl.cube(layers[1], n, window) != bl.ABSENT
+            allowed = bl.cube(layers[1], n, window, block) != bl.ABSENT
         else:
             allowed = bl.in_shape(corner, shape, window)
         out = bl.grow(dense, allowed, steps, n)
@@ -96,11 +96,11 @@ def _grown(vox: DataFrame, col: str, n: int, connectivity: int, keys: Sequence[s
         if new_only:
             keep &= dense == bl.ABSENT
         at = np.argwhere(keep) + [w.start for w in window]
-        own = ((at >= n) & (at < n + bl.BLOCK)).all(axis=1)
+        own = ((at >= n) & (at < n + block)).all(axis=1)
         return {**_places(at[own] + corner), col: out[keep][own]}
 
     layers = [(vox, col)] if mask is None else [(vox, col), (mask, None)]
-    return _of_kind(bl.by_block(layers, keys, n, run, f"p int, i int, r int, {col} long", None if mask is not None else scans), vox, col)
+    return _of_kind(bl.by_block(layers, keys, n, run, f"p int, i int, r int, {col} long", None if mask is not None else scans, block), vox, col)
 
 
 def dilate(vox: DataFrame, col: str, scans: DataFrame, n: int = 1, connectivity: int = 1, mask: DataFrame | None = None, keys: Sequence[str] = ("scan_id",)) -> DataFrame:
@@ -120,19 +120,19 @@ def dilate(vox: DataFrame, col: str, scans: DataFrame, n: int = 1, connectivity:
 
 def erode(vox: DataFrame, col: str, n: int = 1, connectivity: int = 1) -> DataFrame:
     """Keep voxels all of whose neighbours have their label; the border of the scan counts as outside."""
-    state, left, steps = vox.select(*KEY, col), n, offsets(connectivity)
+    state, left, steps, block = vox.select(*KEY, col), n, offsets(connectivity), bl.WIDE
     while left > 0:
         k = min(left, bl.HALO)
 
         def run(layers, corner, _, k=k):
-            window = bl.window_of(layers[0][0], k)  # what is beyond holds nothing, as the places that shrink away at its ends
-            out = bl.shrink(bl.cube(layers[0], k, window), steps, k)
+            window = bl.window_of(layers[0][0], k, block)  # what is beyond holds nothing, as the places that shrink away at its ends
+            out = bl.shrink(bl.cube(layers[0], k, window, block), steps, k)
             keep = out != bl.ABSENT
             at = np.argwhere(keep) + [w.start for w in window]
-            own = ((at >= k) & (at < k + bl.BLOCK)).all(axis=1)
+            own = ((at >= k) & (at < k + block)).all(axis=1)
             return {**_places(at[own] + corner), col: out[keep][own]}
 
-        state = _of_kind(bl.by_block([(state, col)], ["scan_id"], k, run, f"p int, i int, r int, {col} long"), vox, col)
+        state = _of_kind(bl.by_block([(state, col)], ["scan_id"], k, run, f"p int, i int, r int, {col} long", block=block), vox, col)
         left -= k
         if left:
             state = staged(state, "erode")
@@ -169,11 +169,13 @@ def components(vox: DataFrame, col: str, connectivity: int = 1, keys: Sequence[s
 
     ``comp`` is the smallest packed place of the component. Voxels are united inside of
     cubes first, halo included, so a voxel near a border has a part in several cubes. These
-    parts are the edges of a much smaller graph, for which rounds of joins are made.
-    A place may have several labels.
+    parts are the edges of a much smaller graph, for which rounds of joins are made; parts
+    that don't reach a border with another cube are components by themselves and take no
+    part in it. A place may have several labels.
     """
-    ks, steps = list(keys), offsets(connectivity, half=True)
-    edge = bl.BLOCK + 2
+    ks, block = list(keys), bl.WIDE
+    steps = [s for s in offsets(connectivity, half=True) if s != (0, 0, 1)]  # runs along r are united by their order
+    edge = block + 2
     wide = edge + 1  # a spare place after each line, so that steps beyond a cube's side meet nothing
 
     def run(layers, corner, _):
@@ -183,27 +185,37 @@ def components(vox: DataFrame, col: str, connectivity: int = 1, keys: Sequence[s
         key = which * (wide + 1) ** 3 + (place[:, 0] * wide + place[:, 1]) * wide + place[:, 2]
         key, first = np.unique(key, return_index=True)
         place, value = place[first], value[first]
+        starts = np.concatenate([[True], np.diff(key) != 1])
+        line, starts = np.cumsum(starts) - 1, np.flatnonzero(starts)
         u, v = [], []
         for s in steps:
             want = key + (s[0] * wide + s[1]) * wide + s[2]
             there = np.minimum(np.searchsorted(key, want), len(key) - 1)
             met = np.flatnonzero(key[there] == want)
-            u.append(met)
-            v.append(there[met])
-        root = bl.roots(len(key), np.concatenate(u), np.concatenate(v))
-        own = ((place >= 1) & (place <= bl.BLOCK)).all(axis=1)
-        rim = ((place <= 1) | (place >= bl.BLOCK)).any(axis=1)
+            a, b = line[met], line[there[met]]
+            new = np.concatenate([[True], (np.diff(a) != 0) | (np.diff(b) != 0)])[: len(a)]
+            u.append(a[new])
+            v.append(b[new])
+        root = bl.roots(len(starts), np.concatenate(u), np.concatenate(v))[line]
+        own = ((place >= 1) & (place <= block)).all(axis=1)
+        rim = (((place <= 1) & (corner >= 0)) | (place >= block)).any(axis=1)  # below the first cube there is none
+        open_ = np.zeros(len(starts), bool)
+        open_[root[rim]] = True
         packed = bl.pack(place + corner)
-        return {**_places(place + corner), col: value, "part": packed[root], "own": own, "rim": rim}
+        return {**_places(place + corner), col: value, "part": packed[starts[root]], "own": own, "rim": rim, "open": open_[root]}
 
-    parts = staged(_of_kind(bl.by_block([(vox, col)], ks, 1, run, f"p int, i int, r int, {col} long, part long, own boolean, rim boolean"), vox, col), "parts")
+    parts = staged(_of_kind(bl.by_block([(vox, col)], ks, 1, run, f"p int, i int, r int, {col} long, part long, own boolean, rim boolean, open boolean", block=block), vox, col), "parts")
     node = lambda c: F.struct(*ks, col, F.col(c).alias("id"))
     shared = parts.filter("rim").groupBy(*ks, *AXES, col).agg(F.min("part").alias("low"), F.collect_set("part").alias("all")).filter(F.size("all") > 1)
-    edges = shared.select(*ks, col, "low", F.explode("all").alias("part")).filter("low <> part").distinct()
+    edges = staged(shared.select(*ks, col, "low", F.explode("all").alias("part")).filter("low <> part").distinct(), "part-edges")
+    whole = parts.filter("own").select(*ks, *AXES, col, F.col("part").alias("comp"))
+    if edges.isEmpty():
+        return whole
     roots = graph_components(edges.select(node("part").alias("u"), node("low").alias("v")))
     roots = staged(roots.select(*[F.col(f"node.{k}").alias(k) for k in [*ks, col]], F.col("node.id").alias("part"), F.col("root.id").alias("comp")), "roots")
-    named = parts.filter("own").join(small_side(roots), [*ks, col, "part"], "left")
-    return staged(named.select(*ks, *AXES, col, F.coalesce("comp", "part").alias("comp")), "components")
+    named = parts.filter("own and open").join(small_side(roots), [*ks, col, "part"], "left").select(*ks, *AXES, col, F.coalesce("comp", "part").alias("comp"))
+    closed = parts.filter("own and not open").select(*ks, *AXES, col, F.col("part").alias("comp"))
+    return staged(named.unionByName(closed), "components")
 
 
 def component_stats(comps: DataFrame, col: str) -> DataFrame:
@@ -258,13 +270,15 @@ def holes(vox: DataFrame, keys: Sequence[str]) -> DataFrame:
     return inner.join(lost, [*ks, "root"], "left_anti").select(*ks, "p", "i", "s", "e")
 
 
-def fill_holes(vox: DataFrame, col: str) -> DataFrame:
+def fill_holes(vox: DataFrame, col: str, labels: Sequence[int] | None = None) -> DataFrame:
     """Per label, background inside its box that doesn't reach the box's border takes the label.
 
-    Where several labels could fill a voxel the smallest does; labelled voxels stay.
+    Where several labels could fill a voxel the smallest does; labelled voxels stay. With
+    ``labels`` only these are filled.
     """
     own = vox.select(*KEY, col)
-    fill = holes(own.filter(F.col(col) > 0), ["scan_id", col]).select("scan_id", "p", "i", F.explode(F.sequence("s", "e")).alias("r"), col).groupBy(*KEY).agg(F.min(col).alias(col))
+    part = own.filter(F.col(col) > 0 if labels is None else F.col(col).isin(*labels))
+    fill = holes(part, ["scan_id", col]).select("scan_id", "p", "i", F.explode(F.sequence("s", "e")).alias("r"), col).groupBy(*KEY).agg(F.min(col).alias(col))
     return own.unionByName(fill.join(own.select(*KEY), KEY, "left_anti"))
 
 
@@ -301,16 +315,18 @@ def clean_artifacts(vox: DataFrame, col: str, sizes: DataFrame, scans: DataFrame
     n = comps.groupBy("scan_id", col, "comp").agg(F.count(F.lit(1)).alias("voxels"))
     small = n.join(sizes.withColumnRenamed("label", col), [c for c in ("scan_id", col) if c == col or c in sizes.columns]).filter(F.col("voxels") < F.col("size")).select("scan_id", col, "comp")
     filled = vox.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n")).join(scans, "scan_id").filter(F.col("n") < F.col("np").cast("long") * F.col("ni") * F.col("nr")).select("scan_id")
-    small = staged(small.join(filled, "scan_id", "left_semi"), "small")
+    small = small_side(staged(small.join(filled, "scan_id", "left_semi"), "small"))
+    if only_delete:
+        return comps.join(small, ["scan_id", col, "comp"], "left_anti").filter(F.col(col) > 0).select(*KEY, col)
     part = comps.join(small, ["scan_id", col, "comp"])
     around = in_frame(shifted(part, 1), scans).select(*KEY, F.col(col).alias("own"), "comp").distinct()
     around = around.join(vox.select(*KEY, F.col(col).alias("other")), KEY, "left").filter(F.col("other").isNull() | (F.col("other") != F.col("own")))
-    votes = around.groupBy("scan_id", "own", "comp").agg(F.count(F.lit(1)).alias("ring"), F.count("other").alias("near"))
-    label = around.filter("other is not null").groupBy("scan_id", "own", "comp", "other").agg(F.count(F.lit(1)).alias("k"))
-    label = label.groupBy("scan_id", "own", "comp").agg(F.min_by("other", F.struct(-F.col("k"), "other")).alias("to"))
-    fate = votes.join(label, ["scan_id", "own", "comp"], "left").withColumn("to", F.when(F.lit(only_delete) | (F.col("near") <= F.floor(F.col("ring") * factor)), F.lit(0)).otherwise(F.coalesce("to", F.lit(0))))
+    votes = around.groupBy("scan_id", "own", "comp", "other").agg(F.count(F.lit(1)).alias("k"))
+    known = F.col("other").isNotNull()
+    fate = votes.groupBy("scan_id", "own", "comp").agg(F.sum("k").alias("ring"), F.sum(F.when(known, F.col("k")).otherwise(0)).alias("near"), F.min_by("other", F.when(known, F.struct(-F.col("k"), F.col("other")))).alias("to"))
+    fate = fate.withColumn("to", F.when(F.col("near") <= F.floor(F.col("ring") * factor), F.lit(0)).otherwise(F.coalesce("to", F.lit(0))))
     fate = small.withColumnRenamed(col, "own").join(fate, ["scan_id", "own", "comp"], "left").select("scan_id", F.col("own").alias(col), "comp", F.coalesce("to", F.lit(0)).alias("to"))
-    out = comps.join(fate, ["scan_id", col, "comp"], "left").withColumn(col, F.coalesce("to", col))
+    out = comps.join(small_side(staged(fate, "fate")), ["scan_id", col, "comp"], "left").withColumn(col, F.coalesce("to", col))
     return out.filter(F.col(col) > 0).select(*KEY, col)
 
 
@@ -322,7 +338,8 @@ def bounding_box_clean(vox: DataFrame, col: str, scans: DataFrame, margin: int,
     comps = components(vox.select(*KEY, F.lit(1).alias("_one")), "_one", 3)
     stats = component_stats(comps, "_one")
     ends = {f"{a}{n}": F.col(f"{a}{n}") + (margin if n else -margin) for a in AXES for n in (0, 1)}
-    boxes = staged(stats.withColumns(ends).select("scan_id", "comp", "voxels", *ends), "boxes")
+    boxes = stats.withColumns(ends).select("scan_id", "comp", "voxels", *ends)
+    boxes = staged(boxes, "boxes") if grow else boxes
     kept = boxes.withColumn("_rn", F.row_number().over(W.partitionBy("scan_id").orderBy(F.desc("voxels"), "comp"))).filter("_rn = 1").drop("_rn")
     while grow:
         frame = kept.groupBy("scan_id").agg(*[f(f"{a}{n}").alias(f"k{a}{n}") for a in AXES for n, f in ((0, F.min), (1, F.max))])
@@ -334,7 +351,7 @@ def bounding_box_clean(vox: DataFrame, col: str, scans: DataFrame, margin: int,
             break
         kept = staged(kept.unionByName(more), "boxes-kept")
     frame = kept.groupBy("scan_id").agg(*[f(f"{a}{n}").alias(f"{a}{n}") for a in AXES for n, f in ((0, F.min), (1, F.max))])
-    out = vox.join(frame, "scan_id")
+    out = vox.join(small_side(staged(frame, "boxes")), "scan_id")  # a row a scan, so that voxels aren't shuffled for it
     for a in AXES:
         out = out.filter(F.col(a).between(F.col(f"{a}0"), F.col(f"{a}1")))
     return out.select(*vox.columns)
@@ -344,7 +361,7 @@ def trim_to_canal(vox: DataFrame, col: str, scans: DataFrame, canal: Sequence[in
     """Drop what lies over ``margin_mm`` above or below the canal, but for the sacrum; scans without canal stay."""
     ends = vox.filter(F.col(col).isin(*canal)).groupBy("scan_id").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).join(scans.select("scan_id", "zi"), "scan_id")
     ends = ends.select("scan_id", (F.col("lo") - margin_mm / F.col("zi")).alias("lo"), (F.col("hi") + margin_mm / F.col("zi")).alias("hi"))
-    out = vox.join(ends, "scan_id", "left")
+    out = vox.join(small_side(staged(ends, "canal")), "scan_id", "left")
     return out.filter(F.col("lo").isNull() | F.col("i").between(F.col("lo"), F.col("hi")) | (F.col(col) == keep)).select(*vox.columns)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from voxtable.functions import units as un
 from voxtable.operators import grids as gr, instances as ins, neighbours as nb, overlap as ov, regions as rg, tiles as tl, voxels as vx
 from voxtable.operators.voxels import AXES, KEY
-from voxtable.plans.storage import staged_rows as staged
+from voxtable.plans.storage import small_side, staged_rows as staged
 
 #: Labels whose small components are deleted, and those whose holes are filled. Fixed values.
 SMALL_LABELS = (41, 42, 43, 44, 45, 46, 47, 48, 49, 61, 100)
@@ -50,10 +50,18 @@ def clean_semantic(sem: DataFrame, scans: DataFrame, margin: int = 5, canal=(60,
     size = un.mm3_to_voxels(F.lit(un.reference_voxels(SMALL)), _zoom(scans))
     sizes = scans.select("scan_id", F.explode(F.array(*map(F.lit, small))).alias("label"), size.alias("size"))
     out = staged(nb.clean_artifacts(staged(out, "clean"), "sem", sizes, scans, only_delete=True), "clean")
-    for _ in range(2):  # the first pass can remove what spoilt the box
-        out = staged(nb.bounding_box_clean(nb.trim_to_canal(out, "sem", scans, canal), "sem", scans, margin), "clean")
-    filled = nb.fill_holes(out.filter(F.col("sem").isin(*holes)), "sem")
-    return vx.attach_derived(out.withColumnRenamed("sem", "inst"), filled.withColumnRenamed("sem", "inst")).withColumnRenamed("inst", "sem")
+    boxed = lambda x: nb.bounding_box_clean(nb.trim_to_canal(x, "sem", scans, canal), "sem", scans, margin)
+    once = staged(boxed(out), "clean")
+    # The first pass can remove what spoilt the box; scans from which it took nothing stay as they are in a second one.
+    size = lambda x, n: x.groupBy("scan_id").agg(F.count(F.lit(1)).alias(n))
+    odd = staged(size(once, "n").join(size(out, "m"), "scan_id").filter("n <> m").select("scan_id"), "clean-again")
+    if odd.isEmpty():
+        out = once
+    else:
+        odd = small_side(odd)
+        again = boxed(staged(once.join(odd, "scan_id", "left_semi"), "clean"))
+        out = staged(again.unionByName(once.join(odd, "scan_id", "left_anti")), "clean")
+    return nb.fill_holes(out, "sem", holes)
 
 
 @dataclass(frozen=True)

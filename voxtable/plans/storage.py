@@ -74,7 +74,10 @@ def staged_rows(df: DataFrame, label: str = "stage") -> DataFrame:
     honest_sizes(df.sparkSession)
     rows = Observation()
     out = staged(df.observe(rows, F.count(F.lit(1)).alias("n")), label)
-    return sorted_side(out, rows.get.get("n", 0))
+    n = rows.get.get("n", 0)
+    out = sorted_side(out, n)
+    out._rows = n  # type: ignore[attr-defined]
+    return out
 
 
 def sorted_side(df: DataFrame, rows: int) -> DataFrame:
@@ -127,9 +130,11 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is.
 
-    ``df`` should be staged: its rows are counted.
+    ``df`` should be staged: its rows are counted, unless ``staged_rows`` has done so.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    known = getattr(df, "_rows", None)
+    n = df.limit(rows + 1).count() if known is None else known
+    return F.broadcast(df) if n <= rows else df
 
 
 @contextmanager
