@@ -1,4 +1,4 @@
-"""Steps that must not grow faster than their input: cubes of any edge, joins by scan."""
+"""Steps that must not grow faster than their input: cubes of any edge, joins by scan, partitions by rows."""
 
 import numpy as np
 import pytest
@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from voxtable.operators import blocks as bl, neighbours as nb, pipelines as pl
 from voxtable.operators.voxels import KEY
-from voxtable.plans.storage import small_side, staged_rows
+from voxtable.plans.storage import PARTITIONS, enough_partitions, small_side, staged_rows
+from voxtable.registry import queries
 
 VOX = "scan_id long, p int, i int, r int, v int"
 
@@ -84,3 +85,18 @@ def test_only_scans_that_lost_voxels_are_boxed_again(spark, monkeypatch):
         want = real(nb.trim_to_canal(want, "sem", scans), "sem", scans, 5)
     key = [*KEY, "sem"]
     assert seen == [{1, 2}, {1}] and sorted(map(tuple, out.select(*key).collect())) == sorted(map(tuple, want.select(*key).collect()))
+
+
+def test_partitions_follow_the_rows(spark):
+    before = spark.conf.get(PARTITIONS)
+    try:
+        spark.conf.set(PARTITIONS, "4")
+        enough_partitions(spark, 1_500_000)
+        assert spark.conf.get(PARTITIONS) == "4"
+        enough_partitions(spark, 36_000_000)
+        assert spark.conf.get(PARTITIONS) == "72"
+        spark.conf.set(PARTITIONS, "1")
+        queries()["a13_fold_mean"](spark, "/root/testdata/sf0.1")
+        assert spark.conf.get(PARTITIONS) == "2"
+    finally:
+        spark.conf.set(PARTITIONS, before)

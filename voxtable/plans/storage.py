@@ -26,6 +26,8 @@ BROADCAST_ROWS = 200_000
 #: Setting by which Spark multiplies the size of files to estimate that of their rows, and what it is here at least: rows
 #: of voxels take one or two bytes in Parquet and about eighty in a hash table.
 FILE_FACTOR, LEAST_FACTOR = "spark.sql.sources.fileCompressionFactor", 40.0
+#: Setting of how many partitions a shuffle has, and of how many rows one of them has to hold on average at most.
+PARTITIONS, TASK_ROWS = "spark.sql.shuffle.partitions", 500_000
 #: Paths staged inside of the open ``scratch`` blocks, innermost last.
 _open: list[list[str]] = []
 
@@ -65,6 +67,16 @@ def honest_sizes(spark: SparkSession) -> None:
         spark.conf.set(FILE_FACTOR, str(LEAST_FACTOR))
 
 
+def enough_partitions(spark: SparkSession, rows: int) -> None:
+    """From now on shuffles of the session have partitions for tables of so many rows; a higher number of the user's stays.
+
+    With a fixed number the hash tables of a task grow with the input. AQE puts small partitions together, by bytes.
+    """
+    least = -(-rows // TASK_ROWS)
+    if int(spark.conf.get(PARTITIONS)) < least:
+        spark.conf.set(PARTITIONS, str(least))
+
+
 def staged_rows(df: DataFrame, label: str = "stage") -> DataFrame:
     """``staged``, but above BROADCAST_ROWS rows the table is joined by sorting, however small its files are.
 

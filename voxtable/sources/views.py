@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtable.plans.storage import honest_sizes, small_side, staged_rows
+from voxtable.plans.storage import enough_partitions, honest_sizes, small_side, staged_rows
 
 VIEWS = {
     # Four stacked vertebrae with holes in a 12 x 40 x 8 grid: body 49, canal 61, posterior 41 and 42, endplate 62, disc 100.
@@ -86,6 +86,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view as a DataFrame."""
     honest_sizes(spark)
     todo = _closure(name)
+    if "vox" in todo:  # at most one voxel a row; Parquet's footers know how many there are
+        enough_partitions(spark, spark.read.parquet(f"{sf_dir}/lineitem.parquet").count())
     tables = lambda text: re.sub(r"[{](\w+)[}]", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", text).replace("<element_at>", "element_at")
     parts = [f"{n} as ({tables(VIEWS[n])})" for n in todo]
     return spark.sql("with " + ",\n".join(parts) + f"\nselect * from {name}")
