@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxtable.operators import blocks as bl, neighbours as nb, pipelines as pl
+from voxtable.operators import blocks as bl, grids as gr, neighbours as nb, pipelines as pl
 from voxtable.operators.voxels import KEY
 from voxtable.plans.storage import PARTITIONS, enough_partitions, small_side, staged_rows
 from voxtable.registry import queries
@@ -64,6 +64,15 @@ def test_growth_and_erosion_by_cubes_of_any_edge(spark, monkeypatch, block):
     assert {(x.p, x.i, x.r) for x in nb.erode(grown, "v", 1, 2).collect()} == set(map(tuple, np.argwhere(kept != bl.ABSENT).tolist()))
 
 
+@pytest.mark.parametrize(("n", "m"), [(12, 5), (5, 12), (7, 7), (1, 4), (4, 1), (40, 21), (39, 121), (500, 3)])
+def test_nearest_voxels_without_a_shuffle(spark, n, m):
+    line = spark.createDataFrame([(1, x, 0, 0, x) for x in range(-1, n + 1)], VOX)
+    sizes = small_side(staged_rows(spark.createDataFrame([(1, n, m, 1, 1, 1, 1)], "scan_id long, from_p int, to_p int, from_i int, to_i int, from_r int, to_r int")))
+    out = gr.resize_nearest(line, sizes)
+    assert {x.p: x.v for x in out.collect()} == {t: min(int(np.floor((t + 0.5) * n / m)), n - 1) for t in range(m)}
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_voxels_are_not_shuffled_for_a_row_a_scan(spark):
     rows = spark.range(300_000).selectExpr("id div 1000 as scan_id", "cast(id % 10 as int) as p", "cast(id % 1000 div 10 as int) as i", "0 as r", "61 as sem")
     scans = small_side(staged_rows(rows.select("scan_id", F.lit(0.75).alias("zi")).distinct()))

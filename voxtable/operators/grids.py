@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from voxtable.functions.units import recommended_zoom
 from voxtable.operators import voxels as vx
 from voxtable.operators.voxels import AXES, KEY
-from voxtable.plans.storage import staged_rows as staged
+from voxtable.plans.storage import small_side, staged_rows as staged
 
 #: Letters of the working orientation with their opposites. Fixed values.
 LETTERS = (("P", "A"), ("I", "S"), ("R", "L"))
@@ -25,11 +25,18 @@ def _ints(df: DataFrame, prefix: str, of) -> list[Column]:
 
 def resize_nearest(vox: DataFrame, sizes: DataFrame) -> DataFrame:
     """Nearest voxel on a grid of another shape; ``sizes``: scan_id, from_p .. from_r, to_p .. to_r."""
-    out = vox
+    out = vox.join(sizes, "scan_id")
     for a in AXES:
-        grid = sizes.select("scan_id", f"from_{a}", f"to_{a}", F.explode(F.sequence(F.lit(0), F.col(f"to_{a}") - 1)).alias("_to"))
-        source = F.least(F.floor((F.col("_to") + 0.5) * F.col(f"from_{a}") / F.col(f"to_{a}")), F.col(f"from_{a}") - 1).cast("int")
-        out = out.join(grid.select("scan_id", "_to", source.alias(a)), ["scan_id", a]).withColumn(a, F.col("_to")).drop("_to")
+        # The nearest voxel never falls with the place, so the places of one voxel are a range: it starts at the first
+        # place whose nearest voxel isn't before it, which is one of four.
+        n, m = F.col(f"from_{a}"), F.col(f"to_{a}")
+
+        def start(x, n=n, m=m):
+            low = F.greatest(F.floor(x * m / n - 0.5).cast("int") - 1, F.lit(0))
+            return low + sum(((F.floor((low + k + 0.5) * n / m) < x).cast("int") for k in range(4)), F.lit(0))
+
+        out = out.filter(F.col(a).between(0, n - 1)).withColumns({"_s": start(F.col(a)), "_e": F.when(F.col(a) < n - 1, F.least(start(F.col(a) + 1), m)).otherwise(m) - 1})
+        out = out.filter("_s <= _e").withColumn(a, F.explode(F.sequence("_s", "_e"))).drop("_s", "_e")
     return out.select(*vox.columns)
 
 
@@ -51,7 +58,7 @@ def model_grid(scans: DataFrame, low: Column, high: Column, pad: int = 0) -> Dat
     zoom = recommended_zoom(F.array(*[f"z{a}" for a in AXES]), low, high)
     out = out.withColumns({f"t{a}": zoom[j] for j, a in enumerate(AXES)}).withColumn("pad", F.lit(pad))
     out = out.withColumns({f"m{a}": F.greatest(F.bround(F.col(f"q{a}") * F.col(f"z{a}") / F.col(f"t{a}"), 0).cast("int"), F.lit(1)) for a in AXES})
-    return staged(out.drop(*[f"_z{a}" for a in AXES], "_code"), "grid")
+    return small_side(staged(out.drop(*[f"_z{a}" for a in AXES], "_code"), "grid"))
 
 
 def to_model_grid(vox: DataFrame, grid: DataFrame, margin_mm: float = MARGIN_MM) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -73,11 +80,11 @@ def to_model_grid(vox: DataFrame, grid: DataFrame, margin_mm: float = MARGIN_MM)
     dist = F.ceil(margin_mm / F.least(*[f"t{a}" for a in AXES])).cast("int")
     box = vx.box(out).join(grid, "scan_id").withColumn("_d", dist)
     ends = {f"c{a}": F.greatest(F.col(f"{a}0") - F.col("_d"), F.lit(0)) for a in AXES} | {f"e{a}": F.least(F.col(f"{a}1") + F.col("_d"), F.col(f"m{a}") - 1) for a in AXES}
-    full = staged(box.withColumns(ends).select(*grid.columns, *ends), "grid")
+    full = small_side(staged(box.withColumns(ends).select(*grid.columns, *ends), "grid"))
     corner = full.select("scan_id", *[f"c{a}" for a in AXES])
     cut = staged(out.join(corner, "scan_id").withColumns({a: F.col(a) - F.col(f"c{a}") for a in AXES}).select(*vox.columns), "model-grid")
     scans = full.select("scan_id", *[(F.col(f"e{a}") - F.col(f"c{a}") + 1).alias(f"n{a}") for a in AXES], *[F.col(f"t{a}").alias(f"z{a}") for a in AXES])
-    return cut, staged(scans, "model-scans"), full
+    return cut, small_side(staged(scans, "model-scans")), full
 
 
 def from_model_grid(vox: DataFrame, grid: DataFrame) -> DataFrame:

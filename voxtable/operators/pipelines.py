@@ -82,6 +82,7 @@ def predict(sem: DataFrame, centers: DataFrame, make_predict: Callable, size=(12
 
     The scorer maps rows (p, i, r in the window, sem) to scores of nothing and three regions.
     """
+    centers = small_side(centers)
     cut = tl.cutout(sem, centers, size)
     keys = ["scan_id", "com_idx", "p", "i", "r"]
     scored = tl.score(cut, keys, make_predict)
@@ -116,6 +117,7 @@ def build_instances(sem: DataFrame, scans: DataFrame, make_predict: Callable, mo
     grid = gr.model_grid(scans, F.array(*map(F.lit, model.low_zoom)), F.array(*map(F.lit, model.high_zoom)), model.pad)
     cut, own, grid = gr.to_model_grid(sem.select(*KEY, "sem"), grid)
     empty = scans.select("scan_id").join(sem.filter("sem = 49 or sem = 50").select("scan_id").distinct(), "scan_id", "left_anti")
+    empty = small_side(staged(empty, "empty"))
     cut = staged(cut.join(empty, "scan_id", "left_anti"), "model-grid")
     centres = ins.corpus_centers(cut, own, cleaning_mm3=model.cleaning_mm3)
     places = [F.floor(f"c{a}").cast("int").alias(a) for a in AXES]

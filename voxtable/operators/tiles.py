@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtable.functions.units import argmax_class
 from voxtable.operators.voxels import AXES, KEY
+from voxtable.plans.storage import small_side, staged_rows
 
 
 def tile_starts(size: Column, tile: int, step: float = 0.5) -> Column:
@@ -98,7 +99,7 @@ def slide_to_foreground(centers: DataFrame, foreground: DataFrame, scans: DataFr
     """Move a centre down in steps until it stands on a foreground voxel; if it never does it stays."""
     tries = centers.join(scans.select("scan_id", "ni"), "scan_id").withColumn("_k", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"cast((ni - 1 - i) div {step} as int)")))))
     at = tries.select("scan_id", "com_idx", "p", (F.col("i") + F.col("_k") * step).alias("i"), "r", "_k")
-    hit = at.join(foreground.select(*KEY), KEY, "left_semi").groupBy("scan_id", "com_idx").agg(F.min("_k").alias("_k"))
+    hit = foreground.select(*KEY).join(small_side(staged_rows(at, "slides")), KEY).groupBy("scan_id", "com_idx").agg(F.min("_k").alias("_k"))
     return centers.join(hit, ["scan_id", "com_idx"], "left").withColumn("i", (F.col("i") + F.coalesce("_k", F.lit(0)) * step).cast("int")).drop("_k")
 
 
