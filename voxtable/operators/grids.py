@@ -27,16 +27,12 @@ def resize_nearest(vox: DataFrame, sizes: DataFrame) -> DataFrame:
     """Nearest voxel on a grid of another shape; ``sizes``: scan_id, from_p .. from_r, to_p .. to_r."""
     out = vox.join(sizes, "scan_id")
     for a in AXES:
-        # The nearest voxel never falls with the place, so the places of one voxel are a range: it starts at the first
-        # place whose nearest voxel isn't before it, which is one of four.
+        # Places of the new grid around those of the old voxel, of which those stay whose nearest voxel it is.
         n, m = F.col(f"from_{a}"), F.col(f"to_{a}")
-
-        def start(x, n=n, m=m):
-            low = F.greatest(F.floor(x * m / n - 0.5).cast("int") - 1, F.lit(0))
-            return low + sum(((F.floor((low + k + 0.5) * n / m) < x).cast("int") for k in range(4)), F.lit(0))
-
-        out = out.filter(F.col(a).between(0, n - 1)).withColumns({"_s": start(F.col(a)), "_e": F.when(F.col(a) < n - 1, F.least(start(F.col(a) + 1), m)).otherwise(m) - 1})
-        out = out.filter("_s <= _e").withColumn(a, F.explode(F.sequence("_s", "_e"))).drop("_s", "_e")
+        first = F.greatest(F.floor(F.col(a) * m / n - 0.5) - 1, F.lit(0)).cast("int")
+        last = F.least(F.when(F.col(a) < n - 1, F.ceil((F.col(a) + 1) * m / n - 0.5) + 1).otherwise(m - 1), m - 1).cast("int")
+        near = out.filter(F.col(a).between(0, n - 1) & (first <= last)).withColumn("_to", F.explode(F.sequence(first, last)))
+        out = near.filter(F.least(F.floor((F.col("_to") + 0.5) * n / m), n - 1) == F.col(a)).withColumn(a, F.col("_to")).drop("_to")
     return out.select(*vox.columns)
 
 
