@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -102,6 +103,26 @@ def test_pieces_equal_whole_texts(tools, apart, monkeypatch):
             assert sorted(out[5].tolist()) == sorted(i * one.b_size + j for i, j in links), text
 
 
+def test_new_words_are_read_together(tools):
+    one, given = aligner(), []
+
+    class Counting:
+        def encode_batch(self, texts, **more):
+            given.extend(texts)
+            return tools[0].encode_batch(texts, **more)
+
+    one.a = Counting()
+    words = [f"w{k}x" for k in range(1000)]
+    odd = ["\u00a0x", "\u2581", "x\u2581y", "e\u0301", "a\tb", "\U0001f389"]  # some are refused, and their neighbours aren't
+    texts = [" ".join(words[k : k + 10]) for k in range(0, 1000, 10)] + [f"{w} {words[k]} {w}z" for k, w in enumerate(odd)]
+    for text, out in zip(texts, one.documents(texts), strict=True):
+        want = brute(tools, text)
+        assert out[:5] == ((len(want[0]), len(want[1]), want[2].count(";") + 1, len(want[3]), want[2].encode()) if want else (0, 0, 0, 0, b"")), text
+    assert sum(brute(tools, t) is None for t in texts) in range(1, 6)
+    assert len(given) < 200
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 def test_documents_with_nulls_repeats_clashing_names_and_rare_pairs(spark, tools, monkeypatch):
     monkeypatch.setattr(alignment, "HOT_PAIRS", 30)
     rows = [(2**60 + 1, "the cat"), (2**60 + 1, "the cat"), (None, None), (None, "the dog, the cat"), (2, ""), *[(10 + k, t) for k, t in enumerate(ODD)], (99, "word " * 20000)]

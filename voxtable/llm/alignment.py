@@ -7,7 +7,8 @@ of the decoded tokens. Where tokens of both sides end at one byte, the text is c
 groups; between neighbouring ends of either side lies exactly one pair of overlapping tokens.
 
 Texts are taken apart where neither tokenizer can join what stands on both sides, so a
-word's alignment is computed once per worker and remembered while it is in use.
+word's alignment is computed once per worker and remembered while it is in use. Words that
+are new to it are read together, many as one text.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -30,6 +32,8 @@ from voxtable.plans.storage import arrow_batches, resident, scratch, small_side,
 CACHED_LENGTH, CACHED_PIECES = 48, 250_000
 #: Pieces that are encoded at once, and about how many characters of a long text are taken apart at once.
 PIECES_AT_ONCE, LONG_TEXT = 20_000, 1_000_000
+#: How many pieces the tokenizers read as one text.
+TOGETHER = 64
 #: A pair with more than 1 / HOT_PAIRS of all links is joined by broadcast: there are fewer than HOT_PAIRS such pairs.
 HOT_PAIRS = 50_000
 
@@ -56,11 +60,11 @@ class _Alignments(_Remembered):
     def __init__(self):
         super().__init__(CACHED_PIECES)
 
-    def keep(self, piece: str, value) -> None:
-        if len(self) >= self.size:
+    def keep(self, values: dict[str, tuple]) -> None:
+        if len(self) + len(values) > self.size:
             self.older = dict(self)
             self.clear()
-        self[piece] = value
+        self.update(values)
 
 
 class SpanAligner:
@@ -76,6 +80,7 @@ class SpanAligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; threads would wait for each other at its cost
         self.a = Tokenizer.from_str(a_json)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
@@ -103,45 +108,65 @@ class SpanAligner:
         last = np.maximum.accumulate(np.where(sure, np.arange(len(ids)), -1))
         return np.where(last < 0, total, cut[last] + total - np.where(last < 0, 0, total[last]))
 
-    def align(self, pieces: list[str]) -> list[tuple]:
-        """Alignments of pieces, each with its leading blank if it has one; see the class."""
+    def _runs(self, pieces: list[str], together: int) -> list[list[str]]:
+        """Pieces in a row, up to ``together``, between which both tokenizers cut: before a blank between words."""
+        if together == 1 or not self.words_apart:
+            return [[p] for p in pieces]
+        runs, last = [], " "
+        for piece in pieces:
+            if piece[:1] == " " and not last.isspace() and piece[1:2] and not piece[1].isspace() and len(runs[-1]) < together:
+                runs[-1].append(piece)
+            else:
+                runs.append([piece])
+            last = piece[-1]
+        return runs
+
+    def align(self, pieces: list[str], together: int | None = None) -> list[tuple]:
+        """Alignments of pieces, each with its leading blank if it has one; see the class.
+
+        The tokenizers read runs of pieces as one text, as a call for every piece costs more than its tokens.
+        """
         if not pieces:
             return []
-        raw = [p.encode() for p in pieces]
+        together = together or TOGETHER
+        runs = self._runs(pieces, together)
+        texts = ["".join(r) for r in runs]
+        raw = [t.encode() for t in texts]
         size = np.array(list(map(len, raw)), dtype=np.int64)
         joined = b"".join(raw)
         at_char = np.append(np.flatnonzero((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80), len(joined))
-        char_base = np.cumsum([0, *map(len, pieces)])[:-1]
+        char_base = np.cumsum([0, *map(len, texts)])[:-1]
         stop = np.cumsum(size)
         base = stop - size
         # A: character offsets.
-        a = self.a.encode_batch(pieces, add_special_tokens=False)
+        a = self.a.encode_batch(texts, add_special_tokens=False)
         a_ids = [e.ids for e in a]
         a_n = np.array(list(map(len, a_ids)))
         a_ids = np.fromiter(chain.from_iterable(a_ids), np.int64, a_n.sum())
         span = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in a)), np.int64, 2 * len(a_ids)).reshape(-1, 2)
-        a_of = np.repeat(np.arange(len(pieces)), a_n)
+        a_of = np.repeat(np.arange(len(texts)), a_n)
         a_last = np.append(a_of[1:] != a_of[:-1], True)[: len(a_of)]
         sure = a_last | np.append(span[1:, 0] >= span[:-1, 1], True)[: len(a_of)]
         a_cut = at_char[char_base[a_of] + span[:, 1]] if len(a_of) else span[:, 1]
-        # B: byte spans of the protos. A piece without a leading blank is read behind line ends, which never join anything.
-        lead = [0 if p[:1] == " " else 1 if p[:1] == "\n" else 2 for p in pieces]
-        protos = self.b.encode([p[1:] if k == 0 else p if k == 1 else "\n" + p for p, k in zip(pieces, lead, strict=True)], return_type="proto", num_threads=1)
+        # B: byte spans of the protos. A text without a leading blank is read behind line ends, which never join anything.
+        lead = [0 if t[:1] == " " else 1 if t[:1] == "\n" else 2 for t in texts]
+        protos = self.b.encode([t[1:] if k == 0 else t if k == 1 else "\n" + t for t, k in zip(texts, lead, strict=True)], return_type="proto", num_threads=1)
         b = [[(x.id, x.end) for x in p.pieces][k:] for p, k in zip(protos, lead, strict=True)]
         b_n = np.array(list(map(len, b)))
         both = np.fromiter(chain.from_iterable(chain.from_iterable(b)), np.int64, 2 * b_n.sum()).reshape(-1, 2)
-        b_ids, b_of = both[:, 0], np.repeat(np.arange(len(pieces)), b_n)
+        b_ids, b_of = both[:, 0], np.repeat(np.arange(len(texts)), b_n)
         b_cut = both[:, 1] + (base + 1 - np.array(lead))[b_of]
         a_end = self._ends(a_ids, self.a_len, a_cut, sure)
         b_end = self._ends(b_ids, self.b_len, b_cut, ~self.b_fallback[b_ids])
-        bad = np.zeros(len(pieces), bool)
+        bad = np.zeros(len(texts), bool)
         for ids, tokens, lengths, n in ((a_ids, self.a_bytes, self.a_len, a_n), (b_ids, self.b_bytes, self.b_len, b_n)):
             if (np.bincount(np.repeat(np.arange(len(n)), n), lengths[ids], len(n)) != size).any() or b"".join(map(tokens.__getitem__, ids.tolist())) != joined:
                 lists = np.split(ids, np.cumsum(n)[:-1])
                 bad |= np.array([b"".join(map(tokens.__getitem__, x.tolist())) != r for x, r in zip(lists, raw, strict=True)])
-        if bad.any():  # the others are aligned without them
-            redo = iter(self.align([p for p, x in zip(pieces, bad, strict=True) if not x]))
-            return [self._refused(p) if x else next(redo) for p, x in zip(pieces, bad, strict=True)]
+        if bad.any():  # the others are aligned without them; of a run each piece is tried by itself
+            redo = iter(self.align([p for r, x in zip(runs, bad, strict=True) if not x for p in r], together))
+            tried = iter(self.align([p for r, x in zip(runs, bad, strict=True) if x and len(r) > 1 for p in r], 1))
+            return [self._refused(p) if x and len(r) == 1 else next(tried if x else redo) for r, x in zip(runs, bad, strict=True) for p in r]
         if (a_end[np.cumsum(a_n) - 1] != stop).any() or (b_end[np.cumsum(b_n) - 1] != stop).any() or (np.diff(a_end) <= 0).any() or (np.diff(b_end) <= 0).any():
             # A span that isn't its token's: decoded bytes are what counts.
             a_end, b_end = np.cumsum(self.a_len[a_ids]), np.cumsum(self.b_len[b_ids])
@@ -149,11 +174,14 @@ class SpanAligner:
         to_a, to_b = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
         links = (a_ids[to_a] * self.b_size + b_ids[to_b]).astype("<i8")
         group_ends = ends[(a_end[to_a] == ends) & (b_end[to_b] == ends)]
-        l_stop, g_stop = np.searchsorted(ends, stop, "right"), np.searchsorted(group_ends, stop, "right")
-        texts = self._texts(a_ids, b_ids, np.searchsorted(group_ends, a_end), np.searchsorted(group_ends, b_end), len(group_ends), np.cumsum(a_n) + np.cumsum(b_n))
-        l_start, packed = np.append(0, l_stop[:-1]), links.tobytes()
-        columns = (a_n.tolist(), b_n.tolist(), np.diff(g_stop, prepend=0).tolist(), (l_stop - l_start).tolist(), l_start.tolist(), l_stop.tolist())
-        return [(na, nb, ng, nl, *self._edges(p), t, packed[8 * u : 8 * v]) for p, na, nb, ng, nl, u, v, t in zip(pieces, *columns, texts, strict=True)]
+        stop = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)))
+        a_stop, b_stop, l_stop, g_stop = (np.searchsorted(x, stop, "right") for x in (a_end, b_end, ends, group_ends))
+        if (group_ends[g_stop - 1] != stop).any():
+            return self.align(pieces, 1)
+        groups = self._texts(a_ids, b_ids, np.searchsorted(group_ends, a_end), np.searchsorted(group_ends, b_end), len(group_ends), a_stop + b_stop)
+        packed = links.tobytes()
+        columns = [np.diff(x, prepend=0).tolist() for x in (a_stop, b_stop, g_stop, l_stop)]
+        return [(na, nb, ng, nl, *self._edges(p), t, packed[8 * (v - nl) : 8 * v]) for p, na, nb, ng, nl, v, t in zip(pieces, *columns, l_stop.tolist(), groups, strict=True)]
 
     def _texts(self, a_ids, b_ids, a_group, b_group, groups: int, stop: np.ndarray) -> Iterator[bytes]:
         """Groups of every piece as `a1,a2|b1;`, for tokens in order with the number of their group."""
@@ -209,23 +237,19 @@ class SpanAligner:
 
     def entries(self, pieces: set[str]) -> dict[str, tuple]:
         """The alignment of every piece."""
-        out, new, young, older = {}, [], self.known, self.known.older
-        for piece in pieces:
-            found = young.get(piece)
-            if found is None:
-                found = older.get(piece)
-                if found is None:
-                    new.append(piece)
-                    continue
-                young.keep(piece, found)
-            out[piece] = found
+        known = self.known
+        rest = pieces.difference(known)
+        old = rest.intersection(known.older)
+        again = {x: known.older[x] for x in old}
+        found = {x: known[x] for x in pieces.difference(rest)} | again
+        known.keep(again)
+        new = sorted(rest - old)  # those before which a text can be cut come together
         for at in range(0, len(new), PIECES_AT_ONCE):
             some = new[at : at + PIECES_AT_ONCE]
-            for piece, value in zip(some, self.align(some), strict=True):
-                out[piece] = value
-                if len(piece) <= CACHED_LENGTH:
-                    young.keep(piece, value)
-        return out
+            aligned = dict(zip(some, self.align(some), strict=True))
+            found |= aligned
+            known.keep({x: v for x, v in aligned.items() if len(x) <= CACHED_LENGTH})
+        return found
 
     def documents(self, texts: list[str]) -> list[tuple]:
         """For every text (n_a, n_b, n_groups, n_links, groups as bytes, link codes as an array); zeros where it has no tokens."""
