@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from voxtable.operators import instances as ins, labelling as la
+from voxtable.sources.views import staged_views
 
 
 def heads(spark, classes, scan=0):
@@ -54,3 +55,11 @@ def test_relative_and_t13_costs(spark):
     assert t13 == {0: -0.1, 1: -0.3}
     rel = {(r.rw, r.col): round(r.w, 4) for r in la.relative_costs(rows).collect()}
     assert rel[0, 0] == -0.3 and abs(rel[0, 1] + 0.3) < 1e-4  # column sums of 1 and a little stay as they are
+
+
+def test_discs_and_endplates_are_attached_by_short_plans(spark):
+    """The driver keeps and compiles every plan; in one with all components of both labels it needed too much memory."""
+    vox, _ = staged_views(spark, "/root/testdata/sf0.001")
+    out = ins.attach_ivd_endplates(vox, vox.filter("inst > 0"), corpus=49)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") < 20
+    assert out.count() == vox.filter("inst > 0 or sem in (62, 100)").count()

@@ -82,15 +82,18 @@ def attach_ivd_endplates(vox: DataFrame, inst: DataFrame, disc: int = 100, plate
         own = inst.join(vox.filter(F.col("sem") == corpus).select(*KEY), KEY, "left_semi")
         heights = rg.region_stats(own, "inst").select("scan_id", "label", F.col("ci").alias("_ci"))
         verts = verts.join(heights, ["scan_id", "label"], "left").select("scan_id", "label", F.coalesce("_ci", F.lit(0.0)).alias("ci"))
+    # Each table is read several times; as one plan all would be some hundred steps, which the driver keeps and compiles.
+    verts = staged(verts, "heights")
     out = inst.select(*KEY, "inst")
     for sem, base in ((disc, 100), (plate, 200)):
-        comps = nb.components(vox.filter(F.col("sem") == sem).select(*KEY, "sem"), "sem", 3)
+        comps = staged(nb.components(vox.filter(F.col("sem") == sem).select(*KEY, "sem"), "sem", 3), "attached")
         names = comps.select("scan_id", "comp").distinct().withColumn("label", F.row_number().over(W.partitionBy("scan_id").orderBy("comp")))
-        comps = comps.join(names, ["scan_id", "comp"])
+        comps = comps.join(staged(names, "attached-names"), ["scan_id", "comp"])
         middle = comps.groupBy("scan_id", "label").agg((F.sum(F.col("i").cast("long")) / F.count(F.lit(1))).alias("ci"))
         at = rg.asof_lower(middle, verts)
         owner = F.when(F.col("above_all") & F.lit(base == 100), F.col("base") - 1).otherwise(F.col("base"))
-        named = comps.join(at.select("scan_id", "label", (owner + base).cast("int").alias("inst")), ["scan_id", "label"]).select(*KEY, "inst")
+        at = staged(at.select("scan_id", "label", (owner + base).cast("int").alias("inst")), "attached-to")
+        named = comps.join(at, ["scan_id", "label"]).select(*KEY, "inst")
         out = vx.attach_derived(out, named)
     return out
 

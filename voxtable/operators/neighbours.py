@@ -440,7 +440,7 @@ def merge_top_split(vox: DataFrame, scans: DataFrame, volume_ratio: float = 0.5,
     mm2 = least_faces * (REFERENCE_ZOOM[0] * REFERENCE_ZOOM[1] * REFERENCE_ZOOM[2]) ** (2 / 3)
     wide = faces.filter(F.col("faces") > area_to_voxels(F.lit(mm2), F.array("zp", "zi", "zr")))
     pick = top.join(wide.select("scan_id", "a", "b"), "scan_id").filter((F.least("label1", "label2") == F.col("a")) & (F.greatest("label1", "label2") == F.col("b"))).select("scan_id", "label1", "label2")
-    return vox.join(pick, "scan_id", "left").withColumn("inst", F.when(F.col("inst") == F.col("label1"), F.col("label2")).otherwise(F.col("inst"))).drop("label1", "label2")
+    return vox.join(small_side(staged(pick, "top-split")), "scan_id", "left").withColumn("inst", F.when(F.col("inst") == F.col("label1"), F.col("label2")).otherwise(F.col("inst"))).drop("label1", "label2")
 
 
 def split_endplates(inst: DataFrame, endplates: DataFrame, scans: DataFrame, rounds: int = 14) -> DataFrame:

@@ -153,7 +153,7 @@ def postprocess(sem: DataFrame, inst: DataFrame, scans: DataFrame, fill: bool =
             own = staged(nb.reassign_dominant(sem, own, (label,)), "post")
     own, sem2 = ins.reconcile(sem, own, scans, VERTEBRA, fill)
     own, sem2 = staged(own, "post"), staged(sem2, "post-sem")
-    with_discs = sem2.filter("sem = 100").select("scan_id").distinct()
+    with_discs = small_side(staged(sem2.filter("sem = 100").select("scan_id").distinct(), "with-discs"))
     merged = nb.merge_top_split(own.join(with_discs, "scan_id", "left_semi"), scans)
     own = staged(merged.select(*own.columns).unionByName(own.join(with_discs, "scan_id", "left_anti")), "post")
     own = staged(nb.fix_posterior(own.join(sem2.select(*KEY, "sem"), KEY)).select(*KEY, "inst"), "post")
@@ -244,7 +244,8 @@ def process_scans(
     shaped = scans.filter(" and ".join(f"n{a} > 0" for a in AXES))
     outside = vox.join(scans.select("scan_id", *[f"n{a}" for a in AXES]), "scan_id").filter(~inside).select("scan_id").distinct()
     routes.keep(shaped.select("scan_id").join(outside, "scan_id", "left_anti"), "SHAPE")
-    cropped = staged(preprocess(routes.of(vox), scans).select(*KEY, "sem"), "cropped").filter("sem > 0")
+    vox = staged(routes.of(vox), "routed")  # read by every step of the cropping
+    cropped = staged(preprocess(vox, scans).select(*KEY, "sem"), "cropped").filter("sem > 0")
     routes.keep(cropped, "EMPTY")
     sem = staged(clean_semantic(routes.of(cropped), scans), "sem")
     sem = keep("sem_raw")(staged(apply_hook(sem, hook), "sem") if hook else sem)
