@@ -51,3 +51,25 @@ def test_every_value_at_a_radius_is_probed_once(spark):
         for r in range(width + 2):
             got = [x.s for x in _flipped(spark.range(1).selectExpr("21L as s", f"{width} as width"), r).collect()]
             assert sorted(got) == sorted(v ^ 21 for v in range(1 << width) if v.bit_count() == r)
+
+
+def test_many_probes_of_few_queries_are_not_broadcast(spark, monkeypatch):
+    from voxtable.llm import topk
+    from voxtable.plans import storage
+
+    plans = []
+
+    def watched(df, label="stage"):
+        if label == "found":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return storage.staged(df, label)
+
+    monkeypatch.setattr(topk, "staged", watched)
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 2000)
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(64)], 1) for i in range(200)]
+    queries = rows[::20]  # 10 queries: 80 probes at radius 0, 640 at 1, 2240 at 2; the index has 1600 rows
+    got = search(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(queries, SCHEMA), 4).collect()
+    assert sorted(map(tuple, got)) == brute(rows, queries, 4)
+    steps = [("SortMergeJoin [j#" in plan, "BroadcastHashJoin [j#" in plan) for plan in plans[1:]]  # the first has no rows
+    assert steps[:3] == [(False, True), (False, True), (True, False)]

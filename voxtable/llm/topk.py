@@ -10,6 +10,8 @@ then only codes that are at most as far as the kth so far are kept.
 
 The values to probe are made where the queries are, one flipped bit after the other in
 ascending order, so nothing that grows with the width of a segment is on the driver or broadcast.
+Spark takes them for as few as the queries they are made of; they are counted beforehand, and too
+many for a broadcast meet the index by sorting.
 
 Equal codes are one entry with their k smallest ids, on the side of the queries too, so a
 vector that occurs in a third of the rows costs no more than any other.
@@ -17,11 +19,11 @@ vector that occurs in a third of the rows costs no more than any other.
 
 from __future__ import annotations
 
-from math import log2
+from math import comb, log2
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from voxtable.plans.storage import drop_staged, staged
+from voxtable.plans.storage import drop_staged, sorted_side, staged, staged_rows
 
 WORD, SALTS = 64, 64
 #: Codes in a list of the index, on average, as a power of two; radii below this are probed in all segments together.
@@ -76,38 +78,39 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     total = max(1, longest(vectors), longest(queries))
     words = -(-total // WORD)
     coded = lambda df: df.select(F.col(id_col).alias("_id"), sign_code(F.col(vector_col), words).alias("_c")).filter("_id is not null and _c is not null")
-    rows = staged(coded(vectors).distinct(), "codes")
+    rows = staged_rows(coded(vectors).distinct(), "codes")
     few = _first(rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS))), ["_c", "_salt"], ["_id"], k).drop("_salt")
-    ids = staged(_first(few, ["_c"], ["_id"], k), "code-ids")
-    codes = staged(ids.select("_c").distinct(), "code-set")
+    ids = staged_rows(_first(few, ["_c"], ["_id"], k), "code-ids")
+    codes = staged_rows(ids.select("_c").distinct(), "code-set")
     asked = staged(coded(queries), "query-codes")
-    n, rows_in_all = codes.count(), rows.count()
+    n, rows_in_all = codes._rows, rows._rows
     enough = min(k, rows_in_all)
     m = max(1, round(total / max(8, log2(n + 1) - LIST_BITS)))
     edges = [total * j // m for j in range(m + 1)]
     widths = [b - a for a, b in zip(edges, edges[1:], strict=False)]
     part = lambda c, which: F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(widths[j]).alias("width"), _bits(c, edges[j], edges[j + 1]).alias("s")) for j in which]))
-    index = staged(codes.select("_c", part(F.col("_c"), range(m)).alias("p")).select("p.j", "p.s", "_c"), "code-index")
-    open_ = staged(asked.select(F.col("_c").alias("_q")).distinct().withColumn("kth", F.lit(total)), "open-queries")
+    index = staged_rows(codes.select("_c", part(F.col("_c"), range(m)).alias("p")).select("p.j", "p.s", "_c"), "code-index")
+    open_ = staged_rows(asked.select(F.col("_c").alias("_q")).distinct().withColumn("kth", F.lit(total)), "open-queries")
     found = staged(open_.select("_q", F.col("_q").alias("_c"), F.lit(0).alias("distance"), F.lit(0).cast(dict(ids.dtypes)["_id"]).alias("_id")).limit(0), "found")
     finished = []
     turn = -(-m // TURNS)
     steps = [(r, range(m)) for r in range(TOGETHER)] + [(r, range(j, min(m, j + turn))) for r in range(TOGETHER, max(widths) + 1) for j in range(0, m, turn)]
     for r, segments in steps:
-        if open_.isEmpty():
+        if not open_._rows:
             break
         last = (r, segments[-1]) == (max(widths), m - 1)
         probes = open_.select("_q", "kth", part(F.col("_q"), segments).alias("p")).select("_q", "kth", "p.*")
-        probes = _flipped(probes, r)
+        probes = sorted_side(_flipped(probes, r), open_._rows * sum(comb(widths[j], r) for j in segments))
+        lists = index.filter(F.col("j").isin(*segments))
         away = sum((F.bit_count(F.col("_q")[w].bitwiseXOR(F.col("_c")[w])) for w in range(words)), F.lit(0))
-        met = probes.join(index, ["j", "s"]).filter(away <= F.col("kth")).select("_q", "_c", away.alias("distance")).distinct()
+        met = probes.join(lists, ["j", "s"]).filter(away <= F.col("kth")).select("_q", "_c", away.alias("distance")).distinct()
         met = met.join(ids, "_c").select("_q", "_c", "distance", "_id")
         best = staged(_first(met.unionByName(found).distinct(), ["_q"], ["distance", "_id"], k), "found")
         sure = best.groupBy("_q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).withColumn("far", F.when(F.col("n") >= enough, F.col("far")))
         state = staged(open_.select("_q").join(sure, "_q", "left").select("_q", F.coalesce("far", F.lit(total)).alias("kth"), (F.lit(last) | F.coalesce((F.col("far") <= m * r + segments[-1]) | (F.col("far").isNotNull() & F.lit(enough == rows_in_all)), F.lit(False))).alias("done")), "open-queries")
         finished.append(best.join(state.filter("done").select("_q"), "_q", "left_semi"))
         drop_staged(open_)
-        open_ = staged(state.filter("not done").select("_q", "kth"), "open-queries")
+        open_ = staged_rows(state.filter("not done").select("_q", "kth"), "open-queries")
         found = best.join(open_.select("_q"), "_q", "left_semi")
     out = finished[0] if finished else found
     for more in finished[1:]:
