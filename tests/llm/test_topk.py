@@ -73,3 +73,12 @@ def test_many_probes_of_few_queries_are_not_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute(rows, queries, 4)
     steps = [("SortMergeJoin [j#" in plan, "BroadcastHashJoin [j#" in plan) for plan in plans[1:]]  # the first has no rows
     assert steps[:3] == [(False, True), (False, True), (True, False)]
+
+
+def test_segments_are_so_many_that_probes_stay_few():
+    from voxtable.llm.topk import _widths
+
+    for total in (1, 5, 64, 65, 200, 4096):
+        for n in (0, 1, 300, 10**6):
+            assert sum(_widths(total, n, 10)) == total and max(_widths(total, n, 10)) < 64
+    assert [len(_widths(64, n, 10)) for n in (500, 50_000, 600_000, 3_000_000, 15_000_000)] == [8, 6, 5, 4, 4]

@@ -1,7 +1,7 @@
 """Exact top-k search in Hamming space by incremental multi-index hashing.
 
 Vectors become binary codes of their signs, of any length: arrays of 64-bit words. Codes are
-cut into m segments, wide enough for lists of a few codes, and indexed by every segment. A step
+cut into m segments, so many as cost least in probes and compared codes, and indexed by every segment. A step
 probes all values of one segment that differ from the query's in exactly r bits; segments take
 turns before r grows. A code not met by the steps up to radius r in segment j (from 0) differs from the
 query in at least m r + j + 1 bits: a query is done as soon as its kth verified distance is
@@ -11,7 +11,8 @@ then only codes that are at most as far as the kth so far are kept.
 The values to probe are made where the queries are, one flipped bit after the other in
 ascending order, so nothing that grows with the width of a segment is on the driver or broadcast.
 Spark takes them for as few as the queries they are made of; they are counted beforehand, and too
-many for a broadcast meet the index by sorting.
+many for a broadcast meet the index by sorting. A pair of codes counts only in the first step and
+segment where it meets, which its bits tell without a shuffle.
 
 Equal codes are one entry with their k smallest ids, on the side of the queries too, so a
 vector that occurs in a third of the rows costs no more than any other.
@@ -19,17 +20,20 @@ vector that occurs in a third of the rows costs no more than any other.
 
 from __future__ import annotations
 
-from math import comb, log2
+from itertools import accumulate
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from voxtable.plans.storage import drop_staged, sorted_side, staged, staged_rows
 
 WORD, SALTS = 64, 64
-#: Codes in a list of the index, on average, as a power of two; radii below this are probed in all segments together.
-LIST_BITS, TOGETHER = 2.5, 3
+#: Radii below this are probed in all segments together.
+TOGETHER = 3
 #: Steps of a radius from there on, each with an equal part of the segments.
 TURNS = 8
+#: Bits of a segment, about, at least; what making, sending and sorting a probe costs, in codes compared.
+LEAST_WIDTH, PROBE = 8, 32
 
 
 def sign_code(vector: Column, words: int) -> Column:
@@ -52,6 +56,40 @@ def _bits(code: Column, start: int, end: int) -> Column:
     return value.bitwiseAND(F.lit((1 << (end - start)) - 1))
 
 
+def _steps(widths: list[int]) -> list[tuple[int, range]]:
+    """Radius and segments of each step, in order."""
+    m = len(widths)
+    turn = -(-m // TURNS)
+    return [(r, range(m)) for r in range(TOGETHER)] + [(r, range(j, min(m, j + turn))) for r in range(TOGETHER, max(widths) + 1) for j in range(0, m, turn)]
+
+
+def _widths(total: int, n: int, k: int) -> list[int]:
+    """Widths of the segments of codes of ``total`` bits that would cost a query least, were the n codes random."""
+    far, shell, within = 0, 1, 1  # the distance at which the kth would be
+    while far < total and n * within < k << total:
+        far += 1
+        shell = shell * (total - far + 1) // far
+        within += shell
+
+    def cost(widths: list[int]) -> float:
+        m, spent = len(widths), 0.0
+        for r, segments in _steps(widths):
+            spent += sum(comb(widths[j], r) * (PROBE + n / 2 ** widths[j]) for j in segments)
+            if m * r + segments[-1] >= far:
+                break
+        return spent
+
+    counts = {max(1, round(total / width)) for width in range(LEAST_WIDTH, max(LEAST_WIDTH, n.bit_length()) + 1)}
+    return min(([total * (j + 1) // m - total * j // m for j in range(m)] for m in sorted(counts)), key=cost)
+
+
+def _first_met(widths: list[int], edges: list[int], r: int) -> Column:
+    """If ``_q`` and ``_c``, which differ in r bits of segment ``j``, have not met before, in fewer bits or an earlier segment."""
+    m = len(widths)
+    met = [F.bit_count(_bits(F.col("_q"), a, b).bitwiseXOR(_bits(F.col("_c"), a, b))) * m + j for j, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+    return (F.least(*met) if m > 1 else met[0]) == F.col("j") + r * m
+
+
 def _flipped(probes: DataFrame, r: int) -> DataFrame:
     """Each row of ``probes`` (s, width, ...) with all values ``s`` that differ in exactly r bits."""
     out = probes.withColumn("_top", F.lit(-1))
@@ -85,17 +123,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     asked = staged(coded(queries), "query-codes")
     n, rows_in_all = codes._rows, rows._rows
     enough = min(k, rows_in_all)
-    m = max(1, round(total / max(8, log2(n + 1) - LIST_BITS)))
-    edges = [total * j // m for j in range(m + 1)]
-    widths = [b - a for a, b in zip(edges, edges[1:], strict=False)]
+    widths = _widths(total, n, k)
+    m, edges = len(widths), [0, *accumulate(widths)]
     part = lambda c, which: F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(widths[j]).alias("width"), _bits(c, edges[j], edges[j + 1]).alias("s")) for j in which]))
     index = staged_rows(codes.select("_c", part(F.col("_c"), range(m)).alias("p")).select("p.j", "p.s", "_c"), "code-index")
     open_ = staged_rows(asked.select(F.col("_c").alias("_q")).distinct().withColumn("kth", F.lit(total)), "open-queries")
     found = staged(open_.select("_q", F.col("_q").alias("_c"), F.lit(0).alias("distance"), F.lit(0).cast(dict(ids.dtypes)["_id"]).alias("_id")).limit(0), "found")
     finished = []
-    turn = -(-m // TURNS)
-    steps = [(r, range(m)) for r in range(TOGETHER)] + [(r, range(j, min(m, j + turn))) for r in range(TOGETHER, max(widths) + 1) for j in range(0, m, turn)]
-    for r, segments in steps:
+    for r, segments in _steps(widths):
         if not open_._rows:
             break
         last = (r, segments[-1]) == (max(widths), m - 1)
@@ -103,9 +138,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         probes = sorted_side(_flipped(probes, r), open_._rows * sum(comb(widths[j], r) for j in segments))
         lists = index.filter(F.col("j").isin(*segments))
         away = sum((F.bit_count(F.col("_q")[w].bitwiseXOR(F.col("_c")[w])) for w in range(words)), F.lit(0))
-        met = probes.join(lists, ["j", "s"]).filter(away <= F.col("kth")).select("_q", "_c", away.alias("distance")).distinct()
+        met = probes.join(lists, ["j", "s"]).filter((away <= F.col("kth")) & _first_met(widths, edges, r)).select("_q", "_c", away.alias("distance"))
+        met = met.withColumn("_rank", F.rank().over(W.partitionBy("_q").orderBy("distance"))).filter(F.col("_rank") <= k)  # each code has an id
         met = met.join(ids, "_c").select("_q", "_c", "distance", "_id")
-        best = staged(_first(met.unionByName(found).distinct(), ["_q"], ["distance", "_id"], k), "found")
+        best = staged(_first(met.unionByName(found), ["_q"], ["distance", "_id"], k), "found")
         sure = best.groupBy("_q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).withColumn("far", F.when(F.col("n") >= enough, F.col("far")))
         state = staged(open_.select("_q").join(sure, "_q", "left").select("_q", F.coalesce("far", F.lit(total)).alias("kth"), (F.lit(last) | F.coalesce((F.col("far") <= m * r + segments[-1]) | (F.col("far").isNotNull() & F.lit(enough == rows_in_all)), F.lit(False))).alias("done")), "open-queries")
         finished.append(best.join(state.filter("done").select("_q"), "_q", "left_semi"))
