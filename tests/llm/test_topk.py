@@ -82,3 +82,24 @@ def test_segments_are_so_many_that_probes_stay_few():
         for n in (0, 1, 300, 10**6):
             assert sum(_widths(total, n, 10)) == total and max(_widths(total, n, 10)) < 64
     assert [len(_widths(64, n, 10)) for n in (500, 50_000, 600_000, 3_000_000, 15_000_000)] == [8, 6, 5, 4, 4]
+
+
+def test_many_probes_are_made_by_many_tasks(spark, monkeypatch):
+    from voxtable.llm import topk
+    from voxtable.plans import storage
+
+    plans = []
+
+    def watched(df, label="stage"):
+        if label == "found":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return storage.staged(df, label)
+
+    monkeypatch.setattr(topk, "staged", watched)
+    monkeypatch.setattr(topk, "TASK_ROWS", 500, raising=False)
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(64)], 1) for i in range(200)]
+    queries = rows[::20]  # 10 queries: 80 probes at radius 0, 640 at 1, 2240 at 2
+    got = search(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(queries, SCHEMA), 4).collect()
+    assert sorted(map(tuple, got)) == brute(rows, queries, 4)
+    assert [f"RoundRobinPartitioning({n})" in plan for n, plan in zip((1, 2, 5), plans[1:], strict=False)] == [False, True, True]

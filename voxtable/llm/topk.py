@@ -25,7 +25,7 @@ from math import comb
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from voxtable.plans.storage import drop_staged, sorted_side, staged, staged_rows
+from voxtable.plans.storage import TASK_ROWS, drop_staged, sorted_side, staged, staged_rows
 
 WORD, SALTS = 64, 64
 #: Radii below this are probed in all segments together.
@@ -134,8 +134,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         if not open_._rows:
             break
         last = (r, segments[-1]) == (max(widths), m - 1)
-        probes = open_.select("_q", "kth", part(F.col("_q"), segments).alias("p")).select("_q", "kth", "p.*")
-        probes = sorted_side(_flipped(probes, r), open_._rows * sum(comb(widths[j], r) for j in segments))
+        made = open_._rows * sum(comb(widths[j], r) for j in segments)
+        asking = open_ if made <= TASK_ROWS else open_.repartition(-(-made // TASK_ROWS))  # a small file would be one task
+        probes = asking.select("_q", "kth", part(F.col("_q"), segments).alias("p")).select("_q", "kth", "p.*")
+        probes = sorted_side(_flipped(probes, r), made)
         lists = index.filter(F.col("j").isin(*segments))
         away = sum((F.bit_count(F.col("_q")[w].bitwiseXOR(F.col("_c")[w])) for w in range(words)), F.lit(0))
         met = probes.join(lists, ["j", "s"]).filter((away <= F.col("kth")) & _first_met(widths, edges, r)).select("_q", "_c", away.alias("distance"))
